@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference loads whole files at every stage and has no stream, watermark,
+window or state operator, so nothing is built here.  Every operator of the
+library is a batch DataFrame transformation and can be applied to each
+micro-batch of a ``foreachBatch`` sink where a stream is wanted.
+"""
