@@ -342,5 +342,228 @@ def clean_features_frame(spark, sf_dir) -> DataFrame:
                              keys_to_exclude=_KEYS, value_threshold=_T)
 
 
+# ----------------------------------------------------- H, I (selectors) -----
+from featurelab.functions.keyed import sql_keyed_bucket  # noqa: E402
+from featurelab.operators import sampling as sp  # noqa: E402
+from featurelab.operators import selectors as sel  # noqa: E402
+
+K_FOLDS = 3
+SEED = 42
+DOC_TARGETS = ["quality", "toxic"]
+
+
+def doc_frame(spark, sf_dir) -> DataFrame:
+    return sp.assign_folds(fx.doc_features(spark, sf_dir), "entity", K_FOLDS, SEED)
+
+
+def _doc_sql() -> str:
+    return f"SELECT *, {sql_keyed_bucket(SEED, K_FOLDS, 'entity')} AS fold FROM ({S.doc_features()}) d"
+
+
+@register("h1_kfold_sizes",
+          f"SELECT fold, count(*) AS n FROM ({_doc_sql()}) t GROUP BY fold")
+def q_h1(spark, sf_dir):
+    return doc_frame(spark, sf_dir).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("h1_kfold_exact_sizes", None)
+def q_h1x(spark, sf_dir):
+    df = sp.assign_folds(fx.doc_features(spark, sf_dir), "entity", K_FOLDS, SEED, exact=True)
+    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("h5_repeated_holdout",
+          "SELECT r AS \"repeat\", count(*) FILTER (WHERE u < 0.3) AS n_test, count(*) AS n FROM "
+          "(SELECT r, (CAST('0x' || substr(md5(concat_ws(':', '42', CAST(r AS VARCHAR), CAST(entity AS VARCHAR))), 1, 13) "
+          "AS BIGINT) / 4503599627370496.0) AS u FROM (" + S.doc_features() + ") d, range(5) t(r)) x GROUP BY r")
+def q_h5(spark, sf_dir):
+    rh = sp.repeated_holdout(fx.doc_features(spark, sf_dir).select("entity"), "entity", 5, 0.3, SEED)
+    return rh.groupBy("repeat").agg(F.count(F.when(F.col("is_test"), 1)).alias("n_test"),
+                                    F.count(F.lit(1)).alias("n"))
+
+
+# Cornish-Fisher expansion of the two-sided 5 % t quantile (df = nu), used by the
+# oracle only; the Spark side computes exact p-values.
+_Z = 1.959963984540054
+
+
+def _t_crit_sql(nu: str) -> str:
+    z = _Z
+    g1 = (z ** 3 + z) / 4
+    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
+    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
+    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160
+    return (f"({z!r} + {g1!r} / ({nu}) + {g2!r} / pow({nu}, 2) + {g3!r} / pow({nu}, 3) "
+            f"+ {g4!r} / pow({nu}, 4))")
+
+
+def _replicated_long_sql(feats: list[str], targets: list[str]) -> str:
+    names = ", ".join(f"'{f}'" for f in feats)
+    vals = ", ".join(feats)
+    tn = ", ".join(f"'{t}'" for t in targets)
+    tv = ", ".join(targets)
+    folds = ", ".join(str(i) for i in range(K_FOLDS))
+    return (f"r AS (SELECT *, unnest(list_filter([{folds}], lambda x: x <> fold)) AS train_fold FROM ({_doc_sql()}) d), "
+            f"xl AS (SELECT entity, train_fold, unnest([{names}]) AS feature, unnest([{vals}]) AS value FROM r), "
+            f"yl AS (SELECT entity, train_fold, unnest([{tn}]) AS target, unnest([{tv}]) AS y FROM r), "
+            "xr AS (SELECT entity, train_fold, feature, rank() OVER (PARTITION BY train_fold, feature ORDER BY value) "
+            "+ (count(*) OVER (PARTITION BY train_fold, feature, value) - 1) / 2.0 AS rx FROM xl), "
+            "yr AS (SELECT entity, train_fold, target, rank() OVER (PARTITION BY train_fold, target ORDER BY y) "
+            "+ (count(*) OVER (PARTITION BY train_fold, target, y) - 1) / 2.0 AS ry FROM yl)")
+
+
+def _ranked_out_sql(src: str) -> str:
+    return ("SELECT fold, target, feature, n, " + sql_round6("score") + " AS score, kept, "
+            "CASE WHEN kept THEN CAST(row_number() OVER (PARTITION BY fold, target, kept "
+            "ORDER BY abs(score) DESC NULLS LAST, feature) AS INTEGER) END AS rank FROM " + src)
+
+
+def _spearman_sql() -> str:
+    nu = "(n - 2)"
+    t = _t_crit_sql(nu)
+    return ("WITH " + _replicated_long_sql(fx.DOC_FEATURES, DOC_TARGETS) + ", "
+            "st AS (SELECT x.train_fold AS fold, y.target, x.feature, count(*) AS n, "
+            "CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE corr(rx, ry) END AS score "
+            "FROM xr x JOIN yr y ON x.entity = y.entity AND x.train_fold = y.train_fold GROUP BY ALL), "
+            f"k AS (SELECT fold, target, feature, n, score, coalesce(abs(score) >= 0.2 AND "
+            f"abs(score) >= {t} / sqrt({nu} + pow({t}, 2)), false) AS kept FROM st) "
+            + _ranked_out_sql("k"))
+
+
+def _tidy(df: DataFrame) -> DataFrame:
+    out = sel.selection(df)
+    return out.select("fold", "target", "feature", "n", round6(F.col("score")).alias("score"), "kept", "rank")
+
+
+@register("i2_spearman_selector", _spearman_sql())
+def q_i2(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return _tidy(sel.correlation_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+
+
+def _pearson_sql() -> str:
+    nu = "(n - 2)"
+    t = _t_crit_sql(nu)
+    names = ", ".join(f"'{f}'" for f in fx.DOC_FEATURES)
+    vals = ", ".join(fx.DOC_FEATURES)
+    folds = ", ".join(str(i) for i in range(K_FOLDS))
+    return (f"WITH r AS (SELECT *, unnest(list_filter([{folds}], lambda x: x <> fold)) AS train_fold FROM ({_doc_sql()}) d), "
+            f"xl AS (SELECT entity, train_fold, quality, toxic, unnest([{names}]) AS feature, unnest([{vals}]) AS value FROM r), "
+            "st AS (SELECT train_fold AS fold, t.target, feature, count(*) AS n, "
+            "corr(value, CASE WHEN t.target = 'quality' THEN quality ELSE toxic END) AS score "
+            "FROM xl, (VALUES ('quality'), ('toxic')) t(target) GROUP BY ALL), "
+            f"k AS (SELECT fold, target, feature, n, score, coalesce(abs(score) >= 0.2 AND "
+            f"abs(score) >= {t} / sqrt({nu} + pow({t}, 2)), false) AS kept FROM st) "
+            + _ranked_out_sql("k"))
+
+
+@register("i2_pearson_selector", _pearson_sql())
+def q_i2p(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return _tidy(sel.correlation_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS, method="pearson"))
+
+
+def _class_long_sql() -> str:
+    names = ", ".join(f"'{f}'" for f in fx.DOC_FEATURES)
+    vals = ", ".join(fx.DOC_FEATURES)
+    folds = ", ".join(str(i) for i in range(K_FOLDS))
+    return (f"r AS (SELECT *, unnest(list_filter([{folds}], lambda x: x <> fold)) AS train_fold FROM ({_doc_sql()}) d), "
+            f"xl AS (SELECT entity, train_fold, quality, toxic, unnest([{names}]) AS feature, unnest([{vals}]) AS value FROM r), "
+            "cl AS (SELECT train_fold AS fold, t.target, feature, value, "
+            "CASE WHEN t.target = 'quality' THEN quality ELSE toxic END AS cls "
+            "FROM xl, (VALUES ('quality'), ('toxic')) t(target))")
+
+
+def _chi2_sql() -> str:
+    return ("WITH " + _class_long_sql() + ", "
+            "pc AS (SELECT fold, target, feature, cls, count(*) AS cnt, sum(value) AS s1 FROM cl GROUP BY ALL), "
+            "tt AS (SELECT fold, target, feature, sum(cnt) AS n, sum(s1) AS ftot, count(*) AS ncls FROM pc GROUP BY ALL), "
+            "st AS (SELECT pc.fold, pc.target, pc.feature, tt.n, tt.ncls, "
+            "sum(pow(s1 - ftot * cnt / tt.n, 2) / (ftot * cnt / tt.n)) AS score "
+            "FROM pc JOIN tt USING (fold, target, feature) GROUP BY ALL), "
+            "k AS (SELECT fold, target, feature, n, score, coalesce(ncls = 2 AND score >= 3.841458820694124, false) AS kept FROM st) "
+            + _ranked_out_sql("k"))
+
+
+@register("i3_chi2_selector", _chi2_sql())
+def q_i3(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return _tidy(sel.chi2_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+
+
+def _fvalue_sql() -> str:
+    nu = "(n - 2)"
+    t = _t_crit_sql(nu)
+    return ("WITH " + _class_long_sql() + ", "
+            "pc AS (SELECT fold, target, feature, cls, count(*) AS cnt, sum(value) AS s1, sum(value * value) AS s2 "
+            "FROM cl GROUP BY ALL), "
+            "st0 AS (SELECT fold, target, feature, sum(cnt) AS n, count(*) AS ncls, sum(s1) AS t1, sum(s2) AS t2, "
+            "sum(s1 * s1 / cnt) AS b FROM pc GROUP BY ALL), "
+            "st AS (SELECT fold, target, feature, n, ncls, ((b - t1 * t1 / n) / (ncls - 1)) / "
+            "(((t2 - t1 * t1 / n) - (b - t1 * t1 / n)) / (n - ncls)) AS score FROM st0), "
+            "md AS (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY fold, target) AS med FROM st), "
+            f"k AS (SELECT fold, target, feature, n, score, coalesce(ncls = 2 AND score >= pow({t}, 2) "
+            "AND abs(score) >= med, false) AS kept FROM md) " + _ranked_out_sql("k"))
+
+
+@register("i5_f_value_selector", _fvalue_sql())
+def q_i5(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return _tidy(sel.f_value_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+
+
+def _mi_sql(n_bins: int = 10) -> str:
+    names = ", ".join(f"'{f}'" for f in fx.DOC_FEATURES)
+    rng = ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in fx.DOC_FEATURES)
+    binexprs = ", ".join(
+        f"CASE WHEN hi_{f} <= lo_{f} THEN 0 ELSE CAST(least(floor(({f} - lo_{f}) / ((hi_{f} - lo_{f}) / {n_bins})), "
+        f"{n_bins - 1}) AS INTEGER) END" for f in fx.DOC_FEATURES)
+    folds = ", ".join(str(i) for i in range(K_FOLDS))
+    return (f"WITH d AS ({_doc_sql()}), g AS (SELECT {rng} FROM d), "
+            f"b AS (SELECT entity, fold, quality, toxic, unnest([{names}]) AS feature, unnest([{binexprs}]) AS bin FROM d, g), "
+            f"r AS (SELECT *, unnest(list_filter([{folds}], lambda x: x <> fold)) AS train_fold FROM b), "
+            "cl AS (SELECT train_fold AS fold, t.target, feature, bin, "
+            "CASE WHEN t.target = 'quality' THEN quality ELSE toxic END AS cls "
+            "FROM r, (VALUES ('quality'), ('toxic')) t(target)), "
+            "j AS (SELECT fold, target, feature, bin, cls, count(*) AS c FROM cl GROUP BY ALL), "
+            "jj AS (SELECT *, sum(c) OVER (PARTITION BY fold, target, feature) AS n, "
+            "sum(c) OVER (PARTITION BY fold, target, feature, bin) AS cx, "
+            "sum(c) OVER (PARTITION BY fold, target, feature, cls) AS cy FROM j), "
+            "st AS (SELECT fold, target, feature, max(n) AS n, sum((c / n) * ln(c * n / (cx * cy))) AS score "
+            "FROM jj GROUP BY ALL), "
+            "md AS (SELECT *, quantile_cont(score, 0.9) OVER (PARTITION BY fold, target) AS thr FROM st), "
+            "k AS (SELECT fold, target, feature, n, score, coalesce(score >= thr, false) AS kept FROM md) "
+            + _ranked_out_sql("k"))
+
+
+@register("i4_mutual_info_selector", _mi_sql())
+def q_i4(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return _tidy(sel.mutual_info_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+
+
+@register("i1_base_selector",
+          "SELECT fold, target, feature, n, 0.0 AS score, true AS kept, "
+          "CAST(row_number() OVER (PARTITION BY fold, target ORDER BY feature) AS INTEGER) AS rank FROM "
+          f"(SELECT f.fold, f.n_all - coalesce(c.nf, 0) AS n FROM (SELECT unnest(range({K_FOLDS})) AS fold, "
+          f"(SELECT count(*) FROM ({S.doc_features()}) d0) AS n_all) f LEFT JOIN "
+          f"(SELECT fold, count(*) AS nf FROM ({_doc_sql()}) d GROUP BY fold) c ON f.fold = c.fold) a, "
+          "(VALUES ('quality'), ('toxic')) t(target), (SELECT unnest(["
+          + ", ".join(f"'{f}'" for f in fx.DOC_FEATURES) + "]) AS feature) ff")
+def q_i1(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    out = sel.selection(sel.base_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+    return out.select("fold", "target", "feature", "n", "score", "kept", "rank")
+
+
+@register("i12_empty_selections",
+          "WITH s AS (" + _spearman_sql() + ") SELECT fold, target FROM s GROUP BY fold, target "
+          "HAVING count(*) FILTER (WHERE kept) = 0")
+def q_i12(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return sel.empty_selections(sel.correlation_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["e2_abs_perf_classes"][0](spark, sf_dir)
+    """documents x labels -> text features -> spearman selection per fold and target."""
+    return q_i2(spark, sf_dir)
