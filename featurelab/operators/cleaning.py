@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.functions.wide import fused_agg, q
+from featurelab.session import cut_lineage
 
 
 def _features(df: DataFrame, keys: list[str]) -> list[str]:
@@ -203,8 +204,16 @@ def entities_with_all_variants(df: DataFrame, variants: list[str] | None, entity
 def clean_features(df: DataFrame, key: str, funcs_to_exclude=None, entities_to_exclude=None,
                    keys_to_exclude=None, nan_threshold: float = 0.5, value_threshold: float = 10e6,
                    fill_func: str = "median") -> DataFrame:
-    """D1..D9 in the reference's order."""
+    """D1..D9 in the reference's order.
+
+    The steps take their drop decisions from several aggregate passes over the
+    same entity-level table, so its lineage is cut once with a reliable
+    checkpoint (shared ``spark.checkpoint.dir``): later passes read that copy
+    instead of recomputing the upstream joins, and a lost executor costs a
+    re-read, not a recomputation of the whole chain.
+    """
     keys = [key]
+    df = cut_lineage(df)
     df = remove_by_func(df, funcs_to_exclude, keys)
     df = remove_entities(df, key, entities_to_exclude)
     df = remove_by_key(df, keys_to_exclude, keys)

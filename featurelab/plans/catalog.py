@@ -18,6 +18,7 @@ from featurelab.operators import formatting as fm
 from featurelab.operators import targets as tg
 from featurelab.plans import fixtures as fx
 from featurelab.plans import sql as S
+from featurelab.session import cut_lineage
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -203,6 +204,11 @@ def _formatted(spark, sf_dir):
     return fm.filter_families(df, ["customer"], keys=["entity"])
 
 
+def _formatted_cut(spark, sf_dir):
+    """The formatted entity table, materialised once for the multi-pass cleaning steps."""
+    return cut_lineage(_formatted(spark, sf_dir))
+
+
 def _formatted_sql() -> str:
     cols = []
     for c in _formatted_cols():
@@ -234,7 +240,7 @@ def _after_d3_cols() -> list[str]:
 
 
 def _after_d3(spark, sf_dir):
-    df = cl.remove_by_func(_formatted(spark, sf_dir), _FUNCS, ["entity"])
+    df = cl.remove_by_func(_formatted_cut(spark, sf_dir), _FUNCS, ["entity"])
     return cl.remove_by_key(df, _KEYS, ["entity"])
 
 

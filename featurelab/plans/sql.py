@@ -22,25 +22,25 @@ def metrics_long(entity: str = "l_suppkey") -> str:
 RAW_FEATURE_SQL = {
     "f__gen.general.nr_inst": "CAST(count(*) AS DOUBLE)",
     "f__gen.general.nr_cust": "CAST(count(DISTINCT o_custkey) AS DOUBLE)",
-    "f__gen.line.quantity.mean": "(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(l_quantity) AS DOUBLE))",
-    "f__gen.line.quantity.sum": "CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)",
+    "f__gen.line.quantity.mean": "((CAST(sum(CAST(round((l_quantity) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(l_quantity) AS DOUBLE))",
+    "f__gen.line.quantity.sum": "(CAST(sum(CAST(round((l_quantity) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0)",
     "f__gen.line.quantity.sd": "stddev_pop(l_quantity)",
-    "f__gen.line.price.mean": "(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(l_extendedprice) AS DOUBLE))",
-    "f__gen.line.price.sum": "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)",
+    "f__gen.line.price.mean": "((CAST(sum(CAST(round((l_extendedprice) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(l_extendedprice) AS DOUBLE))",
+    "f__gen.line.price.sum": "(CAST(sum(CAST(round((l_extendedprice) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0)",
     "f__gen.line.peak.max": "max(l_extendedprice * l_quantity) / 4.8",
-    "f__gen.line.discount.mean": "(CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(l_discount) AS DOUBLE))",
-    "f__gen.line.tax.mean": "(CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(l_tax) AS DOUBLE))",
-    "f__gen.line.return.share": "(CAST(sum(CAST(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE))",
-    "f__gen.line.return.share.relative": "(CAST(sum(CAST(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE)) * 2.0",
-    "f__gen.order.total.mean": "(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(o_totalprice) AS DOUBLE))",
-    "f__gen.order.urgent.share": "(CAST(sum(CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE))",
-    "f__gen.customer.balance.mean": "(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(c_acctbal) AS DOUBLE))",
-    "f__gen.customer.building.share": "(CAST(sum(CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE))",
+    "f__gen.line.discount.mean": "((CAST(sum(CAST(round((l_discount) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(l_discount) AS DOUBLE))",
+    "f__gen.line.tax.mean": "((CAST(sum(CAST(round((l_tax) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(l_tax) AS DOUBLE))",
+    "f__gen.line.return.share": "((CAST(sum(CAST(round((CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE))",
+    "f__gen.line.return.share.relative": "((CAST(sum(CAST(round((CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE)) * 2.0",
+    "f__gen.order.total.mean": "((CAST(sum(CAST(round((o_totalprice) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(o_totalprice) AS DOUBLE))",
+    "f__gen.order.urgent.share": "((CAST(sum(CAST(round((CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE))",
+    "f__gen.customer.balance.mean": "((CAST(sum(CAST(round((c_acctbal) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(c_acctbal) AS DOUBLE))",
+    "f__gen.customer.building.share": "((CAST(sum(CAST(round((CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE))",
     "f__gen.const.flag.value": "max(1.0::DOUBLE)",
-    "f__gen.dup.quantity.mean": "(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(l_quantity) AS DOUBLE))",
-    "f__gen.sparse.bulk.mean": "(CAST(sum(CAST(CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN l_quantity END AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN l_quantity END) AS DOUBLE))",
-    "f__gen.partial.bulk.mean": "(CAST(sum(CAST(CASE WHEN l_quantity >= 49 THEN l_quantity END AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CASE WHEN l_quantity >= 49 THEN l_quantity END) AS DOUBLE))",
-    "f__gen.debug.line.mean": "(CAST(sum(CAST(CAST(l_linenumber AS DOUBLE) AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(CAST(l_linenumber AS DOUBLE)) AS DOUBLE))",
+    "f__gen.dup.quantity.mean": "((CAST(sum(CAST(round((l_quantity) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(l_quantity) AS DOUBLE))",
+    "f__gen.sparse.bulk.mean": "((CAST(sum(CAST(round((CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN l_quantity END) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN l_quantity END) AS DOUBLE))",
+    "f__gen.partial.bulk.mean": "((CAST(sum(CAST(round((CASE WHEN l_quantity >= 49 THEN l_quantity END) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CASE WHEN l_quantity >= 49 THEN l_quantity END) AS DOUBLE))",
+    "f__gen.debug.line.mean": "((CAST(sum(CAST(round((CAST(l_linenumber AS DOUBLE)) * 100.0) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(CAST(l_linenumber AS DOUBLE)) AS DOUBLE))",
     "misc_tax_max": "max(l_tax)",
 }
 assert list(RAW_FEATURE_SQL) == fx.RAW_FEATURES
