@@ -332,9 +332,13 @@ def q_d9(spark, sf_dir):
     return _long_out(df.drop(*cl.duplicate_columns(df, "entity", feats)))
 
 
+def _clean_ctes() -> str:
+    return (f"l0 AS ({_d3_long_sql()}), {_D4_KEEP.format(src='l0')}, {_D5.format(src='d4', t=_T)}, "
+            f"{_D6.format(src='d5')}, {_D7.format(src='d6')}, {_d8_sql('d7')}, {_D9.format(src='d8')}")
+
+
 @register("d_clean_features",
-          f"WITH l0 AS ({_d3_long_sql()}), {_D4_KEEP.format(src='l0')}, {_D5.format(src='d4', t=_T)}, "
-          f"{_D6.format(src='d5')}, {_D7.format(src='d6')}, {_d8_sql('d7')}, {_D9.format(src='d8')} "
+          f"WITH {_clean_ctes()} "
           "SELECT entity, feature, " + sql_round6("value") + " AS value FROM d9")
 def q_clean(spark, sf_dir):
     df = _formatted(spark, sf_dir)
@@ -573,3 +577,126 @@ def q_i12(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels -> text features -> spearman selection per fold and target."""
     return q_i2(spark, sf_dir)
+
+
+# ------------------------------------------------------- F (scaling etc.) ---
+from featurelab.operators import collinear as co  # noqa: E402
+from featurelab.operators import scaling as sc  # noqa: E402
+
+
+def cleaned(spark, sf_dir) -> DataFrame:
+    return cut_lineage(clean_features_frame(spark, sf_dir))
+
+
+def sql_percentile(x: str, p: float) -> str:
+    """Spark's percentile: (hi - pos) * v[lo] + (pos - lo) * v[hi] over the sorted non-null values."""
+    lst = f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL))"
+    pos = f"((count({x}) - 1) * {p})"
+    return (f"CASE WHEN floor({pos}) = ceil({pos}) THEN ({lst})[CAST(floor({pos}) AS BIGINT) + 1] ELSE "
+            f"(ceil({pos}) - {pos}) * ({lst})[CAST(floor({pos}) AS BIGINT) + 1] + "
+            f"({pos} - floor({pos})) * ({lst})[CAST(ceil({pos}) AS BIGINT) + 1] END")
+
+
+def _out_long(src: str) -> str:
+    return "SELECT entity, feature, " + sql_round6("value") + f" AS value FROM {src}"
+
+
+_STD = ("sst AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM {src} GROUP BY feature), "
+        "{name} AS (SELECT x.entity, x.feature, (x.value - sst.m) / CASE WHEN sst.s = 0 THEN 1.0 ELSE sst.s END "
+        "AS value, x.pos FROM {src} x JOIN sst ON x.feature = sst.feature)")
+
+
+@register("f3_standard_scale", f"WITH {_clean_ctes()}, {_STD.format(src='d9', name='f3')} " + _out_long("f3"))
+def q_f3(spark, sf_dir):
+    return _long_out(sc.standard_scale(cleaned(spark, sf_dir), ["entity"]))
+
+
+@register("f4_minmax_scale",
+          f"WITH {_clean_ctes()}, mm AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM d9 GROUP BY feature), "
+          "f4 AS (SELECT x.entity, x.feature, (x.value - mm.lo) / CASE WHEN mm.hi = mm.lo THEN 1.0 ELSE mm.hi - mm.lo END "
+          "AS value FROM d9 x JOIN mm ON x.feature = mm.feature) " + _out_long("f4"))
+def q_f4(spark, sf_dir):
+    return _long_out(sc.minmax_scale(cleaned(spark, sf_dir), ["entity"]))
+
+
+@register("f2_winsorise",
+          f"WITH {_clean_ctes()}, qq AS (SELECT feature, {sql_percentile('value', 0.25)} AS q1, "
+          f"{sql_percentile('value', 0.75)} AS q3 FROM d9 GROUP BY feature), "
+          "f2 AS (SELECT x.entity, x.feature, CASE WHEN x.value IS NULL THEN NULL ELSE "
+          "greatest(least(x.value, q3 + (q3 - q1)), q1 - (q3 - q1)) END AS value FROM d9 x JOIN qq ON x.feature = qq.feature) "
+          + _out_long("f2"))
+def q_f2(spark, sf_dir):
+    return _long_out(sc.winsorise(cleaned(spark, sf_dir), ["entity"]))
+
+
+def _power_sql() -> str:
+    grid = ", ".join(repr(float(g)) for g in sc.LAMBDA_GRID)
+    yj = ("CASE WHEN value >= 0 THEN (CASE WHEN abs(lam) < 1e-12 THEN ln(1 + value) ELSE (pow(value + 1.0, lam) - 1.0) / lam END) "
+          "ELSE (CASE WHEN abs(lam - 2.0) < 1e-12 THEN -ln(1 - value) ELSE -(pow(1.0 - value, 2.0 - lam) - 1.0) / (2.0 - lam) END) END")
+    return (f"WITH {_clean_ctes()}, "
+            f"{_STD.format(src='d9', name='f3')}, "
+            f"g AS (SELECT x.feature, x.value, t.lam FROM f3 x, (SELECT unnest([{grid}]) AS lam) t WHERE x.value IS NOT NULL), "
+            f"ll AS (SELECT feature, lam, (-count(*) / 2.0) * ln(var_pop({yj})) + (lam - 1.0) * sum(sign(value) * ln(1 + abs(value))) AS ll "
+            "FROM g GROUP BY feature, lam), "
+            "best AS (SELECT feature, arg_max(lam, ll) AS lam FROM ll GROUP BY feature), "
+            f"t5 AS (SELECT x.entity, x.feature, x.pos, (SELECT {yj.replace('lam', 'b.lam').replace('value', 'x.value')} ) AS value "
+            "FROM f3 x JOIN best b ON x.feature = b.feature), "
+            f"{_STD.format(src='t5', name='f5').replace('sst', 'sst5')} " + _out_long("f5"))
+
+
+@register("f5_power_transform", _power_sql())
+def q_f5(spark, sf_dir):
+    """standard then power (the scale chain orders ["standard", "power"]): the likelihood
+    grid is well conditioned on unit-scale columns."""
+    std = sc.standard_scale(cleaned(spark, sf_dir), ["entity"])
+    return _long_out(sc.power_transform(std, ["entity"]))
+
+
+@register("f6_quantile_transform", None)
+def q_f6(spark, sf_dir):
+    return _long_out(sc.quantile_transform(cleaned(spark, sf_dir), ["entity"], 100))
+
+
+@register("f7_scale_chain",
+          f"WITH {_clean_ctes()}, {_STD.format(src='d9', name='f3')}, "
+          + _D7.format(src='f3').replace("st7", "st7b").replace("d7 AS", "f7 AS") + " " + _out_long("f7"))
+def q_f7(spark, sf_dir):
+    df, _suffix = sc.scale_chain(cleaned(spark, sf_dir), ["entity"], ["standard"])
+    return _long_out(df)
+
+
+@register("f1_align_targets",
+          f"WITH {_clean_ctes()}, t AS ({_abs_sql()}) "
+          "SELECT count(DISTINCT entity) AS n_entities FROM d9 WHERE entity IN (SELECT entity FROM t)")
+def q_f1(spark, sf_dir):
+    feats, targets = sc.align(cleaned(spark, sf_dir), q_e2(spark, sf_dir), "entity")
+    return feats.select(F.count(F.lit(1)).alias("n_entities"))
+
+
+def _rank_corr_sql(src: str) -> str:
+    return (f"rk AS (SELECT entity, feature, rank() OVER (PARTITION BY feature ORDER BY value) + "
+            f"(count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS value FROM {src}), "
+            "cp AS (SELECT a.feature AS a, b.feature AS b, corr(a.value, b.value) AS r FROM rk a JOIN rk b "
+            "ON a.entity = b.entity AND a.feature < b.feature GROUP BY a.feature, b.feature)")
+
+
+@register("f9_spearman_matrix",
+          f"WITH {_clean_ctes()}, {_rank_corr_sql('d9')} SELECT a, b, " + sql_round6("r") + " AS r FROM cp")
+def q_f9(spark, sf_dir):
+    df = cleaned(spark, sf_dir)
+    feats = [c for c in df.columns if c != "entity"]
+    out = co.correlation_pairs(spark, df, feats, "spearman")
+    return out.select("a", "b", round6(F.col("r")).alias("r"))
+
+
+@register("f10_drop_collinear",
+          f"WITH {_clean_ctes()}, {_rank_corr_sql('d9')}, "
+          "dr AS (SELECT DISTINCT a AS feature FROM cp WHERE abs(r) >= 0.9) "
+          "SELECT entity, feature, " + sql_round6("value") + " AS value FROM d9 WHERE feature NOT IN (SELECT feature FROM dr)")
+def q_f10(spark, sf_dir):
+    return _long_out(co.drop_collinear(cleaned(spark, sf_dir), ["entity"], "spearman", 0.9))
+
+
+@register("f11_vif_elimination", None)
+def q_f11(spark, sf_dir):
+    return co.vif_frame(spark, cleaned(spark, sf_dir), ["entity"], value_threshold=10.0)
