@@ -700,3 +700,93 @@ def q_f10(spark, sf_dir):
 @register("f11_vif_elimination", None)
 def q_f11(spark, sf_dir):
     return co.vif_frame(spark, cleaned(spark, sf_dir), ["entity"], value_threshold=10.0)
+
+
+# ------------------------------------------------------------ G crafting ----
+from featurelab.operators import crafting as cr  # noqa: E402
+
+
+def _sql_u(tag_parts: list[str]) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(tag_parts)})), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _sql_normal(name: str) -> str:
+    u1 = _sql_u(["'42'", "'u1'", "CAST(entity AS VARCHAR)", f"'{name}'"])
+    u2 = _sql_u(["'42'", "'u2'", "CAST(entity AS VARCHAR)", f"'{name}'"])
+    return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2}))"
+
+
+def _g_long(df: DataFrame, prefix: tuple[str, ...]) -> DataFrame:
+    crafted = [c for c in df.columns if c.startswith(prefix)]
+    return to_long(df, ["entity"], crafted).select("entity", "feature", round6(F.col("value")).alias("value"))
+
+
+def q_g(spark, sf_dir):
+    base = cleaned(spark, sf_dir)
+    scaled = sc.standard_scale(base, ["entity"])
+    out, _suffix = cr.craft(scaled, base, "entity", random_percent=0.25, corrupted_percent=0.25,
+                            second_order_percent=0.25)
+    return _g_long(out, ("noise___", "corrupted___", "so___"))
+
+
+QUERIES["g4_craft_uninformative"] = (q_g, None)
+
+
+@register("g1_noise_normal",
+          "SELECT entity, feature, " + sql_round6("value") + " AS value FROM (SELECT entity, "
+          "unnest(['noise___normal_0', 'noise___normal_1', 'noise___normal_2']) AS feature, unnest(["
+          + ", ".join(_sql_normal(f"noise___normal_{i}") for i in range(3)) + "]) AS value FROM ("
+          + S.doc_features() + ") d) x")
+def q_g1(spark, sf_dir):
+    df = cr.add_noise(fx.doc_features(spark, sf_dir).select("entity"), "entity", 3, "normal", 42)
+    return _g_long(df, ("noise___",))
+
+
+@register("g1_noise_uniform",
+          "SELECT entity, feature, " + sql_round6("value") + " AS value FROM (SELECT entity, "
+          "unnest(['noise___uniform_0', 'noise___uniform_1']) AS feature, unnest(["
+          + ", ".join(_sql_u(["'42'", "CAST(entity AS VARCHAR)", f"'noise___uniform_{i}'"]) for i in range(2))
+          + "]) AS value FROM (" + S.doc_features() + ") d) x")
+def q_g1u(spark, sf_dir):
+    df = cr.add_noise(fx.doc_features(spark, sf_dir).select("entity"), "entity", 2, "uniform", 42)
+    return _g_long(df, ("noise___",))
+
+
+def _g23_sql() -> str:
+    feats = fx.DOC_FEATURES
+    corrupt = cr.pick_names(feats, 2, 42, "corrupt")
+    pairs = cr.pick_pairs(feats, 2, 42)
+    names = [f"corrupted___{n}" for n in corrupt] + [f"so___{a}_{b}" for a, b in pairs]
+    vals = [f"(0.5 * {n} + 0.5 * {_sql_normal('corrupted___' + n)})" for n in corrupt] + \
+           [f"({a} * {b})" for a, b in pairs]
+    return ("SELECT entity, feature, " + sql_round6("value") + " AS value FROM (SELECT entity, unnest(["
+            + ", ".join(f"'{n}'" for n in names) + "]) AS feature, unnest([" + ", ".join(vals) + "]) AS value FROM ("
+            + S.doc_features() + ") d) x")
+
+
+@register("g2_g3_corrupted_and_products", _g23_sql())
+def q_g23(spark, sf_dir):
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
+    out = cr.add_corrupted(d, d, "entity", cr.pick_names(fx.DOC_FEATURES, 2, 42, "corrupt"), 0.5, 42)
+    out = cr.add_second_order(out, cr.pick_pairs(fx.DOC_FEATURES, 2, 42))
+    return _g_long(out, ("corrupted___", "so___"))
+
+
+@register("g5_shift_random", None)
+def q_g5(spark, sf_dir):
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
+    return _g_long(cr.shift_variants(d, "entity", "random", 100), ("U ",))
+
+
+@register("h3_slices", None)
+def q_h3(spark, sf_dir):
+    feats = [c for c in cleaned(spark, sf_dir).columns if c != "entity"]
+    return sp.slice_features(spark, feats, [3, 6], n_iter=3)
+
+
+@register("h4_sample_uninformative", None)
+def q_h4(spark, sf_dir):
+    base = cleaned(spark, sf_dir)
+    out, _ = cr.craft(sc.standard_scale(base, ["entity"]), base, "entity", random_percent=0.5)
+    feats = [c for c in out.columns if c != "entity"]
+    return sp.sample_uninformative(spark, feats, [0.1, 0.5, 1.0], n_iter=2)
