@@ -790,3 +790,172 @@ def q_h4(spark, sf_dir):
     out, _ = cr.craft(sc.standard_scale(base, ["entity"]), base, "entity", random_percent=0.5)
     feats = [c for c in out.columns if c != "entity"]
     return sp.sample_uninformative(spark, feats, [0.1, 0.5, 1.0], n_iter=2)
+
+
+# ------------------------------------------------- J9, J10, L (analytics) ---
+from featurelab.operators import reporting as rp  # noqa: E402
+
+_METHODS = [("spearman", "i2_spearman_selector"), ("pearson", "i2_pearson_selector"),
+            ("chi2", "i3_chi2_selector"), ("f_value", "i5_f_value_selector"),
+            ("mutual_info", "i4_mutual_info_selector")]
+
+
+def experiment_frame(spark, sf_dir) -> DataFrame:
+    """Union of the selector results: (method, fold, target, feature, score, kept)."""
+    out = None
+    for m, qn in _METHODS:
+        df = QUERIES[qn][0](spark, sf_dir).select(F.lit(m).alias("method"), "fold", "target", "feature",
+                                                  "score", "kept")
+        out = df if out is None else out.unionByName(df)
+    return cut_lineage(out)
+
+
+def _exp_sql() -> str:
+    parts = [f"SELECT '{m}' AS method, fold, target, feature, score, kept FROM ({QUERIES[qn][1]}) s_{m}"
+             for m, qn in _METHODS]
+    return " UNION ALL ".join(parts)
+
+
+def run_results(spark, sf_dir) -> DataFrame:
+    e = experiment_frame(spark, sf_dir)
+    return e.groupBy("method", "fold", "target").agg(
+        F.count(F.when(F.col("kept"), 1)).alias("n_kept"),
+        F.avg(F.when(F.col("kept"), F.abs("score"))).alias("mean_abs"))
+
+
+def _runs_sql() -> str:
+    return (f"runs AS (SELECT method, fold, target, count(*) FILTER (WHERE kept) AS n_kept, "
+            f"avg(CASE WHEN kept THEN abs(score) END) AS mean_abs FROM ({_exp_sql()}) e GROUP BY ALL)")
+
+
+@register("l2_importance_fraction",
+          f"WITH e AS ({_exp_sql()}), r AS (SELECT *, row_number() OVER (PARTITION BY method, fold, target "
+          "ORDER BY abs(score) DESC NULLS LAST, feature) AS rk FROM e) "
+          "SELECT method, fold, target, " + sql_round6("fr") + " AS fraction FROM (SELECT method, fold, target, "
+          "sum(CASE WHEN rk <= 5 THEN abs(score) ELSE 0.0 END) / sum(abs(score)) AS fr FROM r GROUP BY ALL) x")
+def q_l2(spark, sf_dir):
+    imp = experiment_frame(spark, sf_dir).withColumn("importance", F.abs("score"))
+    out = rp.importance_fraction(imp, ["method", "fold", "target"], 5)
+    return out.select("method", "fold", "target", round6(F.col("fraction")).alias("fraction"))
+
+
+@register("l4_top_methods",
+          f"WITH {_runs_sql()}, m AS (SELECT target, method, avg(n_kept) AS mean_score FROM runs GROUP BY ALL) "
+          "SELECT target, method, " + sql_round6("mean_score") + " AS mean_score, place FROM (SELECT *, "
+          "CAST(row_number() OVER (PARTITION BY target ORDER BY mean_score DESC, method) AS INTEGER) AS place FROM m) x "
+          "WHERE place <= 3")
+def q_l4(spark, sf_dir):
+    out = rp.top_methods(run_results(spark, sf_dir), ["target"], "method", "n_kept", 3)
+    return out.select("target", "method", round6(F.col("mean_score")).alias("mean_score"), "place")
+
+
+@register("l5_top3_share",
+          f"WITH {_runs_sql()}, t AS (SELECT *, row_number() OVER (PARTITION BY fold, target ORDER BY n_kept DESC, method) AS pl "
+          "FROM runs) SELECT method, " + sql_round6("100.0 * count(*) / (SELECT count(*) FROM (SELECT DISTINCT fold, target FROM runs) c)")
+          + " AS share FROM t WHERE pl <= 3 GROUP BY method")
+def q_l5(spark, sf_dir):
+    out = rp.top3_share(run_results(spark, sf_dir), ["fold", "target"], "method", "n_kept")
+    return out.select("method", round6(F.col("share")).alias("share"))
+
+
+@register("l6_centroids",
+          f"WITH {_runs_sql()} SELECT method, " + sql_round6("avg(n_kept)") + " AS mean_n_kept, "
+          + sql_round6("avg(mean_abs)") + " AS mean_mean_abs FROM runs GROUP BY method")
+def q_l6(spark, sf_dir):
+    out = rp.centroids(run_results(spark, sf_dir), "method", ["n_kept", "mean_abs"])
+    return out.select("method", round6(F.col("mean_n_kept")).alias("mean_n_kept"),
+                      round6(F.col("mean_mean_abs")).alias("mean_mean_abs"))
+
+
+# Fixed display names and classes of the selection methods (report labels).
+_LABELS = {"spearman": "Correlation", "pearson": "Correlation (linear)", "chi2": "Chi-square",
+           "f_value": "F value", "mutual_info": "Mutual information"}
+_MODEL_FREE = ["spearman", "pearson", "chi2", "f_value", "mutual_info"]
+
+
+@register("l7_labels",
+          f"WITH {_runs_sql()}, lab AS (SELECT DISTINCT method, method || ' (' || target || ')__fold' || CAST(fold AS VARCHAR) "
+          "AS label FROM runs), b AS (SELECT label, trim(split_part(split_part(label, '__', 1), '(', 1)) AS base FROM lab) "
+          "SELECT label, CASE base " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LABELS.items())
+          + " ELSE base END AS name, CASE WHEN base IN (" + ", ".join(f"'{m}'" for m in _MODEL_FREE)
+          + ") THEN 'model-free' ELSE 'model-based' END AS kind FROM b")
+def q_l7(spark, sf_dir):
+    runs = run_results(spark, sf_dir)
+    lab = runs.select(F.concat("method", F.lit(" ("), "target", F.lit(")__fold"), F.col("fold").cast("string"))
+                      .alias("label")).distinct()
+    base = F.trim(F.substring_index(F.substring_index("label", "__", 1), "(", 1))
+    return lab.select("label", rp.clean_label(F.col("label"), "__", _LABELS).alias("name"),
+                      F.when(base.isin(_MODEL_FREE), "model-free").otherwise("model-based").alias("kind"))
+
+
+@register("l8_jaccard_stability",
+          f"WITH e AS ({_exp_sql()}), s AS (SELECT method, target, fold, feature FROM e WHERE kept), "
+          "sz AS (SELECT method, target, fold, count(*) AS n FROM s GROUP BY ALL), "
+          "pr AS (SELECT a.method, a.target, a.fold AS fa, b.fold AS fb, a.n AS na, b.n AS nb FROM sz a JOIN sz b "
+          "ON a.method = b.method AND a.target = b.target AND a.fold < b.fold), "
+          "it AS (SELECT x.method, x.target, x.fold AS fa, y.fold AS fb, count(*) AS i FROM s x JOIN s y "
+          "ON x.method = y.method AND x.target = y.target AND x.feature = y.feature AND x.fold < y.fold GROUP BY ALL) "
+          "SELECT pr.method, pr.target, " + sql_round6("avg(CASE WHEN na + nb - coalesce(i, 0) > 0 THEN "
+          "coalesce(i, 0) / (na + nb - coalesce(i, 0)) ELSE 0.0 END)") + " AS jaccard FROM pr LEFT JOIN it "
+          "ON pr.method = it.method AND pr.target = it.target AND pr.fa = it.fa AND pr.fb = it.fb GROUP BY pr.method, pr.target")
+def q_l8(spark, sf_dir):
+    s = experiment_frame(spark, sf_dir).where("kept").select("method", "target", "fold", "feature")
+    out = rp.jaccard_stability(s, "fold", ["method", "target"])
+    return out.select("method", "target", round6(F.col("jaccard")).alias("jaccard"))
+
+
+@register("l9_summaries",
+          f"WITH {_runs_sql()} SELECT target, method, " + sql_round6("avg(n_kept)") + " AS mean, "
+          + sql_round6("stddev_samp(n_kept)") + " AS sd, count(n_kept) AS n FROM runs GROUP BY ALL")
+def q_l9(spark, sf_dir):
+    out = rp.summaries(run_results(spark, sf_dir), ["target", "method"], "n_kept")
+    return out.select("target", "method", round6(F.col("mean")).alias("mean"), round6(F.col("sd")).alias("sd"), "n")
+
+
+def prediction_table(spark, sf_dir) -> DataFrame:
+    """A rule 'classifier' per target on the document features: p = one feature, pred = p >= 0.01."""
+    d = doc_frame(spark, sf_dir)
+    rows = d.select("entity", "fold", F.explode(F.array(
+        F.struct(F.lit("quality").alias("target"), F.col("quality").alias("y"), F.col("f_dot").alias("p")),
+        F.struct(F.lit("toxic").alias("target"), F.col("toxic").alias("y"), F.col("f_upper").alias("p")))).alias("s"))
+    return rows.select("entity", "fold", "s.target", "s.y", "s.p",
+                       F.when(F.col("s.p") >= 0.01, 1.0).otherwise(0.0).alias("pred"))
+
+
+def _pred_sql() -> str:
+    return (f"pt AS (SELECT entity, fold, t.target, CASE WHEN t.target = 'quality' THEN quality ELSE toxic END AS y, "
+            f"CASE WHEN t.target = 'quality' THEN f_dot ELSE f_upper END AS p FROM ({_doc_sql()}) d, "
+            "(VALUES ('quality'), ('toxic')) t(target)), "
+            "pr AS (SELECT *, CASE WHEN p >= 0.01 THEN 1.0 ELSE 0.0 END AS pred FROM pt), "
+            "ba AS (SELECT fold, target, avg(rec) AS b_acc FROM (SELECT fold, target, y, "
+            "avg(CASE WHEN pred = y THEN 1.0 ELSE 0.0 END) AS rec FROM pr GROUP BY ALL) r GROUP BY ALL), "
+            "cls AS (SELECT DISTINCT fold, target, y AS cls FROM pr UNION SELECT DISTINCT fold, target, pred FROM pr), "
+            "pc AS (SELECT c.fold, c.target, c.cls, sum(CASE WHEN y = c.cls AND pred = c.cls THEN 1 ELSE 0 END) AS tp, "
+            "sum(CASE WHEN y = c.cls THEN 1 ELSE 0 END) AS sup, sum(CASE WHEN pred = c.cls THEN 1 ELSE 0 END) AS npred "
+            "FROM pr JOIN cls c ON pr.fold = c.fold AND pr.target = c.target GROUP BY ALL), "
+            "f1 AS (SELECT fold, target, sum(CASE WHEN sup + npred > 0 THEN 2.0 * tp / (sup + npred) ELSE 0.0 END * sup) "
+            "/ sum(sup) AS f1 FROM pc GROUP BY ALL), "
+            "rk AS (SELECT *, rank() OVER (PARTITION BY fold, target ORDER BY p) + "
+            "(count(*) OVER (PARTITION BY fold, target, p) - 1) / 2.0 AS r FROM pr), "
+            "auc AS (SELECT fold, target, (sum(CASE WHEN y = 1 THEN r ELSE 0.0 END) - "
+            "sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) * (sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) + 1) / 2.0) / "
+            "(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) * sum(CASE WHEN y <> 1 THEN 1 ELSE 0 END)) AS roc FROM rk GROUP BY ALL), "
+            "sc AS (SELECT ba.fold, ba.target, b_acc, f1, roc FROM ba JOIN f1 USING (fold, target) JOIN auc USING (fold, target))")
+
+
+@register("j9_scores",
+          f"WITH {_pred_sql()} SELECT fold, target, " + ", ".join(f"{sql_round6(m)} AS {m}" for m in ("b_acc", "f1", "roc"))
+          + " FROM sc")
+def q_j9(spark, sf_dir):
+    out = rp.score_table(prediction_table(spark, sf_dir), ["fold", "target"])
+    return out.select("fold", "target", *[round6(F.col(m)).alias(m) for m in ("b_acc", "f1", "roc")])
+
+
+@register("j10_fold_summary",
+          f"WITH {_pred_sql()} SELECT target, "
+          + ", ".join(f"{sql_round6(f'avg({m})')} AS test_{m}_mean, {sql_round6(f'stddev_samp({m})')} AS test_{m}_std"
+                      for m in ("b_acc", "f1", "roc")) + ", count(*) AS samples FROM sc GROUP BY target")
+def q_j10(spark, sf_dir):
+    sc_ = rp.score_table(prediction_table(spark, sf_dir), ["fold", "target"])
+    out = rp.fold_summary(sc_, ["target"], ["b_acc", "f1", "roc"])
+    return r6(out, keys=("target",))
