@@ -959,3 +959,88 @@ def q_j10(spark, sf_dir):
     sc_ = rp.score_table(prediction_table(spark, sf_dir), ["fold", "target"])
     out = rp.fold_summary(sc_, ["target"], ["b_acc", "f1", "roc"])
     return r6(out, keys=("target",))
+
+
+# ------------------------------------------------------------- B profiles ---
+from featurelab.operators import profiling as pf  # noqa: E402
+
+_NUM = ["value", "hour"]
+
+
+def _events_sql() -> str:
+    return ("SELECT user_id AS entity, event_type AS category, value, CAST(hour(ts) AS DOUBLE) AS hour, "
+            "CAST(CAST(floor(hour(ts) / 6) AS INTEGER) AS VARCHAR) AS hour_bin FROM events")
+
+
+def _events(spark, sf_dir):
+    ev = fx.profile_events(spark, sf_dir)
+    return ev.withColumn("hour_bin", pf.bin_numeric(F.col("hour"), 6.0))
+
+
+@register("b1_general_profile",
+          "SELECT entity, 3.0 AS \"f__profile.general.nr_attr\", 2.0 AS \"f__profile.general.nr_num\", "
+          "1.0 AS \"f__profile.general.nr_cat\", CAST(count(*) AS DOUBLE) AS \"f__profile.general.nr_inst\", "
+          "CAST((CASE WHEN count(DISTINCT value) = 2 THEN 1 ELSE 0 END) + (CASE WHEN count(DISTINCT hour) = 2 THEN 1 ELSE 0 END) "
+          "+ (CASE WHEN count(DISTINCT hour_bin) = 2 THEN 1 ELSE 0 END) AS DOUBLE) AS \"f__profile.general.nr_bin\", "
+          f"CAST(count(DISTINCT category) AS DOUBLE) AS \"f__profile.general.nr_class\" FROM ({_events_sql()}) e GROUP BY entity")
+def q_b1(spark, sf_dir):
+    return pf.general(_events(spark, sf_dir), "entity", _NUM, ["hour_bin"], "category")
+
+
+def _stat_sql() -> str:
+    cols = []
+    for c in _NUM:
+        m = f"avg({c})"
+        sd = f"stddev_pop({c})"
+        cols += [f"{m} AS \"mean.{c}\"", f"{sd} AS \"sd.{c}\"", f"min({c}) AS \"min.{c}\"", f"max({c}) AS \"max.{c}\"",
+                 f"CASE WHEN var_pop({c}) = 0 THEN NULL ELSE (avg(pow({c}, 3)) - 3 * {m} * avg(pow({c}, 2)) + 2 * pow({m}, 3)) "
+                 f"/ pow(var_pop({c}), 1.5) END AS \"skewness.{c}\"",
+                 f"CASE WHEN var_pop({c}) = 0 THEN NULL ELSE (avg(pow({c}, 4)) - 4 * {m} * avg(pow({c}, 3)) + "
+                 f"6 * pow({m}, 2) * avg(pow({c}, 2)) - 3 * pow({m}, 4)) / pow(var_pop({c}), 2) - 3 END AS \"kurtosis.{c}\"",
+                 f"CASE WHEN {m} = 0 THEN NULL ELSE {sd} / {m} END AS \"cv.{c}\"",
+                 f"{S.median(c)} AS \"median.{c}\"",
+                 f"{sql_percentile(c, 0.75)} - {sql_percentile(c, 0.25)} AS \"iq_range.{c}\""]
+    return f"SELECT entity, {', '.join(cols)} FROM ({_events_sql()}) e GROUP BY entity"
+
+
+@register("b2_statistical_profile",
+          "SELECT entity, " + ", ".join(
+              f"{sql_round6(chr(34) + st + '.' + c + chr(34))} AS \"f__profile.statistical.{st}.{c}\""
+              for c in _NUM for st in pf.STATS) + f" FROM ({_stat_sql()}) s")
+def q_b2(spark, sf_dir):
+    return r6(pf.statistical(_events(spark, sf_dir), "entity", _NUM))
+
+
+@register("b4_summary_functions",
+          "SELECT entity, " + ", ".join(
+              f"{sql_round6(expr)} AS \"f__profile.statistical.{st}.{sm}\""
+              for st in pf.STATS for sm, expr in (
+                  ("mean", f"((\"{st}.value\" + \"{st}.hour\") / 2.0)"),
+                  ("sd", f"sqrt((pow(\"{st}.value\" - (\"{st}.value\" + \"{st}.hour\") / 2.0, 2) + "
+                         f"pow(\"{st}.hour\" - (\"{st}.value\" + \"{st}.hour\") / 2.0, 2)) / 2.0)"),
+                  ("min", f"least(\"{st}.value\", \"{st}.hour\")"),
+                  ("max", f"greatest(\"{st}.value\", \"{st}.hour\")")))
+          + f" FROM ({_stat_sql()}) s")
+def q_b4(spark, sf_dir):
+    st = pf.statistical(_events(spark, sf_dir), "entity", _NUM)
+    return r6(pf.summarise(st, "entity", _NUM))
+
+
+@register("b3_info_theory_profile",
+          f"WITH e AS ({_events_sql()}), j AS (SELECT entity, hour_bin, category, count(*) AS c FROM e GROUP BY ALL), "
+          "jn AS (SELECT *, sum(c) OVER (PARTITION BY entity) AS n FROM j), "
+          "hc AS (SELECT entity, -sum((cc / n) * log2(cc / n)) AS h_class FROM (SELECT entity, category, sum(c) AS cc, max(n) AS n "
+          "FROM jn GROUP BY ALL) x GROUP BY entity), "
+          "ha AS (SELECT entity, -sum((ca / n) * log2(ca / n)) AS h_attr FROM (SELECT entity, hour_bin, sum(c) AS ca, max(n) AS n "
+          "FROM jn GROUP BY ALL) x GROUP BY entity), "
+          "hj AS (SELECT entity, -sum((c / n) * log2(c / n)) AS h_joint FROM jn GROUP BY entity) "
+          "SELECT entity, " + sql_round6("h_class") + " AS \"f__profile.info-theory.class_ent\", "
+          + sql_round6("h_attr") + " AS \"f__profile.info-theory.attr_ent.hour_bin\", "
+          + sql_round6("h_joint") + " AS \"f__profile.info-theory.joint_ent.hour_bin\", "
+          + sql_round6("h_class + h_attr - h_joint") + " AS \"f__profile.info-theory.mut_inf.hour_bin\", "
+          + sql_round6("CASE WHEN h_class + h_attr - h_joint = 0 THEN NULL ELSE h_class / (h_class + h_attr - h_joint) END")
+          + " AS \"f__profile.info-theory.eq_num_attr\", "
+          + sql_round6("CASE WHEN h_class + h_attr - h_joint = 0 THEN NULL ELSE (h_attr - (h_class + h_attr - h_joint)) / (h_class + h_attr - h_joint) END")
+          + " AS \"f__profile.info-theory.ns_ratio\" FROM hc JOIN ha USING (entity) JOIN hj USING (entity)")
+def q_b3(spark, sf_dir):
+    return r6(pf.info_theory(_events(spark, sf_dir), "entity", "hour_bin", "category"))
