@@ -1044,3 +1044,86 @@ def q_b4(spark, sf_dir):
           + " AS \"f__profile.info-theory.ns_ratio\" FROM hc JOIN ha USING (entity) JOIN hj USING (entity)")
 def q_b3(spark, sf_dir):
     return r6(pf.info_theory(_events(spark, sf_dir), "entity", "hour_bin", "category"))
+
+
+# ------------------------------------------- I6-I10, J1-J8, K (Spark ML) ----
+from featurelab.operators import causal as ca  # noqa: E402
+from featurelab.operators import learning as ln  # noqa: E402
+from featurelab.operators import projection as pj  # noqa: E402
+
+PLANTED_FEATS = fx.WIDE_FEATURES[:16]
+
+
+def planted_frame(spark, sf_dir) -> DataFrame:
+    return cut_lineage(sp.assign_folds(fx.planted(spark, sf_dir), "entity", K_FOLDS, SEED))
+
+
+@register("i6_tree_importance_selector", None)
+def q_i6(spark, sf_dir):
+    return sel.selection(ln.model_selector(planted_frame(spark, sf_dir), PLANTED_FEATS, ["y"], K_FOLDS, "gbt_small"))
+
+
+@register("i7_l1_logistic_selector", None)
+def q_i7(spark, sf_dir):
+    return sel.selection(ln.model_selector(planted_frame(spark, sf_dir), PLANTED_FEATS, ["y"], K_FOLDS, "l1_logreg"))
+
+
+@register("i8_recursive_elimination", None)
+def q_i8(spark, sf_dir):
+    kept = ln.recursive_elimination(planted_frame(spark, sf_dir), PLANTED_FEATS, "y", "logreg", step=0.25)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@register("i9_double_ml_selector", None)
+def q_i9(spark, sf_dir):
+    return ca.double_ml_selector(planted_frame(spark, sf_dir), PLANTED_FEATS, ["y"], K_FOLDS)
+
+
+@register("i10_counterfactual_selector", None)
+def q_i10(spark, sf_dir):
+    return ca.counterfactual_selector(planted_frame(spark, sf_dir), PLANTED_FEATS[:8], "y")
+
+
+def _cv(model: str):
+    def run(spark, sf_dir):
+        df = planted_frame(spark, sf_dir)
+        scores = ln.cross_validate(df, lambda fold, t: PLANTED_FEATS, ["y"], K_FOLDS, model)
+        return r6(rp.fold_summary(scores, ["target"], ["b_acc", "f1", "roc"]), keys=("target",))
+    return run
+
+
+for _m, _name in (("logreg", "j2_logreg_cv"), ("gbt", "j3_boosted_trees_cv"), ("mlp", "j4_perceptron_cv")):
+    QUERIES[_name] = (_cv(_m), None)
+
+
+@register("j1_cv_on_selection", None)
+def q_j1(spark, sf_dir):
+    """Fold-wise CV where each (fold, target) uses the columns its own training rows selected."""
+    df = doc_frame(spark, sf_dir)
+    selres = sel.selection(sel.f_value_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS)).cache()
+    cells = {(r["fold"], r["target"]): [] for r in selres.select("fold", "target").distinct().collect()}
+    for r in selres.where("kept").orderBy("rank").select("fold", "target", "feature").collect():
+        cells[(r["fold"], r["target"])].append(r["feature"])
+    scores = ln.cross_validate(df, lambda f, t: cells.get((f, t), []), DOC_TARGETS, K_FOLDS, "logreg")
+    return r6(scores, keys=("target",))
+
+
+@register("j7_random_search", None)
+def q_j7(spark, sf_dir):
+    df = planted_frame(spark, sf_dir).where(F.col("fold") != 0)
+    best, score = ln.random_search(df, PLANTED_FEATS, "y", "logreg", {"C": (0.01, 1.0)}, n_trials=3)
+    return spark.createDataFrame([(str(best), float(score))], "params string, f1 double")
+
+
+@register("k1_projection", None)
+def q_k1(spark, sf_dir):
+    df = planted_frame(spark, sf_dir)
+    a, _b, _err = pj.fit_projection(df, PLANTED_FEATS, ["y"])
+    return r6(pj.project(df, "entity", PLANTED_FEATS, a))
+
+
+@register("k2_loadings", None)
+def q_k2(spark, sf_dir):
+    df = planted_frame(spark, sf_dir)
+    a, _b, _err = pj.fit_projection(df, PLANTED_FEATS, ["y"])
+    return pj.loadings(spark, PLANTED_FEATS, a)
