@@ -29,7 +29,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str,
     """CSV with a given schema; the key column (if named) is moved first."""
     df = spark.read.csv(path, header=True, schema=schema)
     if key is not None and key in df.columns:
-        df = df.select(key, *[c for c in df.columns if c != key])
+        df = df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in df.columns if c != key])
     return df
 
 
