@@ -121,13 +121,15 @@ def cross_validate(df: DataFrame, feats_by_cell, targets: list[str], k: int, mod
     ``feats_by_cell(fold, target) -> list[str]`` gives the selected columns.
     """
     preds = None
+    cached = []
     for t in targets:
         for fold in range(k):
             feats = feats_by_cell(fold, t)
             if not feats:
                 continue
             data = assemble(df.where(q(t).isNotNull()), feats, ["entity", "fold", t]).withColumnRenamed(t, "label")
-            train = data.where(F.col("fold") != fold)
+            train = data.where(F.col("fold") != fold).cache()   # iterative fits re-read it
+            cached.append(train)
             test = data.where(F.col("fold") == fold)
             n = train.count()
             ncls = train.select("label").distinct().count()
@@ -140,7 +142,11 @@ def cross_validate(df: DataFrame, feats_by_cell, targets: list[str], k: int, mod
             preds = out if preds is None else preds.unionByName(out)
     if preds is None:
         return df.sparkSession.createDataFrame([], "fold int, target string, b_acc double, f1 double, roc double")
-    return rp.score_table(preds, ["fold", "target"])
+    scores = rp.score_table(preds, ["fold", "target"]).cache()
+    scores.count()
+    for c in cached:
+        c.unpersist()
+    return scores
 
 
 def random_search(df: DataFrame, feats: list[str], target: str, model: str, space: dict, n_trials: int,

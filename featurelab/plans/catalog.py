@@ -363,7 +363,9 @@ DOC_TARGETS = ["quality", "toxic"]
 
 
 def doc_frame(spark, sf_dir) -> DataFrame:
-    return sp.assign_folds(fx.doc_features(spark, sf_dir), "entity", K_FOLDS, SEED)
+    """Document features with folds, materialised once (regexes over whole texts are the
+    expensive part; selectors and iterative fits then make several passes over it)."""
+    return cut_lineage(sp.assign_folds(fx.doc_features(spark, sf_dir), "entity", K_FOLDS, SEED))
 
 
 def _doc_sql() -> str:
