@@ -87,3 +87,48 @@ def row_position(df: DataFrame, groups: list[str], value: str, tiebreak: list[st
         ranked = ranked.join(offs, groups + ["_bucket"], "left") \
                        .withColumn(out, F.col(out) + F.col("_off")).drop("_off")
     return ranked.drop("_bucket")
+
+
+def dense_buckets(df: DataFrame, groups: list[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Bucket ids 0..B-1 by value inside each group, renumbered densely over non-empty buckets."""
+    bucketed, n_buckets = _plan_buckets(df, groups, value, rows_per_bucket)
+    if n_buckets == 1:
+        return bucketed
+    ids = bucketed.select(*groups, "_bucket").distinct()
+    ids = ids.withColumn("_dense", F.dense_rank().over(Window.partitionBy(*groups).orderBy("_bucket")) - 1)
+    return bucketed.join(ids, groups + ["_bucket"]).drop("_bucket").withColumnRenamed("_dense", "_bucket")
+
+
+def running_sum_before(df: DataFrame, groups: list[str], order: list[str], weight: str, out: str,
+                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``out`` = sum of ``weight`` over rows strictly before each row in the order ``order``
+    (the first order column decides the bucket, so the order is consistent across buckets)."""
+    bucketed, n_buckets = _plan_buckets(df, groups, order[0], rows_per_bucket)
+    w = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    res = bucketed.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    if n_buckets > 1:
+        offs = _offsets(bucketed, groups, F.col(weight))
+        res = res.join(offs, groups + ["_bucket"], "left").withColumn(out, F.col(out) + F.col("_off")).drop("_off")
+    return res.drop("_bucket")
+
+
+def neighbour_distances(df: DataFrame, groups: list[str], value: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET):
+    """For every row: the distances to its k predecessors and k successors in value order
+    within ``groups`` (columns _lag1.._lagk, _lead1.._leadk; null where missing).
+
+    Rows are cut into value buckets; each bucket borrows the last k rows of the bucket
+    before and the first k rows of the bucket after (a halo), so the lag/lead window runs
+    over (group, bucket) -- small tasks -- and still sees the true neighbours.
+    """
+    b = dense_buckets(df, groups, value, rows_per_bucket).withColumn("_own", F.lit(True))
+    wb = Window.partitionBy(*groups, "_bucket")
+    b = b.withColumn("_ra", F.row_number().over(wb.orderBy(value, "_rid"))) \
+         .withColumn("_rd", F.row_number().over(wb.orderBy(F.col(value).desc(), F.col("_rid").desc())))
+    tail = b.where(F.col("_rd") <= k).withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
+    head = b.where(F.col("_ra") <= k).withColumn("_bucket", F.col("_bucket") - 1).withColumn("_own", F.lit(False))
+    u = b.unionByName(tail).unionByName(head).drop("_ra", "_rd")
+    wo = Window.partitionBy(*groups, "_bucket").orderBy(value, "_rid")
+    for i in range(1, k + 1):
+        u = u.withColumn(f"_lag{i}", F.col(value) - F.lag(value, i).over(wo)) \
+             .withColumn(f"_lead{i}", F.lead(value, i).over(wo) - F.col(value))
+    return u.where("_own").drop("_own", "_bucket")

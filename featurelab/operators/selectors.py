@@ -245,3 +245,64 @@ def project_to_selection(df: DataFrame, selection_df: DataFrame, key: str, fold:
         return df
     names = selected_features(selection_df, fold, target)
     return df.select(key, *[q(n) for n in names])
+
+
+# ------------------------------------------------- I4, nearest neighbours ---
+
+def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targets: list[str], k: int,
+                             n_neighbors: int = 3, quantile_value: float = 0.9,
+                             rows_per_bucket: int | None = None) -> DataFrame:
+    """I4 with the nearest-neighbour estimator (continuous feature x class).
+
+    For row i of class c (n_c rows in the training fold, n_c > 1):
+      k_i = min(n_neighbors, n_c - 1); r_i = distance to its k_i-th nearest same-class
+      neighbour (among k lags and k leads of the (feature, class)-sorted order);
+      m_i = number of training rows (any class with > 1 row) with |x_j - x_i| < r_i,
+      or with x_j = x_i when r_i = 0 (itself included).
+    MI = psi(N) + mean psi(k_i) - mean psi(n_c) - mean psi(m_i), floored at 0, in nats.
+    m_i is counted with an event union (x+r, 0), (x, 1), (x-r, 2) and distributed running
+    counts, so no task holds a whole feature and no pair of rows is formed.
+    """
+    from featurelab.functions.ranks import ROWS_PER_BUCKET, neighbour_distances, running_sum_before
+    from featurelab.functions.special import digamma
+    rpb = rows_per_bucket or ROWS_PER_BUCKET
+    kk = n_neighbors
+    base = df.select(key, "fold", *[q(c).cast("double").alias(c) for c in features + targets]) \
+             .withColumn("train_fold", F.explode(_train_folds(F.col("fold"), k))).drop("fold")
+    xl = to_long(base, [key, "train_fold", *targets], features)
+    rows = xl.select(key, "train_fold", "feature", "value",
+                     F.explode(F.array(*[F.struct(F.lit(t).alias("target"), q(t).alias("cls")) for t in targets])).alias("_t")) \
+             .select(key, "train_fold", "feature", "value", "_t.target", "_t.cls") \
+             .where(F.col("value").isNotNull() & F.col("cls").isNotNull())
+    g = ["train_fold", "target", "feature"]
+    rows = rows.withColumn("n_c", F.count(F.lit(1)).over(Window.partitionBy(*g, "cls")))
+    rows = rows.where(F.col("n_c") > 1).withColumn("_rid", F.col(key).cast("string"))
+    nb = neighbour_distances(rows, g + ["cls"], "value", kk, rpb)
+    kcol = F.least(F.lit(kk), F.col("n_c") - 1).cast("int")
+    dists = F.array_sort(F.filter(F.array(*[F.col(f"_lag{i}") for i in range(1, kk + 1)],
+                                          *[F.col(f"_lead{i}") for i in range(1, kk + 1)]),
+                                  lambda d: d.isNotNull()))
+    pts = nb.select(*g, key, "value", "n_c", kcol.alias("k_i"), F.element_at(dists, kcol).alias("r"))
+    # events: upper edge (x + r, 0), point (x, 1), lower edge (x - r, 2)
+    ev = pts.select(*g, key, F.explode(F.array(
+        F.struct((F.col("value") + F.col("r")).alias("ev"), F.lit(0).alias("kind"), F.lit(0).alias("w")),
+        F.struct(F.col("value").alias("ev"), F.lit(1).alias("kind"), F.lit(1).alias("w")),
+        F.struct((F.col("value") - F.col("r")).alias("ev"), F.lit(2).alias("kind"), F.lit(0).alias("w")))).alias("e")) \
+        .select(*g, key, "e.ev", "e.kind", "e.w")
+    run = running_sum_before(ev, g, ["ev", "kind", key], "w", "before", rpb)
+    # points strictly below x + r: points before the upper event; points <= x - r: before the lower
+    # event plus none (the lower event sorts after equal points)
+    m = run.groupBy(*g, key).agg(
+        F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("up"),
+        F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("lo"))
+    ties = pts.groupBy(*g, "value").agg(F.count(F.lit(1)).alias("n_tie"))
+    full = pts.join(m, [*g, key]).join(ties, [*g, "value"])
+    mcol = F.when(F.col("r") > 0, F.col("up") - F.col("lo")).otherwise(F.col("n_tie"))
+    st = full.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(digamma(F.col("k_i"))).alias("pk"), F.avg(digamma(F.col("n_c"))).alias("pc"),
+        F.avg(digamma(mcol)).alias("pm"))
+    mi = F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("pk") - F.col("pc") - F.col("pm"))
+    st = st.select(F.col("train_fold").alias("fold"), "target", "feature", F.col("n").cast("long"), mi.alias("score"))
+    thr = F.percentile(F.col("score"), quantile_value).over(Window.partitionBy("fold", "target"))
+    return st.withColumn("kept", F.coalesce(F.col("score") >= thr, F.lit(False)))

@@ -1129,3 +1129,42 @@ def q_k2(spark, sf_dir):
     df = planted_frame(spark, sf_dir)
     a, _b, _err = pj.fit_projection(df, PLANTED_FEATS, ["y"])
     return pj.loadings(spark, PLANTED_FEATS, a)
+
+
+# ------------------------------------------------ I4 nearest neighbours -----
+
+def _sql_digamma(x: str) -> str:
+    y = f"(CAST({x} AS DOUBLE) + 6.0)"
+    shift = " + ".join(f"1.0 / (CAST({x} AS DOUBLE) + {k}.0)" for k in range(6))
+    inv2 = f"(1.0 / ({y} * {y}))"
+    return (f"(ln({y}) - 0.5 / {y} - {inv2} * (1.0 / 12 - {inv2} * (1.0 / 120 - {inv2} * (1.0 / 252 - {inv2} * "
+            f"(1.0 / 240 - {inv2} / 132)))) - ({shift}))")
+
+
+def _ksg_sql(kk: int = 3) -> str:
+    w = "OVER (PARTITION BY fold, target, feature, cls ORDER BY value, CAST(entity AS VARCHAR))"
+    lags = [f"value - lag(value, {i}) {w}" for i in range(1, kk + 1)]
+    leads = [f"lead(value, {i}) {w} - value" for i in range(1, kk + 1)]
+    return ("WITH " + _class_long_sql().replace("cl AS (SELECT train_fold AS fold,", "cl AS (SELECT entity, train_fold AS fold,") + ", "
+            "c2 AS (SELECT *, count(*) OVER (PARTITION BY fold, target, feature, cls) AS n_c FROM cl "
+            "WHERE value IS NOT NULL AND cls IS NOT NULL), "
+            f"nb AS (SELECT *, least({kk}, n_c - 1) AS k_i, list_sort(list_filter([{', '.join(lags + leads)}], "
+            "lambda d: d IS NOT NULL)) AS ds FROM c2 WHERE n_c > 1), "
+            "pts AS (SELECT fold, target, feature, entity, value, n_c, k_i, ds[k_i] AS r FROM nb), "
+            "mm AS (SELECT a.fold, a.target, a.feature, a.entity, count(*) AS m FROM pts a JOIN pts b "
+            "ON a.fold = b.fold AND a.target = b.target AND a.feature = b.feature AND "
+            "((a.r > 0 AND b.value < a.value + a.r AND b.value > a.value - a.r) OR (a.r = 0 AND b.value = a.value)) "
+            "GROUP BY ALL), "
+            f"st AS (SELECT fold, target, feature, count(*) AS n, avg({_sql_digamma('k_i')}) AS pk, "
+            f"avg({_sql_digamma('n_c')}) AS pc, avg({_sql_digamma('m')}) AS pm FROM pts JOIN mm "
+            "USING (fold, target, feature, entity) GROUP BY ALL), "
+            f"sc AS (SELECT fold, target, feature, n, greatest(0.0, {_sql_digamma('n')} + pk - pc - pm) AS score FROM st), "
+            "md AS (SELECT *, quantile_cont(score, 0.9) OVER (PARTITION BY fold, target) AS thr FROM sc), "
+            "k AS (SELECT fold, target, feature, n, score, coalesce(score >= thr, false) AS kept FROM md) "
+            + _ranked_out_sql("k"))
+
+
+@register("i4_ksg_mutual_info_selector", _ksg_sql())
+def q_i4k(spark, sf_dir):
+    df = doc_frame(spark, sf_dir)
+    return _tidy(sel.ksg_mutual_info_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
