@@ -119,3 +119,23 @@ def summaries(results: DataFrame, by: list[str], value: str) -> DataFrame:
                                  F.count(value).alias("n"))
     half = 1.959963984540054 * F.col("sd") / F.sqrt(F.col("n"))
     return s.withColumn("lo", F.col("mean") - half).withColumn("hi", F.col("mean") + half)
+
+
+def linear_attribution(df: DataFrame, weights: dict[str, float], groups: list[str] | None = None) -> DataFrame:
+    """L1 (linear models): mean abs SHAP value per column, avg(abs(w * (x - mean(x)))),
+    exact for a linear model.  Means per group come from one aggregate (joined back on
+    the group keys, or literals when there is no group), attributions from a second."""
+    from featurelab.functions.wide import fused_agg, to_long
+    groups = groups or []
+    feats = list(weights)
+    if groups:
+        means = df.groupBy(*groups).agg(*[F.avg(F.col(f"`{f}`")).alias(f"_m{i}") for i, f in enumerate(feats)])
+        j = df.join(means, groups)
+        mcol = {f: F.col(f"_m{i}") for i, f in enumerate(feats)}
+    else:
+        st = fused_agg(df, {f"_m{i}": F.avg(F.col(f"`{f}`")) for i, f in enumerate(feats)})
+        j = df
+        mcol = {f: F.lit(st[f"_m{i}"]) for i, f in enumerate(feats)}
+    out = j.groupBy(*groups).agg(*[
+        F.avg(F.abs(F.lit(float(weights[f])) * (F.col(f"`{f}`") - mcol[f]))).alias(f) for f in feats])
+    return to_long(out, groups, feats, "feature", "attribution")

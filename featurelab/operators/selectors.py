@@ -223,12 +223,16 @@ def empty_selections(result: DataFrame) -> DataFrame:
     return cells.join(hits, ["fold", "target"], "left_anti")
 
 
-def multi_output(result: DataFrame, score_name: str) -> DataFrame:
-    """One score column per target named ``<target>__<score>``; features never kept dropped."""
-    kept = result.where("kept")
-    targets = sorted(r[0] for r in kept.select("target").distinct().collect())
-    return kept.groupBy("fold", "feature").pivot("target", targets).agg(F.first("score")) \
-               .select("fold", "feature", *[F.col(t).alias(f"{t}__{score_name}") for t in targets])
+def multi_output(result: DataFrame, score_name: str, targets: list[str]) -> DataFrame:
+    """One score column per target named ``<target>__<score>`` (null = rejected);
+    features rejected for every target are dropped."""
+    s = result.select("fold", "feature", "target", F.when(F.col("kept"), F.col("score")).alias("s"))
+    wide = s.groupBy("fold", "feature").pivot("target", targets).agg(F.first("s"))
+    any_kept = None
+    for t in targets:
+        c = F.col(t).isNotNull()
+        any_kept = c if any_kept is None else (any_kept | c)
+    return wide.where(any_kept).select("fold", "feature", *[F.col(t).alias(f"{t}__{score_name}") for t in targets])
 
 
 def selected_features(selection_df: DataFrame, fold: int, target: str) -> list[str]:

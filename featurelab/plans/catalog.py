@@ -1168,3 +1168,161 @@ def _ksg_sql(kk: int = 3) -> str:
 def q_i4k(spark, sf_dir):
     df = doc_frame(spark, sf_dir)
     return _tidy(sel.ksg_mutual_info_selector(df, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS))
+
+
+# ---------------------------------------------- compositions of the above ---
+import uuid  # noqa: E402
+
+from featurelab.sources.store import read_stage, write_stage  # noqa: E402
+
+
+@register("i11_multi_output",
+          "WITH s AS (" + _spearman_sql() + "), w AS (SELECT fold, feature, "
+          "max(CASE WHEN target = 'quality' AND kept THEN score END) AS \"quality__corr_spearman\", "
+          "max(CASE WHEN target = 'toxic' AND kept THEN score END) AS \"toxic__corr_spearman\" FROM s GROUP BY ALL) "
+          "SELECT * FROM w WHERE \"quality__corr_spearman\" IS NOT NULL OR \"toxic__corr_spearman\" IS NOT NULL")
+def q_i11(spark, sf_dir):
+    return sel.multi_output(q_i2(spark, sf_dir), "corr_spearman", DOC_TARGETS)
+
+
+def _stage_root(spark) -> str:
+    """A folder under the shared checkpoint location for stage tables."""
+    from featurelab.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/stages/{uuid.uuid4().hex}"
+
+
+@register("i13_load_selection",
+          "SELECT fold, target, feature, n, score, kept, rank FROM (" + _spearman_sql() + ") s WHERE target = 'quality'")
+def q_i13(spark, sf_dir):
+    """A2 + I13: the selection table is written partitioned by target, then read back for one
+    target -- the partition filter prunes the other folders."""
+    path = _stage_root(spark) + "/selection_corr"
+    write_stage(q_i2(spark, sf_dir), path, partition_by=["target"])
+    back = read_stage(spark, path).where(F.col("target") == "quality")
+    return back.select("fold", "target", "feature", "n", "score", "kept", "rank")
+
+
+@register("i14_j13_selected_features_with_target",
+          f"WITH s AS ({_spearman_sql()}), d AS ({_doc_sql()}), "
+          f"l AS (SELECT entity, quality, unnest([{', '.join(repr(f) for f in fx.DOC_FEATURES)}]) AS feature, "
+          f"unnest([{', '.join(fx.DOC_FEATURES)}]) AS value FROM d) "
+          "SELECT entity, feature, " + sql_round6("value") + " AS value, quality AS y FROM l "
+          "WHERE feature IN (SELECT feature FROM s WHERE fold = 0 AND target = 'quality' AND kept)")
+def q_i14(spark, sf_dir):
+    """I14 + J13: the features table projected to the selection of (fold 0, quality),
+    joined with that target column on the key."""
+    d = doc_frame(spark, sf_dir)
+    proj = sel.project_to_selection(d, q_i2(spark, sf_dir), "entity", 0, "quality")
+    feats = [c for c in proj.columns if c != "entity"]
+    out = to_long(proj, ["entity"], feats).join(d.select("entity", F.col("quality").alias("y")), "entity")
+    return out.select("entity", "feature", round6(F.col("value")).alias("value"), "y")
+
+
+@register("j12_selection_catalogue",
+          f"WITH e AS ({_exp_sql()}), g AS (SELECT m.method, f.fold, t.target FROM "
+          "(VALUES " + ", ".join(f"('{m}')" for m, _ in _METHODS + [("treatment_effect", None)]) + ") m(method), "
+          f"(SELECT unnest(range({K_FOLDS})) AS fold) f, (VALUES ('quality'), ('toxic')) t(target)) "
+          "SELECT g.method, g.fold, g.target, count(e.feature) FILTER (WHERE e.kept) AS n_selected FROM g LEFT JOIN e "
+          "ON g.method = e.method AND g.fold = e.fold AND g.target = e.target GROUP BY ALL")
+def q_j12(spark, sf_dir):
+    """The (method x fold x target) grid left-joined with the selection table; a method
+    without stored results shows 0 selected (absent -> empty)."""
+    methods = [m for m, _ in _METHODS] + ["treatment_effect"]
+    grid = spark.createDataFrame([(m, f, t) for m in methods for f in range(K_FOLDS) for t in DOC_TARGETS],
+                                 "method string, fold int, target string")
+    e = experiment_frame(spark, sf_dir)
+    j = grid.join(e, ["method", "fold", "target"], "left")
+    return j.groupBy("method", "fold", "target").agg(F.count(F.when(F.col("kept"), 1)).alias("n_selected"))
+
+
+@register("h2_shuffle_split",
+          "SELECT u < 0.3 AS is_test, count(*) AS n FROM (SELECT " + _sql_u(["'42'", "'0'", "CAST(entity AS VARCHAR)"])
+          + " AS u FROM (" + S.doc_features() + ") d) x GROUP BY ALL")
+def q_h2(spark, sf_dir):
+    df = sp.shuffle_split(fx.doc_features(spark, sf_dir).select("entity"), "entity", 0.3, SEED)
+    return df.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("h2_shuffle_split_exact", None)
+def q_h2x(spark, sf_dir):
+    df = sp.shuffle_split(fx.doc_features(spark, sf_dir).select("entity"), "entity", 0.3, SEED, exact=True)
+    return df.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f8_scale_targets",
+          f"WITH t AS ({_abs_sql()}) SELECT entity, " + ", ".join(
+              f"{sql_round6(f'({v} - avg({v}) OVER ()) / CASE WHEN stddev_pop({v}) OVER () = 0 THEN 1.0 ELSE stddev_pop({v}) OVER () END')} AS {v}"
+              for v in VARIANTS) + " FROM t")
+def q_f8(spark, sf_dir):
+    """F8: the target matrix through the same scaler (off in the default chain)."""
+    return r6(sc.standard_scale(q_e2(spark, sf_dir), ["entity"]))
+
+
+@register("l1_linear_attribution",
+          f"WITH s AS ({_pearson_sql()}), d AS ({_doc_sql()}), "
+          f"l AS (SELECT entity, fold, unnest([{', '.join(repr(f) for f in fx.DOC_FEATURES)}]) AS feature, "
+          f"unnest([{', '.join(fx.DOC_FEATURES)}]) AS value FROM d WHERE fold <> 0), "
+          "m AS (SELECT feature, avg(value) AS mu FROM l GROUP BY feature), "
+          "w AS (SELECT feature, score AS w FROM s WHERE fold = 0 AND target = 'quality') "
+          "SELECT l.feature, " + sql_round6("avg(abs(w.w * (l.value - m.mu)))") + " AS attribution "
+          "FROM l JOIN m ON l.feature = m.feature JOIN w ON l.feature = w.feature GROUP BY l.feature")
+def q_l1(spark, sf_dir):
+    """L1: exact mean abs attribution of a linear scorer (weights = the fold-0 pearson
+    coefficients for quality) over that fold's training rows."""
+    d = doc_frame(spark, sf_dir).where(F.col("fold") != 0)
+    wts = {r["feature"]: r["score"] for r in q_i2p(spark, sf_dir)
+           .where((F.col("fold") == 0) & (F.col("target") == "quality")).collect()}
+    out = rp.linear_attribution(d, {f: wts[f] for f in fx.DOC_FEATURES})
+    return out.select("feature", round6(F.col("attribution")).alias("attribution"))
+
+
+@register("l3_experiment_frame", f"SELECT * FROM ({_exp_sql()}) e")
+def q_l3(spark, sf_dir):
+    return experiment_frame(spark, sf_dir)
+
+
+@register("j6_grid_search", None)
+def q_j6(spark, sf_dir):
+    """ParamGridBuilder + CrossValidator on the training rows of fold 0 only."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    df = planted_frame(spark, sf_dir).where(F.col("fold") != 0)
+    data = ln.assemble(df, PLANTED_FEATS, ["y"]).withColumnRenamed("y", "label")
+    lr = ln.make_model("logreg", 1, len(PLANTED_FEATS))
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+                        numFolds=3, seed=SEED, parallelism=2)
+    model = cv.fit(data)
+    return spark.createDataFrame([(float(g[lr.regParam]), float(m)) for g, m in zip(grid, model.avgMetrics)],
+                                 "reg_param double, auc double")
+
+
+@register("j11_grid_runner", None)
+def q_j11(spark, sf_dir):
+    """A grid of (model x target) cells; finished cells found by a left-anti join with the
+    results table are skipped; new results are appended to the partitioned results table."""
+    path = _stage_root(spark) + "/results"
+    grid = spark.createDataFrame([(m, "y") for m in ("logreg", "mlp")], "model string, target string")
+    df = planted_frame(spark, sf_dir)
+    for attempt in range(2):      # the second round finds every cell done and runs nothing
+        try:
+            done = read_stage(spark, path).select("model", "target").distinct()
+            todo = grid.join(done, ["model", "target"], "left_anti").collect()
+        except Exception:  # noqa: BLE001 - no results table yet
+            todo = grid.collect()
+        for cell in todo:
+            scores = ln.cross_validate(df, lambda f, t: PLANTED_FEATS, [cell["target"]], K_FOLDS, cell["model"])
+            write_stage(scores.withColumn("model", F.lit(cell["model"])), path, mode="append",
+                        partition_by=["model"])
+    return read_stage(spark, path)
+
+
+@register("k4_projection_per_selection", None)
+def q_k4(spark, sf_dir):
+    """K4: the first 10 selected columns of a selection, projected with the target, coloured by
+    the target class."""
+    d = doc_frame(spark, sf_dir)
+    s = q_i2(spark, sf_dir)
+    names = [f for f in sel.selected_features(s, 0, "quality")][:10] or fx.DOC_FEATURES
+    a, _b, _err = pj.fit_projection(d, names, ["quality"])
+    return pj.project(d, "entity", names, a).join(d.select("entity", F.col("quality").alias("cls")), "entity")
