@@ -42,13 +42,6 @@ def to_vector(df: DataFrame, features: list[str], out: str = "features") -> Colu
     return F.array(*[q(f).cast("double") for f in features]).alias(out)
 
 
-def transpose(df: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """Matrix transpose for small frames: rows become feature columns keyed by entity."""
-    keys = [r[0] for r in df.select(key).orderBy(key).collect()]
-    long_df = to_long(df, [key], features)
-    return long_df.groupBy("feature").pivot(key, keys).agg(F.first("value"))
-
-
 def fused_agg(df: DataFrame, exprs: dict[str, Column]) -> dict:
     """P5: evaluate ``exprs`` (alias -> aggregate Column) in one pass, return a dict."""
     if not exprs:
@@ -73,3 +66,22 @@ def round6(c: Column) -> Column:
 
 def sql_round6(x: str) -> str:
     return f"round({x} + sign({x}) * (abs({x}) * 4e-15 + 1e-13) * 1.0471975511965976, 6)"
+
+
+# Exact percentiles keep every distinct value of a column in the final task of the
+# aggregate; above this many rows the approximate (Greenwald-Khanna) sketch is used,
+# whose state is bounded by the accuracy, not by the data.
+EXACT_QUANTILE_ROWS = 5_000_000
+APPROX_ACCURACY = 100_000
+
+
+def use_exact(df: DataFrame, exact: bool | None) -> bool:
+    """``exact=None`` decides by the row count (one cheap counting job)."""
+    if exact is not None:
+        return exact
+    return df.count() <= EXACT_QUANTILE_ROWS
+
+
+def quantile(c: Column, p, exact: bool) -> Column:
+    """percentile (linear interpolation) when exact, else percentile_approx."""
+    return F.percentile(c, p) if exact else F.percentile_approx(c, p, APPROX_ACCURACY)

@@ -12,7 +12,7 @@ import statistics
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import fused_agg, q
+from featurelab.functions.wide import fused_agg, q, quantile, use_exact
 from featurelab.session import cut_lineage
 
 
@@ -105,10 +105,18 @@ def filter_outliers(df: DataFrame, keys: list[str], threshold: float = 10e6) ->
     return out
 
 
-def fill_undefined(df: DataFrame, keys: list[str], fill_func: str = "median") -> DataFrame:
-    """Fill nulls with the column median (else mean); an all-null column stays null."""
+def fill_undefined(df: DataFrame, keys: list[str], fill_func: str = "median",
+                   exact: bool | None = None) -> DataFrame:
+    """Fill nulls with the column median (else mean); an all-null column stays null.
+
+    The median is exact up to ``EXACT_QUANTILE_ROWS`` rows (or when ``exact``), else approximate.
+    """
     feats = _features(df, keys)
-    agg = F.median if fill_func == "median" else F.avg
+    if fill_func == "median":
+        ex = use_exact(df, exact)
+        agg = (lambda c: quantile(c, 0.5, ex))
+    else:
+        agg = F.avg
     st = fused_agg(df, {f"v{i}": agg(q(c)) for i, c in enumerate(feats)})
     values = {c: st[f"v{i}"] for i, c in enumerate(feats) if st[f"v{i}"] is not None}
     return df.select(*[F.coalesce(q(c), F.lit(float(values[c]))).alias(c) if c in values else q(c)

@@ -17,8 +17,16 @@ from featurelab.functions.wide import q
 STATS = ["mean", "sd", "min", "max", "skewness", "kurtosis", "cv", "median", "iq_range"]
 
 
-def _stat_exprs(c: str) -> dict[str, Column]:
+def _stat_exprs(c: str, exact: bool = True) -> dict[str, Column]:
     x = q(c)
+    if not exact:   # bounded sketch per group: an entity may hold a third of all rows
+        return {
+            "mean": F.avg(x), "sd": F.stddev_pop(x), "min": F.min(x), "max": F.max(x),
+            "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
+            "cv": F.try_divide(F.stddev_pop(x), F.avg(x)),
+            "median": F.percentile_approx(x, 0.5, 10_000),
+            "iq_range": F.percentile_approx(x, 0.75, 10_000) - F.percentile_approx(x, 0.25, 10_000),
+        }
     return {
         "mean": F.avg(x), "sd": F.stddev_pop(x), "min": F.min(x), "max": F.max(x),
         "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
@@ -42,11 +50,14 @@ def general(df: DataFrame, entity: str, numeric: list[str], categorical: list[st
                       *[q(c) for c in out.columns if c != entity])
 
 
-def statistical(df: DataFrame, entity: str, numeric: list[str]) -> DataFrame:
-    """B2: per entity and value column: mean, sd, min, max, skewness, kurtosis, cv, median, IQR."""
+def statistical(df: DataFrame, entity: str, numeric: list[str], exact: bool = True) -> DataFrame:
+    """B2: per entity and value column: mean, sd, min, max, skewness, kurtosis, cv, median, IQR.
+
+    ``exact=False`` uses bounded quantile sketches, for entities with very many rows.
+    """
     aggs = []
     for c in numeric:
-        for name, e in _stat_exprs(c).items():
+        for name, e in _stat_exprs(c, exact).items():
             aggs.append(F.nanvl(e.cast("double"), F.lit(None)).alias(f"f__profile.statistical.{name}.{c}"))
     return df.groupBy(entity).agg(*aggs)
 

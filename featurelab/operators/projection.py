@@ -1,10 +1,13 @@
-"""K1-K3: two-dimensional instance-space projection.
+"""K1, K2, K4: two-dimensional instance-space projection.
 
 The reference searches A (2 x F) and B with multi-start BFGS to minimise the
 squared error of [X, y] ~ B A X.  That is reduced-rank regression, solved
 exactly from the (uncentred, as in the reference) Gramian of [X, y]: one pass
 over the rows, then an F x F eigenproblem on the driver.  Coordinates are a
 column expression per row.
+
+K3 (correlation of all pairwise distances before and after) is not built: it
+needs every pair of rows.
 """
 
 from __future__ import annotations
@@ -47,15 +50,3 @@ def project(df: DataFrame, key: str, feats: list[str], a: np.ndarray) -> DataFra
 def loadings(spark: SparkSession, feats: list[str], a: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(f, round(float(a[0, j]), 4), round(float(a[1, j]), 4))
                                   for j, f in enumerate(feats)], "feature string, z1 double, z2 double")
-
-
-def fidelity(coords: DataFrame, df: DataFrame, key: str, feats: list[str], fraction: float = 0.1,
-             seed: int = 42) -> float:
-    """K3: correlation of pairwise distances before / after on a keyed sample of rows
-    (pairs a.key < b.key of the sample; the sample size is the parameter)."""
-    from featurelab.functions.keyed import keyed_uniform
-    s = df.join(coords, key).where(keyed_uniform(seed, F.col(key)) < fraction)
-    a, b = s.alias("a"), s.alias("b")
-    dx = F.sqrt(sum(((F.col(f"a.`{f}`") - F.col(f"b.`{f}`")) ** 2 for f in feats), F.lit(0.0)))
-    dz = F.sqrt((F.col("a.z1") - F.col("b.z1")) ** 2 + (F.col("a.z2") - F.col("b.z2")) ** 2)
-    return a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}")).select(F.corr(dx, dz)).collect()[0][0]

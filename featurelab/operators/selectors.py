@@ -279,8 +279,9 @@ def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targe
              .select(key, "train_fold", "feature", "value", "_t.target", "_t.cls") \
              .where(F.col("value").isNotNull() & F.col("cls").isNotNull())
     g = ["train_fold", "target", "feature"]
-    rows = rows.withColumn("n_c", F.count(F.lit(1)).over(Window.partitionBy(*g, "cls")))
-    rows = rows.where(F.col("n_c") > 1).withColumn("_rid", F.col(key).cast("string"))
+    # class sizes by a grouped count (partial aggregate), joined back on the small key set
+    sizes = rows.groupBy(*g, "cls").agg(F.count(F.lit(1)).alias("n_c"))
+    rows = rows.join(sizes, [*g, "cls"]).where(F.col("n_c") > 1).withColumn("_rid", F.col(key).cast("string"))
     nb = neighbour_distances(rows, g + ["cls"], "value", kk, rpb)
     kcol = F.least(F.lit(kk), F.col("n_c") - 1).cast("int")
     dists = F.array_sort(F.filter(F.array(*[F.col(f"_lag{i}") for i in range(1, kk + 1)],
