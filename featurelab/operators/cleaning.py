@@ -54,13 +54,16 @@ def remove_by_key(df: DataFrame, substrings: list[str] | None, keys: list[str])
     return df.drop(*drop)
 
 
-def unsuitable_columns(df: DataFrame, features: list[str], nan_threshold: float = 0.5) -> list[str]:
+def _suitability_exprs(features: list[str]) -> dict:
     exprs = {"__n": F.count(F.lit(1))}
     for i, c in enumerate(features):
         exprs[f"c{i}"] = F.count(q(c))
         exprs[f"lo{i}"] = F.min(q(c))
         exprs[f"hi{i}"] = F.max(q(c))
-    st = fused_agg(df, exprs)
+    return exprs
+
+
+def _unsuitable_from(st: dict, features: list[str], nan_threshold: float) -> list[str]:
     n = st["__n"]
     drop = []
     for i, c in enumerate(features):
@@ -71,6 +74,10 @@ def unsuitable_columns(df: DataFrame, features: list[str], nan_threshold: float
     return drop
 
 
+def unsuitable_columns(df: DataFrame, features: list[str], nan_threshold: float = 0.5) -> list[str]:
+    return _unsuitable_from(fused_agg(df, _suitability_exprs(features)), features, nan_threshold)
+
+
 def remove_unsuitable(df: DataFrame, keys: list[str], nan_threshold: float = 0.5) -> DataFrame:
     """Drop columns with more than N*threshold nulls, or constant (no nulls, min = max)."""
     return df.drop(*unsuitable_columns(df, _features(df, keys), nan_threshold))
@@ -81,7 +88,10 @@ def outlier_plan(df: DataFrame, features: list[str], threshold: float) -> tuple[
     exprs = {f"o{i}": F.sum(F.when(F.abs(q(c)) > threshold, 1).otherwise(0))
              for i, c in enumerate(features)}
     st = fused_agg(df, exprs)
-    counts = {c: (st[f"o{i}"] or 0) for i, c in enumerate(features)}
+    return _outlier_decision({c: (st[f"o{i}"] or 0) for i, c in enumerate(features)})
+
+
+def _outlier_decision(counts: dict) -> tuple[list[str], list[str]]:
     multi = [v for v in counts.values() if v >= 2]
     # The reference raises on an empty median; here no column is dropped then.
     m = statistics.median(multi) if multi else float("inf")
@@ -90,11 +100,7 @@ def outlier_plan(df: DataFrame, features: list[str], threshold: float) -> tuple[
     return dropped, surviving
 
 
-def filter_outliers(df: DataFrame, keys: list[str], threshold: float = 10e6) -> DataFrame:
-    """Drop columns with more outliers than the median count (over columns with >= 2),
-    then every entity with an outlier in a surviving column."""
-    feats = _features(df, keys)
-    dropped, surviving = outlier_plan(df, feats, threshold)
+def _apply_outliers(df: DataFrame, dropped: list[str], surviving: list[str], threshold: float) -> DataFrame:
     out = df.drop(*dropped)
     if surviving:
         any_out = None
@@ -105,6 +111,14 @@ def filter_outliers(df: DataFrame, keys: list[str], threshold: float = 10e6) ->
     return out
 
 
+def filter_outliers(df: DataFrame, keys: list[str], threshold: float = 10e6) -> DataFrame:
+    """Drop columns with more outliers than the median count (over columns with >= 2),
+    then every entity with an outlier in a surviving column."""
+    feats = _features(df, keys)
+    dropped, surviving = outlier_plan(df, feats, threshold)
+    return _apply_outliers(df, dropped, surviving, threshold)
+
+
 def fill_undefined(df: DataFrame, keys: list[str], fill_func: str = "median",
                    exact: bool | None = None) -> DataFrame:
     """Fill nulls with the column median (else mean); an all-null column stays null.
@@ -123,6 +137,31 @@ def fill_undefined(df: DataFrame, keys: list[str], fill_func: str = "median",
                        for c in df.columns])
 
 
+def _fill_and_drop_constant(df: DataFrame, keys: list[str], fill_func: str = "median",
+                            exact: bool | None = None) -> DataFrame:
+    """D6 then D7 from ONE pass: after filling with the median of the non-null values a
+    column is constant iff it has a non-null value and min = max of the non-null values
+    (an all-null column stays null, which is not constant)."""
+    feats = _features(df, keys)
+    if fill_func == "median":
+        ex = use_exact(df, exact)
+        agg = (lambda c: quantile(c, 0.5, ex))
+    else:
+        agg = F.avg
+    exprs = {}
+    for i, c in enumerate(feats):
+        exprs[f"v{i}"] = agg(q(c))
+        exprs[f"c{i}"] = F.count(q(c))
+        exprs[f"lo{i}"] = F.min(q(c))
+        exprs[f"hi{i}"] = F.max(q(c))
+    st = fused_agg(df, exprs)
+    constant = {c for i, c in enumerate(feats) if st[f"c{i}"] and st[f"lo{i}"] == st[f"hi{i}"]}
+    values = {c: st[f"v{i}"] for i, c in enumerate(feats) if st[f"v{i}"] is not None}
+    return df.select(*[q(c) for c in keys],
+                     *[F.coalesce(q(c), F.lit(float(values[c]))).alias(c) if c in values else q(c)
+                       for c in feats if c not in constant])
+
+
 def constant_columns(df: DataFrame, features: list[str]) -> list[str]:
     exprs = {"__n": F.count(F.lit(1))}
     for i, c in enumerate(features):
@@ -225,10 +264,18 @@ def clean_features(df: DataFrame, key: str, funcs_to_exclude=None, entities_to_e
     df = remove_by_func(df, funcs_to_exclude, keys)
     df = remove_entities(df, key, entities_to_exclude)
     df = remove_by_key(df, keys_to_exclude, keys)
-    df = remove_unsuitable(df, keys, nan_threshold)
-    df = filter_outliers(df, keys, value_threshold)
-    df = fill_undefined(df, keys, fill_func)
-    df = remove_constant(df, keys)
+    # D4 and the outlier counts of D5 read the same rows: one pass for both.
+    feats = _features(df, keys)
+    st = fused_agg(df, {**_suitability_exprs(feats),
+                        **{f"o{i}": F.sum(F.when(F.abs(q(c)) > value_threshold, 1).otherwise(0))
+                           for i, c in enumerate(feats)}})
+    drop4 = _unsuitable_from(st, feats, nan_threshold)
+    df = df.drop(*drop4)
+    kept = [c for c in feats if c not in set(drop4)]
+    dropped5, surviving5 = _outlier_decision({c: (st[f"o{feats.index(c)}"] or 0) for c in kept})
+    df = _apply_outliers(df, dropped5, surviving5, value_threshold)
+    # D6 medians and the D7 constant test read the same (filtered) rows: one pass.
+    df = _fill_and_drop_constant(df, keys, fill_func)
     return drop_duplicates(df, key)
 
 

@@ -802,12 +802,24 @@ _METHODS = [("spearman", "i2_spearman_selector"), ("pearson", "i2_pearson_select
             ("mutual_info", "i4_mutual_info_selector")]
 
 
+_SELECTOR_FNS = {
+    "spearman": lambda d: sel.correlation_selector(d, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS),
+    "pearson": lambda d: sel.correlation_selector(d, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS, "pearson"),
+    "chi2": lambda d: sel.chi2_selector(d, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS),
+    "f_value": lambda d: sel.f_value_selector(d, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS),
+    "mutual_info": lambda d: sel.mutual_info_selector(d, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS),
+}
+
+
 def experiment_frame(spark, sf_dir) -> DataFrame:
-    """Union of the selector results: (method, fold, target, feature, score, kept)."""
+    """Union of the selector results: (method, fold, target, feature, score, kept).
+
+    The document features are extracted once and shared by the five selectors."""
+    d = doc_frame(spark, sf_dir)
     out = None
-    for m, qn in _METHODS:
-        df = QUERIES[qn][0](spark, sf_dir).select(F.lit(m).alias("method"), "fold", "target", "feature",
-                                                  "score", "kept")
+    for m, _qn in _METHODS:
+        df = _tidy(_SELECTOR_FNS[m](d)).select(F.lit(m).alias("method"), "fold", "target", "feature",
+                                                "score", "kept")
         out = df if out is None else out.unionByName(df)
     return cut_lineage(out)
 
