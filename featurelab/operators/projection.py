@@ -47,6 +47,19 @@ def project(df: DataFrame, key: str, feats: list[str], a: np.ndarray) -> DataFra
     return df.select(key, *z)
 
 
+def reconstruction_r2(df: DataFrame, feats: list[str], targets: list[str], a: np.ndarray,
+                      b: np.ndarray) -> dict[str, float]:
+    """K2: r^2 per column between [X, y] and its reconstruction B A x, one aggregate."""
+    cols = feats + targets
+    z = [sum((q(f) * float(a[i, j]) for j, f in enumerate(feats)), F.lit(0.0)) for i in range(2)]
+    exprs = []
+    for k, c in enumerate(cols):
+        rec = z[0] * float(b[k, 0]) + z[1] * float(b[k, 1])
+        exprs.append(F.corr(q(c), rec).alias(f"r{k}"))
+    row = df.agg(*exprs).collect()[0]
+    return {c: (None if row[f"r{k}"] is None else float(row[f"r{k}"]) ** 2) for k, c in enumerate(cols)}
+
+
 def loadings(spark: SparkSession, feats: list[str], a: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(f, round(float(a[0, j]), 4), round(float(a[1, j]), 4))
                                   for j, f in enumerate(feats)], "feature string, z1 double, z2 double")

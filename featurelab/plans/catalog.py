@@ -1338,3 +1338,17 @@ def q_k4(spark, sf_dir):
     names = [f for f in sel.selected_features(s, 0, "quality")][:10] or fx.DOC_FEATURES
     a, _b, _err = pj.fit_projection(d, names, ["quality"])
     return pj.project(d, "entity", names, a).join(d.select("entity", F.col("quality").alias("cls")), "entity")
+
+
+@register("j8_meta_model_run", None)
+def q_j8(spark, sf_dir):
+    df = planted_frame(spark, sf_dir)
+    return ln.meta_model_run(df, PLANTED_FEATS[:8], ["y"], K_FOLDS, "logreg", {"C": (0.01, 1.0)}, n_trials=2)
+
+
+@register("k2_reconstruction_r2", None)
+def q_k2r(spark, sf_dir):
+    df = planted_frame(spark, sf_dir)
+    a, b, _err = pj.fit_projection(df, PLANTED_FEATS, ["y"])
+    r2 = pj.reconstruction_r2(df, PLANTED_FEATS, ["y"], a, b)
+    return spark.createDataFrame([(c, v) for c, v in r2.items()], "column string, r2 double")
