@@ -85,3 +85,11 @@ def use_exact(df: DataFrame, exact: bool | None) -> bool:
 def quantile(c: Column, p, exact: bool) -> Column:
     """percentile (linear interpolation) when exact, else percentile_approx."""
     return F.percentile(c, p) if exact else F.percentile_approx(c, p, APPROX_ACCURACY)
+
+
+def use_exact_grouped(df: DataFrame, groups: list[str], exact: bool | None) -> bool:
+    """Like ``use_exact`` for grouped quantiles: decided by the largest group's row count."""
+    if exact is not None:
+        return exact
+    biggest = df.groupBy(*groups).count().agg(F.max("count")).collect()[0][0] or 0
+    return biggest <= EXACT_QUANTILE_ROWS

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import q
+from featurelab.functions.wide import q, use_exact_grouped
 from featurelab.sources.tables import nan_to_null, numeric_columns
 
 
 def collapse_folds(df: DataFrame, key: str, agg_func: str = "median",
-                   exclude: tuple[str, ...] = ("fold",), approx: bool = False) -> DataFrame:
+                   exclude: tuple[str, ...] = ("fold",), approx: bool | None = False) -> DataFrame:
     """Per entity median (else mean) of every numeric column; null keys dropped.
 
     ``median`` is exact (Spark's percentile keeps the values of one group; the
     groups here are the few fold rows of one entity).  ``approx=True`` uses
-    ``percentile_approx`` for groups with very many rows.
+    ``percentile_approx`` for groups with very many rows; ``approx=None`` decides by the
+    largest group.
     """
     feats = numeric_columns(df, exclude=(key, *exclude))
+    if approx is None and agg_func == "median":
+        approx = not use_exact_grouped(df, [key], None)
     if agg_func == "median":
         agg = (lambda c: F.percentile_approx(c, 0.5, 10_000)) if approx else F.median
     else:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import q
+from featurelab.functions.wide import q, use_exact_grouped
 
 STATS = ["mean", "sd", "min", "max", "skewness", "kurtosis", "cv", "median", "iq_range"]
 
@@ -50,11 +50,14 @@ def general(df: DataFrame, entity: str, numeric: list[str], categorical: list[st
                       *[q(c) for c in out.columns if c != entity])
 
 
-def statistical(df: DataFrame, entity: str, numeric: list[str], exact: bool = True) -> DataFrame:
+def statistical(df: DataFrame, entity: str, numeric: list[str], exact: bool | None = None) -> DataFrame:
     """B2: per entity and value column: mean, sd, min, max, skewness, kurtosis, cv, median, IQR.
 
-    ``exact=False`` uses bounded quantile sketches, for entities with very many rows.
+    ``exact=None`` keeps exact quantiles while the largest entity has at most
+    ``EXACT_QUANTILE_ROWS`` rows and switches to bounded sketches above (an exact
+    percentile holds every value of a group in one task).
     """
+    exact = use_exact_grouped(df, [entity], exact)
     aggs = []
     for c in numeric:
         for name, e in _stat_exprs(c, exact).items():

@@ -91,3 +91,31 @@ def test_exact_folds_sizes(spark):
     a = dict(assign_folds(df.repartition(1), "entity", 3, 42).select("entity", "fold").collect())
     b = dict(assign_folds(df.repartition(13), "entity", 3, 42).select("entity", "fold").collect())
     assert a == b
+
+
+def test_double_ml_matches_numpy_cross_fitting(spark, planted):
+    feats = C.PLANTED_FEATS[:5]
+    got = ca.double_ml_selector(planted, feats, ["y"], 3, ridge=1e-3).toPandas().set_index("feature").score
+    pdf = planted.select("fold", *feats, "y").toPandas()
+    x_all = pdf[feats].to_numpy()
+    y_all = pdf["y"].to_numpy()
+    thetas = []
+    for k in range(3):
+        tr = (pdf.fold != k).to_numpy()
+        te = ~tr
+        v_tr = np.column_stack([x_all[tr], y_all[tr]])
+        lam = 1e-3 * np.trace(v_tr.T @ v_tr) / (len(feats) + 1)
+        row = []
+        for j in range(len(feats)):
+            o = [i for i in range(len(feats)) if i != j]
+            xo = x_all[tr][:, o]
+            a = xo.T @ xo + lam * np.eye(len(o))
+            bj = np.linalg.solve(a, xo.T @ x_all[tr][:, j])
+            by = np.linalg.solve(a, xo.T @ y_all[tr])
+            rj = x_all[te][:, j] - x_all[te][:, o] @ bj
+            ry = y_all[te] - x_all[te][:, o] @ by
+            row.append((ry @ rj) / (rj @ rj))
+        thetas.append(row)
+    exp = np.mean(thetas, axis=0)
+    for j, f in enumerate(feats):
+        assert abs(got[f] - exp[j]) < 1e-8 * max(1.0, abs(exp[j]))
