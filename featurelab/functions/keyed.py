@@ -32,10 +32,17 @@ def keyed_bucket(seed, k: int, *parts) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"), F.lit(k)).cast("int")
 
 
+def keyed_uniform_pair(seed, *parts) -> tuple[Column, Column]:
+    """Two independent uniforms from ONE md5: hex digits 1-13 and 14-26 (52 bits each)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[_as_col(p).cast("string") for p in parts]))
+    u1 = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO_52)
+    u2 = F.conv(F.substring(h, 14, 13), 16, 10).cast("double") / F.lit(TWO_52)
+    return u1, u2
+
+
 def keyed_normal(seed, *parts) -> Column:
-    """Standard normal by Box-Muller from two keyed uniforms."""
-    u1 = keyed_uniform(seed, "u1", *parts)
-    u2 = keyed_uniform(seed, "u2", *parts)
+    """Standard normal by Box-Muller from the two keyed uniforms of one md5."""
+    u1, u2 = keyed_uniform_pair(seed, "n", *parts)
     # 1 - u1 lies in (0, 1], so the log is finite.
     return F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(2.0 * math.pi * u2)
 

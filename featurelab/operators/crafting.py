@@ -118,5 +118,29 @@ def shift_variants(df: DataFrame, key: str, scenario: str, n_added: int = 100, s
     return df.select("*", *cols)
 
 
+def shift_variants_long(df: DataFrame, key: str, scenario: str, n_added: int = 100,
+                        seed: int = 42) -> DataFrame:
+    """G5 in long layout ``(key, feature, value)``: the same values as ``shift_variants``,
+    built as one narrow expression over (row x added column) instead of a projection with
+    ``n_added`` wide expressions (which exceeds the generated-code size limits)."""
+    feats = [c for c in df.columns if c != key]
+    idx = F.explode(F.sequence(F.lit(0), F.lit(n_added - 1))).alias("_i")
+    base = df.select(key, F.array(*[q(f).cast("double") for f in feats]).alias("_x"), idx)
+    name = F.concat(F.lit("U "), F.col("_i").cast("string"))
+    if scenario == "random":
+        v = keyed_normal(seed, F.col(key), name)
+    elif scenario == "corrupted":
+        src = F.array(*[F.lit(int(name_uniform(seed, "src", i) * len(feats))) for i in range(n_added)])
+        v = F.element_at(F.col("_x"), F.element_at(src, F.col("_i") + 1) + 1) + 0.5 * keyed_normal(seed, F.col(key), name)
+    elif scenario == "second_order":
+        sa = F.array(*[F.lit(int(name_uniform(seed, "a", i) * len(feats))) for i in range(n_added)])
+        sb = F.array(*[F.lit(int(name_uniform(seed, "b", i) * len(feats))) for i in range(n_added)])
+        v = F.element_at(F.col("_x"), F.element_at(sa, F.col("_i") + 1) + 1) * \
+            F.element_at(F.col("_x"), F.element_at(sb, F.col("_i") + 1) + 1)
+    else:
+        raise ValueError(scenario)
+    return base.select(key, name.alias("feature"), v.alias("value"))
+
+
 def added_share(n_original: int, n_added: int) -> float:
     return 100.0 * n_added / (n_original + n_added) if n_original + n_added else math.nan

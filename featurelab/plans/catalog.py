@@ -712,9 +712,12 @@ def _sql_u(tag_parts: list[str]) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(tag_parts)})), 1, 13) AS BIGINT) / 4503599627370496.0)"
 
 
-def _sql_normal(name: str) -> str:
-    u1 = _sql_u(["'42'", "'u1'", "CAST(entity AS VARCHAR)", f"'{name}'"])
-    u2 = _sql_u(["'42'", "'u2'", "CAST(entity AS VARCHAR)", f"'{name}'"])
+def _sql_normal(name: str | None = None, name_sql: str | None = None) -> str:
+    """DuckDB twin of keyed_normal for a literal column name or a SQL expression giving it."""
+    nm = name_sql if name_sql is not None else f"'{name}'"
+    h = f"md5(concat_ws(':', '42', 'n', CAST(entity AS VARCHAR), {nm}))"
+    u1 = f"(CAST('0x' || substr({h}, 1, 13) AS BIGINT) / 4503599627370496.0)"
+    u2 = f"(CAST('0x' || substr({h}, 14, 13) AS BIGINT) / 4503599627370496.0)"
     return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2}))"
 
 
@@ -774,10 +777,21 @@ def q_g23(spark, sf_dir):
     return _g_long(out, ("corrupted___", "so___"))
 
 
-@register("g5_shift_random", None)
+@register("g5_shift_random",
+          "SELECT entity, 'U ' || CAST(i AS VARCHAR) AS feature, "
+          + sql_round6(_sql_normal(name_sql="'U ' || CAST(i AS VARCHAR)"))
+          + " AS value FROM (" + S.doc_features() + ") d, range(100) t(i)")
 def q_g5(spark, sf_dir):
     d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
-    return _g_long(cr.shift_variants(d, "entity", "random", 100), ("U ",))
+    out = cr.shift_variants_long(d, "entity", "random", 100)
+    return out.select("entity", "feature", round6(F.col("value")).alias("value"))
+
+
+@register("g5_shift_corrupted", None)
+def q_g5c(spark, sf_dir):
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
+    out = cr.shift_variants_long(d, "entity", "corrupted", 100)
+    return out.select("entity", "feature", round6(F.col("value")).alias("value"))
 
 
 @register("h3_slices", None)

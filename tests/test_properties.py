@@ -67,3 +67,16 @@ def test_approximate_quantiles_close_to_exact(spark):
     ap = tg.quantile_edges(df, ["a", "b"], 4, exact=False)
     for c in ("a", "b"):
         assert np.allclose(ex[c][1:-1], ap[c][1:-1], atol=0.02 * (ex[c][-1] - ex[c][0]))
+
+
+def test_shift_variants_long_equals_wide(spark):
+    from featurelab.functions.wide import to_long
+    from featurelab.operators import crafting as cr
+    df = _frame(spark, 50).select("entity", "a", "b", "c")
+    for scenario in ("random", "corrupted", "second_order"):
+        wide = cr.shift_variants(df, "entity", scenario, 7)
+        w = to_long(wide, ["entity"], [f"U {i}" for i in range(7)])
+        lo = cr.shift_variants_long(df, "entity", scenario, 7)
+        a = _sorted(w, ["entity", "feature", "value"])
+        b = _sorted(lo, ["entity", "feature", "value"])
+        assert a == b, scenario
