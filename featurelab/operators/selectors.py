@@ -169,7 +169,8 @@ def f_value_selector(df: DataFrame, key: str, features: list[str], targets: list
     w = Window.partitionBy("fold", "target")
     med = F.percentile(F.col("score"), quantile_value).over(w)
     p = p_value_f(F.col("score"), F.col("dfb"), F.col("dfw"))
-    kept = F.coalesce((p <= p_threshold) & (F.abs("score") >= med), F.lit(False))
+    st = st.withColumn("p_ok", F.coalesce(p <= p_threshold, F.lit(False)))
+    kept = F.coalesce(F.col("p_ok") & (F.abs("score") >= med), F.lit(False))
     return st.withColumn("kept", kept).drop("dfb", "dfw")
 
 
@@ -311,3 +312,29 @@ def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targe
     st = st.select(F.col("train_fold").alias("fold"), "target", "feature", F.col("n").cast("long"), mi.alias("score"))
     thr = F.percentile(F.col("score"), quantile_value).over(Window.partitionBy("fold", "target"))
     return st.withColumn("kept", F.coalesce(F.col("score") >= thr, F.lit(False)))
+
+
+# ------------------------------------------------- I12 grid over slices -----
+
+def selection_over_slices(result: DataFrame, slices: DataFrame, relative: tuple[str, float] | None = None,
+                          absolute_kept: str | None = "kept") -> DataFrame:
+    """I12 with H3: the selection of every (slice, iter, fold, target) cell in one job.
+
+    A univariate score does not depend on the other columns of a slice, so ``result``
+    (fold, target, feature, n, score, kept) is computed once and joined with the slice
+    table (slice, iter, feature) -- names only, a few rows per feature.  What depends on
+    the column set is re-evaluated per cell: ``relative = ("median"|"quantile", q)`` keeps a
+    feature only if its score is >= the q-quantile of the cell's scores (F value: median,
+    mutual information: 0.9), on top of the fixed-threshold flag ``absolute_kept``.
+    Ranks are by abs(score) desc, ties by name, per cell.
+    """
+    j = result.join(slices, "feature")
+    cell = ["slice", "iter", "fold", "target"]
+    kept = F.col(absolute_kept) if absolute_kept else F.lit(True)
+    if relative is not None:
+        _kind, qv = relative
+        thr = F.percentile(F.col("score"), qv).over(Window.partitionBy(*cell))
+        kept = kept & (F.col("score") >= thr)
+    j = j.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    w = Window.partitionBy(*cell, "kept").orderBy(F.abs("score").desc_nulls_last(), "feature")
+    return j.withColumn("rank", F.when(F.col("kept"), F.row_number().over(w)).cast("int"))

@@ -1366,3 +1366,74 @@ def q_k2r(spark, sf_dir):
     a, b, _err = pj.fit_projection(df, PLANTED_FEATS, ["y"])
     r2 = pj.reconstruction_r2(df, PLANTED_FEATS, ["y"], a, b)
     return spark.createDataFrame([(c, v) for c, v in r2.items()], "column string, r2 double")
+
+
+# --------------------------------------------- I12 x H3: grid over slices ---
+_SLICE_SIZES = [2, 4]
+_SLICE_ITERS = 3
+
+
+def _slices_sql() -> str:
+    names = ", ".join(f"'{f}'" for f in fx.DOC_FEATURES)
+    sizes = ", ".join(f"({s})" for s in _SLICE_SIZES)
+    u = ("(CAST('0x' || substr(md5(concat_ws(':', '42', CAST(s.size AS VARCHAR), CAST(i.iter AS VARCHAR), "
+         "f.feature)), 1, 13) AS BIGINT) / 4503599627370496.0)")
+    return (f"sl AS (SELECT CAST(size AS VARCHAR) AS slice, iter, feature FROM (SELECT s.size, i.iter, f.feature, "
+            f"row_number() OVER (PARTITION BY s.size, i.iter ORDER BY {u}, f.feature) AS rn "
+            f"FROM (VALUES {sizes}) s(size), (SELECT unnest(range({_SLICE_ITERS})) AS iter) i, "
+            f"(SELECT unnest([{names}]) AS feature) f) x WHERE rn <= size)")
+
+
+@register("h3_slices_values",
+          "WITH " + _slices_sql() + " SELECT slice, iter, feature FROM sl")
+def q_h3v(spark, sf_dir):
+    feats = [c for c in fx.doc_features(spark, sf_dir).columns if c in fx.DOC_FEATURES]
+    return sp.slice_features(spark, feats, _SLICE_SIZES, n_iter=_SLICE_ITERS)
+
+
+def _fvalue_grid_sql() -> str:
+    nu = "(n - 2)"
+    t = _t_crit_sql(nu)
+    return ("WITH " + _class_long_sql() + ", " + _slices_sql() + ", "
+            "pc AS (SELECT fold, target, feature, cls, count(*) AS cnt, sum(value) AS s1, sum(value * value) AS s2 "
+            "FROM cl GROUP BY ALL), "
+            "st0 AS (SELECT fold, target, feature, sum(cnt) AS n, count(*) AS ncls, sum(s1) AS t1, sum(s2) AS t2, "
+            "sum(s1 * s1 / cnt) AS b FROM pc GROUP BY ALL), "
+            "st AS (SELECT fold, target, feature, n, ncls, ((b - t1 * t1 / n) / (ncls - 1)) / "
+            "(((t2 - t1 * t1 / n) - (b - t1 * t1 / n)) / (n - ncls)) AS score FROM st0), "
+            f"po AS (SELECT *, coalesce(ncls = 2 AND score >= pow({t}, 2), false) AS p_ok FROM st), "
+            "g AS (SELECT sl.slice, sl.iter, po.*, quantile_cont(score, 0.5) OVER (PARTITION BY sl.slice, sl.iter, fold, target) "
+            "AS thr FROM po JOIN sl ON po.feature = sl.feature), "
+            "k AS (SELECT slice, iter, fold, target, feature, score, coalesce(p_ok AND score >= thr, false) AS kept FROM g) "
+            "SELECT slice, iter, fold, target, feature, " + sql_round6("score") + " AS score, kept, "
+            "CASE WHEN kept THEN CAST(row_number() OVER (PARTITION BY slice, iter, fold, target, kept "
+            "ORDER BY abs(score) DESC NULLS LAST, feature) AS INTEGER) END AS rank FROM k")
+
+
+@register("i12_selection_grid_slices", _fvalue_grid_sql())
+def q_i12g(spark, sf_dir):
+    """F-value selection for every (slice, iter, fold, target): scores once, median rule per cell."""
+    d = doc_frame(spark, sf_dir)
+    res = sel.f_value_selector(d, "entity", fx.DOC_FEATURES, DOC_TARGETS, K_FOLDS)
+    slices = F.broadcast(q_h3v(spark, sf_dir))   # names only: sizes x iterations x F rows
+    out = sel.selection_over_slices(res, slices, relative=("median", 0.5), absolute_kept="p_ok")
+    return out.select("slice", "iter", "fold", "target", "feature", round6(F.col("score")).alias("score"),
+                      "kept", "rank")
+
+
+_PCTS = [0.1, 0.5, 1.0]
+
+
+@register("h4_uninformative_samples_values",
+          "WITH f AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in fx.DOC_FEATURES + [f"noise___normal_{i}" for i in range(3)])
+          + "]) AS feature), g AS (SELECT p.pct, i.iter, f.feature, contains(f.feature, '___') AS crafted FROM f, "
+          "(SELECT unnest([" + ", ".join(repr(p) for p in _PCTS) + "]) AS pct) p, (SELECT unnest(range(2)) AS iter) i), "
+          "r AS (SELECT *, row_number() OVER (PARTITION BY pct, iter, crafted ORDER BY "
+          "(CAST('0x' || substr(md5(concat_ws(':', '42', CAST(pct AS VARCHAR), CAST(iter AS VARCHAR), feature)), 1, 13) "
+          "AS BIGINT) / 4503599627370496.0), feature) AS rn FROM g) "
+          "SELECT CAST(pct AS VARCHAR) AS slice, iter, feature FROM r WHERE NOT crafted OR rn <= CAST(floor(pct * 3) AS INTEGER)")
+def q_h4v(spark, sf_dir):
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
+    crafted = cr.add_noise(d, "entity", 3, "normal", SEED)
+    feats = [c for c in crafted.columns if c != "entity"]
+    return sp.sample_uninformative(spark, feats, _PCTS, n_iter=2, seed=SEED)
