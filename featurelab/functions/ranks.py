@@ -59,6 +59,13 @@ def _offsets(bucketed: DataFrame, groups: list[str], weight: Column) -> DataFram
     return tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
 
 
+def _offsets_multi(bucketed: DataFrame, groups: list[str], weights: list[str]) -> DataFrame:
+    tot = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(wc).alias(f"_tot{i}") for i, wc in enumerate(weights)])
+    w = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return tot.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_tot{i}").over(w), F.lit(0)).alias(f"_off{i}")
+                                            for i in range(len(weights))])
+
+
 def average_rank(df: DataFrame, groups: list[str], value: str, out: str = "rank",
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out`` = average rank (1-based) of ``value`` within ``groups``; null stays null."""
@@ -132,3 +139,32 @@ def neighbour_distances(df: DataFrame, groups: list[str], value: str, k: int, ro
         u = u.withColumn(f"_lag{i}", F.col(value) - F.lag(value, i).over(wo)) \
              .withColumn(f"_lead{i}", F.lead(value, i).over(wo) - F.col(value))
     return u.where("_own").drop("_own", "_bucket")
+
+
+def fold_average_ranks(long_df: DataFrame, groups: list[str], value: str, k: int, fold: str = "fold",
+                       prefix: str = "_r", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Average rank of every row's value among the TRAINING rows of each fold t (rows with
+    fold != t), for t = 0..k-1, as columns ``{prefix}0 .. {prefix}{k-1}`` -- without copying
+    rows to their training folds.
+
+    Ties are collapsed to (group, value) with one count per fold; running counts of each
+    fold's values below v (distributed, bucketed) give below_f(v); then for training set t
+    below_t = sum_{f != t} below_f and the average rank is below_t + (ties_t + 1) / 2.
+    """
+    cnt = long_df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+        *[F.sum(F.when(F.col(fold) == f, 1).otherwise(0)).alias(f"_n{f}") for f in range(k)])
+    bucketed, n_buckets = _plan_buckets(cnt, groups, value, rows_per_bucket)
+    w = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = bucketed.select("*", *[F.coalesce(F.sum(f"_n{f}").over(w), F.lit(0)).alias(f"_b{f}") for f in range(k)])
+    if n_buckets > 1:
+        offs = _offsets_multi(bucketed, groups, [f"_n{f}" for f in range(k)])
+        run = run.join(offs, groups + ["_bucket"], "left")
+        for f in range(k):
+            run = run.withColumn(f"_b{f}", F.col(f"_b{f}") + F.col(f"_off{f}"))
+    ranks = []
+    for t in range(k):
+        below = sum((F.col(f"_b{f}") for f in range(k) if f != t), F.lit(0))
+        ties = sum((F.col(f"_n{f}") for f in range(k) if f != t), F.lit(0))
+        ranks.append(F.when(ties > 0, below + (ties + 1) / 2.0).alias(f"{prefix}{t}"))
+    table = run.select(*groups, value, *ranks)
+    return long_df.join(table, groups + [value], "left")

@@ -5,8 +5,8 @@ the test fold of the row (H1).  The training rows of fold k are the rows with
 ``fold != k``.  Additive statistics (class sums, counts, moments, joint bin
 counts) are computed once per (row fold, ...) and the training value of fold k
 is *total - part of fold k*: no row is replicated.  Spearman needs ranks, which
-are not additive; there every row is replicated to the k - 1 folds it trains
-in and ranked with the distributed rank of P1.
+are not additive: every row gets its rank among the training rows of each fold
+from per-fold running counts (P1), still without copying rows.
 
 Every selector returns the tidy frame
 ``(fold, target, feature, n, score, kept)``; ``selection`` adds ``rank`` by
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelab.functions.ranks import average_rank
+from featurelab.functions.ranks import average_rank, fold_average_ranks
 from featurelab.functions.special import p_value_chi2, p_value_f, pearson_p_value
 from featurelab.functions.wide import q, to_long
 
@@ -57,29 +57,40 @@ def base_selector(df: DataFrame, key: str, features: list[str], targets: list[st
 def correlation_selector(df: DataFrame, key: str, features: list[str], targets: list[str], k: int,
                          method: str = "spearman", p_threshold: float = 0.05,
                          abs_threshold: float = 0.2) -> DataFrame:
-    """Keep if p <= p_threshold and abs(r) >= abs_threshold (spearman or pearson)."""
-    base = df.select(key, "fold", *[q(c).cast("double").alias(c) for c in features + targets]) \
-             .withColumn("train_fold", F.explode(_train_folds(F.col("fold"), k))).drop("fold")
-    xl = to_long(base, [key, "train_fold"], features)
-    yl = to_long(base, [key, "train_fold"], targets, name="target", value="y")
+    """Keep if p <= p_threshold and abs(r) >= abs_threshold (spearman or pearson).
+
+    No row is copied to its training folds: each row carries one value per training fold
+    t (its average rank among the rows with fold != t, P1 per fold; for pearson the raw
+    value), and the correlation of fold t is a masked ``corr`` over the rows with
+    fold != t.  One aggregate per feature gives all k x T correlations.
+    """
+    base = df.select(key, "fold", *[q(c).cast("double").alias(c) for c in features + targets])
+    xl = to_long(base, [key, "fold"], features)
+    yl = to_long(base, [key, "fold"], targets, name="target", value="y")
     if method == "spearman":
-        xl = average_rank(xl, ["train_fold", "feature"], "value", "rx").drop("value")
-        yl = average_rank(yl, ["train_fold", "target"], "y", "ry").drop("y")
+        xr = fold_average_ranks(xl, ["feature"], "value", k, prefix="_x")
+        yr = fold_average_ranks(yl, ["target"], "y", k, prefix="_y")
     else:
-        xl = xl.withColumnRenamed("value", "rx")
-        yl = yl.withColumnRenamed("y", "ry")
-    # targets back to wide: one row per (key, train_fold) with T ranks.
-    yw = yl.groupBy(key, "train_fold").pivot("target", targets).agg(F.first("ry"))
-    j = xl.join(yw, [key, "train_fold"])
+        xr = xl.select("*", *[F.col("value").alias(f"_x{t}") for t in range(k)])
+        yr = yl.select("*", *[F.col("y").alias(f"_y{t}") for t in range(k)])
+    # targets back to one row per key: a conditional aggregate with the explicit target list
+    yw = yr.groupBy(key).agg(*[F.max(F.when(F.col("target") == tg, F.col(f"_y{t}"))).alias(f"_y{i}_{t}")
+                               for i, tg in enumerate(targets) for t in range(k)])
+    j = xr.join(yw, key)
     aggs = []
-    for i, t in enumerate(targets):
-        both = F.col("rx").isNotNull() & q(t).isNotNull()
-        aggs += [F.corr("rx", q(t)).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
-    st = j.groupBy("train_fold", "feature").agg(*aggs)
-    packed = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"r{i}").alias("r"),
-                                          F.col(f"n{i}").alias("n")) for i, t in enumerate(targets)]))
-    res = st.select(F.col("train_fold").alias("fold"), "feature", packed.alias("s")) \
-            .select("fold", F.col("s.target").alias("target"), "feature",
+    for t in range(k):
+        train = F.col("fold") != t
+        for i, _tg in enumerate(targets):
+            xv = F.when(train, F.col(f"_x{t}"))
+            yv = F.when(train, F.col(f"_y{i}_{t}"))
+            aggs += [F.corr(xv, yv).alias(f"r{t}_{i}"),
+                     F.count(F.when(xv.isNotNull() & yv.isNotNull(), 1)).alias(f"n{t}_{i}")]
+    st = j.groupBy("feature").agg(*aggs)
+    packed = F.explode(F.array(*[F.struct(F.lit(t).alias("fold"), F.lit(tg).alias("target"),
+                                          F.col(f"r{t}_{i}").alias("r"), F.col(f"n{t}_{i}").alias("n"))
+                                 for t in range(k) for i, tg in enumerate(targets)]))
+    res = st.select("feature", packed.alias("s")) \
+            .select(F.col("s.fold").alias("fold"), F.col("s.target").alias("target"), "feature",
                     F.col("s.n").cast("long").alias("n"), F.nanvl(F.col("s.r"), F.lit(None)).alias("score"))
     p = pearson_p_value(F.col("score"), F.col("n"))
     kept = F.coalesce((p <= p_threshold) & (F.abs("score") >= abs_threshold), F.lit(False))

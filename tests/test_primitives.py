@@ -95,3 +95,18 @@ def test_ksg_same_answer_with_many_buckets(spark):
     m = a.merge(b, on=["fold", "target", "feature"])
     assert len(m) == 9
     assert np.allclose(m.score_x, m.score_y, atol=1e-12)
+
+
+def test_fold_average_ranks_match_training_set_ranks(spark):
+    from featurelab.functions.ranks import fold_average_ranks
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 2), g, float(rnd.randint(0, 40))) for g in ("a", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, fold int, g string, v double")
+    got = fold_average_ranks(df, ["g"], "v", 3, prefix="_r", rows_per_bucket=11).toPandas()
+    pdf = pd.DataFrame(rows, columns=["key", "fold", "g", "v"])
+    for t in range(3):
+        tr = pdf[pdf.fold != t].copy()
+        tr["r"] = tr.groupby("g")["v"].rank(method="average")
+        exp = tr.set_index(["g", "key"])["r"]
+        sub = got[got.fold != t].set_index(["g", "key"])[f"_r{t}"]
+        assert np.allclose(sub.sort_index().to_numpy(), exp.sort_index().to_numpy())
