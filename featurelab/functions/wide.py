@@ -93,3 +93,13 @@ def use_exact_grouped(df: DataFrame, groups: list[str], exact: bool | None) -> b
         return exact
     biggest = df.groupBy(*groups).count().agg(F.max("count")).collect()[0][0] or 0
     return biggest <= EXACT_QUANTILE_ROWS
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation that is null (not an ANSI divide-by-zero error) when either
+    side has zero variance: covar_pop / (stddev_pop(x) * stddev_pop(y)).  Pairs with a
+    null on either side are left out of all three aggregates."""
+    both = x.isNotNull() & y.isNotNull()
+    xx = F.when(both, x)
+    yy = F.when(both, y)
+    return F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelab.functions.linalg import fold_gramians
-from featurelab.functions.wide import q
+from featurelab.functions.wide import q, safe_corr
 
 
 def fit_projection(df: DataFrame, feats: list[str], targets: list[str], ridge: float = 1e-9):
@@ -55,7 +55,7 @@ def reconstruction_r2(df: DataFrame, feats: list[str], targets: list[str], a: np
     exprs = []
     for k, c in enumerate(cols):
         rec = z[0] * float(b[k, 0]) + z[1] * float(b[k, 1])
-        exprs.append(F.corr(q(c), rec).alias(f"r{k}"))
+        exprs.append(safe_corr(q(c), rec).alias(f"r{k}"))
     row = df.agg(*exprs).collect()[0]
     return {c: (None if row[f"r{k}"] is None else float(row[f"r{k}"]) ** 2) for k, c in enumerate(cols)}
 

@@ -117,7 +117,7 @@ def summaries(results: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, sample sd, count and a normal-theory 95 % interval per group."""
     s = results.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
                                  F.count(value).alias("n"))
-    half = 1.959963984540054 * F.col("sd") / F.sqrt(F.col("n"))
+    half = F.try_divide(1.959963984540054 * F.col("sd"), F.sqrt(F.col("n")))
     return s.withColumn("lo", F.col("mean") - half).withColumn("hi", F.col("mean") + half)
 
 

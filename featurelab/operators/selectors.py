@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.ranks import average_rank, fold_average_ranks
 from featurelab.functions.special import p_value_chi2, p_value_f, pearson_p_value
-from featurelab.functions.wide import q, to_long
+from featurelab.functions.wide import q, safe_corr, to_long
 
 
 def _folds_array(k: int) -> Column:
@@ -83,7 +83,7 @@ def correlation_selector(df: DataFrame, key: str, features: list[str], targets:
         for i, _tg in enumerate(targets):
             xv = F.when(train, F.col(f"_x{t}"))
             yv = F.when(train, F.col(f"_y{i}_{t}"))
-            aggs += [F.corr(xv, yv).alias(f"r{t}_{i}"),
+            aggs += [safe_corr(xv, yv).alias(f"r{t}_{i}"),
                      F.count(F.when(xv.isNotNull() & yv.isNotNull(), 1)).alias(f"n{t}_{i}")]
     st = j.groupBy("feature").agg(*aggs)
     packed = F.explode(F.array(*[F.struct(F.lit(t).alias("fold"), F.lit(tg).alias("target"),
@@ -174,7 +174,7 @@ def f_value_selector(df: DataFrame, key: str, features: list[str], targets: list
     ss_within = ss_tot - ss_between
     dfb = (F.col("ncls") - 1).cast("double")
     dfw = (F.col("n") - F.col("ncls")).cast("double")
-    fstat = F.try_divide(ss_between / dfb, ss_within / dfw)
+    fstat = F.try_divide(F.try_divide(ss_between, dfb), F.try_divide(ss_within, dfw))
     st = st.select(F.col("train_fold").alias("fold"), "target", "feature", F.col("n").cast("long"),
                    fstat.alias("score"), dfb.alias("dfb"), dfw.alias("dfw"))
     w = Window.partitionBy("fold", "target")
