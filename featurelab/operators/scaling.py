@@ -115,8 +115,10 @@ def power_lambdas(df: DataFrame, feats: list[str], grid: list[float] = LAMBDA_GR
         F.var_pop(yj).alias("v"), F.count(F.lit(1)).alias("n"),
         F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("s"))
     ll = (-F.col("n") / 2.0) * F.log(F.col("v")) + (F.col("lam") - 1.0) * F.col("s")
-    best = st.withColumn("ll", ll).groupBy("feature").agg(F.max_by("lam", "ll").alias("lam"))
-    return {r["feature"]: r["lam"] for r in best.collect()}
+    best = st.withColumn("ll", ll).where(F.col("ll").isNotNull() & ~F.isnan("ll")) \
+             .groupBy("feature").agg(F.max_by("lam", "ll").alias("lam"))
+    # a constant column has no likelihood (zero variance): lambda 1, the identity
+    return {r["feature"]: r["lam"] for r in best.collect() if r["lam"] is not None}
 
 
 def power_transform(df: DataFrame, keys: list[str], grid: list[float] = LAMBDA_GRID) -> DataFrame:
@@ -124,7 +126,7 @@ def power_transform(df: DataFrame, keys: list[str], grid: list[float] = LAMBDA_G
     feats = _feats(df, keys)
     lams = power_lambdas(df, feats, grid)
     t = df.select(*[q(k) for k in keys],
-                  *[yeo_johnson(q(c), lams.get(c, 1.0)).alias(c) for c in feats])
+                  *[yeo_johnson(q(c), lams.get(c) if lams.get(c) is not None else 1.0).alias(c) for c in feats])
     return standard_scale(t, keys)
 
 
