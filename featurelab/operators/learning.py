@@ -2,13 +2,16 @@
 
 Data stay on the executors: per (fold, target) one assembled training frame is
 fitted once and scored on its test fold; all scores come from the prediction
-table by the aggregates of ``reporting`` (no per-score refit).  Fits are
-issued from the driver one after another (Spark parallelises each fit).
+table by the aggregates of ``reporting`` (no per-score refit).  Independent
+fits are issued from a bounded driver thread pool (``FIT_THREADS``), so the
+cluster runs the jobs of several small fits at once.
 """
 
+
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -20,6 +23,16 @@ from pyspark.sql import functions as F
 from featurelab.functions.wide import q
 from featurelab.operators import reporting as rp
 
+FIT_THREADS = 4
+
+
+def _in_pool(fn, items):
+    items = list(items)
+    if len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(items))) as pool:
+        return list(pool.map(fn, items))
+
 
 def assemble(df: DataFrame, feats: list[str], keep: list[str]) -> DataFrame:
     tmp = [f"_c{i}" for i in range(len(feats))]
@@ -74,16 +87,18 @@ def model_selector(df: DataFrame, feats: list[str], targets: list[str], k: int,
     rows = []
     for t in targets:
         data = assemble(df.where(q(t).isNotNull()), feats, ["fold", t]).withColumnRenamed(t, "label").cache()
+
+        def fit_fold(fold, data=data, t=t):
+            train = data.where(F.col("fold") != fold)
+            n = train.count()
+            ncls = train.select("label").distinct().count()
+            if ncls < 2 or (model == "l1_logreg" and ncls > 2):
+                return []
+            m = make_model(model, n, len(feats), ncls, seed).fit(train)
+            return [(fold, t, f, n, v, abs(v) > 0) for f, v in zip(feats, importances(m, model, len(feats)))]
         try:
-            for fold in range(k):
-                train = data.where(F.col("fold") != fold)
-                n = train.count()
-                ncls = train.select("label").distinct().count()
-                if ncls < 2 or (model == "l1_logreg" and ncls > 2):
-                    continue
-                m = make_model(model, n, len(feats), ncls, seed).fit(train)
-                for f, v in zip(feats, importances(m, model, len(feats))):
-                    rows.append((fold, t, f, n, v, abs(v) > 0))
+            for part in _in_pool(fit_fold, range(k)):
+                rows.extend(part)
         finally:
             data.unpersist()
     return spark.createDataFrame(rows, "fold int, target string, feature string, n long, score double, kept boolean")
@@ -120,25 +135,28 @@ def cross_validate(df: DataFrame, feats_by_cell, targets: list[str], k: int, mod
 
     ``feats_by_cell(fold, target) -> list[str]`` gives the selected columns.
     """
-    preds = None
+    cells = [(fold, t, feats_by_cell(fold, t)) for t in targets for fold in range(k)]
+    cells = [c for c in cells if c[2]]
     cached = []
-    for t in targets:
-        for fold in range(k):
-            feats = feats_by_cell(fold, t)
-            if not feats:
-                continue
-            data = assemble(df.where(q(t).isNotNull()), feats, ["entity", "fold", t]).withColumnRenamed(t, "label")
-            train = data.where(F.col("fold") != fold).cache()   # iterative fits re-read it
-            cached.append(train)
-            test = data.where(F.col("fold") == fold)
-            n = train.count()
-            ncls = train.select("label").distinct().count()
-            if ncls < 2:
-                continue
-            m = make_model(model, n, len(feats), max(2, ncls), seed, params).fit(train)
-            out = m.transform(test).select(
-                "entity", F.lit(fold).alias("fold"), F.lit(t).alias("target"), F.col("label").alias("y"),
-                F.col("prediction").alias("pred"), vector_to_array("probability")[1].alias("p"))
+
+    def fit_cell(cell):
+        fold, t, feats = cell
+        data = assemble(df.where(q(t).isNotNull()), feats, ["entity", "fold", t]).withColumnRenamed(t, "label")
+        train = data.where(F.col("fold") != fold).cache()   # iterative fits re-read it
+        cached.append(train)
+        test = data.where(F.col("fold") == fold)
+        n = train.count()
+        ncls = train.select("label").distinct().count()
+        if ncls < 2:
+            return None
+        m = make_model(model, n, len(feats), max(2, ncls), seed, params).fit(train)
+        return m.transform(test).select(
+            "entity", F.lit(fold).alias("fold"), F.lit(t).alias("target"), F.col("label").alias("y"),
+            F.col("prediction").alias("pred"), vector_to_array("probability")[1].alias("p"))
+
+    preds = None
+    for out in _in_pool(fit_cell, cells):
+        if out is not None:
             preds = out if preds is None else preds.unionByName(out)
     if preds is None:
         return df.sparkSession.createDataFrame([], "fold int, target string, b_acc double, f1 double, roc double")
