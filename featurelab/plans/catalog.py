@@ -3,6 +3,20 @@
 ``QUERIES[name] = (spark_fn, oracle_sql_or_None)``.  Every Spark query reads
 the driver tables through the fixtures; every double output is rounded to six
 decimals in both engines so that value hashes compare.
+
+Sections, in order (later sections reuse the frames and SQL of earlier ones):
+  C4, D2, D10, D11 ... long metrics table (lineitem per supplier / part)
+  E1-E5 ............... targets pivoted from the metrics
+  C1-C3, D1-D9 ........ entity features (lineitem x orders x customer), long-form
+                        output where the column set depends on the data
+  H, I1-I5, I12 ....... document features x labels, folds, filter selectors
+  F1-F11 .............. scaling and collinearity on the cleaned features
+  G, H3, H4 ........... crafted columns, slices, uninformative samples
+  J9, J10, L .......... scores and analytics over the selector results
+  B ................... profiles of events per user
+  I6-I10, J, K ........ Spark ML fits on the planted embedding target
+  I4 (nearest neighbour), I11, I13, I14/J13, J12, H2, F8, L1, L3, J6, J11,
+  I12 over slices ..... compositions
 """
 
 from __future__ import annotations
