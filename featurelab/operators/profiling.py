@@ -112,3 +112,40 @@ def info_theory(df: DataFrame, entity: str, attr: str, cls: str) -> DataFrame:
 def bin_numeric(c: Column, width: float) -> Column:
     """Numeric -> categorical by fixed-width bins."""
     return F.floor(c / width).cast("int").cast("string")
+
+
+def one_hot_counts(df: DataFrame, entity: str, cat: str, categories: list[str]) -> DataFrame:
+    """B5 (categorical encoding) per entity: count of each category, ``pivot`` with the
+    explicit category list (no distinct scan)."""
+    return df.groupBy(entity).pivot(cat, categories).agg(F.count(F.lit(1))) \
+             .select(entity, *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"{cat}={c}") for c in categories])
+
+
+def rescale_per_entity(df: DataFrame, entity: str, cols: list[str], method: str = "standard",
+                       exact: bool | None = None) -> DataFrame:
+    """B5 (rescale) inside each entity: standard (population sd, 0 -> 1), min-max (constant -> 0)
+    or robust ((x - median) / IQR, 0 -> 1).
+
+    The statistics come from a grouped aggregate (partial on the map side) joined back on the
+    entity key -- not a window over the entity, which would put a hot entity in one task.
+    """
+    if method == "standard":
+        aggs = [F.avg(q(c)).alias(f"_a{i}") for i, c in enumerate(cols)] + \
+               [F.stddev_pop(q(c)).alias(f"_b{i}") for i, c in enumerate(cols)]
+    elif method == "minmax":
+        aggs = [F.min(q(c)).alias(f"_a{i}") for i, c in enumerate(cols)] + \
+               [(F.max(q(c)) - F.min(q(c))).alias(f"_b{i}") for i, c in enumerate(cols)]
+    elif method == "robust":
+        ex = use_exact_grouped(df, [entity], exact)
+        med = (lambda c, p: F.percentile(c, p)) if ex else (lambda c, p: F.percentile_approx(c, p, 10_000))
+        aggs = [med(q(c), 0.5).alias(f"_a{i}") for i, c in enumerate(cols)] + \
+               [(med(q(c), 0.75) - med(q(c), 0.25)).alias(f"_b{i}") for i, c in enumerate(cols)]
+    else:
+        raise ValueError(method)
+    st = df.groupBy(entity).agg(*aggs)
+    j = df.join(st, entity)
+    out = []
+    for i, c in enumerate(cols):
+        scale = F.when(F.col(f"_b{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_b{i}"))
+        out.append(((q(c) - F.col(f"_a{i}")) / scale).alias(c))
+    return j.select(*[q(x) for x in df.columns if x not in cols], *out)

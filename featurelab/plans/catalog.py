@@ -1451,3 +1451,36 @@ def q_h4v(spark, sf_dir):
     crafted = cr.add_noise(d, "entity", 3, "normal", SEED)
     feats = [c for c in crafted.columns if c != "entity"]
     return sp.sample_uninformative(spark, feats, _PCTS, n_iter=2, seed=SEED)
+
+
+# ---------------------------------------------------------- B5 preparation --
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]   # fixed category list of the events table
+
+
+@register("b5_one_hot_counts",
+          "SELECT entity, " + ", ".join(f"CAST(count(*) FILTER (WHERE category = '{c}') AS DOUBLE) AS \"category={c}\""
+                                        for c in _EVENT_TYPES) + f" FROM ({_events_sql()}) e GROUP BY entity")
+def q_b5o(spark, sf_dir):
+    return pf.one_hot_counts(_events(spark, sf_dir), "entity", "category", _EVENT_TYPES)
+
+
+def _rescale_sql(method: str) -> str:
+    if method == "standard":
+        a, b = "avg(value)", "stddev_pop(value)"
+    elif method == "minmax":
+        a, b = "min(value)", "max(value) - min(value)"
+    else:
+        a, b = sql_percentile("value", 0.5), f"({sql_percentile('value', 0.75)}) - ({sql_percentile('value', 0.25)})"
+    return (f"WITH e AS ({_events_sql()}), st AS (SELECT entity, {a} AS a, {b} AS b FROM e GROUP BY entity) "
+            "SELECT e.entity, e.category, " + sql_round6("(e.value - st.a) / CASE WHEN st.b = 0 THEN 1.0 ELSE st.b END")
+            + " AS value FROM e JOIN st ON e.entity = st.entity")
+
+
+for _method in ("standard", "minmax", "robust"):
+    def _mk(method):
+        def run(spark, sf_dir):
+            ev = _events(spark, sf_dir).select("entity", "category", "value")
+            out = pf.rescale_per_entity(ev, "entity", ["value"], method)
+            return out.select("entity", "category", round6(F.col("value")).alias("value"))
+        return run
+    QUERIES[f"b5_rescale_{_method}"] = (_mk(_method), _rescale_sql(_method))
