@@ -71,9 +71,65 @@ def quantile_edges(df: DataFrame, columns: list[str], n_bins: int = 2,
             lo, hi = st[f"lo{i}"], st[f"hi{i}"]
             out[c] = None if lo is None else [lo + (hi - lo) * k / n_bins for k in range(n_bins + 1)]
         return out
+    if strategy == "kmeans":
+        return kmeans_edges(df, columns, n_bins)
     raise ValueError(f"unsupported strategy {strategy!r}")
 
 
+def kmeans_edges(df: DataFrame, columns: list[str], n_bins: int, max_iter: int = 300,
+                 tol: float = 1e-4) -> dict[str, list[float]]:
+    """E2 ``strategy="kmeans"``: one-dimensional Lloyd iterations for all columns at once.
+
+    Centres start at the midpoints of the uniform bins; each iteration assigns every value
+    to its nearest centre (a column expression) and recomputes all centres in ONE fused
+    aggregate; stop when the squared centre shift is below ``tol`` x mean variance.
+    Edges are [min, midpoints of the sorted centres, max].
+    """
+    st0 = fused_agg(df, {**{f"lo{i}": F.min(q(c)) for i, c in enumerate(columns)},
+                         **{f"hi{i}": F.max(q(c)) for i, c in enumerate(columns)},
+                         **{f"v{i}": F.var_pop(q(c)) for i, c in enumerate(columns)}})
+    centres = {}
+    for i, c in enumerate(columns):
+        lo, hi = st0[f"lo{i}"], st0[f"hi{i}"]
+        if lo is None:
+            continue
+        e = [lo + (hi - lo) * k / n_bins for k in range(n_bins + 1)]
+        centres[c] = [(a + b) / 2 for a, b in zip(e[:-1], e[1:])]
+    live = [c for c in columns if c in centres]
+    var_mean = sum((st0[f"v{columns.index(c)}"] or 0.0) for c in live) / max(len(live), 1)
+    for _ in range(max_iter):
+        exprs = {}
+        for i, c in enumerate(live):
+            cs = centres[c]
+            x = q(c)
+            # nearest centre index, ties to the lower index
+            best = F.lit(0)
+            bestd = F.abs(x - F.lit(cs[0]))
+            for j in range(1, len(cs)):
+                d = F.abs(x - F.lit(cs[j]))
+                best = F.when(d < bestd, F.lit(j)).otherwise(best)
+                bestd = F.least(d, bestd)
+            for j in range(len(cs)):
+                exprs[f"s{i}_{j}"] = F.avg(F.when(best == j, x))
+        st = fused_agg(df, exprs)
+        shift = 0.0
+        for i, c in enumerate(live):
+            new = [st[f"s{i}_{j}"] if st[f"s{i}_{j}"] is not None else centres[c][j]
+                   for j in range(len(centres[c]))]
+            shift += sum((a - b) ** 2 for a, b in zip(new, centres[c]))
+            centres[c] = new
+        if shift <= tol * var_mean:
+            break
+    out = {c: None for c in columns}
+    for i, c in enumerate(columns):
+        if c not in centres:
+            continue
+        cs = sorted(centres[c])
+        lo, hi = st0[f"lo{i}"], st0[f"hi{i}"]
+        out[c] = [lo] + [(a + b) / 2 for a, b in zip(cs[:-1], cs[1:])] + [hi]
+    return out
+
+
 def abs_perf_classes(wide: DataFrame, entity: str = "entity", n_bins: int = 2,
                      strategy: str = "quantile") -> DataFrame:
     """Each variant column cut into ``n_bins`` classes; equal to an inner edge goes up.

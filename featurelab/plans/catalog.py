@@ -1484,3 +1484,9 @@ for _method in ("standard", "minmax", "robust"):
             return out.select("entity", "category", round6(F.col("value")).alias("value"))
         return run
     QUERIES[f"b5_rescale_{_method}"] = (_mk(_method), _rescale_sql(_method))
+
+
+@register("e2_abs_perf_classes_kmeans", None)
+def q_e2k(spark, sf_dir):
+    """E2 with strategy="kmeans" (opt-in): 3 classes per variant from 1-D Lloyd centres."""
+    return tg.abs_perf_classes(cut_lineage(_pivot(spark, sf_dir)), n_bins=3, strategy="kmeans")

@@ -94,3 +94,27 @@ def test_clean_metrics_exact_variant_set(spark):
                                 (3, "C", 1.0)], "entity long, variant string, metric double")
     out = cl.clean_metrics(df, variants=["A", "B"])
     assert sorted({r.entity for r in out.collect()}) == [1, 3]
+
+
+def test_kmeans_edges_match_numpy_lloyd(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.normal(0, 1, 60), rng.normal(8, 1, 40), rng.normal(20, 2, 20)])
+    b = rng.uniform(0, 1, 120)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))],
+                               "entity long, a double, b double")
+    got = tg.kmeans_edges(df, ["a", "b"], 3, tol=0.0)
+    for col, x in (("a", a), ("b", b)):
+        e = np.linspace(x.min(), x.max(), 4)
+        c = (e[1:] + e[:-1]) / 2
+        for _ in range(300):
+            lab = np.argmin(np.abs(x[:, None] - c[None, :]), axis=1)
+            new = np.array([x[lab == j].mean() if (lab == j).any() else c[j] for j in range(3)])
+            if np.allclose(new, c, rtol=0, atol=0):
+                break
+            c = new
+        c = np.sort(c)
+        exp = [x.min(), *((c[1:] + c[:-1]) / 2), x.max()]
+        assert np.allclose(got[col], exp, atol=1e-9)
+    classes = tg.abs_perf_classes(df, n_bins=3, strategy="kmeans").groupBy("a").count().collect()
+    assert sorted(r["a"] for r in classes) == [0.0, 1.0, 2.0]
