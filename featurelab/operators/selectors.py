@@ -264,6 +264,7 @@ def project_to_selection(df: DataFrame, selection_df: DataFrame, key: str, fold:
 
 
 # ------------------------------------------------- I4, nearest neighbours ---
+RADIUS_SHRINK = 1e-12
 
 def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targets: list[str], k: int,
                              n_neighbors: int = 3, quantile_value: float = 0.9,
@@ -301,10 +302,13 @@ def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targe
                                   lambda d: d.isNotNull()))
     pts = nb.select(*g, key, "value", "n_c", kcol.alias("k_i"), F.element_at(dists, kcol).alias("r"))
     # events: upper edge (x + r, 0), point (x, 1), lower edge (x - r, 2)
+    # the radius is shrunk by a relative 1e-12 (the estimator counts distance < r): the k-th
+    # neighbour itself sits at distance r and must stay out whatever the rounding of x + r
+    rr = F.col("r") * (1.0 - RADIUS_SHRINK)
     ev = pts.select(*g, key, F.explode(F.array(
-        F.struct((F.col("value") + F.col("r")).alias("ev"), F.lit(0).alias("kind"), F.lit(0).alias("w")),
+        F.struct((F.col("value") + rr).alias("ev"), F.lit(0).alias("kind"), F.lit(0).alias("w")),
         F.struct(F.col("value").alias("ev"), F.lit(1).alias("kind"), F.lit(1).alias("w")),
-        F.struct((F.col("value") - F.col("r")).alias("ev"), F.lit(2).alias("kind"), F.lit(0).alias("w")))).alias("e")) \
+        F.struct((F.col("value") - rr).alias("ev"), F.lit(2).alias("kind"), F.lit(0).alias("w")))).alias("e")) \
         .select(*g, key, "e.ev", "e.kind", "e.w")
     run = running_sum_before(ev, g, ["ev", "kind", key], "w", "before", rpb)
     # points strictly below x + r: points before the upper event; points <= x - r: before the lower

@@ -1191,9 +1191,11 @@ def _ksg_sql(kk: int = 3) -> str:
             f"nb AS (SELECT *, least({kk}, n_c - 1) AS k_i, list_sort(list_filter([{', '.join(lags + leads)}], "
             "lambda d: d IS NOT NULL)) AS ds FROM c2 WHERE n_c > 1), "
             "pts AS (SELECT fold, target, feature, entity, value, n_c, k_i, ds[k_i] AS r FROM nb), "
-            "mm AS (SELECT a.fold, a.target, a.feature, a.entity, count(*) AS m FROM pts a JOIN pts b "
+            # bounds materialised first, so the join compares exactly x_j < x_i + r and x_j > x_i - r
+            "bnd AS (SELECT *, value + r * (1.0 - 1e-12) AS up, value - r * (1.0 - 1e-12) AS lo FROM pts), "
+            "mm AS (SELECT a.fold, a.target, a.feature, a.entity, count(*) AS m FROM bnd a JOIN pts b "
             "ON a.fold = b.fold AND a.target = b.target AND a.feature = b.feature AND "
-            "((a.r > 0 AND b.value < a.value + a.r AND b.value > a.value - a.r) OR (a.r = 0 AND b.value = a.value)) "
+            "((a.r > 0 AND b.value < a.up AND b.value > a.lo) OR (a.r = 0 AND b.value = a.value)) "
             "GROUP BY ALL), "
             f"st AS (SELECT fold, target, feature, count(*) AS n, avg({_sql_digamma('k_i')}) AS pk, "
             f"avg({_sql_digamma('n_c')}) AS pc, avg({_sql_digamma('m')}) AS pm FROM pts JOIN mm "

@@ -130,7 +130,7 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     feats = docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("entity"),
-        F.log1p(n.cast("double")).alias("f_log_chars"),
+        F.log(F.lit(1.0) + n.cast("double")).alias("f_log_chars"),
         _share(F.col("text"), n, " ").alias("f_space"),
         _share(F.col("text"), n, "\n").alias("f_newline"),
         _share(F.col("text"), n, "[0-9]").alias("f_digit"),
