@@ -7,8 +7,6 @@ the data.  The column rules are stated once here and mirrored in SQL by
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +164,3 @@ def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["user_id", "event_type", "value", "ts"])
     return ev.select(F.col("user_id").alias("entity"), F.col("event_type").alias("category"),
                      F.col("value").alias("value"), F.hour("ts").cast("double").alias("hour"))
-
-
-def log2(x: float) -> float:
-    return math.log(x, 2)
