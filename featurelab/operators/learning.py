@@ -196,14 +196,18 @@ def meta_model_run(df: DataFrame, feats: list[str], targets: list[str], k: int,
     """For every target and outer fold, tune on that fold's training rows only (no leak),
     refit with the best parameters, score the held-out fold; keep scores and parameters."""
     spark = df.sparkSession
-    rows = []
-    for t in targets:
-        for fold in range(k):
-            train = df.where(F.col("fold") != fold)
-            best, inner = random_search(train, feats, t, model, space, n_trials, seed=seed)
-            sc = cross_validate(df, lambda f, tt: feats if f == fold else [], [t], k, model, seed, best)
-            r = sc.where(F.col("fold") == fold).collect()
-            if r:
-                rows.append((t, fold, str(best), float(inner), r[0]["b_acc"], r[0]["f1"], r[0]["roc"]))
+
+    def run_cell(cell):
+        t, fold = cell
+        train = df.where(F.col("fold") != fold)
+        best, inner = random_search(train, feats, t, model, space, n_trials, seed=seed)
+        sc = cross_validate(df, lambda f, tt: feats if f == fold else [], [t], k, model, seed, best)
+        r = sc.where(F.col("fold") == fold).collect()
+        if not r:
+            return None
+        return (t, fold, str(best), float(inner), r[0]["b_acc"], r[0]["f1"], r[0]["roc"])
+
+    # outer cells are independent (tuning sees only the cell's training rows)
+    rows = [r for r in _in_pool(run_cell, [(t, f) for t in targets for f in range(k)]) if r is not None]
     return spark.createDataFrame(rows, "target string, fold int, best_params string, inner_f1 double, "
                                        "b_acc double, f1 double, roc double")
