@@ -1492,3 +1492,14 @@ for _method in ("standard", "minmax", "robust"):
 def q_e2k(spark, sf_dir):
     """E2 with strategy="kmeans" (opt-in): 3 classes per variant from 1-D Lloyd centres."""
     return tg.abs_perf_classes(cut_lineage(_pivot(spark, sf_dir)), n_bins=3, strategy="kmeans")
+
+
+@register("f9_pearson_matrix",
+          f"WITH {_clean_ctes()}, cp AS (SELECT a.feature AS a, b.feature AS b, corr(a.value, b.value) AS r "
+          "FROM d9 a JOIN d9 b ON a.entity = b.entity AND a.feature < b.feature GROUP BY a.feature, b.feature) "
+          "SELECT a, b, " + sql_round6("r") + " AS r FROM cp")
+def q_f9p(spark, sf_dir):
+    df = cleaned(spark, sf_dir)
+    feats = [c for c in df.columns if c != "entity"]
+    out = co.correlation_pairs(spark, df, feats, "pearson")
+    return out.select("a", "b", round6(F.col("r")).alias("r"))
