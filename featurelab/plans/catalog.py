@@ -1503,3 +1503,19 @@ def q_f9p(spark, sf_dir):
     feats = [c for c in df.columns if c != "entity"]
     out = co.correlation_pairs(spark, df, feats, "pearson")
     return out.select("a", "b", round6(F.col("r")).alias("r"))
+
+
+def _exact_folds_sql() -> str:
+    u = _sql_u(["'42'", "CAST(entity AS VARCHAR)"])
+    return (f"WITH d AS ({S.doc_features()}), n AS (SELECT count(*) AS n FROM d), "
+            f"p AS (SELECT entity, row_number() OVER (ORDER BY {u}, entity) - 1 AS p FROM d), "
+            f"c AS (SELECT n // {K_FOLDS} AS base, n % {K_FOLDS} AS extra FROM n) "
+            "SELECT entity, CAST(CASE WHEN p < extra * (base + 1) THEN p // (base + 1) "
+            "ELSE extra + (p - extra * (base + 1)) // greatest(base, 1) END AS INTEGER) AS fold FROM p, c")
+
+
+@register("h1_kfold_exact_assignment", _exact_folds_sql())
+def q_h1xa(spark, sf_dir):
+    """H1 exact mode: first n mod k folds get one more row; positions in keyed-random order."""
+    df = sp.assign_folds(fx.doc_features(spark, sf_dir).select("entity"), "entity", K_FOLDS, SEED, exact=True)
+    return df.select("entity", "fold")
