@@ -1519,3 +1519,12 @@ def q_h1xa(spark, sf_dir):
     """H1 exact mode: first n mod k folds get one more row; positions in keyed-random order."""
     df = sp.assign_folds(fx.doc_features(spark, sf_dir).select("entity"), "entity", K_FOLDS, SEED, exact=True)
     return df.select("entity", "fold")
+
+
+@register("h2_shuffle_split_exact_assignment",
+          f"WITH d AS ({S.doc_features()}), p AS (SELECT entity, row_number() OVER (ORDER BY "
+          + _sql_u(["'42'", "'0'", "CAST(entity AS VARCHAR)"]) + ", entity) AS p FROM d) "
+          "SELECT entity, p <= CAST(ceil(0.3 * (SELECT count(*) FROM d)) AS BIGINT) AS is_test FROM p")
+def q_h2xa(spark, sf_dir):
+    df = sp.shuffle_split(fx.doc_features(spark, sf_dir).select("entity"), "entity", 0.3, SEED, exact=True)
+    return df.select("entity", "is_test")
