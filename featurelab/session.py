@@ -68,7 +68,7 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-_SHIPPED: dict[int, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -81,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
