@@ -7,8 +7,46 @@ from pyspark.sql import functions as F
 
 from featurelab.sources.tables import read_table
 
+from . import chat, decontaminate, html_text, licenses, mixture, reshard, secret_scan, topk, toxicity
 from .near_dedup import near_duplicates
 
+#: Ids whose labels a model may learn from; the others are held out.
+TRAINED = "pmod(crc32(cast(id as string)), 5) != 0"
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licenses.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold copies of benchmark items, with alignment scores."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_text.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors, by integer inner product, of every fiftieth."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("vec_id") % 50 == 0)
+
+
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from six shards (dealt by text hash) to eight of near equal bytes.
+
+    The digest columns are computed from the texts read back from the new shards."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    out = reshard.reshard(docs, F.pmod(F.xxhash64("text"), F.lit(6)), 8)
+    return out.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "moved")
+
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 80 % of distinct two-word shingles."""
@@ -16,7 +54,53 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of each document."""
+    return mixture.mix_words(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels with crc32(id) divisible by 5 are held out."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]), use=F.expr(TRAINED))
+    held = F.coalesce(~F.expr(TRAINED.replace("id as", "doc_id as")), F.lit(False))
+    return (toxicity.score(docs, model).withColumn("held_out", held)
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    rows = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return chat.read_back(chat.prefix_targets(rows.unionByName(extra)))
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
+    "op1_license_scan": (license_scan, licenses.duckdb_sql()),
+    "op2_decontamination": (decontamination, None),
+    "op3_html_extraction": (html_extraction, None),
+    "op4_exact_top_k": (exact_top_k, """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q),
+             lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""),
+    "op5_sharding": (sharding, None),
     "op6_near_dedup": (near_dedup, None),
+    "op7_source_mixture": (source_mixture, None),
+    "op8_secret_scan": (secrets, None),
+    "op9_toxicity": (toxicity_scores, None),
+    "op10_chat_formatting": (chat_formatting, None),
 }
