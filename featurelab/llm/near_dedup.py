@@ -12,8 +12,9 @@
 * Verification.  Buckets propose one edge per member, to the bucket's leader; the connected
   components of these proposals are clusters.  Within a cluster all links between different
   texts are decided on full shingle sets: small clusters in one task; in large ones each
-  member is first compared with one leader, and what that does not connect to the main
-  component is compared with all members, block by block.  Pairs that are connected already
+  member is first compared with one leader, what that does not connect to the main component
+  with the leaders of its other buckets, and what is still loose with all members, block by
+  block.  Pairs that are connected already
   are not compared, and tasks return spanning edges only, never all pairs.
 
 Shingles, sets and classes are compared by 64-bit hashes.
@@ -38,6 +39,8 @@ from .stage import free_name, written
 BANDS, ROWS = 24, 4
 #: A cluster of at most so many classes and shingles is decided in one task.
 TILE_MEMBERS, TILE_SHINGLES = 128, 2_000_000
+#: Classes per block in larger clusters (with ``TILE_SHINGLES`` shingles at most, about).
+BLOCK_MEMBERS = 1024
 
 
 def superminhash(elem: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -193,17 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     size = members.groupBy("cluster").agg(F.count("*").alias("in_cluster"), F.sum("n").alias("weight"))
     small = (F.col("in_cluster") <= TILE_MEMBERS) & (F.col("weight") <= TILE_SHINGLES)
-    size = size.withColumn("small", small)
+    wide = written(size.filter(~small), "wide")
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(part=frame["class"])
         return _spanning(frame, frame, percent)
 
-    tight = members.join(size.filter("small").select("cluster"), "cluster")
+    tight = members.join(_hint(wide.select("cluster")), "cluster", "left_anti")
     edges = tight.groupBy("cluster").applyInPandas(decide, "a long, b long")
-    wide = size.filter("not small")
     if not wide.isEmpty():
-        edges = edges.unionByName(_wide_edges(members, written(wide, "wide"), proposed, percent))
+        edges = edges.unionByName(_wide_edges(members, wide, proposed, percent))
     linked = components(edges)
 
     lows = (classes.select("class", "low").join(linked.withColumnsRenamed({"node": "class"}), "class", "left")
@@ -224,31 +226,52 @@ def _small(df: DataFrame) -> bool:
     return df.count() <= BROADCAST_ROWS
 
 
+def _hint(df: DataFrame) -> DataFrame:
+    """A written table of few columns, broadcast if its rows are few: the other side, in which
+    one cluster may hold a third of the rows, is then not dealt out by cluster."""
+    return F.broadcast(df) if _small(df) else df
+
+
 def _wide_edges(members: DataFrame, wide: DataFrame, proposed: DataFrame, percent: int) -> DataFrame:
     """Spanning edges of clusters too large for one task."""
-    inside = written(members.join(wide.select("cluster", "in_cluster", "weight"), "cluster"), "inside")
+    inside = written(members.join(_hint(wide.select("cluster", "in_cluster", "weight")), "cluster"), "inside")
+    sets = inside.select("class", "n", "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pair = (pairs.join(sets, "class")
+                .join(sets.withColumnsRenamed({"class": "leader", "n": "m", "shingles": "others"}), "leader")
+                .withColumn("common", F.size(F.array_intersect("shingles", "others"))))
+        return (pair.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common")))
+                .select(F.col("class").alias("a"), F.col("leader").alias("b")))
+
+    def parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cluster, class, part) by the edges, and (cluster, main): its largest part."""
+        part = components(edges).withColumnsRenamed({"node": "class", "root": "part"})
+        of = written(inside.select("cluster", "class").join(part, "class", "left")
+                     .withColumn("part", F.coalesce("part", "class")), "parts")
+        largest = (of.groupBy("cluster", "part").count().groupBy("cluster")
+                   .agg(F.max(F.struct("count", "part")).alias("m"))
+                   .select("cluster", F.col("m.part").alias("main")))
+        return of, written(largest, "main")
+
     best = (proposed.groupBy("class").agg(F.max(F.struct("count", "leader")).alias("m"))
             .select("class", F.col("m.leader").alias("leader")))
-    sets = inside.select("class", "n", "shingles")
-    pair = (best.join(sets, "class")
-            .join(sets.withColumnsRenamed({"class": "leader", "n": "m", "shingles": "others"}), "leader")
-            .withColumn("common", F.size(F.array_intersect("shingles", "others"))))
-    first = written(pair.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common")))
-                    .select(F.col("class").alias("a"), F.col("leader").alias("b")), "first")
-    part = components(first).withColumnsRenamed({"node": "class", "root": "part"})
-    inside = written(inside.join(part, "class", "left").withColumn("part", F.coalesce("part", "class")), "parts")
-
-    main = (inside.groupBy("cluster", "part").count().groupBy("cluster")
-            .agg(F.max(F.struct("count", "part")).alias("m"))
-            .select("cluster", F.col("m.part").alias("main")))
-    rest = (inside.join(main, "cluster").filter("part != main").groupBy("cluster")
-            .agg(F.count("*").alias("loose"), F.sum("n").alias("loose_weight")))
+    first = written(verified(best), "first")
+    part, main = parts(first)
+    loose = part.join(_hint(main), "cluster").filter("part != main").select("class")
+    more = written(verified(proposed.select("class", "leader").join(loose, "class")
+                            .join(best, ["class", "leader"], "left_anti")), "more")
+    first = first.unionByName(more)
+    part, main = parts(first)
+    inside = written(inside.join(part.select("class", "part"), "class").join(_hint(main), "cluster"), "inside-parts")
+    rest = written(inside.filter("part != main").groupBy("cluster")
+                   .agg(F.count("*").alias("loose"), F.sum("n").alias("loose_weight")), "rest")
 
     def blocks(count: str, weight: str):
-        return F.greatest(F.lit(1), F.ceil(F.col(count) / TILE_MEMBERS),
+        return F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK_MEMBERS),
                           F.ceil(F.col(weight) / TILE_SHINGLES)).cast("int")
 
-    plan = (inside.join(main, "cluster").join(rest, "cluster")
+    plan = (inside.join(_hint(rest), "cluster")
             .withColumn("all_blocks", blocks("in_cluster", "weight"))
             .withColumn("loose_blocks", blocks("loose", "loose_weight"))
             .withColumn("h", F.xxhash64("class", F.lit(7))))

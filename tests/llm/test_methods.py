@@ -157,6 +157,7 @@ def test_near_dedup_against_brute_force(spark, docs):
 
 def test_large_clusters_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE_MEMBERS", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     texts = []
