@@ -23,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b: long); root is some node of
     the component.  Loops, repeated and reversed edges and an empty table are fine; rows
     with a null end are ignored."""
-    e = edges.select("a", "b").filter("a is not null and b is not null")
-    e = written(e.filter("a != b").distinct(), "edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    # written once: the edges are often dear to compute, and nodes and edges both read them
+    given = written(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "given")
+    e = given.filter("a != b")
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = written(nodes.select("node", F.col("node").alias("root")), "labels")
     while not e.isEmpty():
         both = e.select(F.col("a").alias("node"), _priority("b").alias("to")).unionByName(
