@@ -70,18 +70,27 @@ def gramian(df: DataFrame, feats: list[str]) -> np.ndarray:
 
 
 def vif_from_gramian(g: np.ndarray) -> np.ndarray:
-    """VIF of each column regressed on the others without intercept (uncentred R^2)."""
+    """VIF of each column regressed on the others without intercept (uncentred R^2).
+
+    Columns that take part in an exact linear dependence have an infinite VIF; an all-zero
+    column has 0."""
     d = np.sqrt(np.diag(g))
-    d[d == 0] = 1.0
-    norm = g / np.outer(d, d)
-    return np.diag(np.linalg.pinv(norm))
+    zero = d == 0
+    d = np.where(zero, 1.0, d)
+    norm = g / np.outer(d, d) + np.diag(zero.astype(float))
+    w, v = np.linalg.eigh(norm)
+    null = w <= 1e-12 * max(w.max(initial=0.0), 1.0)
+    out = (v[:, ~null] ** 2 / w[~null]).sum(axis=1)
+    out[(v[:, null] ** 2).sum(axis=1) > 1e-8] = np.inf
+    out[zero] = 0.0
+    return out
 
 
 def vif_elimination(df: DataFrame, keys: list[str], value_threshold: float | None = None,
                     count_threshold: int | None = None) -> list[tuple[str, float]]:
     """drop the worst column while max VIF >= threshold, at most ``count_threshold`` times.
 
-    Returns the surviving (feature, vif) sorted by VIF descending.
+    Without either threshold nothing is dropped.  Returns the surviving (feature, vif) sorted by VIF descending.
     """
     feats = [c for c in df.columns if c not in keys]
     g = gramian(df, feats)
@@ -91,7 +100,10 @@ def vif_elimination(df: DataFrame, keys: list[str], value_threshold: float | Non
         v = vif_from_gramian(g[np.ix_(alive, alive)])
         return sorted(zip([feats[i] for i in alive], v, alive), key=lambda t: -t[1])
     ranked = current()
-    steps = count_threshold if count_threshold is not None else len(feats)
+    if count_threshold is not None:
+        steps = count_threshold
+    else:
+        steps = len(feats) if value_threshold is not None else 0
     for _ in range(steps):
         if not ranked:
             break

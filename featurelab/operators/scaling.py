@@ -133,9 +133,9 @@ def power_transform(df: DataFrame, keys: list[str], grid: list[float] = LAMBDA_G
 def quantile_transform(df: DataFrame, keys: list[str], n_quantiles: int = 1000) -> DataFrame:
     """map each column to uniform [0, 1] through its reference quantiles.
 
-    Quantiles come from one ``percentile_approx`` pass; the value is placed by
-    linear interpolation between the bracketing references, averaged over
-    ties from both sides (ascending and descending), as the reference does.
+    Quantiles come from one ``percentile_approx`` pass.  A value at or below the first
+    reference is 0 (also in a constant column), at or above the last 1; one equal to a run
+    of references gets the middle of the run; others are interpolated linearly.
     """
     feats = _feats(df, keys)
     n_q = max(2, n_quantiles)
@@ -153,14 +153,12 @@ def quantile_transform(df: DataFrame, keys: list[str], n_quantiles: int = 1000)
         up = F.aggregate(arr, F.lit(0), lambda acc, r: acc + F.when(r < x, 1).otherwise(0))
         dn = F.aggregate(arr, F.lit(0), lambda acc, r: acc + F.when(r <= x, 1).otherwise(0)) - 1
 
-        def interp(idx_lo):
-            lo = F.greatest(F.least(idx_lo, F.lit(n_q - 2)), F.lit(0))
-            r0 = F.element_at(arr, lo + 1)
-            r1 = F.element_at(arr, lo + 2)
-            t = F.when(r1 > r0, (x - r0) / (r1 - r0)).otherwise(F.lit(0.0))
-            return (lo + F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))) / F.lit(float(n_q - 1))
-        val = 0.5 * (interp(up - 1) + interp(dn))
-        out.append(F.when(x.isNotNull(), F.least(F.greatest(val, F.lit(0.0)), F.lit(1.0))).alias(c))
+        r0, r1 = F.element_at(arr, dn + 1), F.try_element_at(arr, dn + 2)
+        between = (dn + (x - r0) / (r1 - r0)) / F.lit(float(n_q - 1))
+        val = (F.when(x <= F.lit(float(refs[0])), F.lit(0.0)).when(x >= F.lit(float(refs[-1])), F.lit(1.0))
+               .when(dn >= up, (up + dn) / F.lit(2.0 * (n_q - 1)))      # x is a reference, perhaps repeated
+               .otherwise(between))
+        out.append(F.when(x.isNotNull(), val).alias(c))
     return df.select(*[q(k) for k in keys], *out)
 
 
