@@ -296,3 +296,26 @@ def test_pipeline(spark):
     copies = near_dedup.near_duplicates(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
     group = {r.id: r.component_id for r in copies.collect()}
     assert all(n == 1 for n in Counter(group[d] for d in {r.doc_id for r in rows}).values())
+
+
+@pytest.mark.parametrize("copies", [0, 5])
+def test_decontamination_finds_evenly_edited_copies(spark, copies):
+    rng = random.Random(2)
+    items, texts, want = [], [], set()
+    for size in (20, 50, 100):
+        for step in (3, 4, 5, 6, "words put between"):
+            item = [f"i{len(items)}x{rng.randrange(1000)}" for _ in range(size)]
+            if step == "words put between":
+                edited = [x for w in item for x in (w, "new")]
+            else:
+                edited = [f"new{i}" if i % step == step - 1 else w for i, w in enumerate(item)]
+            for text in [edited, *[item] * copies]:
+                want.add((len(texts), len(items)))
+                texts.append([f"a{rng.randrange(300)}" for _ in range(40)] + text + [f"b{rng.randrange(300)}" for _ in range(40)])
+            items.append(item)
+    texts += [[rng.choice(["a1", "b1", *items[0]]) for _ in range(100)] for _ in range(20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench).collect()}
+    scores = {(i, j): _best_alignment(item, t) / (2 * len(item)) for i, t in enumerate(texts) for j, item in enumerate(items)}
+    assert want <= got.keys() and got == pytest.approx({k: s for k, s in scores.items() if s >= decontaminate.MIN_SCORE})
