@@ -1,11 +1,15 @@
 """License scans by sentence rules.
 
-A text is cut into sentences and every sentence normalised: A-Z lower-cased, all but ASCII
-letters and digits dropped, numbers replaced by a mark.  A normalised sentence either is a
-known licence sentence or nothing.  The identifiers of the known sentences of a text, in
-order, are then matched against ordered licence rules, each a sequence of identifiers: a
-rule that matches adds its licence and uses up what it matched, wherever and as often as it
-does, before the next rule has its turn.  Numbers come back as versions.
+A text is normalised: A-Z lower-cased, all but ASCII letters, digits and line breaks dropped
+(comment marks with the rest).  Full stops and blank lines end a sentence; line breaks, colons
+and semicolons may end one or lie within one, so a sentence wrapped over lines is found and one
+on a line of its own too.  Numbers are replaced by a mark; what stands between two ends is a
+known licence sentence or nothing, the longest where there are several.  The identifiers of
+the known sentences of a text, in order, are then matched against ordered licence rules, each
+a sequence of identifiers: a rule that matches adds its licence and uses up what it matched,
+wherever and as often as it does, before the next rule has its turn.  Numbers come back as
+versions.  The DuckDB twin ends a sentence at every line break, colon and semicolon, and knows
+no third BSD clause: it is the same scan only of texts without these.
 
 Everything is one projection over SQL functions: no join, no shuffle, no Python.
 """
@@ -101,8 +105,25 @@ RULES = [
     (("AllRights",), "all-rights-reserved"),
 ]
 RULES.sort(key=lambda r: -len(r[0]))          # longer sequences first; order kept otherwise
+# fixed values: sentences and rules that the DuckDB twin does not know
+MORE_SENTENCES = {
+    "all advertising materials mentioning features or use of this software must display the following "
+    "acknowledgement": "BSDAds",
+    "neither the name of @ nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission": "BSDName",
+    "neither the name of @ nor the names of their contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission": "BSDName",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific "
+    "prior written permission": "BSDName",
+}
+MORE_RULES = [
+    (("AllRights", "BSDGrant", "BSDSource", "BSDBinary", "BSDAds", "BSDName"), "BSD-4-Clause"),
+    (("BSDGrant", "BSDSource", "BSDBinary", "BSDAds", "BSDName"), "BSD-4-Clause"),
+    (("AllRights", "BSDGrant", "BSDSource", "BSDBinary", "BSDName"), "BSD-3-Clause"),
+    (("BSDGrant", "BSDSource", "BSDBinary", "BSDName"), "BSD-3-Clause"),
+]
+NAME = r"[a-z0-9]+(?:[ \n]{1,2}[a-z0-9]+){0,19}?\n?"   # what @ stands for: a holder of up to 20 words, as in "Foo Inc. nor"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-END = r"[.!?;:][ \t\r\n]+|[\r\n]+"   # where a sentence ends
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
@@ -111,9 +132,14 @@ def _pattern(ids: tuple[str, ...]) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences, numbers still in place."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.transform(F.split(low, END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    """Known sentences in order, on one line each, numbers still in place."""
+    s = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    for pattern, to in ((r"\r\n?", "\n"), (r"[.!?][ \t\n]+", "\n\n"), (r"[;:][ \t\n]+", "\n"),
+                        (r"[^a-z0-9\n]+", " "), (r" ?\n ?", "\n")):
+        s = F.regexp_replace(s, pattern, to)
+    every = sorted([*SENTENCES, *MORE_SENTENCES], key=lambda k: (-len(k), k))
+    known = "|".join(k.replace(" ", r"[ \n]").replace(r"]v[ \n]#", r"]v[ \n]{1,2}#").replace("#", "[0-9][0-9 ]*").replace("@", NAME) for k in every)
+    return F.transform(F.regexp_extract_all(F.trim(s), F.lit(f"(?m)^(?:{known})$"), 0), lambda x: F.regexp_replace(x, r"\n+", " "))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,11 +151,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     0 and empty strings; null ids and repeated rows stay; other columns are not read; no rows
     give none.
     """
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    number = "[0-9]+( [0-9]+)*"
+    known = F.create_map(*[F.lit(x) for kv in (SENTENCES | MORE_SENTENCES).items() for x in kv])
     ids = F.transform(sentences(F.col(text_col)), lambda s: F.struct(
-        F.try_element_at(known, F.regexp_replace(s, number, "#")).alias("id"),
-        F.translate(F.regexp_extract(s, number, 0), " ", ".").alias("version")))
+        F.try_element_at(known, F.regexp_replace(F.regexp_replace(s, "^(neither the name of ).*?( nor the names)", "$1@$2"),
+                                                 "[0-9]([0-9 ]*[0-9])?", "#")).alias("id"),
+        F.translate(F.rtrim(F.regexp_extract(s, "[0-9][0-9 ]*", 0)), " ", ".").alias("version")))
     ids = F.filter(ids, lambda x: x["id"].isNotNull())
     ids = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x["id"], F.lit(":"), x["version"], F.lit(">"))), "")
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("sentence_ids"))
@@ -145,7 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                          F.when(hit, F.concat("found", names)).otherwise(F.col("found")).alias("found"),
                          F.when(hit, F.regexp_replace("rest", p, "|")).otherwise(F.col("rest")).alias("rest"))
 
-    out = reduce(rule, RULES, out)
+    out = reduce(rule, sorted([*RULES, *MORE_RULES], key=lambda r: -len(r[0])), out)
     return out.select("doc_id", F.regexp_count("sentence_ids", F.lit("<")).cast("long").alias("n_sentences"), "sentence_ids",
                       F.array_join("found", ",").alias("licenses"),
                       F.regexp_replace("rest", r"\|", "").alias("unmatched"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
@@ -319,3 +320,43 @@ def test_decontamination_finds_evenly_edited_copies(spark, copies):
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench).collect()}
     scores = {(i, j): _best_alignment(item, t) / (2 * len(item)) for i, t in enumerate(texts) for j, item in enumerate(items)}
     assert want <= got.keys() and got == pytest.approx({k: s for k, s in scores.items() if s >= decontaminate.MIN_SCORE})
+
+
+MIT = ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+       'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+       'modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software '
+       'is furnished to do so, subject to the following conditions:',
+       'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.')
+BSD2 = ('Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following '
+        'conditions are met:',
+        '1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.',
+        '2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following '
+        'disclaimer in the documentation and/or other materials provided with the distribution.')
+BSD3 = (*BSD2, '3. Neither the name of Acme 3D Inc. nor the names of its contributors may be used to endorse or promote products derived '
+        'from this software without specific prior written permission.')
+ADS = '3. All advertising materials mentioning features or use of this software must display the following acknowledgement: by Acme.'
+GPL = ('This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as '
+       'published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
+       'This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of '
+       'MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.')
+APACHE = ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+          'License. You may obtain a copy of the License at', 'http://www.apache.org/licenses/LICENSE-2.0')
+
+
+def test_licenses_wrapped_over_lines(spark):
+    cases = [(MIT, "MIT"), (BSD2, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), ((*BSD2, ADS, BSD3[3].replace("3.", "4.", 1)), "BSD-4-Clause"),
+             (GPL, "GPL-3-or-later"), (APACHE, "Apache-2.0"), (("This Source Code Form is subject to the terms of the Mozilla Public "
+                                                                "License, v. 2.0.",), "MPL-2.0"),
+             (("Licensed under the MIT License", "and something else"), "MIT"), (("Licensed under the", "", "MIT License"), "")]
+    texts, want = [], []
+    for paragraphs, licence in cases:
+        for width in (30, 72, 2000):
+            for mark, end in (("", "\n"), (" * ", "\n"), ("// ", "\r\n")):
+                lines = [line for p in ("Some Title", *paragraphs) for line in (*(textwrap.wrap(p, width) or [""]), "")]
+                texts.append(end.join((mark + line).rstrip(" ") for line in lines))
+                want.append(licence)
+    texts += ["Licensed under the MIT License\nAll rights reserved", "Licensed under the\nMIT License\nLicensed under the GNU General\nPublic License, version 2"]
+    want += ["MIT,all-rights-reserved", "MIT,GPL-2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.licenses for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == want
