@@ -12,7 +12,7 @@ import statistics
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import fused_agg, q, quantile, use_exact
+from featurelab.functions.wide import column_quantiles, fused_agg, q
 from featurelab.session import cut_lineage
 
 
@@ -119,44 +119,39 @@ def filter_outliers(df: DataFrame, keys: list[str], threshold: float = 10e6) ->
     return _apply_outliers(df, dropped, surviving, threshold)
 
 
+def _fill_values(df: DataFrame, feats: list[str], fill_func: str, exact: bool) -> dict[str, float]:
+    if fill_func == "median":
+        return {c: v[0] for c, v in column_quantiles(df, feats, [0.5], exact).items()}
+    st = fused_agg(df, {f"v{i}": F.avg(q(c)) for i, c in enumerate(feats)})
+    return {c: st[f"v{i}"] for i, c in enumerate(feats) if st[f"v{i}"] is not None}
+
+
 def fill_undefined(df: DataFrame, keys: list[str], fill_func: str = "median",
-                   exact: bool | None = None) -> DataFrame:
+                   exact: bool = True) -> DataFrame:
     """Fill nulls with the column median (else mean); an all-null column stays null.
 
-    The median is exact up to ``EXACT_QUANTILE_ROWS`` rows (or when ``exact``), else approximate.
+    The median is exact at any size, a sketch only if ``exact`` is False.
     """
     feats = _features(df, keys)
-    if fill_func == "median":
-        ex = use_exact(df, exact)
-        agg = (lambda c: quantile(c, 0.5, ex))
-    else:
-        agg = F.avg
-    st = fused_agg(df, {f"v{i}": agg(q(c)) for i, c in enumerate(feats)})
-    values = {c: st[f"v{i}"] for i, c in enumerate(feats) if st[f"v{i}"] is not None}
+    values = _fill_values(df, feats, fill_func, exact)
     return df.select(*[F.coalesce(q(c), F.lit(float(values[c]))).alias(c) if c in values else q(c)
                        for c in df.columns])
 
 
 def _fill_and_drop_constant(df: DataFrame, keys: list[str], fill_func: str = "median",
-                            exact: bool | None = None) -> DataFrame:
-    """D6 then D7 from ONE pass: after filling with the median of the non-null values a
+                            exact: bool = True) -> DataFrame:
+    """D6 then D7 from the same rows: after filling with the median of the non-null values a
     column is constant iff it has a non-null value and min = max of the non-null values
     (an all-null column stays null, which is not constant)."""
     feats = _features(df, keys)
-    if fill_func == "median":
-        ex = use_exact(df, exact)
-        agg = (lambda c: quantile(c, 0.5, ex))
-    else:
-        agg = F.avg
+    values = _fill_values(df, feats, fill_func, exact)
     exprs = {}
     for i, c in enumerate(feats):
-        exprs[f"v{i}"] = agg(q(c))
         exprs[f"c{i}"] = F.count(q(c))
         exprs[f"lo{i}"] = F.min(q(c))
         exprs[f"hi{i}"] = F.max(q(c))
     st = fused_agg(df, exprs)
     constant = {c for i, c in enumerate(feats) if st[f"c{i}"] and st[f"lo{i}"] == st[f"hi{i}"]}
-    values = {c: st[f"v{i}"] for i, c in enumerate(feats) if st[f"v{i}"] is not None}
     return df.select(*[q(c) for c in keys],
                      *[F.coalesce(q(c), F.lit(float(values[c]))).alias(c) if c in values else q(c)
                        for c in feats if c not in constant])

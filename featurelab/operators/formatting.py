@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import q, use_exact_grouped
+from featurelab.functions.wide import grouped_quantiles, q
 from featurelab.sources.tables import nan_to_null, numeric_columns
 
 
@@ -14,13 +14,16 @@ def collapse_folds(df: DataFrame, key: str, agg_func: str = "median",
     """Per entity median (else mean) of every numeric column; null keys dropped.
 
     ``median`` is exact (Spark's percentile keeps the values of one group; the
-    groups here are the few fold rows of one entity).  ``approx=True`` uses
-    ``percentile_approx`` for groups with very many rows; ``approx=None`` decides by the
-    largest group.
+    groups here are the few fold rows of one entity).  ``approx=None`` is exact as well, for
+    groups with very many rows: a group is spread over many tasks.  ``approx=True`` uses
+    ``percentile_approx``.
     """
     feats = numeric_columns(df, exclude=(key, *exclude))
     if approx is None and agg_func == "median":
-        approx = not use_exact_grouped(df, [key], None)
+        src = df.where(F.col(key).isNotNull()).select(key, *[nan_to_null(q(c).cast("double")).alias(c) for c in feats])
+        found = grouped_quantiles(src, [key], feats, [0.5])
+        return src.select(key).distinct().join(found, key, "left") \
+                  .select(key, *[F.col(f"_q{i}")[0].alias(c) for i, c in enumerate(feats)])
     if agg_func == "median":
         agg = (lambda c: F.percentile_approx(c, 0.5, 10_000)) if approx else F.median
     else:

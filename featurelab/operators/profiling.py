@@ -12,30 +12,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import q, use_exact_grouped
+from featurelab.functions.wide import grouped_quantiles, q
 
 STATS = ["mean", "sd", "min", "max", "skewness", "kurtosis", "cv", "median", "iq_range"]
 
 
-def _stat_exprs(c: str, exact: bool = True) -> dict[str, Column]:
+def _stat_exprs(c: str, quartiles: Column) -> dict[str, Column]:
     x = q(c)
-    if not exact:   # bounded sketch per group: an entity may hold a third of all rows
-        return {
-            "mean": F.avg(x), "sd": F.stddev_pop(x), "min": F.min(x), "max": F.max(x),
-            "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
-            "cv": F.try_divide(F.stddev_pop(x), F.avg(x)),
-            "median": F.percentile_approx(x, 0.5, 10_000),
-            "iq_range": F.percentile_approx(x, 0.75, 10_000) - F.percentile_approx(x, 0.25, 10_000),
-        }
     return {
         "mean": F.avg(x), "sd": F.stddev_pop(x), "min": F.min(x), "max": F.max(x),
         "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
         "cv": F.try_divide(F.stddev_pop(x), F.avg(x)),
-        "median": F.median(x),
-        "iq_range": F.percentile(x, 0.75) - F.percentile(x, 0.25),
+        "median": quartiles[1],
+        "iq_range": quartiles[2] - quartiles[0],
     }
 
 
+def _with_quartiles(df: DataFrame, entity: str, cols: list[str], stats: DataFrame, exact: bool) -> DataFrame:
+    """``stats`` (a row per entity) with ``_q<i>``: the quartiles of every column, null without values."""
+    if exact:
+        found = grouped_quantiles(df, [entity], cols, [0.25, 0.5, 0.75])
+    else:           # bounded sketch per group
+        found = df.groupBy(entity).agg(*[F.percentile_approx(q(c), [0.25, 0.5, 0.75], 10_000).alias(f"_q{i}") for i, c in enumerate(cols)])
+    found = found.select(q(entity).alias("_entity"), *[F.col(f"_q{i}") for i in range(len(cols))])
+    return stats.join(found, q(entity).eqNullSafe(F.col("_entity")), "left").drop("_entity")
+
+
 def general(df: DataFrame, entity: str, numeric: list[str], categorical: list[str], cls: str | None) -> DataFrame:
     """B1: rows, attributes, numeric / categorical / binary columns, classes per entity."""
     aggs = [F.count(F.lit(1)).cast("double").alias("f__profile.general.nr_inst")]
@@ -50,19 +52,24 @@ def general(df: DataFrame, entity: str, numeric: list[str], categorical: list[st
                       *[q(c) for c in out.columns if c != entity])
 
 
-def statistical(df: DataFrame, entity: str, numeric: list[str], exact: bool | None = None) -> DataFrame:
+def statistical(df: DataFrame, entity: str, numeric: list[str], exact: bool = True) -> DataFrame:
     """B2: per entity and value column: mean, sd, min, max, skewness, kurtosis, cv, median, IQR.
 
-    ``exact=None`` keeps exact quantiles while the largest entity has at most
-    ``EXACT_QUANTILE_ROWS`` rows and switches to bounded sketches above (an exact
-    percentile holds every value of a group in one task).
+    Quantiles are exact at any size (an entity is spread over many tasks), bounded sketches
+    only if ``exact`` is False.
     """
-    exact = use_exact_grouped(df, [entity], exact)
+    order, late = [], {}
     aggs = []
-    for c in numeric:
-        for name, e in _stat_exprs(c, exact).items():
-            aggs.append(F.nanvl(e.cast("double"), F.lit(None)).alias(f"f__profile.statistical.{name}.{c}"))
-    return df.groupBy(entity).agg(*aggs)
+    for i, c in enumerate(numeric):
+        for name, e in _stat_exprs(c, F.col(f"_q{i}")).items():
+            e = F.nanvl(e.cast("double"), F.lit(None)).alias(f"f__profile.statistical.{name}.{c}")
+            order.append(f"f__profile.statistical.{name}.{c}")
+            if name in ("median", "iq_range"):
+                late[order[-1]] = e
+            else:
+                aggs.append(e)
+    j = _with_quartiles(df, entity, numeric, df.groupBy(entity).agg(*aggs), exact)
+    return j.select(q(entity), *[late.get(n, q(n)) for n in order])
 
 
 def summarise(stat_wide: DataFrame, entity: str, numeric: list[str], measures: list[str] = STATS,
@@ -122,7 +129,7 @@ def one_hot_counts(df: DataFrame, entity: str, cat: str, categories: list[str])
 
 
 def rescale_per_entity(df: DataFrame, entity: str, cols: list[str], method: str = "standard",
-                       exact: bool | None = None) -> DataFrame:
+                       exact: bool = True) -> DataFrame:
     """B5 (rescale) inside each entity: standard (population sd, 0 -> 1), min-max (constant -> 0)
     or robust ((x - median) / IQR, 0 -> 1).
 
@@ -136,13 +143,13 @@ def rescale_per_entity(df: DataFrame, entity: str, cols: list[str], method: str
         aggs = [F.min(q(c)).alias(f"_a{i}") for i, c in enumerate(cols)] + \
                [(F.max(q(c)) - F.min(q(c))).alias(f"_b{i}") for i, c in enumerate(cols)]
     elif method == "robust":
-        ex = use_exact_grouped(df, [entity], exact)
-        med = (lambda c, p: F.percentile(c, p)) if ex else (lambda c, p: F.percentile_approx(c, p, 10_000))
-        aggs = [med(q(c), 0.5).alias(f"_a{i}") for i, c in enumerate(cols)] + \
-               [(med(q(c), 0.75) - med(q(c), 0.25)).alias(f"_b{i}") for i, c in enumerate(cols)]
+        st = _with_quartiles(df, entity, cols, df.select(entity).distinct(), exact)
+        st = st.select(entity, *[F.col(f"_q{i}")[1].alias(f"_a{i}") for i in range(len(cols))],
+                       *[(F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]).alias(f"_b{i}") for i in range(len(cols))])
     else:
         raise ValueError(method)
-    st = df.groupBy(entity).agg(*aggs)
+    if method != "robust":
+        st = df.groupBy(entity).agg(*aggs)
     j = df.join(st, entity)
     out = []
     for i, c in enumerate(cols):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import fused_agg, q, quantile, use_exact
+from featurelab.functions.wide import column_quantiles, fused_agg, q
 from featurelab.operators.cleaning import remove_constant
 
 
@@ -25,14 +25,13 @@ def _feats(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
-def winsorise(df: DataFrame, keys: list[str], modifier: float = 1.0, exact: bool | None = None) -> DataFrame:
+def winsorise(df: DataFrame, keys: list[str], modifier: float = 1.0, exact: bool = True) -> DataFrame:
     """clip each column to [q1 - m*iqr, q3 + m*iqr]; nulls stay null."""
     feats = _feats(df, keys)
-    ex = use_exact(df, exact)
-    st = fused_agg(df, {f"p{i}": quantile(q(c), [0.25, 0.75], ex) for i, c in enumerate(feats)})
+    st = column_quantiles(df, feats, [0.25, 0.75], exact)
     out = []
-    for i, c in enumerate(feats):
-        qs = st[f"p{i}"]
+    for c in feats:
+        qs = st.get(c)
         if qs is None:
             out.append(q(c))
             continue

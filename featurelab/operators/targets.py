@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import fused_agg, q, quantile, use_exact
+from featurelab.functions.wide import column_quantiles, fused_agg, q
 
 EDGE_TOL = 1e-8
 
@@ -57,12 +57,11 @@ def _class_expr(c: Column, inner: list[float]) -> Column:
 
 
 def quantile_edges(df: DataFrame, columns: list[str], n_bins: int = 2,
-                   strategy: str = "quantile", exact: bool | None = None) -> dict[str, list[float]]:
+                   strategy: str = "quantile", exact: bool = True) -> dict[str, list[float]]:
     if strategy == "quantile":
         fr = [i / n_bins for i in range(n_bins + 1)]
-        ex = use_exact(df, exact)
-        st = fused_agg(df, {f"p{i}": quantile(q(c), fr, ex) for i, c in enumerate(columns)})
-        return {c: list(st[f"p{i}"]) if st[f"p{i}"] is not None else None for i, c in enumerate(columns)}
+        st = column_quantiles(df, columns, fr, exact)
+        return {c: st.get(c) for c in columns}
     if strategy == "uniform":
         st = fused_agg(df, {**{f"lo{i}": F.min(q(c)) for i, c in enumerate(columns)},
                             **{f"hi{i}": F.max(q(c)) for i, c in enumerate(columns)}})
