@@ -5,9 +5,14 @@ and the like (by tag, or by words of its class, id or role) is no content and ha
 later; one made of links is bad; one long enough and with enough stop words is good.  The
 rest, short or without stop words, is ambiguous.  Pass 2 gives ambiguous blocks the label of
 their nearest decided neighbours in the same section.  Inside an article or main element a
-block is bad only if both sides are; elsewhere it is good only if both sides are, a heading
-if the next decided block is.  Where a page has an article or main element with text,
-nothing outside it counts.
+block is bad only if both sides are; elsewhere it is good only if both sides are, or the one
+side that has a decided block, a heading if the next decided block is.  Where no side has one,
+or the page has no good block, it is good.  Where a page has an article or main element with
+text, nothing outside it counts.
+
+Stop words have a say only where they apply: not on blocks in another script than Latin, and
+not on pages where most words stand in long blocks without them, such as pages in a language
+that they do not know.  There a long block is good.  Unspaced scripts count two letters a word.
 """
 
 from __future__ import annotations
@@ -59,6 +64,8 @@ _HINT = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s
 _HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _PART = re.compile(r"[a-z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+LATIN_END = "\u0250"
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 class Block:
@@ -165,15 +172,24 @@ def _skip(html: str, pos: int, name: str) -> int:
     return pos
 
 
-def _decide(b: Block) -> None:
-    words = _LETTERS.findall(b.text.lower())
+def _decide(b: Block) -> int:
+    """Label the block; the number of its words if only its want of stop words speaks against it."""
     if b.link > MAX_LINK * len(b.text):
         b.label = False
-    elif len(words) >= MIN_WORDS and b.tag not in HEADING:
-        if sum(w in STOP for w in words) >= MIN_STOP * len(words):
+        return 0
+    words = _LETTERS.findall(b.text.lower())
+    size = max(len(words), len(_UNSPACED.findall(b.text)) // 2)
+    if size < MIN_WORDS or b.tag in HEADING:
+        return 0
+    if sum(w in STOP for w in words) >= MIN_STOP * len(words):
+        b.label = True
+    elif not b.section:
+        letters = "".join(words)
+        if 2 * sum(c < LATIN_END for c in letters) < len(letters):
             b.label = True
-        elif not b.section:
-            b.label = False           # long, and no running text
+        else:
+            return size
+    return 0
 
 
 def main_text(html: str | None) -> str:
@@ -182,8 +198,13 @@ def main_text(html: str | None) -> str:
     live = [b for b in blocks(html) if not b.dropped]
     if any(b.section for b in live):
         live = [b for b in live if b.section]
-    for b in live:
-        _decide(b)
+    without = [_decide(b) for b in live]
+    running = sum(len(_LETTERS.findall(b.text)) for b in live if b.label)
+    strange = sum(without) > running               # stop words do not apply
+    for b, size in zip(live, without):
+        if size:
+            b.label = strange
+    good = any(b.label for b in live)
     n = len(live)
     before, after = [None] * n, [None] * n
     for i in range(1, n):
@@ -198,10 +219,12 @@ def main_text(html: str | None) -> str:
         if label is None:
             if b.section:
                 label = not (prev is False and nxt is False)
-            elif b.tag in HEADING:
-                label = bool(nxt)
+            elif not good or prev is None and nxt is None:
+                label = True
+            elif b.tag in HEADING and nxt is not None:
+                label = nxt
             else:
-                label = prev is True and nxt is True
+                label = prev is not False and nxt is not False
         if label:
             keep.append(b.text)
     return " ".join(keep)

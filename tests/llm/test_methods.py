@@ -360,3 +360,27 @@ def test_licenses_wrapped_over_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.licenses for r in licenses.scan(df).orderBy("doc_id").collect()]
     assert got == want
+
+
+LINKS = "<div><a href=x>Home page</a> <a href=y>All the news</a></div>"
+ENGLISH = "This is the story of the river and of the people who lived by it for many years."
+RUSSIAN = "Это история реки и людей, которые много лет жили на её берегах и ловили рыбу."
+POLISH = "Dawno temu nad wielką rzeką mieszkali ludzie, którzy łowili ryby oraz budowali drewniane domy."
+CHINESE = "这是关于河流和多年来居住在河边的人们的故事，他们在那里捕鱼和建造房屋。"
+
+
+@pytest.mark.parametrize("paragraphs", [
+    [ENGLISH, "A short end."], ["A short start.", ENGLISH], ["All is short.", "And so is this."], [RUSSIAN] * 3, [POLISH] * 3,
+    [CHINESE] * 3, [RUSSIAN, "Конец."], [RUSSIAN, ENGLISH, RUSSIAN], [POLISH, POLISH, ENGLISH], [ENGLISH, CHINESE]])
+def test_html_without_article_loses_no_text(paragraphs):
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    want = " ".join(paragraphs)
+    assert html_text.main_text(f"<html><body>{body}<footer><p>Copyright 2020</p></footer></body></html>") == want
+    if "All is short." in paragraphs or min(map(len, paragraphs)) > 20:
+        assert html_text.main_text(f"<body>{LINKS}{body}{LINKS}</body>") == want
+
+
+def test_html_without_article_still_drops_lists_and_links():
+    junk = "<div>red green blue yellow black white pink brown orange violet</div>"
+    page = f"<body>{LINKS}<p>Menu</p>{LINKS}<p>{ENGLISH}</p><p>{ENGLISH}</p>{junk}<h2>More</h2>{LINKS}</body>"
+    assert html_text.main_text(page) == f"{ENGLISH} {ENGLISH}"
