@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import grouped_quantiles, q
+from featurelab.functions.wide import grouped_quantiles, q, safe_corr
 
+#: Bins of the histogram summary.
+N_BINS = 10
 STATS = ["mean", "sd", "min", "max", "skewness", "kurtosis", "cv", "median", "iq_range"]
 
 
@@ -72,9 +74,37 @@ def statistical(df: DataFrame, entity: str, numeric: list[str], exact: bool = Tr
     return j.select(q(entity), *[late.get(n, q(n)) for n in order])
 
 
+def statistical_more(df: DataFrame, entity: str, numeric: list[str]) -> DataFrame:
+    """B2, the measures that ``statistical`` has not: per entity and value column the variance,
+    the median absolute deviation and the share of outliers (beyond 1.5 IQR of the quartiles),
+    and per pair of columns the correlation (of the rows that hold both)."""
+    name = "f__profile.statistical."
+    aggs = [F.var_pop(q(c)).alias(f"{name}var.{c}") for c in numeric]
+    aggs += [safe_corr(q(a), q(b)).alias(f"{name}cor.{a}.{b}") for i, a in enumerate(numeric) for b in numeric[i + 1:]]
+    st = _with_quartiles(df, entity, numeric, df.groupBy(entity).agg(*aggs), True)
+    bounds = st.select(q(entity).alias("_e"), *[F.col(f"_q{i}") for i in range(len(numeric))])
+    j = df.join(bounds, q(entity).eqNullSafe(F.col("_e")))
+    away, share = [], []
+    for i, c in enumerate(numeric):
+        lo, mid, hi = (F.col(f"_q{i}")[k] for k in range(3))
+        away.append(F.abs(q(c) - mid).alias(c))
+        out = (q(c) < lo - 1.5 * (hi - lo)) | (q(c) > hi + 1.5 * (hi - lo))
+        share.append(F.avg(F.when(q(c).isNotNull(), out.cast("double"))).alias(f"{name}outlier_share.{c}"))
+    mad = grouped_quantiles(j.select(q(entity), *away), [entity], numeric, [0.5])
+    mad = mad.select(q(entity).alias("_m"), *[F.col(f"_q{i}")[0].alias(f"{name}mad.{c}") for i, c in enumerate(numeric)])
+    share = j.groupBy(q(entity).alias("_s")).agg(*share)
+    out = st.drop(*[f"_q{i}" for i in range(len(numeric))]).join(mad, q(entity).eqNullSafe(F.col("_m")), "left")
+    return out.join(share, q(entity).eqNullSafe(F.col("_s")), "left").drop("_m", "_s")
+
+
 def summarise(stat_wide: DataFrame, entity: str, numeric: list[str], measures: list[str] = STATS,
               summaries: tuple[str, ...] = ("mean", "sd", "min", "max")) -> DataFrame:
-    """Fold the per-column values of each measure into summary scalars."""
+    """Fold the per-column values of each measure into summary scalars.
+
+    ``summaries`` may name any of mean, sd, min, max, median, range, iq_range, skewness,
+    kurtosis (excess, as in B2), count, quantiles (five columns) and histogram (shares in
+    ``N_BINS`` equal bins from min to max).  sd, skewness and kurtosis are of the population.
+    """
     cols = []
     for m in measures:
         vals = F.array(*[q(f"f__profile.statistical.{m}.{c}") for c in numeric])
@@ -83,7 +113,26 @@ def summarise(stat_wide: DataFrame, entity: str, numeric: list[str], measures: l
         mean = F.try_divide(F.aggregate(nn, F.lit(0.0), lambda a, v: a + v), n)
         var = F.try_divide(F.aggregate(nn, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)), n)
         fns = {"mean": mean, "sd": F.sqrt(var), "min": F.array_min(nn), "max": F.array_max(nn)}
+        moment = lambda k: F.try_divide(F.aggregate(nn, F.lit(0.0), lambda a, v: a + F.pow(v - mean, F.lit(k))), n)
+        ordered = F.sort_array(nn)
+
+        def at(p: float) -> Column:
+            """Interpolated percentile of the values; null without values."""
+            x = F.lit(float(p)) * (n - 1)
+            lo, hi = (F.try_element_at(ordered, (g(x) + 1).cast("int")) for g in (F.floor, F.ceil))
+            return F.when(n > 0, lo + (hi - lo) * (x - F.floor(x)))
+
+        low, wide_by = F.array_min(nn), F.array_max(nn) - F.array_min(nn)
+        bin_of = lambda v: F.when(wide_by > 0, F.least(F.floor(F.try_divide(v - low, wide_by) * N_BINS), F.lit(N_BINS - 1))).otherwise(0)
+        share = lambda b: F.try_divide(F.size(F.filter(nn, lambda v: bin_of(v) == b)).cast("double"), n)
+        fns |= {"median": at(0.5), "range": wide_by, "iq_range": at(0.75) - at(0.25), "count": n,
+                "skewness": F.try_divide(moment(3), F.pow(var, F.lit(1.5))), "kurtosis": F.try_divide(moment(4), var * var) - 3}
+        parts = {"quantiles": {i: at(i / 4) for i in range(5)},
+                 "histogram": {b: share(b) for b in range(N_BINS)}}
         for s in summaries:
+            if s in parts:
+                cols += [e.alias(f"f__profile.statistical.{m}.{s}.{i}") for i, e in parts[s].items()]
+                continue
             cols.append(fns[s].alias(f"f__profile.statistical.{m}.{s}"))
     return stat_wide.select(entity, *cols)
 
