@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from featurelab.sources.tables import read_table
 
-from . import chat, decontaminate, html_text, licenses, mixture, reshard, secret_scan, topk, toxicity
+from . import (chat, decontaminate, exact_dedup, html_text, licenses, mixture, periodic_runs, reshard, secret_scan, topk,
+               toxicity, whitening)
 from .near_dedup import near_duplicates
 
 #: Ids whose labels a model may learn from; the others are held out.
@@ -83,6 +84,47 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_targets(rows.unionByName(extra)))
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight whitened components."""
+    out = whitening.whiten(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy of its text that stays."""
+    out = exact_dedup.copies(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the contract: with h = crc32(doc_id), every tenth h has its words from
+    one on repeat with a period; other texts stay as they are.  Null ids and texts stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    n, g = F.size("w").cast("long"), F.floor(F.col("h") / 10)
+    with_words = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    start = F.when(n > 0, F.pmod(g, n))
+    period = 1 + F.floor((n - F.col("a")) / (3 + g % 8))
+    at = with_words.withColumn("a", start).withColumn("p", F.when(F.col("a").isNotNull(), period))
+    word = lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))
+    loop = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word), " ")
+    return at.select("doc_id", F.when(F.col("p").isNotNull(), loop).otherwise(F.col("text")).alias("text"))
+
+
+def period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words of every document, digests of them and of the collapsed text."""
+    found = periodic_runs.find_runs(looped(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    above = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | above(r, b), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
     "op1_license_scan": (license_scan, licenses.duckdb_sql()),
@@ -103,4 +145,13 @@ FROM s QUALIFY rank <= 5"""),
     "op8_secret_scan": (secrets, None),
     "op9_toxicity": (toxicity_scores, None),
     "op10_chat_formatting": (chat_formatting, None),
+    "op11_embedding_whitening": (embedding_whitening, None),
+    "op12_exact_dedup": (exact_copies, """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                  sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
+r AS (SELECT *, row_number() OVER w AS turn, first_value(doc_id) OVER w AS keep_id,
+             count(*) OVER (PARTITION BY text_sha256) AS group_size
+      FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, turn = 1 AS kept, text_sha256 FROM r"""),
+    "op13_periodic_runs": (period_runs, None),
 }
