@@ -1,39 +1,14 @@
-"""Per-fold Gramians in one pass.
-
-Each task multiplies its rows into a small (F+T)^2 block per fold with NumPy
-(Arrow batches via ``mapInPandas``); blocks are summed by a grouped aggregate,
-so only folds x (F+T)^2 numbers reach the driver, whatever the row count.
-"""
+"""Per-fold Gramians, from the pairwise moments."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from featurelab.functions.wide import q
+from featurelab.functions.moments import fold_moments
 
 
 def fold_gramians(df: DataFrame, cols: list[str], fold: str | None = None) -> dict[int, np.ndarray]:
-    """{fold: X^T X} over ``cols`` (rows with a null are skipped); fold None -> {0: ...}."""
-    d = len(cols)
-    sel = df.select(*([F.col(fold).cast("int").alias("_fold")] if fold else [F.lit(0).alias("_fold")]),
-                    *[q(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]).dropna()
-
-    def blocks(it):
-        acc: dict[int, np.ndarray] = {}
-        for pdf in it:
-            x = pdf[[f"_c{i}" for i in range(d)]].to_numpy(dtype=float)
-            for fv, idx in pdf.groupby("_fold").indices.items():
-                xm = x[idx]
-                acc[int(fv)] = acc.get(int(fv), 0) + xm.T @ xm
-        for fv, g in acc.items():
-            yield pd.DataFrame({"_fold": fv, "idx": np.arange(d * d), "v": g.ravel()})
-
-    parts = sel.mapInPandas(blocks, "_fold int, idx int, v double") \
-               .groupBy("_fold", "idx").agg(F.sum("v").alias("v")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in parts:
-        out.setdefault(r["_fold"], np.zeros(d * d))[r["idx"]] = r["v"]
-    return {k: v.reshape(d, d) for k, v in out.items()}
+    """{fold: X^T X} over ``cols``; fold None -> {0: ...}.  Each entry sums the rows in which
+    both columns are present."""
+    return {k: m.gramian() for k, m in fold_moments(df, cols, fold).items()}

@@ -1,144 +1,91 @@
 """Distributed ranks without one task per group.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` sends every row of a group
-(e.g. one feature in one fold) to one task that sorts it.  At scale a group has
-billions of rows, so the rank is computed in three cheap steps instead:
-
-1. ties are collapsed: ``groupBy(group, value).count()`` (hot values vanish);
-2. each group is cut into value buckets at approximate quantiles of its
-   distinct values (a small boundary table, at most ``groups x buckets``);
-3. bucket totals give an offset per (group, bucket) (small; AQE broadcasts it
-   once its measured size is under the broadcast threshold); inside a bucket the running count is a window over
-   ``(group, bucket)``, i.e. many small tasks.
-
-``average_rank`` reproduces the average rank of tied values (the rank used by
-Spearman correlation); ``row_position`` gives distinct 1-based positions in a
-total order (value, tie-break columns).
+(e.g. one feature in one fold) to one task that sorts it.  That is the right plan
+while the largest group is small (``ROWS_PER_BUCKET``).  At scale a group has
+billions of rows; then:
+
+1. where ranks are wanted, ties are collapsed: ``groupBy(group, value).count()``;
+2. rows are dealt by range of (group, value, tie-breaks), so that large groups and
+   frequent values are split, and running sums come from prefix sums in each
+   partition and a small table of offsets (``functions/ranges.py``).
+
+Both plans give the same numbers.  ``average_rank`` reproduces the average rank of
+tied values (the rank used by Spearman correlation); ``row_position`` gives distinct
+1-based positions in a total order (value, tie-break columns).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per bucket one task is expected to sort comfortably.
-ROWS_PER_BUCKET = 4_000_000
-
+from featurelab.functions.ranges import ranged_sums_before
 
-def _bucket_col(value: Column, bounds: Column) -> Column:
-    # number of boundaries <= value; boundaries are sorted ascending.
-    return F.aggregate(bounds, F.lit(0), lambda acc, b: acc + F.when(value >= b, 1).otherwise(0))
-
-
-def _plan_buckets(df: DataFrame, groups: list[str], value: str, rows_per_bucket: int):
-    """Return (bucketed df, n_buckets).  One small job counts rows per group."""
-    stats = df.groupBy(*groups).count() if groups else df.select(F.count(F.lit(1)).alias("count"))
-    biggest = stats.agg(F.max("count")).collect()[0][0] or 0
-    n_buckets = max(1, math.ceil(biggest / rows_per_bucket))
-    if n_buckets == 1:
-        return df.withColumn("_bucket", F.lit(0)), 1
-    fractions = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(10_000, 10 * n_buckets)
-    if groups:
-        bounds = df.groupBy(*groups).agg(
-            F.percentile_approx(value, fractions, accuracy).alias("_bounds"))
-        # Small (groups x buckets); AQE broadcasts it when its measured size is
-        # under spark.sql.autoBroadcastJoinThreshold, else it is a shuffle join.
-        out = df.join(bounds, groups, "left")
-    else:
-        b = df.agg(F.percentile_approx(value, fractions, accuracy)).collect()[0][0]
-        out = df.withColumn("_bounds", F.array(*[F.lit(float(x)) for x in b]))
-    return out.withColumn("_bucket", _bucket_col(F.col(value), F.col("_bounds"))).drop("_bounds"), n_buckets
+# Rows per group (or bucket) that one task is expected to sort comfortably.
+ROWS_PER_BUCKET = 4_000_000
 
 
-def _offsets(bucketed: DataFrame, groups: list[str], weight: Column) -> DataFrame:
-    tot = bucketed.groupBy(*groups, "_bucket").agg(F.sum(weight).alias("_tot"))
-    w = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
+def _fits(df: DataFrame, groups: list[str], rows_per_bucket: int) -> bool:
+    """Whether every group may be sorted by one task.  One small job counts the rows."""
+    if not groups:
+        return df.count() <= rows_per_bucket
+    return (df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0) <= rows_per_bucket
 
 
-def _offsets_multi(bucketed: DataFrame, groups: list[str], weights: list[str]) -> DataFrame:
-    tot = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(wc).alias(f"_tot{i}") for i, wc in enumerate(weights)])
-    w = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return tot.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_tot{i}").over(w), F.lit(0)).alias(f"_off{i}")
-                                            for i in range(len(weights))])
+def sums_before(df: DataFrame, groups: list[str], order: list[str], weights: list[str], out: list[str],
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``out[i]`` = sum of ``weights[i]`` over rows strictly before each row in ``order``."""
+    if not _fits(df, groups, rows_per_bucket):
+        return ranged_sums_before(df, groups, order, weights, out)
+    w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("*", *[F.coalesce(F.sum(x).over(w), F.lit(0)).alias(o) for x, o in zip(weights, out)])
 
 
 def average_rank(df: DataFrame, groups: list[str], value: str, out: str = "rank",
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out`` = average rank (1-based) of ``value`` within ``groups``; null stays null."""
     ties = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    bucketed, n_buckets = _plan_buckets(ties, groups, value, rows_per_bucket)
-    w = Window.partitionBy(*groups, "_bucket").orderBy(value) \
-              .rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bucketed.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    if n_buckets > 1:
-        offs = _offsets(bucketed, groups, F.col("_n"))
-        ranked = ranked.join(offs, groups + ["_bucket"], "left") \
-                       .withColumn("_before", F.col("_before") + F.col("_off"))
-    ranked = ranked.select(*groups, value,
-                           (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
+    ranked = sums_before(ties, groups, [value], ["_n"], ["_before"], rows_per_bucket)
+    ranked = ranked.select(*groups, value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
     return df.join(ranked, groups + [value], "left")
 
 
 def row_position(df: DataFrame, groups: list[str], value: str, tiebreak: list[str],
                  out: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out`` = 1-based position in the order (value, *tiebreak) within ``groups``."""
-    bucketed, n_buckets = _plan_buckets(df, groups, value, rows_per_bucket)
-    w = Window.partitionBy(*groups, "_bucket").orderBy(value, *tiebreak)
-    ranked = bucketed.withColumn(out, F.row_number().over(w))
-    if n_buckets > 1:
-        offs = _offsets(bucketed, groups, F.lit(1))
-        ranked = ranked.join(offs, groups + ["_bucket"], "left") \
-                       .withColumn(out, F.col(out) + F.col("_off")).drop("_off")
-    return ranked.drop("_bucket")
-
-
-def dense_buckets(df: DataFrame, groups: list[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Bucket ids 0..B-1 by value inside each group, renumbered densely over non-empty buckets."""
-    bucketed, n_buckets = _plan_buckets(df, groups, value, rows_per_bucket)
-    if n_buckets == 1:
-        return bucketed
-    ids = bucketed.select(*groups, "_bucket").distinct()
-    ids = ids.withColumn("_dense", F.dense_rank().over(Window.partitionBy(*groups).orderBy("_bucket")) - 1)
-    return bucketed.join(ids, groups + ["_bucket"]).drop("_bucket").withColumnRenamed("_dense", "_bucket")
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    placed = sums_before(one, groups, [value, *tiebreak], ["_one"], ["_before"], rows_per_bucket)
+    return placed.withColumn(out, F.col("_before") + 1).drop("_one", "_before")
 
 
 def running_sum_before(df: DataFrame, groups: list[str], order: list[str], weight: str, out: str,
                        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``out`` = sum of ``weight`` over rows strictly before each row in the order ``order``
-    (the first order column decides the bucket, so the order is consistent across buckets)."""
-    bucketed, n_buckets = _plan_buckets(df, groups, order[0], rows_per_bucket)
-    w = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    res = bucketed.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    if n_buckets > 1:
-        offs = _offsets(bucketed, groups, F.col(weight))
-        res = res.join(offs, groups + ["_bucket"], "left").withColumn(out, F.col(out) + F.col("_off")).drop("_off")
-    return res.drop("_bucket")
+    """``out`` = sum of ``weight`` over rows strictly before each row in the order ``order``."""
+    return sums_before(df, groups, order, [weight], [out], rows_per_bucket)
 
 
 def neighbour_distances(df: DataFrame, groups: list[str], value: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET):
-    """For every row: the distances to its k predecessors and k successors in value order
-    within ``groups`` (columns _lag1.._lagk, _lead1.._leadk; null where missing).
+    """For every row: the distances to its k predecessors and k successors in (value, _rid)
+    order within ``groups`` (columns _lag1.._lagk, _lead1.._leadk; null where missing).
 
-    Rows are cut into value buckets; each bucket borrows the last k rows of the bucket
-    before and the first k rows of the bucket after (a halo), so the lag/lead window runs
-    over (group, bucket) -- small tasks -- and still sees the true neighbours.
+    Rows are cut by position into buckets of ``rows_per_bucket`` rows (at least k), whatever
+    the size of their group and however many values are equal.  Each bucket borrows the last
+    k rows of the bucket before and the first k rows of the bucket after (a halo), so the
+    lag/lead window runs over (group, bucket) and still sees the true neighbours.
     """
-    b = dense_buckets(df, groups, value, rows_per_bucket).withColumn("_own", F.lit(True))
-    wb = Window.partitionBy(*groups, "_bucket")
-    b = b.withColumn("_ra", F.row_number().over(wb.orderBy(value, "_rid"))) \
-         .withColumn("_rd", F.row_number().over(wb.orderBy(F.col(value).desc(), F.col("_rid").desc())))
-    tail = b.where(F.col("_rd") <= k).withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
-    head = b.where(F.col("_ra") <= k).withColumn("_bucket", F.col("_bucket") - 1).withColumn("_own", F.lit(False))
-    u = b.unionByName(tail).unionByName(head).drop("_ra", "_rd")
-    wo = Window.partitionBy(*groups, "_bucket").orderBy(value, "_rid")
+    size = max(rows_per_bucket, k)
+    at = F.col("_pos") - 1
+    b = row_position(df, groups, value, ["_rid"], "_pos", rows_per_bucket)
+    b = b.select("*", F.floor(at / size).alias("_bucket"), (at % size).alias("_at"), F.lit(True).alias("_own"))
+    tail = b.where(F.col("_at") >= size - k).withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
+    head = b.where(F.col("_at") < k).withColumn("_bucket", F.col("_bucket") - 1).withColumn("_own", F.lit(False))
+    u = b.unionByName(tail).unionByName(head)
+    wo = Window.partitionBy(*groups, "_bucket").orderBy("_pos")
     for i in range(1, k + 1):
         u = u.withColumn(f"_lag{i}", F.col(value) - F.lag(value, i).over(wo)) \
              .withColumn(f"_lead{i}", F.lead(value, i).over(wo) - F.col(value))
-    return u.where("_own").drop("_own", "_bucket")
+    return u.where("_own").drop("_own", "_bucket", "_at", "_pos")
 
 
 def fold_average_ranks(long_df: DataFrame, groups: list[str], value: str, k: int, fold: str = "fold",
@@ -153,14 +100,8 @@ def fold_average_ranks(long_df: DataFrame, groups: list[str], value: str, k: int
     """
     cnt = long_df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         *[F.sum(F.when(F.col(fold) == f, 1).otherwise(0)).alias(f"_n{f}") for f in range(k)])
-    bucketed, n_buckets = _plan_buckets(cnt, groups, value, rows_per_bucket)
-    w = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    run = bucketed.select("*", *[F.coalesce(F.sum(f"_n{f}").over(w), F.lit(0)).alias(f"_b{f}") for f in range(k)])
-    if n_buckets > 1:
-        offs = _offsets_multi(bucketed, groups, [f"_n{f}" for f in range(k)])
-        run = run.join(offs, groups + ["_bucket"], "left")
-        for f in range(k):
-            run = run.withColumn(f"_b{f}", F.col(f"_b{f}") + F.col(f"_off{f}"))
+    counts, below = [f"_n{f}" for f in range(k)], [f"_b{f}" for f in range(k)]
+    run = sums_before(cnt, groups, [value], counts, below, rows_per_bucket)
     ranks = []
     for t in range(k):
         below = sum((F.col(f"_b{f}") for f in range(k) if f != t), F.lit(0))

@@ -72,39 +72,11 @@ def sql_round6(x: str) -> str:
 APPROX_ACCURACY = 100_000
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], features: list[str], ps: list[float]) -> DataFrame:
-    """(*groups, feature, quantiles): the interpolated percentiles ``ps`` of every column in
-    every group, the same definition as ``F.percentile`` at any size; no row where a column has
-    no value.  A group of any size is spread over many tasks: equal values are counted first
-    on the map side, running counts come from value buckets, and only the two order
-    statistics that each percentile lies between are kept.
-    """
-    from featurelab.functions.ranks import running_sum_before
-
-    gs = [f"_g{i}" for i in range(len(groups))]
-    # a null group is one of its own: joins below must not lose it
-    keyed = df.select(*[F.struct(q(g)).alias(n) for g, n in zip(groups, gs)], *[q(f) for f in features])
-    long_df = to_long(keyed, gs, features, "_f", "_v").where(F.col("_v").isNotNull())
-    ties = long_df.groupBy(*gs, "_f", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    counted = running_sum_before(ties, [*gs, "_f"], ["_v"], "_n", "_before")
-    totals = ties.groupBy(*gs, "_f").agg(F.sum("_n").alias("_total"))
-    last = F.col("_total") - 1
-    at = [F.lit(float(p)) * last for p in ps]
-    covers = [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")) for x in at for k in (F.floor(x), F.ceil(x))]
-    picks = [F.max(F.when(hit, F.col("_v"))).alias(f"_p{i}") for i, hit in enumerate(covers)]
-    found = counted.join(totals, [*gs, "_f"]).groupBy(*gs, "_f", "_total").agg(*picks)
-    out = []
-    for i, x in enumerate(at):
-        lo, hi = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
-        between = (F.ceil(x) - x) * lo + (x - F.floor(x)) * hi
-        out.append(F.when((F.ceil(x) == F.floor(x)) | (lo == hi), lo).otherwise(between))
-    return found.select(*[F.col(n)[g].alias(g) for g, n in zip(groups, gs)], F.col("_f").alias("feature"), F.array(*out).alias("quantiles"))
-
-
 def column_quantiles(df: DataFrame, features: list[str], ps: list[float], exact: bool = True) -> dict[str, list[float]]:
     """Quantiles of whole columns on the driver (columns without a value are missing);
     a bounded sketch only if ``exact`` is False."""
     if exact:
+        from featurelab.functions.order_stats import exact_quantiles
         return {r["feature"]: list(r["quantiles"]) for r in exact_quantiles(df, [], features, ps).collect()}
     st = fused_agg(df, {f"p{i}": F.percentile_approx(q(c), ps, APPROX_ACCURACY) for i, c in enumerate(features)})
     return {c: list(st[f"p{i}"]) for i, c in enumerate(features) if st[f"p{i}"] is not None}
@@ -113,6 +85,7 @@ def column_quantiles(df: DataFrame, features: list[str], ps: list[float], exact:
 def grouped_quantiles(df: DataFrame, groups: list[str], features: list[str], ps: list[float]) -> DataFrame:
     """``exact_quantiles`` as one row per group: columns ``_q<i>`` (array, null without values)
     in the order of ``features``."""
+    from featurelab.functions.order_stats import exact_quantiles
     found = exact_quantiles(df, groups, features, ps)
     return found.groupBy(*[q(g) for g in groups]).agg(
         *[F.max(F.when(F.col("feature") == f, F.col("quantiles"))).alias(f"_q{i}") for i, f in enumerate(features)])

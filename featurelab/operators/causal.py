@@ -1,11 +1,12 @@
 """Treatment-effect and counterfactual selectors without per-column loops over rows.
 
-I9 -- cross-fitted double ML, partially linear model.  Per fold one Gramian of
-[X, y] (one pass for all folds).  For held-out fold k the nuisance regressions
-(feature j on the others, y on the others) are ridge fits on the training
-Gramian (total - fold k); their residual products on fold k are quadratic
-forms of the fold-k Gramian.  theta_j = sum(r_y r_j) / sum(r_j^2), averaged
-over folds; keep the top ``1 - quantile_value`` share by abs(theta).
+I9 -- cross-fitted double ML, partially linear model.  Per fold one block of
+pairwise moments of [X, y] (two passes for all folds and targets).  For test fold f
+and each other fold g the nuisance regressions (feature j on the others, y on the
+others, with intercept) are ridge fits on the moments of the remaining folds; their
+residual products on fold g are quadratic forms of its moments about the training
+means.  theta_j = sum(r_y r_j) / sum(r_j^2), averaged over g, so fold f is never
+seen; keep the top ``1 - quantile_value`` share by abs(theta).
 
 I10 -- counterfactual fitness.  Per column a one-variable logistic model
 (Newton steps, all columns at once, one aggregate per step); a row "flips"
@@ -20,45 +21,56 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.linalg import fold_gramians
+from featurelab.functions.moments import Moments, fold_moments
 from featurelab.functions.wide import fused_agg, q
 
 
-def _ridge_coef(g: np.ndarray, target: int, regs: list[int], lam: float) -> np.ndarray:
-    a = g[np.ix_(regs, regs)] + lam * np.eye(len(regs))
-    return np.linalg.solve(a, g[regs, target])
+def _cross_fit(train: Moments, held: Moments, ridge: float) -> np.ndarray:
+    """theta of every feature (all columns but the last, which is y); nan where nothing is left
+    of a feature."""
+    mu = train.means()
+    cov = train.covariance()
+    nf = len(mu) - 1
+    scale = np.diag(cov)[:nf]
+    scale = np.where(scale > 0, scale, 1.0)              # the ridge is relative to each column's variance
+    p = np.linalg.inv(cov[:nf, :nf] + ridge * np.diag(scale))
+    u = p @ cov[:nf, nf]
+    # columns of r_x: residual of feature j on the others; of r_y: of y on all but j (one inverse gives both)
+    r_x = p / np.diag(p)[None, :]
+    r_y = -(u[:, None] - p * (u / np.diag(p))[None, :])
+    np.fill_diagonal(r_y, 0.0)
+    shift = held.means() - mu
+    about = held.centred() + held.n * np.outer(shift, shift)
+    den = np.einsum("ij,ik,kj->j", r_x, about[:nf, :nf], r_x)
+    num = np.einsum("ij,ik,kj->j", r_y, about[:nf, :nf], r_x) + about[nf, :nf] @ r_x
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(den > 0, num / den, np.nan)
 
 
 def double_ml_selector(df: DataFrame, feats: list[str], targets: list[str], k: int, ridge: float = 1e-3,
                        quantile_value: float = 0.8) -> DataFrame:
-    spark = df.sparkSession
+    """(fold, target, feature, score, kept); the rows of the test fold take no part.  Folds
+    without rows are left out of the average; k is 3 or more.  A feature without variation
+    beyond the others has a null score and is not kept."""
+    if k < 3:
+        raise ValueError("cross-fitting outside a test fold needs three folds")
     rows = []
     for t in targets:
-        cols = feats + [t]
-        grams = fold_gramians(df.where(q(t).isNotNull()), cols, "fold")
-        total = sum(grams.values())
-        nf = len(feats)
-        yi = nf
-        thetas = np.zeros((k, nf))
+        blocks = {f: m for f, m in fold_moments(df.where(q(t).isNotNull()), [*feats, t], "fold").items() if m.n[-1, -1] > 0}
         for fold in range(k):
-            gk = grams.get(fold)
-            if gk is None:
+            others = [f for f in sorted(blocks) if f != fold]
+            thetas = []
+            for g in others:
+                rest = [blocks[f] for f in others if f != g]
+                if rest:
+                    thetas.append(_cross_fit(sum(rest[1:], rest[0]), blocks[g], ridge))
+            if not thetas:
                 continue
-            gtr = total - gk
-            lam = ridge * np.trace(gtr) / max(len(cols), 1)
-            for j in range(nf):
-                others = [i for i in range(nf) if i != j]
-                bj = _ridge_coef(gtr, j, others, lam)
-                by = _ridge_coef(gtr, yi, others, lam)
-                rj = np.zeros(len(cols)); rj[j] = 1.0; rj[others] -= bj
-                ry = np.zeros(len(cols)); ry[yi] = 1.0; ry[others] -= by
-                den = rj @ gk @ rj
-                thetas[fold, j] = (ry @ gk @ rj) / den if den > 0 else 0.0
-        theta = thetas.mean(axis=0)
-        thr = np.quantile(np.abs(theta), quantile_value)
-        for j, f in enumerate(feats):
-            rows.append((-1, t, f, float(theta[j]), bool(abs(theta[j]) >= thr)))
-    return spark.createDataFrame(rows, "fold int, target string, feature string, score double, kept boolean")
+            theta = np.mean(thetas, axis=0)
+            known = np.abs(theta[~np.isnan(theta)])
+            thr = np.quantile(known, quantile_value) if len(known) else np.inf
+            rows += [(fold, t, f, None if np.isnan(v) else float(v), bool(abs(v) >= thr)) for f, v in zip(feats, theta)]
+    return df.sparkSession.createDataFrame(rows, "fold int, target string, feature string, score double, kept boolean")
 
 
 def counterfactual_selector(df: DataFrame, feats: list[str], target: str, iters: int = 15,

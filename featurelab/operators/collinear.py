@@ -1,10 +1,10 @@
 """Correlation matrix, collinearity drop, variance-inflation elimination.
 
-The F x F matrices are the only thing that reaches the driver.  Pearson and
-Spearman use Spark ML's ``Correlation`` on an assembled vector (a tree
-aggregate of the Gramian; Spearman ranks every column with a distributed
-sort).  VIF needs one Gramian pass; the elimination loop then works on the
-F x F matrix only, with no further pass over the rows.
+The F x F matrices are the only thing that reaches the driver.  Pearson comes from the
+centred pairwise moments (P3), Spearman from Spark ML's ``Correlation`` (distributed sorts),
+Kendall from distributed inversion counts.  All three use, for every pair of columns, the
+rows in which both are present.  VIF needs one pass of moments; the elimination loop then
+works on the F x F matrix only.
 """
 
 from __future__ import annotations
@@ -15,21 +15,56 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelab.functions.wide import q
+from featurelab.functions.concordance import kendall
+from featurelab.functions.moments import total_moments
+from featurelab.functions.wide import fused_agg, q
 
 
-def _assembled(df: DataFrame, feats: list[str]) -> DataFrame:
+def _ranked_correlation(df: DataFrame, feats: list[str]) -> np.ndarray:
+    """Spearman of columns without nulls, over at least one row."""
     tmp = [f"_c{i}" for i in range(len(feats))]
     renamed = df.select(*[q(c).cast("double").alias(t) for c, t in zip(feats, tmp)])
-    return VectorAssembler(inputCols=tmp, outputCol="_v", handleInvalid="skip").transform(renamed).select("_v")
+    v = VectorAssembler(inputCols=tmp, outputCol="_v", handleInvalid="error").transform(renamed).select("_v")
+    return Correlation.corr(v, "_v", "spearman").collect()[0][0].toArray()
+
+
+def _spearman(df: DataFrame, feats: list[str]) -> np.ndarray:
+    """Columns without nulls are ranked together; a pair with nulls is ranked by itself, over
+    the rows in which both are present."""
+    from featurelab.operators.learning import _in_pool
+    present = {f: F.nanvl(q(f).cast("double"), F.lit(None)) for f in feats}
+    st = fused_agg(df, {"n": F.count(F.lit(1)), **{f"c{i}": F.count(present[f]) for i, f in enumerate(feats)}})
+    m = np.full((len(feats), len(feats)), np.nan)
+    full = [i for i in range(len(feats)) if st["n"] and st[f"c{i}"] == st["n"]]
+    if full:
+        m[np.ix_(full, full)] = _ranked_correlation(df, [feats[i] for i in full])
+    holes = [(i, j) for i in range(len(feats)) for j in range(i + 1, len(feats))
+             if not (i in full and j in full) and st[f"c{i}"] and st[f"c{j}"]]
+
+    def one(ij):
+        a, b = (feats[x] for x in ij)
+        both = df.where(present[a].isNotNull() & present[b].isNotNull())
+        return np.nan if both.isEmpty() else _ranked_correlation(both, [a, b])[0, 1]
+    for (i, j), r in zip(holes, _in_pool(one, holes)):
+        m[i, j] = m[j, i] = r
+    return m
 
 
 def correlation_matrix(df: DataFrame, feats: list[str], method: str = "spearman") -> np.ndarray:
-    """F x F correlation (pearson / spearman) of the feature columns."""
-    if method not in ("pearson", "spearman"):
-        raise ValueError("method must be pearson or spearman")
-    m = Correlation.corr(_assembled(df, feats), "_v", method).collect()[0][0]
-    return m.toArray()
+    """F x F correlation (pearson / spearman / kendall) of the feature columns; nan where a
+    pair has no common rows or a column does not vary."""
+    if method == "pearson":
+        return total_moments(df, feats).correlation()
+    if method == "spearman":
+        return _spearman(df, feats)
+    if method != "kendall":
+        raise ValueError("method must be pearson, spearman or kendall")
+    m = np.full((len(feats), len(feats)), np.nan)
+    at = {f: i for i, f in enumerate(feats)}
+    for (a, b), r in kendall(df, [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]).items():
+        if r is not None:
+            m[at[a], at[b]] = m[at[b], at[a]] = r
+    return m
 
 
 def correlation_pairs(spark: SparkSession, df: DataFrame, feats: list[str], method: str = "spearman") -> DataFrame:
@@ -62,11 +97,8 @@ def drop_collinear(df: DataFrame, keys: list[str], method: str = "spearman", thr
 
 
 def gramian(df: DataFrame, feats: list[str]) -> np.ndarray:
-    """X^T X in one pass (Spark ML summarises the vectors with a tree aggregate)."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    rdd = _assembled(df, feats).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    return RowMatrix(rdd).computeGramianMatrix().toArray()
+    """X^T X; each entry sums the rows in which both columns are present."""
+    return total_moments(df, feats).gramian()
 
 
 def vif_from_gramian(g: np.ndarray) -> np.ndarray:

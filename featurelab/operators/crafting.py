@@ -43,9 +43,31 @@ def pick_names(features: list[str], k: int, seed, tag: str) -> list[str]:
     return sorted(features, key=lambda f: (name_uniform(seed, tag, f), f))[:k]
 
 
+def _round(seed, r: int, x: int, half: int) -> int:
+    return int(hashlib.md5(f"{seed}:pair{r}:{x}".encode()).hexdigest()[:13], 16) & ((1 << half) - 1)
+
+
 def pick_pairs(features: list[str], k: int, seed) -> list[tuple[str, str]]:
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    return sorted(pairs, key=lambda p: (name_uniform(seed, "pair", p[0], p[1]), p))[:k]
+    """``k`` distinct pairs of columns (all, if there are fewer), in drawn order.
+
+    Pair numbers 0 .. F(F-1)/2 - 1 are permuted by a keyed four-round Feistel network on the
+    next power of four (numbers beyond the last pair are permuted again), and the first k are
+    turned into pairs: about k steps, whatever F."""
+    total = len(features) * (len(features) - 1) // 2
+    half = max(1, (max(total - 1, 1).bit_length() + 1) // 2)
+    out = []
+    for i in range(min(k, total)):
+        n = i
+        while True:
+            left, right = n >> half, n & ((1 << half) - 1)
+            for r in range(4):
+                left, right = right, left ^ _round(seed, r, right, half)
+            n = left << half | right
+            if n < total:
+                break
+        b = (1 + math.isqrt(8 * n + 1)) // 2         # pair (a, b), a < b: number b(b-1)/2 + a
+        out.append((features[n - b * (b - 1) // 2], features[b]))
+    return out
 
 
 def add_noise(df: DataFrame, key: str, n: int, dist: str = "normal", seed: int = 42,

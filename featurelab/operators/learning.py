@@ -1,4 +1,4 @@
-"""Model-based selectors and fold-wise cross-validation on Spark ML.
+"""Model-based selectors and fold-wise cross-validation on Spark ML.
 
 Data stay on the executors: per (fold, target) one assembled training frame is
 fitted once and scored on its test fold; all scores come from the prediction
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.wide import q
 from featurelab.operators import reporting as rp
+from featurelab.operators.neighbours import MAX_TRAIN_ROWS, fit_neighbours
+from featurelab.session import cut_lineage
 
 FIT_THREADS = 4
 
@@ -35,9 +38,11 @@ def _in_pool(fn, items):
 
 
 def assemble(df: DataFrame, feats: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` and the vector ``features``.  A null feature fails the fit: rows are never left
+    out silently, impute first."""
     tmp = [f"_c{i}" for i in range(len(feats))]
     base = df.select(*[q(k) for k in keep], *[q(c).cast("double").alias(t) for c, t in zip(feats, tmp)])
-    return VectorAssembler(inputCols=tmp, outputCol="features", handleInvalid="skip").transform(base) \
+    return VectorAssembler(inputCols=tmp, outputCol="features", handleInvalid="error").transform(base) \
         .select(*keep, "features")
 
 
@@ -133,38 +138,62 @@ def cross_validate(df: DataFrame, feats_by_cell, targets: list[str], k: int, mod
     """For every (fold, target) fit once on the other folds with that cell's columns,
     predict the fold, and score all metrics from one prediction table.
 
-    ``feats_by_cell(fold, target) -> list[str]`` gives the selected columns.
+    ``feats_by_cell(fold, target) -> list[str]`` gives the selected columns; cells without
+    columns, training rows or a second class are left out.  ``model`` is a name of
+    ``make_model`` or "knn" (J5).
     """
     cells = [(fold, t, feats_by_cell(fold, t)) for t in targets for fold in range(k)]
     cells = [c for c in cells if c[2]]
+    classes = {t: [r[0] for r in df.select(q(t).cast("double").alias("c")).where(F.col("c").isNotNull()).distinct().orderBy("c").collect()]
+               for t in {c[1] for c in cells}}
     cached = []
 
     def fit_cell(cell):
         fold, t, feats = cell
-        data = assemble(df.where(q(t).isNotNull()), feats, ["entity", "fold", t]).withColumnRenamed(t, "label")
-        train = data.where(F.col("fold") != fold).cache()   # iterative fits re-read it
-        cached.append(train)
-        test = data.where(F.col("fold") == fold)
-        n = train.count()
-        ncls = train.select("label").distinct().count()
-        if ncls < 2:
-            return None
-        m = make_model(model, n, len(feats), max(2, ncls), seed, params).fit(train)
-        return m.transform(test).select(
-            "entity", F.lit(fold).alias("fold"), F.lit(t).alias("target"), F.col("label").alias("y"),
-            F.col("prediction").alias("pred"), vector_to_array("probability")[1].alias("p"))
-
-    preds = None
-    for out in _in_pool(fit_cell, cells):
-        if out is not None:
-            preds = out if preds is None else preds.unionByName(out)
-    if preds is None:
-        return df.sparkSession.createDataFrame([], "fold int, target string, b_acc double, f1 double, roc double")
-    scores = rp.score_table(preds, ["fold", "target"]).cache()
-    scores.count()
-    for c in cached:
-        c.unpersist()
-    return scores
+        labelled = df.where(q(t).isNotNull())
+        if model == "knn":
+            p = dict(params or {})
+            m = fit_neighbours(labelled.where(F.col("fold") != fold), "entity", feats, t, p.pop("n_neighbors", 6), p.pop("p", 1),
+                               p.pop("max_train_rows", MAX_TRAIN_ROWS), seed)
+            if len(m.classes) < 2:
+                return None
+            out = m.predict(labelled.where(F.col("fold") == fold).withColumn("label", q(t).cast("double")), ["entity", "label"])
+            known, probs = m.classes, F.col("probability")
+        else:
+            data = assemble(labelled, feats, ["entity", "fold", t]).withColumnRenamed(t, "label")
+            train = data.where(F.col("fold") != fold).cache()   # iterative fits re-read it
+            cached.append(train)
+            n = train.count()
+            ncls = train.select("label").distinct().count()
+            if ncls < 2:
+                return None
+            m = make_model(model, n, len(feats), max(2, ncls), seed, params).fit(train)
+            out = m.transform(data.where(F.col("fold") == fold))
+            # Spark ML numbers classes by their label 0, 1, ...
+            known, probs = [float(i) for i in range(m.numClasses)], vector_to_array("probability")
+        score = {c: F.get(probs, F.lit(i)) for i, c in enumerate(known)}
+        return out.select(
+            "entity", F.lit(fold).alias("fold"), F.lit(t).alias("target"), F.col("label").cast("double").alias("y"),
+            F.col("prediction").alias("pred"),
+            F.array(*[score.get(c, F.lit(0.0)) for c in classes[t]]).alias("probs"))
+
+    try:
+        parts: dict[str, DataFrame] = {}
+        for (_, t, _), out in zip(cells, _in_pool(fit_cell, cells)):
+            if out is not None:
+                parts[t] = out if t not in parts else parts[t].unionByName(out)
+        tables = []
+        for t, preds in parts.items():
+            many = len(classes[t]) > 2
+            preds = preds.withColumn("p", F.get("probs", F.lit(1)))
+            tables.append(rp.score_table(preds, ["fold", "target"], classes[t] if many else None))
+        if not tables:
+            return df.sparkSession.createDataFrame([], "fold int, target string, b_acc double, f1 double, roc double")
+        # stored before the training frames are released: one row per fold and target
+        return cut_lineage(reduce(DataFrame.unionByName, tables))
+    finally:
+        for c in cached:
+            c.unpersist()
 
 
 def random_search(df: DataFrame, feats: list[str], target: str, model: str, space: dict, n_trials: int,

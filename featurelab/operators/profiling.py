@@ -199,7 +199,9 @@ def rescale_per_entity(df: DataFrame, entity: str, cols: list[str], method: str
         raise ValueError(method)
     if method != "robust":
         st = df.groupBy(entity).agg(*aggs)
-    j = df.join(st, entity)
+    # null-safe: rows without an entity are an entity of their own
+    st = st.withColumnRenamed(entity, "_entity")
+    j = df.join(st, q(entity).eqNullSafe(F.col("_entity")))
     out = []
     for i, c in enumerate(cols):
         scale = F.when(F.col(f"_b{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_b{i}"))

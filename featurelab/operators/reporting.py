@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelab.functions.ranks import average_rank
+from featurelab.functions.ranks import average_rank, sums_before
 
 
 # ---------------------------------------------------------------- J9, J10 ---
@@ -17,13 +17,14 @@ def balanced_accuracy(pred: DataFrame, groups: list[str], y: str = "y", yhat: st
 
 
 def weighted_f1(pred: DataFrame, groups: list[str], y: str = "y", yhat: str = "pred") -> DataFrame:
-    """Support-weighted mean of per-class F1."""
-    classes = pred.select(*groups, F.col(y).alias("cls")).union(pred.select(*groups, F.col(yhat).alias("cls"))).distinct()
-    j = pred.join(classes, groups)
-    st = j.groupBy(*groups, "cls").agg(
-        F.sum(F.when((F.col(y) == F.col("cls")) & (F.col(yhat) == F.col("cls")), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col(y) == F.col("cls"), 1).otherwise(0)).alias("sup"),
-        F.sum(F.when(F.col(yhat) == F.col("cls"), 1).otherwise(0)).alias("npred"))
+    """Support-weighted mean of per-class F1, from the counts of (class, predicted class)."""
+    n = pred.groupBy(*groups, F.col(y).alias("_y"), F.col(yhat).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("long")
+    each = F.explode(F.array(
+        F.struct(F.col("_y").alias("cls"), F.col("_n").alias("sup"), zero.alias("npred"),
+                 F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(zero).alias("tp")),
+        F.struct(F.col("_p").alias("cls"), zero.alias("sup"), F.col("_n").alias("npred"), zero.alias("tp"))))
+    st = n.select(*groups, each.alias("s")).groupBy(*groups, "s.cls").agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "sup", "npred")])
     f1 = F.when(F.col("sup") + F.col("npred") > 0, 2.0 * F.col("tp") / (F.col("sup") + F.col("npred"))).otherwise(0.0)
     return st.groupBy(*groups).agg((F.sum(f1 * F.col("sup")) / F.sum("sup")).alias("f1"))
 
@@ -39,10 +40,37 @@ def roc_auc(pred: DataFrame, groups: list[str], y: str = "y", score: str = "p")
                                    (F.col("_np") * F.col("_nn")).cast("double")).alias("roc"))
 
 
-def score_table(pred: DataFrame, groups: list[str]) -> DataFrame:
-    """b_acc, f1 (weighted), roc per group of a prediction table (y, pred, p)."""
-    return balanced_accuracy(pred, groups).join(weighted_f1(pred, groups), groups) \
-                                          .join(roc_auc(pred, groups), groups, "left")
+def roc_auc_ovo(pred: DataFrame, groups: list[str], classes: list[float], y: str = "y", probs: str = "probs") -> DataFrame:
+    """ROC-AUC one against one, weighted by the rows of each pair of classes.
+
+    ``probs`` holds the score of every class of ``classes`` (two or more, known to the model).
+    The AUC of a against b ranks the rows of both by the score of a; a pair counts the mean
+    of both directions.  All directions come from the counts of (class scored, score, true
+    class) by running sums; rows never meet classes or each other.  Pairs of which a group
+    lacks a class are left out; null if none is left."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_a"), F.get(probs, F.lit(i)).alias("_s")) for i in range(len(classes))]))
+    counts = (pred.select(*groups, F.col(y).alias("_y"), each.alias("e")).where(F.col("e._s").isNotNull())
+              .groupBy(*groups, F.col("e._a").alias("_a"), F.col("e._s").alias("_s"))
+              .agg(*[F.count_if(F.col("_y") == F.lit(c)).alias(f"_n{i}") for i, c in enumerate(classes)]))
+    every = range(len(classes))
+    run = sums_before(counts, [*groups, "_a"], ["_s"], [f"_n{i}" for i in every], [f"_b{i}" for i in every])
+    own = F.coalesce(*[F.when(F.col("_a") == i, F.col(f"_n{i}")) for i in every])
+    wins = run.groupBy(*groups, "_a").agg(*[F.sum(own * (F.col(f"_b{i}") + F.col(f"_n{i}") / 2.0)).alias(f"_w{i}") for i in every],
+                                          *[F.sum(f"_n{i}").alias(f"_t{i}") for i in every])
+    mine = F.coalesce(*[F.when(F.col("_a") == i, F.col(f"_t{i}")) for i in every])
+    # a row per direction, keyed by the unordered pair
+    pair = F.explode(F.array(*[F.struct(F.least(F.col("_a"), F.lit(i)).alias("lo"), F.greatest(F.col("_a"), F.lit(i)).alias("hi"),
+                                        F.try_divide(F.col(f"_w{i}"), mine * F.col(f"_t{i}")).alias("auc"),
+                                        (mine + F.col(f"_t{i}")).alias("rows")) for i in every]))
+    both = wins.select(*groups, pair.alias("s")).where((F.col("s.lo") < F.col("s.hi")) & F.col("s.auc").isNotNull())
+    return both.groupBy(*groups).agg((F.sum(F.col("s.auc") * F.col("s.rows")) / F.sum("s.rows")).alias("roc"))
+
+
+def score_table(pred: DataFrame, groups: list[str], classes: list[float] | None = None) -> DataFrame:
+    """b_acc, f1 (weighted), roc per group of a prediction table (y, pred, and p, the score
+    of class 1; with ``classes`` also ``probs``, the scores of all of them)."""
+    roc = roc_auc(pred, groups) if classes is None else roc_auc_ovo(pred, groups, classes)
+    return balanced_accuracy(pred, groups).join(weighted_f1(pred, groups), groups).join(roc, groups, "left")
 
 
 def fold_summary(scores: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
@@ -91,22 +119,27 @@ def clean_label(label: Column, suffix_sep: str, name_map: dict[str, str]) -> Col
     return F.coalesce(F.element_at(mapping, base), base)
 
 
-def jaccard_stability(selected: DataFrame, run: str, groups: list[str]) -> DataFrame:
+def jaccard_stability(selected: DataFrame, run: str, groups: list[str], runs: DataFrame | None = None) -> DataFrame:
     """Mean pairwise Jaccard of the selected sets of runs within each group.
 
-    ``selected`` has (groups..., run, feature) rows.  Intersections come from a
-    join on (groups, feature) -- each feature row meets the rows of the same
-    feature only, never all pairs of a group; set sizes come from counts.
+    ``selected`` has (groups..., run, feature) rows; ``runs`` lists (groups..., run) of all
+    runs, so that those which kept nothing count (default: runs with a feature).  The Jaccard
+    of two empty sets is 0.  Intersections come from a join on (groups, feature) -- each
+    feature row meets the rows of the same feature only, never all pairs of a group; set
+    sizes come from counts.
     """
-    sizes = selected.groupBy(*groups, run).agg(F.count(F.lit(1)).alias("_n"))
-    a = selected.select(*groups, F.col(run).alias("_ra"), "feature")
-    b = selected.select(*groups, F.col(run).alias("_rb"), "feature")
+    kept = selected.select(*groups, F.col(run).alias("_r"), "feature").distinct()
+    sizes = kept.groupBy(*groups, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    if runs is not None:
+        grid = runs.select(*groups, F.col(run).alias("_r")).distinct()
+        sizes = grid.join(sizes, [*groups, "_r"], "left").fillna(0, ["_n"])
+    a = kept.withColumnRenamed("_r", "_ra")
+    b = kept.withColumnRenamed("_r", "_rb")
     inter = a.join(b, [*groups, "feature"]).where(F.col("_ra") < F.col("_rb")) \
              .groupBy(*groups, "_ra", "_rb").agg(F.count(F.lit(1)).alias("_i"))
-    runs = sizes.select(*groups, F.col(run).alias("_r"), "_n")
-    pairs = runs.alias("x").join(runs.alias("y"), groups).where(F.col("x._r") < F.col("y._r")) \
-                .select(*groups, F.col("x._r").alias("_ra"), F.col("y._r").alias("_rb"),
-                        F.col("x._n").alias("_na"), F.col("y._n").alias("_nb"))
+    pairs = sizes.alias("x").join(sizes.alias("y"), groups).where(F.col("x._r") < F.col("y._r")) \
+                 .select(*groups, F.col("x._r").alias("_ra"), F.col("y._r").alias("_rb"),
+                         F.col("x._n").alias("_na"), F.col("y._n").alias("_nb"))
     j = pairs.join(inter, [*groups, "_ra", "_rb"], "left").fillna(0, ["_i"])
     union = F.col("_na") + F.col("_nb") - F.col("_i")
     jac = F.when(union > 0, F.col("_i") / union).otherwise(0.0)

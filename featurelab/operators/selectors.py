@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from featurelab.functions.ranks import fold_average_ranks
 from featurelab.functions.special import p_value_chi2, p_value_f, pearson_p_value
 from featurelab.functions.wide import q, safe_corr, to_long
+from featurelab.session import ship_package
 
 
 def _folds_array(k: int) -> Column:
@@ -60,6 +61,7 @@ def correlation_selector(df: DataFrame, key: str, features: list[str], targets:
     value), and the correlation of fold t is a masked ``corr`` over the rows with
     fold != t.  One aggregate per feature gives all k x T correlations.
     """
+    ship_package(df.sparkSession)        # the p-values are Arrow UDFs
     base = df.select(key, "fold", *[q(c).cast("double").alias(c) for c in features + targets])
     xl = to_long(base, [key, "fold"], features)
     yl = to_long(base, [key, "fold"], targets, name="target", value="y")
@@ -107,32 +109,34 @@ def _fold_totals(stats: DataFrame, keys: list[str], value_cols: list[str], k: in
 
 
 def _class_sums(df: DataFrame, features: list[str], targets: list[str], moments: int) -> DataFrame:
-    """Long (fold, target, cls, feature, cnt, s1[, s2]) from one pass over the wide rows."""
+    """Long (fold, target, cls, feature, cnt, s1[, s2]) from one pass over the wide rows; cnt
+    counts the rows in which the feature is present."""
     yl = df.select("fold", *[q(f).cast("double").alias(f) for f in features],
                    F.explode(F.array(*[F.struct(F.lit(t).alias("target"), q(t).cast("double").alias("cls"))
                                        for t in targets])).alias("_t")) \
            .select("fold", "_t.target", "_t.cls", *[q(f) for f in features]) \
            .where(F.col("cls").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("cnt")]
+    aggs = []
     for i, f in enumerate(features):
-        aggs.append(F.sum(q(f)).alias(f"s1_{i}"))
+        aggs += [F.count(q(f)).alias(f"n_{i}"), F.coalesce(F.sum(q(f)), F.lit(0.0)).alias(f"s1_{i}")]
         if moments >= 2:
-            aggs.append(F.sum(q(f) * q(f)).alias(f"s2_{i}"))
+            aggs.append(F.coalesce(F.sum(q(f) * q(f)), F.lit(0.0)).alias(f"s2_{i}"))
     g = yl.groupBy("fold", "target", "cls").agg(*aggs)
     structs = []
     for i, f in enumerate(features):
-        fields = [F.lit(f).alias("feature"), F.col(f"s1_{i}").alias("s1")]
+        fields = [F.lit(f).alias("feature"), F.col(f"n_{i}").alias("cnt"), F.col(f"s1_{i}").alias("s1")]
         if moments >= 2:
             fields.append(F.col(f"s2_{i}").alias("s2"))
         structs.append(F.struct(*fields))
     cols = ["s1", "s2"] if moments >= 2 else ["s1"]
-    return g.select("fold", "target", "cls", "cnt", F.explode(F.array(*structs)).alias("_f")) \
-            .select("fold", "target", "cls", "cnt", "_f.feature", *[F.col(f"_f.{c}").alias(c) for c in cols])
+    return g.select("fold", "target", "cls", F.explode(F.array(*structs)).alias("_f")) \
+            .select("fold", "target", "cls", "_f.cnt", "_f.feature", *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
 def chi2_selector(df: DataFrame, key: str, features: list[str], targets: list[str], k: int,
                   p_threshold: float = 0.05) -> DataFrame:
     """Chi-square of non-negative features summed per class; keep if p <= threshold."""
+    ship_package(df.sparkSession)
     neg = df.select(*[F.min(q(f)).alias(f) for f in features]).collect()[0]
     bad = [f for f in features if neg[f] is not None and neg[f] < 0]
     if bad:
@@ -159,7 +163,12 @@ def chi2_selector(df: DataFrame, key: str, features: list[str], targets: list[st
 def f_value_selector(df: DataFrame, key: str, features: list[str], targets: list[str], k: int,
                      p_threshold: float = 0.05, quantile_value: float = 0.5) -> DataFrame:
     """One-way ANOVA F; keep if p <= threshold and F >= the median F of the (fold, target)."""
-    cs = _class_sums(df, features, targets, 2)
+    ship_package(df.sparkSession)
+    # sums about each column's mean: squares keep their digits whatever the mean
+    means = df.agg(*[F.avg(q(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    about = df.select("fold", *[q(t) for t in targets if t not in features],
+                      *[(q(f).cast("double") - F.lit(means[i] or 0.0)).alias(f) for i, f in enumerate(features)])
+    cs = _class_sums(about, features, targets, 2)
     tr = _fold_totals(cs, ["target", "cls", "feature"], ["cnt", "s1", "s2"], k).where(F.col("cnt") > 0)
     st = tr.groupBy("train_fold", "target", "feature").agg(
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("ncls"),

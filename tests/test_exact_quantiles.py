@@ -4,14 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featurelab.functions import ranks, wide
+from featurelab.functions import order_stats, ranks, wide
 from featurelab.operators import cleaning, formatting, profiling, scaling, targets
 
 
 @pytest.fixture
 def table(spark, monkeypatch):
-    # far above every limit on rows there is: counts say so, and buckets hold few values
-    monkeypatch.setattr(wide, "EXACT_QUANTILE_ROWS", 10, raising=False)
+    # groups are too large for one state, so values are bracketed; running counts use ranges
+    monkeypatch.setattr(order_stats, "STATE_CELLS", 10)
     monkeypatch.setattr(ranks.running_sum_before, "__defaults__", (50,))
     rng = np.random.default_rng(3)
     rows = [(None if i % 7 == 0 else f"e{int(rng.integers(3)) if i % 2 else 0}", float(rng.integers(40)) * 2.5,
