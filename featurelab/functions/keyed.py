@@ -47,21 +47,41 @@ def keyed_normal(seed, *parts) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(2.0 * math.pi * u2)
 
 
-def keyed_poisson(seed, lam: float, *parts, max_k: int = 40) -> Column:
-    """Poisson(lam) by inverse CDF over k = 0..max_k (tail beyond is < 1e-30 for lam <= 5)."""
+def poisson_cdf(lam: float) -> list[float]:
+    """Cumulated probabilities of 0, 1, 2, ... below 1 - 2**-52, the largest uniform number."""
+    out, total, k, log_p = [], 0.0, 0, -lam
+    while total < 1.0 - 2.0 ** -52 and not (k > lam and math.exp(log_p) < 1e-18):
+        total = min(total + math.exp(log_p), 1.0)
+        out.append(total)
+        k += 1
+        log_p += math.log(lam) - math.log(k)
+    return out
+
+
+def keyed_poisson(seed, lam: float, *parts) -> Column:
+    """Poisson(lam) by inverse CDF: how many cumulated probabilities the uniform number reaches.
+    The table ends where no uniform number reaches further, so nothing is cut off."""
+    if lam <= 0:
+        raise ValueError("lam must be positive")
     u = keyed_uniform(seed, "p", *parts)
-    # smallest k with CDF(k) > u, written as a sum of indicators.
-    terms = []
-    cdf = 0.0
-    p = math.exp(-lam)
-    for k in range(max_k):
-        cdf += p
-        terms.append(F.when(u >= F.lit(cdf), 1).otherwise(0))
-        p = p * lam / (k + 1)
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out.cast("double")
+    table = F.array(*[F.lit(c) for c in poisson_cdf(lam)])
+    return F.size(F.filter(table, lambda c: c <= u)).cast("double")
+
+
+def keyed_gamma(seed, shape: float, *parts) -> Column:
+    """Gamma(shape, 1) for any positive shape: the quantile of a keyed uniform number, by
+    bisection in an Arrow function.  An integer shape gives sums of exponentials instead."""
+    if shape <= 0:
+        raise ValueError("gamma shape must be positive")
+    if shape == int(shape) and shape <= 16:
+        return keyed_gamma_exp(seed, int(shape), *parts)
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def quantile(u: pd.Series) -> pd.Series:
+        from featurelab.functions.special import gamma_quantile
+        return pd.Series(gamma_quantile(u.to_numpy(dtype=float), shape))
+    return pandas_udf(quantile, "double")(keyed_uniform(seed, "gamma", *parts))
 
 
 def keyed_gamma_exp(seed, shape: int, *parts) -> Column:

@@ -128,6 +128,17 @@ def gammaincc(s, x):
     return out
 
 
+def gamma_quantile(u, shape: float):
+    """x with P(Gamma(shape, 1) <= x) = u, by bisection of log x on the upper tail."""
+    u = np.asarray(u, float)
+    lo, hi = np.full(u.shape, -745.0), np.full(u.shape, math.log(shape + 40.0 * math.sqrt(shape) + 800.0))
+    for _ in range(80):
+        mid = (lo + hi) / 2.0
+        above = 1.0 - gammaincc(np.full(u.shape, shape), np.exp(mid)) < u
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return np.exp((lo + hi) / 2.0)
+
+
 def t_two_sided_p(t, df):
     t = np.asarray(t, float)
     df = np.asarray(df, float)

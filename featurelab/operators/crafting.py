@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.keyed import keyed_gamma_exp, keyed_normal, keyed_poisson, keyed_uniform
+from featurelab.functions.keyed import keyed_gamma, keyed_normal, keyed_poisson, keyed_uniform
 from featurelab.functions.wide import q
 
 SEP = "___"
@@ -27,7 +27,7 @@ def name_uniform(seed, *parts) -> float:
     return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2 ** 52
 
 
-def noise_column(dist: str, seed, key: Column, name: str, gamma_shape: int = 1) -> Column:
+def noise_column(dist: str, seed, key: Column, name: str, gamma_shape: float = 1.0) -> Column:
     if dist == "normal":
         return keyed_normal(seed, key, F.lit(name))
     if dist == "uniform":
@@ -35,7 +35,7 @@ def noise_column(dist: str, seed, key: Column, name: str, gamma_shape: int = 1)
     if dist == "poisson":
         return keyed_poisson(seed, 1.0, key, F.lit(name))
     if dist == "gamma":
-        return keyed_gamma_exp(seed, gamma_shape, key, F.lit(name))
+        return keyed_gamma(seed, gamma_shape, key, F.lit(name))
     raise ValueError(f"unknown distribution {dist!r}")
 
 
@@ -71,7 +71,7 @@ def pick_pairs(features: list[str], k: int, seed) -> list[tuple[str, str]]:
 
 
 def add_noise(df: DataFrame, key: str, n: int, dist: str = "normal", seed: int = 42,
-              gamma_shape: int = 1) -> DataFrame:
+              gamma_shape: float = 1.0) -> DataFrame:
     """G1: ``n`` noise columns ``noise___<dist>_<i>``."""
     cols = [noise_column(dist, seed, F.col(key), f"noise{SEP}{dist}_{i}", gamma_shape).alias(f"noise{SEP}{dist}_{i}")
             for i in range(n)]

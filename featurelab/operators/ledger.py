@@ -97,9 +97,8 @@ def run_grid(spark: SparkSession, path: str, cells: DataFrame, run_cell: Callabl
     return read_ledger(spark, path, cells, nullable)
 
 
-def scores_summary(results: DataFrame, keys: list[str], metrics: list[str], samples: str | None = None) -> DataFrame:
+def scores_summary(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """J10 over a ledger: mean and sample deviation of each metric over folds for every cell,
-    with the slice size as ``samples`` if the grid has one."""
-    from featurelab.operators.reporting import fold_summary
-    out = fold_summary(results, keys, metrics).withColumnRenamed("samples", "folds")
-    return out.withColumn("samples", F.col(samples)) if samples else out
+    and the number of ``folds``.  A slice size among the keys stays a key."""
+    aggs = [a for m in metrics for a in (F.avg(m).alias(f"test_{m}_mean"), F.stddev_samp(m).alias(f"test_{m}_std"))]
+    return results.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("folds"))

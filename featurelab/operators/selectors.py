@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelab.functions.ranks import fold_average_ranks
+from featurelab.functions.ranks import fold_average_ranks, sums_before
 from featurelab.functions.special import p_value_chi2, p_value_f, pearson_p_value
 from featurelab.functions.wide import q, safe_corr, to_long
-from featurelab.session import ship_package
+from featurelab.session import cut_lineage, ship_package
 
 
 def _folds_array(k: int) -> Column:
@@ -192,28 +192,33 @@ def f_value_selector(df: DataFrame, key: str, features: list[str], targets: list
 
 def mutual_info_selector(df: DataFrame, key: str, features: list[str], targets: list[str], k: int,
                          n_bins: int = 10, quantile_value: float = 0.9) -> DataFrame:
-    """I4 (binned estimator): equi-width bins of each feature over its range, joint counts
-    with the class, MI = sum p(x,y) log(p(x,y) / (p(x) p(y))) in nats; keep if MI >= the
-    ``quantile_value`` quantile of the (fold, target) scores."""
-    rng = df.agg(*[F.min(q(f)).alias(f"lo{i}") for i, f in enumerate(features)],
-                 *[F.max(q(f)).alias(f"hi{i}") for i, f in enumerate(features)]).collect()[0]
-    bins = []
-    for i, f in enumerate(features):
-        lo, hi = rng[f"lo{i}"], rng[f"hi{i}"]
-        if lo is None or hi is None or hi <= lo:
-            b = F.lit(0)
-        else:
-            b = F.least(F.floor((q(f) - F.lit(lo)) / F.lit((hi - lo) / n_bins)), F.lit(n_bins - 1)).cast("int")
-        bins.append(F.struct(F.lit(f).alias("feature"), F.when(q(f).isNotNull(), b).alias("bin")))
-    yl = df.select("fold", F.explode(F.array(*bins)).alias("_b"),
-                   *[q(t).cast("double").alias(t) for t in targets])
-    yl = yl.select("fold", "_b.feature", "_b.bin",
-                   F.explode(F.array(*[F.struct(F.lit(t).alias("target"), q(t).alias("cls"))
-                                       for t in targets])).alias("_t")) \
-           .select("fold", "feature", "bin", "_t.target", "_t.cls") \
-           .where(F.col("bin").isNotNull() & F.col("cls").isNotNull())
-    joint = yl.groupBy("fold", "target", "feature", "bin", "cls").agg(F.count(F.lit(1)).alias("c"))
-    tr = _fold_totals(joint, ["target", "feature", "bin", "cls"], ["c"], k).where(F.col("c") > 0)
+    """I4 (binned): MI of feature bins and classes; keep if MI >= the ``quantile_value`` quantile
+    of the (fold, target) scores.
+
+    Bins are of equal frequency in each training set: a value belongs to the bin
+    floor(n_bins * (training values below it) / (training values)), so equal values share a
+    bin and no row of the test fold moves a bin.  Counts below come from running counts per
+    fold over distinct values (P1): training = total - fold.
+    MI = sum p(x,y) log(p(x,y) / (p(x) p(y))) in nats."""
+    base = df.select("fold", *[q(c).cast("double").alias(c) for c in dict.fromkeys([*features, *targets])])
+    yl = to_long(base, ["fold", *targets], features)
+    rows = yl.select("fold", "feature", "value", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), q(t).alias("cls"))
+                                                                     for t in targets])).alias("_t")) \
+             .select("fold", "feature", "value", "_t.target", "_t.cls") \
+             .where(F.col("value").isNotNull() & F.col("cls").isNotNull())
+    # one row per (target, feature, value, class) with its rows in each fold; written once, read twice
+    counts = cut_lineage(rows.groupBy("target", "feature", "value", "cls").agg(*[F.count_if(F.col("fold") == f).alias(f"_n{f}") for f in range(k)]))
+    folds = [f"_n{f}" for f in range(k)]
+    g = ["target", "feature"]
+    values = counts.groupBy(*g, "value").agg(*[F.sum(c).alias(c) for c in folds])
+    below = sums_before(values, g, ["value"], folds, [f"_b{f}" for f in range(k)])
+    totals = counts.groupBy(*g).agg(*[F.sum(c).alias(f"_t{f}") for f, c in enumerate(folds)])
+    others = lambda p, t: sum((F.col(f"{p}{f}") for f in range(k) if f != t), F.lit(0))
+    bins = below.join(totals, g).select(*g, "value", *[F.try_divide(F.lit(n_bins) * others("_b", t), others("_t", t)).cast("int").alias(f"_bin{t}")
+                                                       for t in range(k)])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("train_fold"), F.col(f"_bin{t}").alias("bin"), others("_n", t).alias("c")) for t in range(k)]))
+    tr = counts.join(bins, [*g, "value"]).select(*g, "cls", each.alias("s")).where(F.col("s.c") > 0) \
+               .groupBy("s.train_fold", *g, "s.bin", "cls").agg(F.sum("s.c").alias("c"))
     wg = Window.partitionBy("train_fold", "target", "feature")
     tr = tr.withColumn("n", F.sum("c").over(wg)) \
            .withColumn("cx", F.sum("c").over(Window.partitionBy("train_fold", "target", "feature", "bin"))) \

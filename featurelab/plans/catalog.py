@@ -367,7 +367,7 @@ def clean_features_frame(spark, sf_dir) -> DataFrame:
 
 
 # ----------------------------------------------------- H, I (selectors) -----
-from featurelab.functions.keyed import sql_keyed_bucket  # noqa: E402
+from featurelab.functions.keyed import poisson_cdf, sql_keyed_bucket  # noqa: E402
 from featurelab.operators import sampling as sp  # noqa: E402
 from featurelab.operators import selectors as sel  # noqa: E402
 
@@ -540,17 +540,17 @@ def q_i5(spark, sf_dir):
 
 def _mi_sql(n_bins: int = 10) -> str:
     names = ", ".join(f"'{f}'" for f in fx.DOC_FEATURES)
-    rng = ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in fx.DOC_FEATURES)
-    binexprs = ", ".join(
-        f"CASE WHEN hi_{f} <= lo_{f} THEN 0 ELSE CAST(least(floor(({f} - lo_{f}) / ((hi_{f} - lo_{f}) / {n_bins})), "
-        f"{n_bins - 1}) AS INTEGER) END" for f in fx.DOC_FEATURES)
+    vals = ", ".join(fx.DOC_FEATURES)
     folds = ", ".join(str(i) for i in range(K_FOLDS))
-    return (f"WITH d AS ({_doc_sql()}), g AS (SELECT {rng} FROM d), "
-            f"b AS (SELECT entity, fold, quality, toxic, unnest([{names}]) AS feature, unnest([{binexprs}]) AS bin FROM d, g), "
+    return (f"WITH d AS ({_doc_sql()}), "
+            f"b AS (SELECT entity, fold, quality, toxic, unnest([{names}]) AS feature, unnest([{vals}]) AS value FROM d), "
             f"r AS (SELECT *, unnest(list_filter([{folds}], lambda x: x <> fold)) AS train_fold FROM b), "
-            "cl AS (SELECT train_fold AS fold, t.target, feature, bin, "
+            "cl0 AS (SELECT train_fold AS fold, t.target, feature, value, "
             "CASE WHEN t.target = 'quality' THEN quality ELSE toxic END AS cls "
             "FROM r, (VALUES ('quality'), ('toxic')) t(target)), "
+            # bins of equal frequency: by the share of training values below
+            "cl AS (SELECT fold, target, feature, cls, ((rank() OVER (PARTITION BY fold, target, feature ORDER BY value) - 1) "
+            f"* {n_bins}) // count(*) OVER (PARTITION BY fold, target, feature) AS bin FROM cl0), "
             "j AS (SELECT fold, target, feature, bin, cls, count(*) AS c FROM cl GROUP BY ALL), "
             "jj AS (SELECT *, sum(c) OVER (PARTITION BY fold, target, feature) AS n, "
             "sum(c) OVER (PARTITION BY fold, target, feature, bin) AS cx, "
@@ -646,15 +646,21 @@ def q_f2(spark, sf_dir):
 
 
 def _power_sql() -> str:
-    grid = ", ".join(repr(float(g)) for g in sc.LAMBDA_GRID)
+    """The likelihood on ever finer grids around the best value, down to the fourth decimal."""
     yj = ("CASE WHEN value >= 0 THEN (CASE WHEN abs(lam) < 1e-12 THEN ln(1 + value) ELSE (pow(value + 1.0, lam) - 1.0) / lam END) "
           "ELSE (CASE WHEN abs(lam - 2.0) < 1e-12 THEN -ln(1 - value) ELSE -(pow(1.0 - value, 2.0 - lam) - 1.0) / (2.0 - lam) END) END")
+    ctes, before = [], None
+    for name, step, reach in (("p1", 0.25, 64), ("p2", 0.01, 30), ("p3", 0.0005, 30), ("best", 0.0001, 10)):
+        centre = "0.0" if before is None else "b.lam"
+        frm = "(SELECT DISTINCT feature FROM f3) b" if before is None else f"{before} b"
+        ctes.append(
+            f"g_{name} AS (SELECT b.feature, round({centre} + i * {step}, 4) AS lam FROM {frm}, range(-{reach}, {reach + 1}) t(i)), "
+            f"{name} AS (SELECT feature, arg_max(lam, ll) AS lam FROM (SELECT g.feature, g.lam, (-count(*) / 2.0) * ln(nullif(var_pop({yj.replace('lam', 'g.lam')}), 0)) "
+            f"+ (g.lam - 1.0) * sum(sign(value) * ln(1 + abs(value))) AS ll FROM g_{name} g JOIN f3 x ON g.feature = x.feature "
+            "WHERE x.value IS NOT NULL GROUP BY g.feature, g.lam) z WHERE ll IS NOT NULL GROUP BY feature)")
+        before = name
     return (f"WITH {_clean_ctes()}, "
-            f"{_STD.format(src='d9', name='f3')}, "
-            f"g AS (SELECT x.feature, x.value, t.lam FROM f3 x, (SELECT unnest([{grid}]) AS lam) t WHERE x.value IS NOT NULL), "
-            f"ll AS (SELECT feature, lam, (-count(*) / 2.0) * ln(var_pop({yj})) + (lam - 1.0) * sum(sign(value) * ln(1 + abs(value))) AS ll "
-            "FROM g GROUP BY feature, lam), "
-            "best AS (SELECT feature, arg_max(lam, ll) AS lam FROM ll GROUP BY feature), "
+            f"{_STD.format(src='d9', name='f3')}, {', '.join(ctes)}, "
             f"t5 AS (SELECT x.entity, x.feature, x.pos, (SELECT {yj.replace('lam', 'b.lam').replace('value', 'x.value')} ) AS value "
             "FROM f3 x JOIN best b ON x.feature = b.feature), "
             f"{_STD.format(src='t5', name='f5').replace('sst', 'sst5')} " + _out_long("f5"))
@@ -668,7 +674,22 @@ def q_f5(spark, sf_dir):
     return _long_out(sc.power_transform(std, ["entity"]))
 
 
-@register("f6_quantile_transform", None)
+def _quantile_sql(n: int) -> str:
+    # Spark's percentile with its rule for equal neighbours, so that repeated references stay equal
+    ref = ("list_transform(range({n}), lambda i: CASE WHEN floor(i / {m} * (len(o) - 1)) = ceil(i / {m} * (len(o) - 1)) "
+           "OR o[CAST(floor(i / {m} * (len(o) - 1)) AS INTEGER) + 1] = o[CAST(ceil(i / {m} * (len(o) - 1)) AS INTEGER) + 1] "
+           "THEN o[CAST(floor(i / {m} * (len(o) - 1)) AS INTEGER) + 1] "
+           "ELSE (ceil(i / {m} * (len(o) - 1)) - i / {m} * (len(o) - 1)) * o[CAST(floor(i / {m} * (len(o) - 1)) AS INTEGER) + 1] "
+           "+ (i / {m} * (len(o) - 1) - floor(i / {m} * (len(o) - 1))) * o[CAST(ceil(i / {m} * (len(o) - 1)) AS INTEGER) + 1] END)").format(n=n, m=float(n - 1))
+    up, dn = "len(list_filter(r, lambda v: v < value))", "(len(list_filter(r, lambda v: v <= value)) - 1)"
+    return (f"WITH {_clean_ctes()}, oo AS (SELECT feature, list_sort(list(value)) AS o FROM d9 WHERE value IS NOT NULL GROUP BY feature), rr AS (SELECT feature, {ref} AS r FROM oo), "
+            f"m AS (SELECT x.*, r, {up} AS up, {dn} AS dn FROM d9 x LEFT JOIN rr ON x.feature = rr.feature), "
+            "f6 AS (SELECT entity, feature, CASE WHEN value IS NULL THEN NULL WHEN value <= r[1] THEN 0.0 WHEN value >= r[len(r)] THEN 1.0 "
+            f"WHEN dn >= up THEN (up + dn) / (2.0 * {n - 1}) ELSE (dn + (value - r[dn + 1]) / (r[dn + 2] - r[dn + 1])) / {float(n - 1)!r} END AS value FROM m) "
+            + _out_long("f6"))
+
+
+@register("f6_quantile_transform", _quantile_sql(100))
 def q_f6(spark, sf_dir):
     return _long_out(sc.quantile_transform(cleaned(spark, sf_dir), ["entity"], 100))
 
@@ -771,6 +792,20 @@ def q_g1u(spark, sf_dir):
     return _g_long(df, ("noise___",))
 
 
+def _poisson_sql(lam: float, name_sql: str) -> str:
+    """Number of cumulated probabilities that the uniform number reaches."""
+    u = _sql_u(["'42'", "'p'", "CAST(entity AS VARCHAR)", name_sql])
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in poisson_cdf(lam)) + ")"
+
+
+@register("g1_noise_poisson",
+          "SELECT entity, 'noise___poisson_' || CAST(i AS VARCHAR) AS feature, CAST("
+          + _poisson_sql(1.0, "'noise___poisson_' || CAST(i AS VARCHAR)") + " AS DOUBLE) AS value FROM (" + S.doc_features() + ") d, range(3) t(i)")
+def q_g1p(spark, sf_dir):
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
+    return _g_long(cr.add_noise(d, "entity", 3, "poisson", 42), ("noise___",))
+
+
 def _g23_sql() -> str:
     feats = fx.DOC_FEATURES
     corrupt = cr.pick_names(feats, 2, 42, "corrupt")
@@ -932,7 +967,7 @@ def q_l7(spark, sf_dir):
 
 @register("l8_jaccard_stability",
           f"WITH e AS ({_exp_sql()}), s AS (SELECT method, target, fold, feature FROM e WHERE kept), "
-          "sz AS (SELECT method, target, fold, count(*) AS n FROM s GROUP BY ALL), "
+          "sz AS (SELECT method, target, fold, count(*) FILTER (WHERE kept) AS n FROM e GROUP BY ALL), "
           "pr AS (SELECT a.method, a.target, a.fold AS fa, b.fold AS fb, a.n AS na, b.n AS nb FROM sz a JOIN sz b "
           "ON a.method = b.method AND a.target = b.target AND a.fold < b.fold), "
           "it AS (SELECT x.method, x.target, x.fold AS fa, y.fold AS fb, count(*) AS i FROM s x JOIN s y "
@@ -941,8 +976,8 @@ def q_l7(spark, sf_dir):
           "coalesce(i, 0) / (na + nb - coalesce(i, 0)) ELSE 0.0 END)") + " AS jaccard FROM pr LEFT JOIN it "
           "ON pr.method = it.method AND pr.target = it.target AND pr.fa = it.fa AND pr.fb = it.fb GROUP BY pr.method, pr.target")
 def q_l8(spark, sf_dir):
-    s = experiment_frame(spark, sf_dir).where("kept").select("method", "target", "fold", "feature")
-    out = rp.jaccard_stability(s, "fold", ["method", "target"])
+    e = experiment_frame(spark, sf_dir)
+    out = rp.jaccard_stability(e.where("kept"), "fold", ["method", "target"], runs=e)
     return out.select("method", "target", round6(F.col("jaccard")).alias("jaccard"))
 
 
@@ -1068,6 +1103,66 @@ def q_b4(spark, sf_dir):
     return r6(pf.summarise(st, "entity", _NUM))
 
 
+def _more_sql() -> str:
+    q1, q3 = sql_percentile("{c}", 0.25), sql_percentile("{c}", 0.75)
+    quart = ", ".join(f"{S.median(c)} AS m_{c}, {q1.format(c=c)} AS q1_{c}, {q3.format(c=c)} AS q3_{c}" for c in _NUM)
+    out = []
+    for c in _NUM:
+        out += [f"var_pop({c}) AS \"var.{c}\"", f"{S.median(f'abs({c} - m_{c})')} AS \"mad.{c}\"",
+                f"avg(CASE WHEN {c} < q1_{c} - 1.5 * (q3_{c} - q1_{c}) OR {c} > q3_{c} + 1.5 * (q3_{c} - q1_{c}) THEN 1.0 "
+                f"WHEN {c} IS NOT NULL THEN 0.0 END) AS \"outlier_share.{c}\""]
+    a, b = _NUM
+    return (f"WITH e AS ({_events_sql()}), q AS (SELECT entity, {quart} FROM e GROUP BY entity) "
+            f"SELECT e.entity, {', '.join(out)}, CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 THEN NULL "
+            f"ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS \"cor.{a}.{b}\" "
+            "FROM e JOIN q ON e.entity = q.entity GROUP BY e.entity")
+
+
+_MORE = [f"{st}.{c}" for c in _NUM for st in ("var", "mad", "outlier_share")] + ["cor." + ".".join(_NUM)]
+
+
+@register("b2_statistical_profile_more",
+          "SELECT entity, " + ", ".join(f"{sql_round6(chr(34) + m + chr(34))} AS \"f__profile.statistical.{m}\"" for m in _MORE) + f" FROM ({_more_sql()}) s")
+def q_b2m(spark, sf_dir):
+    """B2: variance, median absolute deviation, outlier share and correlation of every entity."""
+    out = pf.statistical_more(_events(spark, sf_dir), "entity", _NUM)
+    return r6(out.select("entity", *[q(f"f__profile.statistical.{m}") for m in _MORE]))
+
+
+_SUMMARIES = ("median", "range", "iq_range", "skewness", "kurtosis", "count", "quantiles", "histogram")
+_SUMMED = ["mean", "cv"]
+
+
+def _summaries_sql() -> str:
+    lists = [f"list_filter([{', '.join(f'{chr(34)}{m}.{c}{chr(34)}' for c in _NUM)}], lambda v: v IS NOT NULL) AS l_{m}" for m in _SUMMED]
+    stats, cols, names = [], [], []
+    for m in _SUMMED:
+        l, n = f"l_{m}", f"n_{m}"
+        stats += [f"list_sort({l}) AS o_{m}", f"len({l}) AS n_{m}", f"list_avg({l}) AS a_{m}", f"list_max({l}) - list_min({l}) AS w_{m}",
+                  f"list_avg(list_transform({l}, lambda v: pow(v - list_avg({l}), 2))) AS v_{m}"]
+        at = lambda p: (f"(o_{m}[CAST(floor({p} * ({n} - 1)) AS INTEGER) + 1] + ({p} * ({n} - 1) - floor({p} * ({n} - 1))) * "
+                        f"(o_{m}[CAST(ceil({p} * ({n} - 1)) AS INTEGER) + 1] - o_{m}[CAST(floor({p} * ({n} - 1)) AS INTEGER) + 1]))")
+        moment = lambda k: f"list_avg(list_transform({l}, lambda v: pow(v - a_{m}, {k})))"
+        share = lambda b: (f"len(list_filter({l}, lambda v: CASE WHEN w_{m} > 0 THEN least(floor((v - o_{m}[1]) / w_{m} * 10), 9) "
+                           f"ELSE 0 END = {b})) / CAST(nullif({n}, 0) AS DOUBLE)")
+        exprs = {"median": at(0.5), "range": f"w_{m}", "iq_range": f"{at(0.75)} - {at(0.25)}",
+                 "skewness": f"CASE WHEN v_{m} > 0 THEN {moment(3)} / pow(v_{m}, 1.5) END", "kurtosis": f"CASE WHEN v_{m} > 0 THEN {moment(4)} / (v_{m} * v_{m}) - 3 END",
+                 "count": f"CAST({n} AS DOUBLE)", **{f"quantiles.{i}": at(i / 4) for i in range(5)}, **{f"histogram.{b}": share(b) for b in range(10)}}
+        for name, e in exprs.items():
+            names.append(f"f__profile.statistical.{m}.{name}")
+            cols.append(f"{e} AS c{len(names)}")
+    return (f"WITH l AS (SELECT entity, {', '.join(lists)} FROM ({_stat_sql()}) s), t AS (SELECT entity, {', '.join(f'l_{m}' for m in _SUMMED)}, "
+            f"{', '.join(stats)} FROM l), x AS (SELECT entity, {', '.join(cols)} FROM t) "
+            "SELECT entity, " + ", ".join(f"{sql_round6(f'c{i + 1}')} AS \"{name}\"" for i, name in enumerate(names)) + " FROM x")
+
+
+@register("b4_summary_functions_more", _summaries_sql())
+def q_b4m(spark, sf_dir):
+    """The eight summaries beside mean, deviation and extremes."""
+    st = cut_lineage(pf.statistical(_events(spark, sf_dir), "entity", _NUM))
+    return r6(cut_lineage(pf.summarise(st, "entity", _NUM, _SUMMED, _SUMMARIES)))
+
+
 @register("b3_info_theory_profile",
           f"WITH e AS ({_events_sql()}), j AS (SELECT entity, hour_bin, category, count(*) AS c FROM e GROUP BY ALL), "
           "jn AS (SELECT *, sum(c) OVER (PARTITION BY entity) AS n FROM j), "
@@ -1093,7 +1188,7 @@ from featurelab.operators import causal as ca  # noqa: E402
 from featurelab.operators import learning as ln  # noqa: E402
 from featurelab.operators import projection as pj  # noqa: E402
 
-PLANTED_FEATS = fx.WIDE_FEATURES[:16]
+PLANTED_FEATS = fx.WIDE_FEATURES
 
 
 def planted_frame(spark, sf_dir) -> DataFrame:
@@ -1123,7 +1218,7 @@ def q_i9(spark, sf_dir):
 
 @register("i10_counterfactual_selector", None)
 def q_i10(spark, sf_dir):
-    return ca.counterfactual_selector(planted_frame(spark, sf_dir), PLANTED_FEATS[:8], "y")
+    return ca.counterfactual_selector(planted_frame(spark, sf_dir), PLANTED_FEATS, ["y"], K_FOLDS)
 
 
 def _cv(model: str):
@@ -1339,26 +1434,6 @@ def q_j6(spark, sf_dir):
                                  "reg_param double, auc double")
 
 
-@register("j11_grid_runner", None)
-def q_j11(spark, sf_dir):
-    """A grid of (model x target) cells; finished cells found by a left-anti join with the
-    results table are skipped; new results are appended to the partitioned results table."""
-    path = _stage_root(spark) + "/results"
-    grid = spark.createDataFrame([(m, "y") for m in ("logreg", "mlp")], "model string, target string")
-    df = planted_frame(spark, sf_dir)
-    for attempt in range(2):      # the second round finds every cell done and runs nothing
-        try:
-            done = read_stage(spark, path).select("model", "target").distinct()
-            todo = grid.join(done, ["model", "target"], "left_anti").collect()
-        except Exception:  # noqa: BLE001 - no results table yet
-            todo = grid.collect()
-        for cell in todo:
-            scores = ln.cross_validate(df, lambda f, t: PLANTED_FEATS, [cell["target"]], K_FOLDS, cell["model"])
-            write_stage(scores.withColumn("model", F.lit(cell["model"])), path, mode="append",
-                        partition_by=["model"])
-    return read_stage(spark, path)
-
-
 @register("k4_projection_per_selection", None)
 def q_k4(spark, sf_dir):
     """K4: the first 10 selected columns of a selection, projected with the target, coloured by
@@ -1373,7 +1448,7 @@ def q_k4(spark, sf_dir):
 @register("j8_meta_model_run", None)
 def q_j8(spark, sf_dir):
     df = planted_frame(spark, sf_dir)
-    return ln.meta_model_run(df, PLANTED_FEATS[:8], ["y"], K_FOLDS, "logreg", {"C": (0.01, 1.0)}, n_trials=2)
+    return ln.meta_model_run(df, PLANTED_FEATS, ["y"], K_FOLDS, "logreg", {"C": (0.01, 1.0)}, n_trials=2)
 
 
 @register("k2_reconstruction_r2", None)
@@ -1528,3 +1603,7 @@ def q_h1xa(spark, sf_dir):
 def q_h2xa(spark, sf_dir):
     df = sp.shuffle_split(fx.doc_features(spark, sf_dir).select("entity"), "entity", 0.3, SEED, exact=True)
     return df.select("entity", "is_test")
+
+
+# queries of the learning stage, in a module of their own
+from featurelab.plans import catalog_learning  # noqa: E402, F401
