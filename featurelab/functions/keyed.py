@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,13 +76,10 @@ def keyed_gamma(seed, shape: float, *parts) -> Column:
         raise ValueError("gamma shape must be positive")
     if shape == int(shape) and shape <= 16:
         return keyed_gamma_exp(seed, int(shape), *parts)
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def quantile(u: pd.Series) -> pd.Series:
         from featurelab.functions.special import gamma_quantile
         return pd.Series(gamma_quantile(u.to_numpy(dtype=float), shape))
-    return pandas_udf(quantile, "double")(keyed_uniform(seed, "gamma", *parts))
+    return F.pandas_udf(quantile, "double")(keyed_uniform(seed, "gamma", *parts))
 
 
 def keyed_gamma_exp(seed, shape: int, *parts) -> Column:

@@ -172,10 +172,11 @@ def power_lambdas(df: DataFrame, feats: list[str]) -> dict[str, float]:
             if i not in parts:
                 del bracket[i]
                 continue
-            n, _, m2, s = parts[i]
+            n, mean, m2, s = parts[i]
             with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
                 ll = -n / 2.0 * np.log(m2 / n) + (lams[i] - 1.0) * s
-            ll = np.where(np.isfinite(m2) & (m2 > 0), ll, -np.inf)
+                varies = np.isfinite(m2) & (m2 > n * (1e-13 * mean) ** 2)        # beyond rounding
+            ll = np.where(varies, ll, -np.inf)
             if not np.isfinite(ll).any():
                 del bracket[i]
                 continue

@@ -51,8 +51,9 @@ def test_planted_signal_found_by_model_selectors(spark, planted):
 
 def test_double_ml_recovers_planted_columns(spark, planted):
     res = ca.double_ml_selector(planted, C.PLANTED_FEATS, ["y"], 3).toPandas()
-    top = res.assign(a=res.score.abs()).nlargest(2, "a").feature
-    assert set(top) == {"e00", "e01"}
+    for fold in range(3):
+        top = res[res.fold == fold].assign(a=lambda d: d.score.abs()).nlargest(2, "a").feature
+        assert set(top) == {"e00", "e01"}
 
 
 def test_projection_matches_numpy_rrr(spark, planted):
@@ -72,9 +73,23 @@ def test_projection_matches_numpy_rrr(spark, planted):
         assert ((v - z @ b2) ** 2).sum() >= err - 1e-6
 
 
-def test_counterfactual_scores_in_unit_interval(spark, planted):
-    res = ca.counterfactual_selector(planted, C.PLANTED_FEATS[:4], "y", iters=8).toPandas()
-    assert ((res.score >= 0) & (res.score <= 1)).all()
+def test_counterfactual_cells_against_numpy(spark, planted):
+    feats = C.PLANTED_FEATS[:4]
+    df = planted.withColumn("e02", F.when(F.col("entity") % 5 == 0, None).otherwise(F.col("e02") * 100 + 1e4)) \
+                .withColumn("z", F.when(F.col("entity") % 7 == 0, None).otherwise((F.col("e03") > 0.05).cast("double")))
+    res = ca.counterfactual_selector(df, feats, ["y", "z"], 3).collect()
+    assert len(res) == 24 and all(0 <= r.score <= 1 and r.kept == (r.score > 0) for r in res)
+    pdf = df.select("fold", *feats, "y", "z").toPandas()
+    for r in res:
+        d = pdf[(pdf.fold != r.fold) & pdf[r.target].notna() & pdf[r.feature].notna()]
+        x, y = d[r.feature].to_numpy(), d[r.target].to_numpy()
+        p = 1 / (1 + np.exp(-(r.w * x + r.b)))
+        scale = x.std()
+        # stationary up to the ridge of 1e-6 on the scaled slope and intercept
+        assert abs(((p - y) * (x - x.mean()) / scale).mean()) < 1e-4 and abs((p - y).mean()) < 1e-4
+        mad = np.median(np.abs(x - np.median(x)))
+        flips = (np.abs(x + r.b / r.w) < 5).mean() if abs(r.w) * mad > 0.4 else 0.0
+        assert abs(flips - r.score) < 1e-12
 
 
 def test_recursive_elimination_keeps_planted(spark, planted):
@@ -94,28 +109,35 @@ def test_exact_folds_sizes(spark):
 
 
 def test_double_ml_matches_numpy_cross_fitting(spark, planted):
+    """Outside each test fold; with intercepts, so a shift of any column changes nothing."""
     feats = C.PLANTED_FEATS[:5]
-    got = ca.double_ml_selector(planted, feats, ["y"], 3, ridge=1e-3).toPandas().set_index("feature").score
     pdf = planted.select("fold", *feats, "y").toPandas()
-    x_all = pdf[feats].to_numpy()
-    y_all = pdf["y"].to_numpy()
-    thetas = []
-    for k in range(3):
-        tr = (pdf.fold != k).to_numpy()
-        te = ~tr
-        v_tr = np.column_stack([x_all[tr], y_all[tr]])
-        lam = 1e-3 * np.trace(v_tr.T @ v_tr) / (len(feats) + 1)
-        row = []
-        for j in range(len(feats)):
-            o = [i for i in range(len(feats)) if i != j]
-            xo = x_all[tr][:, o]
-            a = xo.T @ xo + lam * np.eye(len(o))
-            bj = np.linalg.solve(a, xo.T @ x_all[tr][:, j])
-            by = np.linalg.solve(a, xo.T @ y_all[tr])
-            rj = x_all[te][:, j] - x_all[te][:, o] @ bj
-            ry = y_all[te] - x_all[te][:, o] @ by
-            row.append((ry @ rj) / (rj @ rj))
-        thetas.append(row)
-    exp = np.mean(thetas, axis=0)
-    for j, f in enumerate(feats):
-        assert abs(got[f] - exp[j]) < 1e-8 * max(1.0, abs(exp[j]))
+    x_all, y_all, fold = pdf[feats].to_numpy(), pdf["y"].to_numpy(), pdf.fold.to_numpy()
+    exp = {}
+    for test in range(3):
+        thetas = []
+        for g in range(3):
+            if g == test:
+                continue
+            tr, te = (fold != test) & (fold != g), fold == g
+            x, y = x_all[tr], y_all[tr]
+            xc, yc = x - x.mean(axis=0), y - y.mean()
+            row = []
+            for j in range(len(feats)):
+                o = [i for i in range(len(feats)) if i != j]
+                cov = xc[:, o].T @ xc[:, o] / len(xc)
+                a = cov + 1e-3 * np.diag(np.diag(cov))
+                bj = np.linalg.solve(a, xc[:, o].T @ xc[:, j] / len(xc))
+                by = np.linalg.solve(a, xc[:, o].T @ yc / len(xc))
+                xt = x_all[te] - x.mean(axis=0)
+                rj = xt[:, j] - xt[:, o] @ bj
+                ry = y_all[te] - y.mean() - xt[:, o] @ by
+                row.append((ry @ rj) / (rj @ rj))
+            thetas.append(row)
+        for f, v in zip(feats, np.mean(thetas, axis=0)):
+            exp[(test, f)] = v
+    moved = planted.select("fold", *[(F.col(f) + 50.0 * i).alias(f) for i, f in enumerate(feats)], (F.col("y") + 5.0).alias("y"))
+    for df in (planted, moved):
+        got = {(r.fold, r.feature): r.score for r in ca.double_ml_selector(df, feats, ["y"], 3, ridge=1e-3).collect()}
+        assert got.keys() == exp.keys()
+        assert all(abs(got[k] - exp[k]) < 1e-8 * max(1.0, abs(exp[k])) for k in exp)
