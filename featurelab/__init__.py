@@ -6,7 +6,6 @@ Layout:
               functions, distributed ranks, fused wide aggregates (P1-P5)
   operators/  the operators of the inventory (B-L)
   plans/      fixtures built from the driver tables and the query catalogue
-  streaming/  intentionally empty (the reference has no streaming)
 """
 
 __version__ = "0.1.0"
