@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelab.functions.linalg import fold_gramians
-from featurelab.functions.wide import q, safe_corr
+from featurelab.functions.moments import total_moments
+from featurelab.functions.wide import q
 
 
 def fit_projection(df: DataFrame, feats: list[str], targets: list[str], ridge: float = 1e-9):
@@ -49,15 +50,18 @@ def project(df: DataFrame, key: str, feats: list[str], a: np.ndarray) -> DataFra
 
 def reconstruction_r2(df: DataFrame, feats: list[str], targets: list[str], a: np.ndarray,
                       b: np.ndarray) -> dict[str, float]:
-    """K2: r^2 per column between [X, y] and its reconstruction B A x, one aggregate."""
+    """K2: r^2 per column between [X, y] and its reconstruction B A x.  The reconstruction is
+    linear in x, so its correlations follow from the covariances of the columns (P3)."""
     cols = feats + targets
-    z = [sum((q(f) * float(a[i, j]) for j, f in enumerate(feats)), F.lit(0.0)) for i in range(2)]
-    exprs = []
+    cov = total_moments(df, cols).covariance()
+    w = b @ a                                            # reconstruction of each column: weights on x
+    with_own = np.einsum("kj,kj->k", w, cov[:, :len(feats)])
+    own = np.einsum("ki,ij,kj->k", w, cov[:len(feats), :len(feats)], w)
+    out = {}
     for k, c in enumerate(cols):
-        rec = z[0] * float(b[k, 0]) + z[1] * float(b[k, 1])
-        exprs.append(safe_corr(q(c), rec).alias(f"r{k}"))
-    row = df.agg(*exprs).collect()[0]
-    return {c: (None if row[f"r{k}"] is None else float(row[f"r{k}"]) ** 2) for k, c in enumerate(cols)}
+        v = own[k] * cov[k, k]
+        out[c] = float(with_own[k] ** 2 / v) if v > 0 else None
+    return out
 
 
 def loadings(spark: SparkSession, feats: list[str], a: np.ndarray) -> DataFrame:
