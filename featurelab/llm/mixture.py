@@ -159,6 +159,7 @@ def _counted(text: str):
 
 class Mix:
     """A planned mix over ``rows`` (row, doc_id, source, size: written, one per document row).
+    Documents are ordered by doc_id and ``place`` if there (else ``row``) in a keyed random order.
 
     ``segments``: (row, source_no, block, lo, off, len): which words of a document lie in
     which block.  ``slots``: (shard, slot, source_no, epoch, block, take).  ``pieces``: the
@@ -179,11 +180,12 @@ class Mix:
             table, "name string, source_no long, cells long, source_size long, target double")
         known = rows.join(self.sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
         # a document's place in its source: cells first, then documents within a cell
-        dealt = known.withColumn("h", F.xxhash64("doc_id", "row", F.lit(seed))).withColumn("cell", F.pmod("h", "cells"))
+        place = "place" if "place" in rows.columns else "row"
+        dealt = known.withColumn("h", F.xxhash64("doc_id", place, F.lit(seed))).withColumn("cell", F.pmod("h", "cells"))
         cells = dealt.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
         over = Window.partitionBy("source_no").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         begin = cells.select("source_no", "cell", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("begin"))
-        within = Window.partitionBy("source_no", "cell").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("source_no", "cell").orderBy("h", place, "row").rowsBetween(Window.unboundedPreceding, -1)
         self.placed = (dealt.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
                        .join(begin, ["source_no", "cell"])
                        .select("row", "doc_id", "source_no", "size", "source_size", "target",
@@ -204,11 +206,18 @@ class Mix:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, doc_id, source, size): number of words of each row, written."""
+    """(row, doc_id, source, size, place): number of words of each row, written.
+
+    ``place`` hashes the text and, of rows alike in id, source and text, the number of the
+    row: it does not depend on how the input is partitioned.  ``row`` only joins."""
     ship_package(docs.sparkSession)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                      F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return written(src.mapInArrow(_counted("text"), "row long, doc_id long, source string, size long"), "sizes")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                      F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    sizes = src.mapInArrow(_counted("text"), "doc_id long, source string, hash long, size long")
+    alike = sizes.groupBy("doc_id", "source", "hash", "size").agg(F.count("*").alias("n"))
+    each = alike.select("doc_id", "source", "size", "hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("turn"))
+    return written(each.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size",
+                               F.xxhash64("hash", "turn").alias("place")), "sizes")
 
 
 def mix_words(docs: DataFrame, seed: int = 0, **columns) -> DataFrame:

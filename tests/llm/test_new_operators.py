@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from featurelab.llm import exact_dedup, periodic_runs, queries, quotient_filter, whitening
+from featurelab.llm import exact_dedup, mixture, periodic_runs, queries, quotient_filter, whitening
 from featurelab.llm.hot import join_classes
 from tests.conftest import SF_SMALL
 
@@ -253,3 +253,12 @@ def test_run_edges(spark):
     assert periodic_runs.find_runs(df.limit(0)).count() == 0
     looped = {r.doc_id: r.text for r in queries.looped(df.select("doc_id", "text")).collect()}
     assert looped[None] == "b c " * 40 and looped[1] is None
+
+
+# ---- mixing: reruns agree however the input is partitioned
+
+def test_mix_does_not_depend_on_partitioning(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.filter("doc_id = 5"))
+    runs = [sorted(map(tuple, mixture.mix_words(d).collect()), key=str) for d in (docs, docs.repartition(1), docs.repartition(13, "source"))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == docs.count()
