@@ -1,14 +1,21 @@
 """Main text of HTML pages by two-pass block rules.
 
 Pass 1 decides blocks from their text and place: a block inside navigation, forms, comments
-and the like (by tag, or by words of its class, id or role) is no content and has no say
-later; one made of links is bad; one long enough and with enough stop words is good.  The
-rest, short or without stop words, is ambiguous.  Pass 2 gives ambiguous blocks the label of
-their nearest decided neighbours in the same section.  Inside an article or main element a
-block is bad only if both sides are; elsewhere it is good only if both sides are, or the one
-side that has a decided block, a heading if the next decided block is.  Where no side has one,
-or the page has no good block, it is good.  Where a page has an article or main element with
-text, nothing outside it counts.
+and the like (by tag, or by its class, id or role) is no content and has no say later; one
+made of links is bad; one long enough and with enough stop words is good.  The rest, short or
+without stop words, is ambiguous.  Pass 2 gives ambiguous blocks the label of their nearest
+decided neighbours in the same section.  Inside an article or main element a block is bad only
+if both sides are, and a paragraph without links never is; elsewhere it is good only if both
+sides are, or the one side that has a decided block, a heading if the next decided block is.
+Where no side has one, or the page has no good block, it is good.  Where a page has an article
+or main element with text, nothing outside it counts.
+
+A class name marks its element if it names such a thing: its last word is a hint, words for
+boxes and places aside (``left-sidebar``, ``comment-list``, not ``share-price``), and no word
+tells of a state (``no-sidebar``, ``comments-open``).  Article elements are marked by single
+words only, main elements never.  Forms that hold an article, and on pages without any good
+block the marked elements that hold most of the text (not comments, menus or footers), are
+the page's frame: they are read as if they were not marked.
 
 Stop words have a say only where they apply: not on blocks in another script than Latin, and
 not on pages where most words stand in long blocks without them, such as pages in a language
@@ -18,6 +25,7 @@ that they do not know.  There a long block is good.  Unspaced scripts count two
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 from featurelab.session import ship_package
 
 MIN_WORDS, MIN_STOP, MAX_LINK = 8, 0.12, 0.5
+SEPARATORS = 12                      # characters beside the links that a row of links may have
 
 # fixed values: frequent words of four languages
 STOP = frozenset("""
@@ -48,14 +57,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas xmp noembed noframes".split())
 DROP = frozenset("aside button dialog footer form head menu nav search select title".split())
 MAIN = frozenset("article main".split())
+FOREIGN = frozenset("math svg".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = frozenset("blockquote p pre".split())
+ITEMS = frozenset("dd dt li option td th tr".split())
 CLOSES_P = BLOCK - frozenset("body head html option optgroup".split())
 # fixed values: words in a class, id or role that mark what is no content
 HINTS = frozenset("""ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs
-comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr
-login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification pager
-pagination popup privacy promo promoted promotion recommended related replies respond search share sharing sidebar
+comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus footer
+gdpr login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification pager
+pagination popup privacy promo promoted promotion recommended related replies respond responses search share sharing sidebar
 signin signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets""".split())
+# fixed values: hints that no frame of a page has
+NO_FRAME = frozenset("""breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright discussion
+disqus footer gdpr menu menubar nav navbar navigation navigational pager pagination replies respond responses toc""".split())
+# fixed values: words in a class for boxes, places and things in lists, and words that tell of a state
+BOXES = frozenset("""area articles banner bar block body bottom box btn button buttons col column container content desktop form group
+header icons inline inner item items left link links list main middle mobile outer panel placeholder posts primary right row secondary
+section slot stories text this title top unit wide wrap wrapper""".split())
+STATES = frozenset("""closed disabled enabled free has hide hides is loaded no non not off on open opened with without""".split())
 HEAD_HINTS = frozenset("header hdr pageheader siteheader".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -75,107 +95,177 @@ class Block:
         self.text, self.link, self.tag, self.dropped, self.section, self.label = text, link, tag, dropped, section, None
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
+_NO, _SOFT, _HARD = 0, 1, 2              # marks; a soft one may belong to the page's frame
+
+
+def _hint(name: str, hints: frozenset, plain: bool) -> str | None:
+    """The hint that a class name holds; with ``plain`` only if it is all of the name."""
+    parts = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if plain:
+        return parts[0] if len(parts) == 1 and parts[0] in hints else None
+    if not STATES.isdisjoint(parts):
+        return None
+    while len(parts) > 1 and parts[-1] in BOXES and not (parts[-1] in hints and parts[-2] not in hints):
+        parts.pop()
+    return parts[-1] if parts and parts[-1] in hints else None
+
+
+def _mark(tag: str, attrs: str, inside: bool) -> int:
     """Whether the element is no content."""
     if tag in DROP or tag == "header" and not inside:
-        return True
+        return _SOFT if tag == "form" else _HARD
     if not attrs.strip():
-        return False
+        return _NO
     if _HIDDEN.search(attrs):
-        return True
-    if tag in ("html", "body"):
-        return False
+        return _HARD
+    if tag in ("html", "body", "main"):
+        return _NO
     hints = HINTS if inside else HINTS | HEAD_HINTS
-    return any(p in hints for m in _HINT.finditer(attrs) for p in _PART.findall(
-        re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1]).lower()))
+    found = [_hint(name, hints, tag == "article") for m in _HINT.finditer(attrs) for name in m[1].strip("\"'").split()]
+    found = [h for h in found if h]
+    return _NO if not found else _HARD if not NO_FRAME.isdisjoint(found) else _SOFT
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks of text in page order; markup that is cut off or not closed is fine."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []          # element, dropped, section (0: outside articles)
-    parts: list[str] = []
-    link, linked, sections, pos, n = 0, 0, 0, 0, len(html)
-    tag, dropped, section = "", False, 0
-
-    def end_block():
-        nonlocal parts, linked, link
-        if parts:
-            text = " ".join("".join(parts).split())
+class _Reader:
+    """Blocks of one page; ``frame`` are the places of soft marks that do not count."""
+
+    def __init__(self, html: str, frame: frozenset = frozenset()):
+        self.html, self.frame = html, frame
+        self.out: list[Block] = []
+        # element, dropped, section (0: outside articles), place of its soft mark, text before it, article inside
+        self.stack: list[list] = []
+        self.open: Counter = Counter()
+        self.soft: dict[int, tuple] = {}     # place of a soft mark: (tag, characters, holds an article)
+        self.chars = 0
+        self.parts: list[str] = []
+        self.link = self.linked = self.sections = 0
+        self.ends: dict[int, int] | None = None
+
+    def end_block(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                out.append(Block(text, linked, tag, dropped, section))
-            parts = []
-        linked = link = 0
-
-    def state():
-        nonlocal tag, dropped, section
-        tag, dropped, section = stack[-1] if stack else ("", False, 0)
-
-    while pos < n:
-        m = _TOKEN.match(html, pos)
-        pos = m.end()
-        name = m[2] or m[5]
-        if name is None:
-            if not m[0].startswith("<") or m[0] == "<":
-                text = unescape(m[0])
-                parts.append(text)
-                if link:
-                    linked += len(text.strip())
-            continue
-        name, closing = name.lower(), bool(m[1] or m[4])
-        attrs = m[3] or m[6] or ""
-        if name in RAW and not closing:
-            if not attrs.endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
-                pos = close.end() if close else n
-            continue
-        if name == "a":
-            link = 0 if closing else 1
-            continue
-        if name == "br":
-            parts.append(" ")
-            continue
-        if name not in BLOCK:
-            if not closing and name not in VOID and attrs and _marked(name, attrs, section > 0):
-                # a marked inline element is dropped with what it holds
-                pos = _skip(html, pos, name)
-            continue
-        end_block()
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name != "hr":
-            if name in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            state()
-            inner = section
-            if name in MAIN and not dropped and not section:
-                sections += 1
-                inner = sections
-            stack.append((name, dropped or _marked(name, attrs, section > 0), inner))
-        state()
-    end_block()
-    return out
-
-
-def _skip(html: str, pos: int, name: str) -> int:
-    """End of an inline element opened at ``pos``; unclosed ones end where they begin."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(html, pos):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return pos
+                tag, dropped, section = self.stack[-1][:3] if self.stack else ("", False, 0)
+                self.out.append(Block(text, self.linked, tag, dropped, section))
+                self.chars += len(text)
+            self.parts = []
+        self.linked = self.link = 0
+
+    def pop(self) -> None:
+        tag, _, _, soft, before, article = self.stack.pop()
+        self.open[tag] -= 1
+        if soft is not None:
+            self.soft[soft] = tag, self.chars - before, article
+        if self.stack and article:
+            self.stack[-1][5] = True
+
+    def push(self, name: str, attrs: str, pos: int) -> None:
+        if name in CLOSES_P and self.stack and self.stack[-1][0] == "p":
+            self.pop()
+        if name in ITEMS and self.stack and self.stack[-1][0] == name:
+            self.pop()
+        dropped, section = self.stack[-1][1:3] if self.stack else (False, 0)
+        mark, soft = _mark(name, attrs, section > 0), None
+        if mark == _SOFT:
+            soft = pos
+            if pos in self.frame:
+                mark = _NO
+        article = name in MAIN and mark != _HARD
+        if article and not dropped and not section:
+            self.sections += 1
+            section = self.sections
+        self.stack.append([name, dropped or mark > _NO, section, soft, self.chars, article])
+        self.open[name] += 1
+
+    def inline_ends(self) -> dict[int, int]:
+        """Where inline elements that are closed end, by where their content begins."""
+        ends, starts, pos, html = {}, defaultdict(list), 0, self.html
+        while pos < len(html):
+            m = _TOKEN.match(html, pos)
+            pos = m.end()
+            name = (m[2] or m[5] or "").lower()
+            if not name or name in BLOCK or name in VOID:
+                continue
+            if not (m[1] or m[4]):
+                starts[name].append(pos)
+            elif starts[name]:
+                ends[starts[name].pop()] = pos
+        return ends
+
+    def read(self) -> list[Block]:
+        html, pos, n, unclosed = self.html, 0, len(self.html), set()
+        while pos < n:
+            m = _TOKEN.match(html, pos)
+            pos = m.end()
+            name = m[2] or m[5]
+            if name is None:
+                if not m[0].startswith("<") or m[0] == "<":
+                    text = unescape(m[0])
+                    self.parts.append(text)
+                    if self.link:
+                        self.linked += len(text.strip())
+                continue
+            name, closing = name.lower(), bool(m[1] or m[4])
+            attrs = m[3] or m[6] or ""
+            if name in RAW and not closing:
+                if name in FOREIGN and attrs.endswith("/"):
+                    continue                 # only foreign elements can close themselves
+                close = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, pos)
+                if close:
+                    pos = close.end()
+                elif attrs.endswith("/"):
+                    unclosed.add(name)
+                else:
+                    pos = n
+            elif name == "a":
+                self.link = 0 if closing else 1
+            elif name == "br":
+                self.parts.append(" ")
+            elif name not in BLOCK:
+                if not closing and name not in VOID and attrs and _mark(name, attrs, bool(self.stack) and self.stack[-1][2] > 0):
+                    # a marked inline element is dropped with what it holds; unclosed ones hold nothing
+                    if self.ends is None:
+                        self.ends = self.inline_ends()
+                    pos = self.ends.get(pos, pos)
+            else:
+                self.end_block()
+                if not closing:
+                    if name != "hr":
+                        self.push(name, attrs, pos)
+                elif self.open[name]:
+                    while self.stack[-1][0] != name:
+                        self.pop()
+                    self.pop()
+        self.end_block()
+        while self.stack:
+            self.pop()
+        return self.out
+
+
+def blocks(html: str) -> list[Block]:
+    """Blocks of text in page order; markup that is cut off or not closed is fine.  Pages whose
+    frame is marked are read twice."""
+    page = _Reader(html)
+    out = page.read()
+    dropped = sum(len(b.text) for b in out if b.dropped)
+    lost = not any(_runs_on(b) for b in out if not b.dropped) and not any(b.section and not b.dropped for b in out)
+    frame = frozenset(i for i, (tag, chars, article) in page.soft.items()
+                      if article and tag == "form" or lost and 2 * chars > dropped)
+    return _Reader(html, frame).read() if frame else out
+
+
+def _runs_on(b: Block) -> bool:
+    """A block of running text, whatever its language."""
+    size = max(len(_LETTERS.findall(b.text)), len(_UNSPACED.findall(b.text)) // 2)
+    return size >= MIN_WORDS and b.link <= MAX_LINK * len(b.text) and b.tag not in HEADING
 
 
 def _decide(b: Block) -> int:
     """Label the block; the number of its words if only its want of stop words speaks against it."""
     if b.link > MAX_LINK * len(b.text):
-        b.label = False
+        # a paragraph of an article with words beside its links is no menu
+        if not (b.section and b.tag in RUNNING and b.link < len(b.text) - SEPARATORS):
+            b.label = False
         return 0
     words = _LETTERS.findall(b.text.lower())
     size = max(len(words), len(_UNSPACED.findall(b.text)) // 2)
@@ -218,7 +308,7 @@ def main_text(html: str | None) -> str:
         label = b.label
         if label is None:
             if b.section:
-                label = not (prev is False and nxt is False)
+                label = not (prev is False and nxt is False) or b.tag in RUNNING and not b.link
             elif not good or prev is None and nxt is None:
                 label = True
             elif b.tag in HEADING and nxt is not None:
@@ -233,7 +323,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the html replaced by its main text.
 
-    A null or empty page gives an empty text.  All other columns stay, repeated rows too; a
+    A null or empty page gives an empty text.  A page is held whole in memory with its blocks;
+    time grows with its length, closed elements or not.  All other columns stay, repeated rows too; a
     column already named ``text_col`` is replaced.  No rows give no rows.
     """
     ship_package(pages.sparkSession)
