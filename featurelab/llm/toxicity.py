@@ -32,10 +32,12 @@ from featurelab.session import ship_package
 from . import words as W
 from .stage import free_name, written
 
-#: Labelled documents that a model is fitted on, and entries that its lexicon may have.
-MAX_TRAIN, MAX_ENTRIES, MAX_CANDIDATES = 20_000, 5_000, 50_000
+#: Labelled documents that a model is fitted on.
+MAX_TRAIN = 20_000
 MIN_DOCS, MIN_PRECISION = 4, 0.8
 SHORTEST, LONGEST = 4, 9             # letters of a word beginning
+SHORTEST_WORD = 2                    # letters of a whole word
+COUNTED = 500_000                    # entries that a task counts before it hands them on
 # fixed values: phrases in which lexicon words say nothing bad
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "rodeo clown", "sore loser rule", "stupid simple")
 # fixed values: letters that look alike, and digits and signs that stand for letters
@@ -116,54 +118,59 @@ class Lexicon:
 
 
 def _candidates(text: str | None) -> set[str]:
-    """Words (marked by a final space) and their beginnings."""
+    """Words of two letters or more (marked by a final space) and word beginnings."""
     out = set()
     for w in set(_LETTERS.findall(fold(text or ""))):
-        if len(w) >= SHORTEST:
-            out.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+        if len(w) >= SHORTEST_WORD:
             out.add(w + " ")
+        out.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
     return out
 
 
-def _counter(wanted: frozenset | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for batch in batches:
-            for t in batch.column("text"):
-                found = _candidates(t.as_py())
-                n.update(found if wanted is None else found & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())],
-                                         ["entry", "n"])
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of either label that hold an entry, in tables of bounded size."""
+    n: tuple[Counter, Counter] = (Counter(), Counter())
 
+    def out():
+        entries = list(n[0].keys() | n[1].keys())
+        counts = [pa.array([n[label][e] for e in entries], pa.int64()) for label in (1, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *counts], ["entry", "bad", "good"])
 
-def _count(sample: DataFrame, label: int, wanted: frozenset | None = None) -> DataFrame:
-    return (sample.filter(F.col("label") == label).select("text").mapInArrow(_counter(wanted), "entry string, n long")
-            .groupBy("entry").agg(F.sum("n").alias("n")))
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+            n[label].update(_candidates(text.as_py()))
+            if len(n[0]) + len(n[1]) > COUNTED:
+                yield out()
+                n[0].clear()
+                n[1].clear()
+    yield out()
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Lexicon of a written sample (text, label 0 or 1); empty if a label is missing."""
+    """Lexicon of a written sample (text, label 0 or 1); empty if a label is missing.
+
+    Every entry that is frequent and precise enough is in it, none is cut off.  Both counts
+    meet in one aggregate and are filtered there; the driver gets the entries that pass, each
+    of them in ``MIN_DOCS`` documents or more of a sample of at most ``MAX_TRAIN``."""
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({})
-    top = (_count(sample, 1).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "entry")
-           .limit(MAX_CANDIDATES).collect())
-    n1 = {r.entry: r.n for r in top}
-    n0 = {r.entry: r.n for r in _count(sample, 0, frozenset(n1)).collect()}
+    counts = (sample.mapInArrow(_count, "entry string, bad long, good long").groupBy("entry")
+              .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    a, b = F.col("bad") / bad, F.col("good") / good
+    balance = a / (a + b + 1 / good)                      # precision, were both labels as frequent
+    passed = counts.filter((F.col("bad") >= MIN_DOCS) & (balance >= MIN_PRECISION)
+                           & (F.col("bad") >= (F.col("bad") + F.col("good") + 1) * F.lit(MIN_PRECISION)))
+    n = {r.entry: (r.bad, r.good) for r in passed.collect()}
     chosen: dict[str, tuple[float, bool]] = {}
-    for e in sorted(n1, key=lambda e: (len(e), e)):
-        a, b = n1[e] / bad, n0.get(e, 0) / good
-        balance = a / (a + b + 1 / good)                  # precision, were both labels as frequent
-        if n1[e] < (n1[e] + n0.get(e, 0) + 1) * MIN_PRECISION or balance < MIN_PRECISION:
-            continue
+    for e in sorted(n, key=lambda e: (len(e), e)):
         word = e.rstrip(" ")
         if any(word[:k] in chosen and not chosen[word[:k]][1] for k in range(SHORTEST, len(word) + 1)):
             continue                                      # a beginning stands for it already
-        chosen[word] = (log((n1[e] + 0.5) / (bad + 1)) - log((n0.get(e, 0) + 0.5) / (good + 1)), e.endswith(" "))
-    best = sorted(chosen, key=lambda w: (-chosen[w][0], w))[:MAX_ENTRIES]
-    return Lexicon({w: chosen[w] for w in best})
+        n1, n0 = n[e]
+        chosen[word] = (log((n1 + 0.5) / (bad + 1)) - log((n0 + 0.5) / (good + 1)), e.endswith(" "))
+    return Lexicon(chosen)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -236,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name`` (the next free name, if taken): the score of each text
-    in [0, 1], null and empty texts like ones without matches.  A map; nothing is shuffled."""
+    in [0, 1], null and empty texts like ones without matches.  Repeated rows stay, each with
+    its score.  A map; nothing is shuffled."""
     ship_package(docs.sparkSession)
     name = free_name(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
