@@ -29,6 +29,7 @@ SHARE, REPEATS = Fraction(3, 2), 2
 WEIGHTS = (3, 1, 2)
 #: Sources that the driver plans for; a table with more is refused.
 MAX_SOURCES = 1_000_000
+ALIKE_PARTS = 256                    # parts in which rows of equal id, source and text are numbered
 CELL_ROWS = 10_000                   # documents of a source whose positions one task adds up
 
 
@@ -158,8 +159,8 @@ def _counted(text: str):
 
 
 class Mix:
-    """A planned mix over ``rows`` (row, doc_id, source, size: written, one per document row).
-    Documents are ordered by doc_id and ``place`` if there (else ``row``) in a keyed random order.
+    """A planned mix over ``rows`` (row, doc_id, source, size, place: written, one per document row).
+    Documents are ordered by doc_id and ``place`` in a keyed random order.
 
     ``segments``: (row, source_no, block, lo, off, len): which words of a document lie in
     which block.  ``slots``: (shard, slot, source_no, epoch, block, take).  ``pieces``: the
@@ -180,12 +181,11 @@ class Mix:
             table, "name string, source_no long, cells long, source_size long, target double")
         known = rows.join(self.sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
         # a document's place in its source: cells first, then documents within a cell
-        place = "place" if "place" in rows.columns else "row"
-        dealt = known.withColumn("h", F.xxhash64("doc_id", place, F.lit(seed))).withColumn("cell", F.pmod("h", "cells"))
+        dealt = known.withColumn("h", F.xxhash64("doc_id", "place", F.lit(seed))).withColumn("cell", F.pmod("h", "cells"))
         cells = dealt.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
         over = Window.partitionBy("source_no").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         begin = cells.select("source_no", "cell", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("begin"))
-        within = Window.partitionBy("source_no", "cell").orderBy("h", place, "row").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("source_no", "cell").orderBy("h", "place", "row").rowsBetween(Window.unboundedPreceding, -1)
         self.placed = (dealt.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
                        .join(begin, ["source_no", "cell"])
                        .select("row", "doc_id", "source_no", "size", "source_size", "target",
@@ -220,6 +220,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                                F.xxhash64("hash", "turn").alias("place")), "sizes")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``turn``: numbers from 1 for rows alike in doc_id, source and hash.  Which
+    row gets which number is open, the numbers are not.  Alike rows are numbered in
+    ``ALIKE_PARTS`` parts, whose counts give the offsets, so that no task sorts all of them."""
+    alike, part = ["doc_id", "source", "hash"], F.pmod(F.xxhash64("row"), F.lit(ALIKE_PARTS))
+    parts = rows.withColumn("part", part)
+    before = Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (parts.groupBy(*alike, "part").agg(F.count("*").alias("n"))
+               .select(*(F.col(c).alias(f"_{c}") for c in (*alike, "part")),
+                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    within = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("row"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike] + [F.col("part") == F.col("_part")]
+    return (parts.withColumn("within", within).join(offsets, same)
+            .select(*rows.columns, (F.col("offset") + F.col("within")).alias("turn")))
+
+
 def mix_words(docs: DataFrame, seed: int = 0, **columns) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``: how many of its
     words the mix takes, repeats counted.
@@ -239,13 +255,19 @@ def mix_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_c
                   source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The mix as rows with the columns of ``docs``: each pass over a document gives one row
     for each run of its words that the mix takes (the whole text where all are taken).  The
-    text is that part of the document, unchanged; ``chars_col``, if there, is its length."""
+    text is that part of the document, unchanged; ``chars_col``, if there, is its length.
+
+    Documents are placed as in ``mix_words``, however the input is partitioned.  Of rows alike
+    in id, source and text but not in further columns, any may take the place of another.
+    Null and empty texts give no row; no rows give none."""
     key = free_name(docs, "mix_row")
     kept = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix-docs")
     ship_package(docs.sparkSession)
-    sizes = written(kept.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                                F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-                    .mapInArrow(_counted("text"), "row long, doc_id long, source string, size long"), "sizes")
+    counted = written(kept.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                                  F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"),
+                                  F.col(text_col).alias("text"))
+                      .mapInArrow(_counted("text"), "row long, doc_id long, source string, hash long, size long"), "counted")
+    sizes = written(_numbered(counted).select("row", "doc_id", "source", "size", F.xxhash64("hash", "turn").alias("place")), "sizes")
     runs = (Mix(sizes, seed).pieces.groupBy("row")
             .agg(F.sort_array(F.collect_list(F.struct("epoch", "lo", "taken"))).alias("runs")))
     parts = free_name(docs, "runs")
