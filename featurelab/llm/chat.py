@@ -2,10 +2,14 @@
 
 Every assistant turn becomes an example of its own: all preceding turns as context, only
 that reply under the loss.  Written out, the contexts of a conversation grow with the square
-of its turns.  Examples are therefore chained: a row holds the formatted turns since the
-previous example of its conversation (``context``), its reply, and the sizes of the whole
-context; ``expanded`` gives each example's whole text.  Turns after the last reply form a
-closing row without a reply.
+of its turns.  ``prefix_targets`` therefore chains them: a row holds the formatted turns since
+the previous example of its conversation (``context``), its reply, and the sizes of the whole
+context.  ``expanded`` writes every example out whole, in pieces of bounded length, and
+``read_back`` reads those.  Turns after the last reply form a closing row without a reply.
+
+An example is a beginning of its conversation's formatted text.  That text is cut into
+blocks of ``PIECE`` code points, and examples are joined with the blocks they cover: no task
+holds a conversation, however long.
 
 Template: ``<|role|>\\n`` text ``</s>\\n``.  Control strings inside roles and texts get a
 backslash after their first character (one more, if there are some), which is taken out
@@ -19,11 +23,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.session import ship_package
 
+from .stage import written
+
 # fixed values: strings that tokenizers of chat models take for control tokens
 _CONTROL = r"(?=\||/?s>|/?INST\]|>)"
 _ESCAPE = re.compile(r"([<\[|])(\\*)" + _CONTROL)
@@ -125,52 +131,106 @@ def prefix_targets(conversations: DataFrame, conv_col: str = "conv_id", turn_col
             .select("conv_id", "role", "text").mapInArrow(_expand, EXAMPLE_SCHEMA))
 
 
-def expanded(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end): every example with its whole text."""
-    w = Window.partitionBy("conv_id").orderBy("example")
-    part = F.concat("context", F.coalesce("reply", F.lit("")))
-    return examples.withColumn("text", F.array_join(F.collect_list(part).over(w), "")).select(
-        "conv_id", "example", "text", "loss_start", "loss_end")
+#: Code points of a piece of an example.
+PIECE = 1 << 18
+
+
+def expanded(examples: DataFrame, piece_chars: int = PIECE) -> DataFrame:
+    """Every example (of ``prefix_targets``) with its whole text, all preceding turns included:
+    (conv_id, example, piece from 0, text, own_start, loss_start, loss_end).
+
+    Examples up to ``piece_chars`` code points are one piece, longer ones follow on in order.
+    own_start is where the text goes beyond the previous example's; it and the loss span are
+    places in the whole example.  The closing row of a conversation has no loss span.  The
+    chained rows are written once; a group holds the parts of one block only."""
+    rows = written(examples, "chat").withColumn("own", F.concat("context", F.coalesce("reply", F.lit(""))))
+    rows = rows.withColumn("own_start", F.col("chars") - F.length("own")).filter("chars > own_start")
+    size, last = F.lit(piece_chars).cast("long"), F.expr(f"(chars - 1) div {piece_chars}")
+    at = F.greatest(F.col("block") * size, F.col("own_start"))
+    end = F.least((F.col("block") + 1) * size, F.col("chars"))
+    parts = (rows.withColumn("block", F.explode(F.sequence(F.expr(f"own_start div {piece_chars}"), last)))
+             .select(F.col("conv_id").alias("conv"), "block", at.alias("at"), F.substring(
+                 "own", (at - F.col("own_start") + 1).cast("int"), (end - at).cast("int")).alias("part")))
+    blocks = parts.groupBy("conv", "block").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("text"))
+    covers = rows.select("conv_id", "example", "own_start", "loss_start", "loss_end", "chars",
+                         F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    left = F.col("chars") - F.col("piece") * size
+    text = F.when(left >= size, F.col("text")).otherwise(F.substring("text", F.lit(1), F.least(left, size).cast("int")))
+    return (covers.join(blocks, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("piece") == F.col("block")))
+            .select("conv_id", "example", "piece", text.alias("text"), "own_start", "loss_start", "loss_end"))
 
 
 DIGEST_SCHEMA = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                  "formatted_chars long, n_examples long")
 
 
+class _Reading:
+    """The conversation being read back: its digests, and text whose turn has not ended yet."""
+
+    def __init__(self, conv):
+        self.conv, self.turns, self.loss_chars, self.chars, self.examples = conv, 0, 0, 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.buffer, self.at = "", 0
+
+    def read(self, text: str, at: int, start: int | None, end: int | None) -> None:
+        """``text`` stands at ``at``; code points from ``start`` to ``end`` are under the loss."""
+        if not self.buffer:
+            self.at = at
+        self.buffer += text
+        done = 0
+        while m := _TURN.match(self.buffer, done):
+            done = m.end()
+            self.turns += 1
+            self.said.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+            if start is not None:
+                lo, hi = max(start - self.at, m.start()), min(end - self.at, m.end())
+                if lo < hi:
+                    said = unescape(self.buffer[lo:hi])
+                    self.loss_chars += len(said)
+                    self.loss.update(said.encode())
+        self.buffer, self.at = self.buffer[done:], self.at + done
+
+    def row(self) -> tuple:
+        return (self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
     kinds = [pa.string() if "sha256" in c else pa.int64() for c in names]
-    rows, state = [], None
-
-    def close():
-        conv, turns, t, chars, loss, total, n = state
-        rows.append((conv, turns, t.hexdigest(), chars, loss.hexdigest(), total, n))
-
+    rows, now = [], None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("conv_id", "example", "context_chars", "context", "reply",
-                                                      "loss_start", "loss_end", "chars")]
-        for conv, example, before, context, reply, start, end, chars in zip(*cols):
-            if example == 0:
-                if state:
-                    close()
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            for role, text in _TURN.findall(context + (reply or "")):
-                state[1] += 1
-                state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-            if reply is not None:
-                loss = unescape(reply[start - before:end - before])
-                state[3] += len(loss)
-                state[4].update(loss.encode())
-            state[5] += chars
-            state[6] += 1
-    if state:
-        close()
+        cols = [batch.column(c).to_pylist() for c in ("conv_id", "example", "piece", "n", "own", "at", "loss_start", "loss_end")]
+        for conv, example, piece, n, own, at, start, end in zip(*cols):
+            if example == 0 and piece == 0:
+                if now:
+                    rows.append(now.row())
+                now = _Reading(conv)
+            now.examples += piece == 0
+            now.chars += n
+            if own:
+                now.read(own, at, start, end)
+        if len(rows) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows = []
+    if now:
+        rows.append(now.row())
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation what its examples say, read from the formatted text alone: turns,
-    text under the loss, and characters of all examples (contexts counted as often as they
-    are repeated).  ``examples`` as from ``prefix_targets``."""
-    return examples.mapInArrow(_digest, DIGEST_SCHEMA)
+def read_back(examples: DataFrame, piece_chars: int = PIECE) -> DataFrame:
+    """Per conversation what its expanded examples say, read from their text alone: turns, text
+    under the loss, characters of all examples (contexts counted as often as they are
+    repeated), and the number of examples, closing row included.
+
+    All pieces are measured; of each example only the text beyond the previous one's is read
+    again for the digests, in order, a turn at a time."""
+    begin = F.col("piece") * F.lit(piece_chars).cast("long")
+    skip = F.greatest(F.col("own_start") - begin, F.lit(0).cast("long"))
+    n = F.length("text").cast("long")
+    pieces = expanded(examples, piece_chars).select(
+        "conv_id", "example", "piece", n.alias("n"), F.when(skip < n, F.substring("text", (skip + 1).cast("int"), F.length("text"))).alias("own"),
+        (begin + skip).alias("at"), "loss_start", "loss_end")
+    return (pieces.repartition("conv_id").sortWithinPartitions("conv_id", "example", "piece")
+            .mapInArrow(_digest, DIGEST_SCHEMA))
