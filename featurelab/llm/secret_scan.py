@@ -5,6 +5,9 @@ Values after credential names that those miss, most of them passwords, are judge
 they would cost to guess: dynamic programming splits the value into words, dates, repeats,
 keyboard walks and brute force at the least total cost.  Those above ``MIN_GUESSES`` are
 reported as ``guess``; placeholders such as ``changeme`` are not.
+
+The words are those of the scanned texts themselves, ranked by the number of texts that hold
+them (``dictionary``), after the commonest passwords and placeholders.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ MIN_GUESSES = 8.0                    # powers of ten
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|token|(?:api|access|private)[_-]?key|"
-                      r"login|pin)[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"',;<>]+))",
-                      re.I | re.A)
+_CONTEXT_SQL = (r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|token|(?:api|access|private)[_-]?key|"
+                r"login|pin)[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"',;<>]+))")
+_CONTEXT = re.compile(_CONTEXT_SQL, re.I | re.A)
 _NAMES = ("pass", "pwd", "secret", "credential", "token", "key", "login", "pin")
 
 # fixed values: common passwords and placeholder words, most frequent first
@@ -43,8 +46,10 @@ january february march april may june july august september october november dec
 thursday friday saturday sunday""".split()
 # fixed values: rows of the keyboard that walks follow
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujm")
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
+#: Words of the dictionary (about 1 MB on the driver and in each task), most frequent first;
+#: words in fewer texts than MIN_TEXTS are none, as are those of other lengths.
+DICTIONARY_WORDS, MIN_TEXTS = 50_000, 5
+SHORTEST_WORD, LONGEST_WORD = 3, 20
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
 _STEP = {(r[i], r[i + 1]) for r in ROWS for i in range(len(r) - 1)}
 _STEP |= {(b, a) for a, b in _STEP}
@@ -52,33 +57,63 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]
                    r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
+class Words:
+    """Rank of every known word, 1 the first to be guessed."""
+
+    def __init__(self, ranked: list[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*COMMON, *ranked):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+KNOWN = Words()
+
+
+class _Starts:
+    """Where a segment of the current repeat or walk may begin, with the cost up to there.
+
+    A start is left out if an earlier one is never dearer, so few are kept."""
+
+    def __init__(self):
+        self.kept: list[tuple[int, float]] = []
+
+    def add(self, j: int, cost: float) -> None:
+        if all(cost - c < log10((j + 3 - k) / 3) for k, c in self.kept):
+            self.kept.append((j, cost))
+
+    def least(self, i: int) -> float:
+        """Least cost of a segment of three or more that ends before ``i``, without its fixed part."""
+        return min((c + log10(i - k) for k, c in self.kept if i - k >= 3), default=float("inf"))
+
+
 def _brute(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = KNOWN) -> float:
     """log10 of the guesses an informed attacker needs: the least sum over all segmentations,
-    with a factor of 2 for every segment after the first.  0 for an empty value.  Time is
-    linear in the length: words and dates are short, runs are followed from where they begin."""
+    with a factor of 2 for every segment after the first (brute force of one character is no
+    segment).  0 for an empty value.  Time grows about linearly: words and dates are short,
+    and of the starts of a repeat or walk only those that may be best are kept."""
     n = len(value)
     low = value.lower()
     plain = low.translate(_LEET)
     cost = [0.0] + [float("inf")] * n
-    run = walk = 0                   # where the current repeat and keyboard walk began
+    repeats, walks = _Starts(), _Starts()
     for i in range(1, n + 1):
         step = lambda j: cost[j] + (log10(2) if j else 0)
         best = cost[i - 1] + _brute(value[i - 1])
         if i > 1 and value[i - 1] != value[i - 2]:
-            run = i - 1
+            repeats = _Starts()
         if i > 1 and (low[i - 2], low[i - 1]) not in _STEP:
-            walk = i - 1
-        if i - run >= 3:
-            best = min(best, step(run) + _brute(value[i - 1]) + log10(i - run))
-        if i - walk >= 3:
-            best = min(best, step(walk) + log10(4 * 47 * (i - walk)))
-        for j in range(max(0, i - _LONGEST), i - 1):
+            walks = _Starts()
+        repeats.add(i - 1, step(i - 1))
+        walks.add(i - 1, step(i - 1))
+        best = min(best, repeats.least(i) + _brute(value[i - 1]), walks.least(i) + log10(4 * 47))
+        for j in range(max(0, i - words.longest), i - 1):
             for text, extra in ((low[j:i], 0.0), (plain[j:i], log10(4))):
-                if rank := _RANK.get(text):
+                if rank := words.rank.get(text):
                     raw = value[j:i]
                     case = 0.0 if raw == raw.lower() else log10(2) if raw[1:] == raw[1:].lower() else log10(2 ** min(i - j, 30))
                     best = min(best, step(j) + log10(rank + 1) + case + extra)
@@ -89,7 +124,21 @@ def guess_cost(value: str) -> float:
     return cost[n]
 
 
-def find(text: str) -> list[tuple[int, str, int]]:
+def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS, min_texts: int = MIN_TEXTS) -> Words:
+    """The ``most`` words in most rows of ``docs`` (ties by word), each in ``min_texts`` rows or more.
+
+    Words are runs of ASCII letters of any case, 3 to 20 long, that no letter, digit or
+    underscore adjoins, outside values after credential names: a password in many copies of
+    a text does not become a word.  Null and empty texts have none.  All rows are counted in
+    Spark, a word once per row; only the ranked list reaches the driver."""
+    inside = F.regexp_replace(F.lower(F.col(text_col)), _CONTEXT_SQL, " ")
+    each = F.explode(F.array_distinct(F.regexp_extract_all(
+        inside, F.lit(rf"\b[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}\b"), F.lit(0))))
+    counted = docs.select(each.alias("word")).groupBy("word").count().filter(F.col("count") >= min_texts)
+    return Words([r.word for r in counted.orderBy(F.desc("count"), "word").select("word").limit(most).collect()])
+
+
+def find(text: str, words: Words = KNOWN) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every finding, by start, then in the order of ``KINDS``."""
     out = []
     low = text.lower()
@@ -107,24 +156,26 @@ def find(text: str) -> list[tuple[int, str, int]]:
             while at < len(taken) and taken[at][0] < end:
                 seen = max(seen, taken[at][1])
                 at += 1
-            if seen <= start and guess_cost(m[group]) >= MIN_GUESSES:
+            if seen <= start and guess_cost(m[group], words) >= MIN_GUESSES:
                 out.append((start, "guess", end))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (x[0], order[x[1]], x[2]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Words | None = None) -> DataFrame:
     """(doc_id, spans: array of (kind, start, end)) for every row of ``docs``; positions in code
-    points, end exclusive.  A null or empty text has no spans; null ids and repeated rows
-    stay; other columns are not read; no rows give none."""
+    points, end exclusive.  ``words`` defaults to the dictionary of ``docs``.  A null or empty
+    text has no spans; null ids and repeated rows stay; other columns are not read; no rows
+    give none."""
     ship_package(docs.sparkSession)
+    words = words or dictionary(docs, text_col)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch, "text", 8 << 20):
-                found = [[{"kind": k, "start": s, "end": e} for s, k, e in find(t.as_py() or "")]
+                found = [[{"kind": k, "start": s, "end": e} for s, k, e in find(t.as_py() or "", words)]
                          for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
@@ -253,6 +254,57 @@ def test_guess_costs():
     assert kinds == ["guess"]
 
 
+def _exhaustive(value, words):
+    """Least cost over all segmentations, from the definition of each kind of segment."""
+    log = math.log10
+
+    def segment(a, b):
+        part, low, out = value[a:b], value[a:b].lower(), []
+        if b - a >= 3 and len(set(part)) == 1:
+            out.append(secret_scan._brute(part[0]) + log(b - a))
+        if b - a >= 3 and all(p in secret_scan._STEP for p in itertools.pairwise(low)):
+            out.append(log(4 * 47 * (b - a)))
+        for text, extra in ((low, 0.0), (low.translate(secret_scan._LEET), log(4))):
+            if b - a >= 2 and text in words.rank:
+                case = 0.0 if part == low else log(2) if part[1:] == low[1:] else log(2 ** (b - a))
+                out.append(log(words.rank[text] + 1) + case + extra)
+        if secret_scan._DATE.fullmatch(part):
+            out.append(log({4: 100, 8: 36500, 10: 36500 * 4}[b - a]))
+        return min(out, default=math.inf) + (log(2) if a else 0)
+
+    def least(a):
+        if a == len(value):
+            return 0.0
+        return min([secret_scan._brute(value[a]) + rest[a + 1], *(segment(a, b) + rest[b] for b in range(a + 1, len(value) + 1))])
+    rest = {len(value): 0.0}
+    for a in range(len(value) - 1, -1, -1):
+        rest[a] = least(a)
+    return rest[0]
+
+
+def test_guess_cost_against_all_segmentations():
+    rng = random.Random(5)
+    words = secret_scan.Words(["hello", "ell", "loo", "required", "aaa", "qwe"])
+    parts = ["hello", "hellooo", "P4ss", "word", "qwertz", "asdf", "aaaa", "oo", "1999", "2001-12-31", "19991231", "11111", "x", "Q", "#", "é", "987", "reQuired"]
+    for _ in range(1500):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(6)))
+        assert abs(secret_scan.guess_cost(value, words) - _exhaustive(value, words)) < 1e-9, value
+    assert secret_scan.guess_cost("a" * 20_000 + "qwertyuiop" * 2_000, words) > 8
+
+
+def test_words_of_the_texts_are_no_secrets(spark):
+    said = ["required", "undefined", "correct", "unknown", "disabled", "forgotten"]
+    rows = [(i, f"it is {w} here") for w in said for i in range(5)] + [(9, f"password: {w}") for w in said]
+    rows += [(i, "password: kzvqjxwpbm") for i in range(10, 30)] + [(40, "pwd: seldomword"), (41, "a seldomword")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secret_scan.dictionary(docs)
+    assert set(said) <= set(words.rank) and not {"kzvqjxwpbm", "seldomword"} & set(words.rank)
+    got = secret_scan.scan(docs).collect()
+    assert {r.doc_id for r in got if r.spans} == {*range(10, 30), 40}
+    known = secret_scan.scan(docs, words=secret_scan.Words(["kzvqjxwpbm", "seldomword", *said])).collect()
+    assert not any(r.spans for r in known)
+
+
 def _auc(pairs):
     """Probability that a toxic document scores above another, ties counted half."""
     bad, good = [s for s, y in pairs if y], [s for s, y in pairs if not y]
@@ -287,6 +339,38 @@ def test_chat_round_trip(spark):
     assert all(b.text.startswith(a.text) for a, b in itertools.pairwise(whole))
 
 
+@pytest.mark.parametrize("piece", [3, 7, 40, 1 << 18])
+def test_expanded_examples_hold_all_preceding_turns(spark, piece):
+    rng = random.Random(3)
+    bits = ["</s>\n", "<|user|>\n", "[INST]", "\\", "", "hello", "ünï \U0001f600", "x" * 50]
+    rows = []
+    for conv in (None, 1, 2, 3, 4):
+        for turn in range(rng.randrange(1, 12)):
+            rows.append((conv, turn, rng.choice(["user", "assistant", "system", None]), "".join(rng.choice(bits) for _ in range(rng.randrange(4)))))
+    rows.append((5, 0, "user", "no reply at all"))
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    examples = chat.prefix_targets(df)
+    got = defaultdict(dict)
+    for r in chat.expanded(examples, piece).collect():
+        got[r.conv_id, r.example][r.piece] = r
+    digests = {r.conv_id: r for r in chat.read_back(examples, piece).collect()}
+    for conv in {r[0] for r in rows}:
+        turns = [(r or "", t) for c, _, r, t in rows if c == conv]
+        shown = ["<|" + chat.escape(r) + "|>\n" + chat.escape(t) + "</s>\n" for r, t in turns]
+        ends = [i for i, (r, _) in enumerate(turns) if r == "assistant"]
+        want = ["".join(shown[:i + 1]) for i in ends] + (["".join(shown)] if not ends or ends[-1] < len(turns) - 1 else [])
+        texts = ["".join(got[conv, e][p].text for p in sorted(got[conv, e])) for e in range(len(want))]
+        assert texts == want and (conv, len(want)) not in got
+        assert all(len(x.text) <= piece for e in range(len(want)) for x in got[conv, e].values())
+        for e, i in enumerate(ends):
+            first = got[conv, e][0]
+            assert chat.unescape(texts[e][first.loss_start:first.loss_end]) == turns[i][1]
+        d, loss = digests[conv], "".join(t for r, t in turns if r == "assistant")
+        assert (d.n_turns, d.n_examples, d.formatted_chars) == (len(turns), len(want), sum(map(len, want)))
+        assert d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (d.loss_chars, d.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert set(out.columns) >= {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot", "size"}
