@@ -119,49 +119,52 @@ def craft(df: DataFrame, unscaled: DataFrame, key: str, random_percent: float =
     return out, "_".join(kinds)
 
 
+def shift_sources(n_features: int, scenario: str, n_added: int, seed=42) -> list[tuple[int, ...]]:
+    """Numbers of the columns that each added one is made of: one with replacement
+    (corrupted), two different ones (second_order), none (random)."""
+    if scenario == "random":
+        return [()] * n_added
+    if scenario == "corrupted":
+        return [(int(name_uniform(seed, "src", i) * n_features),) for i in range(n_added)]
+    if scenario != "second_order":
+        raise ValueError(scenario)
+    if n_features < 2:
+        raise ValueError("products need two columns")
+    out = []
+    for i in range(n_added):
+        a, b = int(name_uniform(seed, "a", i) * n_features), int(name_uniform(seed, "b", i) * (n_features - 1))
+        out.append((a, b + (b >= a)))
+    return out
+
+
+def _shifted(feats: list[str], key: str, scenario: str, n_added: int, seed: int, i: Column, x: Column) -> Column:
+    """Value of added column number ``i`` of a row with the column values ``x`` (an array)."""
+    made_of = shift_sources(len(feats), scenario, n_added, seed)
+    of = [F.get(x, F.get(F.array(*[F.lit(m[at]) for m in made_of]), i)) for at in range(len(made_of[0]) if made_of else 0)]
+    noise = keyed_normal(seed, F.col(key), F.concat(F.lit("U "), i.cast("string")))
+    return noise if not of else of[0] + 0.5 * noise if len(of) == 1 else of[0] * of[1]
+
+
 def shift_variants(df: DataFrame, key: str, scenario: str, n_added: int = 100, seed: int = 42) -> DataFrame:
-    """Add exactly ``n_added`` columns ``U i`` by scenario random / corrupted / second_order."""
+    """Add exactly ``n_added`` columns ``U i`` by scenario random / corrupted / second_order.
+
+    All are computed as one array per row: an expression per column would be too much code."""
     feats = [c for c in df.columns if c != key]
-    cols = []
-    for i in range(n_added):
-        name = f"U {i}"
-        if scenario == "random":
-            v = keyed_normal(seed, F.col(key), F.lit(name))
-        elif scenario == "corrupted":
-            src = feats[int(name_uniform(seed, "src", i) * len(feats))]
-            v = q(src) + 0.5 * keyed_normal(seed, F.col(key), F.lit(name))
-        elif scenario == "second_order":
-            a = feats[int(name_uniform(seed, "a", i) * len(feats))]
-            b = feats[int(name_uniform(seed, "b", i) * len(feats))]
-            v = q(a) * q(b)
-        else:
-            raise ValueError(scenario)
-        cols.append(v.alias(name))
-    return df.select("*", *cols)
+    x = F.array(*[q(f).cast("double") for f in feats])
+    values = F.transform(F.sequence(F.lit(0), F.lit(n_added - 1)), lambda i: _shifted(feats, key, scenario, n_added, seed, i, F.col("_x")))
+    wide = df.withColumn("_x", x).withColumn("_v", values)
+    return wide.select(*[q(c) for c in df.columns], *[F.get("_v", F.lit(i)).alias(f"U {i}") for i in range(n_added)])
 
 
 def shift_variants_long(df: DataFrame, key: str, scenario: str, n_added: int = 100,
                         seed: int = 42) -> DataFrame:
-    """G5 in long layout ``(key, feature, value)``: the same values as ``shift_variants``,
-    built as one narrow expression over (row x added column) instead of a projection with
-    ``n_added`` wide expressions (which exceeds the generated-code size limits)."""
+    """G5 in long layout ``(key, feature, value)``: the same values as ``shift_variants``, one row
+    per row and added column."""
     feats = [c for c in df.columns if c != key]
     idx = F.explode(F.sequence(F.lit(0), F.lit(n_added - 1))).alias("_i")
     base = df.select(key, F.array(*[q(f).cast("double") for f in feats]).alias("_x"), idx)
-    name = F.concat(F.lit("U "), F.col("_i").cast("string"))
-    if scenario == "random":
-        v = keyed_normal(seed, F.col(key), name)
-    elif scenario == "corrupted":
-        src = F.array(*[F.lit(int(name_uniform(seed, "src", i) * len(feats))) for i in range(n_added)])
-        v = F.element_at(F.col("_x"), F.element_at(src, F.col("_i") + 1) + 1) + 0.5 * keyed_normal(seed, F.col(key), name)
-    elif scenario == "second_order":
-        sa = F.array(*[F.lit(int(name_uniform(seed, "a", i) * len(feats))) for i in range(n_added)])
-        sb = F.array(*[F.lit(int(name_uniform(seed, "b", i) * len(feats))) for i in range(n_added)])
-        v = F.element_at(F.col("_x"), F.element_at(sa, F.col("_i") + 1) + 1) * \
-            F.element_at(F.col("_x"), F.element_at(sb, F.col("_i") + 1) + 1)
-    else:
-        raise ValueError(scenario)
-    return base.select(key, name.alias("feature"), v.alias("value"))
+    return base.select(key, F.concat(F.lit("U "), F.col("_i").cast("string")).alias("feature"),
+                       _shifted(feats, key, scenario, n_added, seed, F.col("_i"), F.col("_x")).alias("value"))
 
 
 def added_share(n_original: int, n_added: int) -> float:

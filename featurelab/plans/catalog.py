@@ -646,8 +646,9 @@ def q_f2(spark, sf_dir):
     return _long_out(sc.winsorise(cleaned(spark, sf_dir), ["entity"]))
 
 
-def _power_sql() -> str:
-    """The likelihood on ever finer grids around the best value, down to the fourth decimal."""
+def _power_sql(base: str | None = None, out: str | None = None) -> str:
+    """The likelihood on ever finer grids around the best value, down to the fourth decimal.
+    ``base`` defines the scaled columns f3, ``out`` selects from the result f5."""
     yj = ("CASE WHEN value >= 0 THEN (CASE WHEN abs(lam) < 1e-12 THEN ln(1 + value) ELSE (pow(value + 1.0, lam) - 1.0) / lam END) "
           "ELSE (CASE WHEN abs(lam - 2.0) < 1e-12 THEN -ln(1 - value) ELSE -(pow(1.0 - value, 2.0 - lam) - 1.0) / (2.0 - lam) END) END")
     ctes, before = [], None
@@ -661,10 +662,10 @@ def _power_sql() -> str:
             "WHERE x.value IS NOT NULL GROUP BY g.feature, g.lam) z WHERE ll IS NOT NULL GROUP BY feature)")
         before = name
     return (f"WITH {_clean_ctes()}, "
-            f"{_STD.format(src='d9', name='f3')}, {', '.join(ctes)}, "
+            f"{base or _STD.format(src='d9', name='f3')}, {', '.join(ctes)}, "
             f"t5 AS (SELECT x.entity, x.feature, x.pos, (SELECT {yj.replace('lam', 'b.lam').replace('value', 'x.value')} ) AS value "
             "FROM f3 x JOIN best b ON x.feature = b.feature), "
-            f"{_STD.format(src='t5', name='f5').replace('sst', 'sst5')} " + _out_long("f5"))
+            f"{_STD.format(src='t5', name='f5').replace('sst', 'sst5')}" + (out or " " + _out_long("f5")))
 
 
 @register("f5_power_transform", _power_sql())
@@ -703,6 +704,26 @@ def q_f7(spark, sf_dir):
     return _long_out(df)
 
 
+@register("f7_winsorise_standard_power", _power_sql(
+    f"qq AS (SELECT feature, {sql_percentile('value', 0.25)} AS q1, {sql_percentile('value', 0.75)} AS q3 FROM d9 GROUP BY feature), "
+    "w AS (SELECT x.entity, x.feature, x.pos, CASE WHEN x.value IS NULL THEN NULL ELSE greatest(least(x.value, q3 + (q3 - q1)), "
+    "q1 - (q3 - q1)) END AS value FROM d9 x JOIN qq ON x.feature = qq.feature), " + _STD.format(src="w", name="f3"),
+    ", " + _D7.format(src="f5").replace("st7", "st7b").replace("d7 AS", "f7 AS") + " " + _out_long("f7")))
+def q_f7sp(spark, sf_dir):
+    """F7 with outliers removed: winsorise, standard, power, then drop constants."""
+    df, _suffix = sc.scale_chain(cleaned(spark, sf_dir), ["entity"], ["standard", "power"], remove_outliers=True)
+    return _long_out(df)
+
+
+def q_f7p(spark, sf_dir):
+    """F7 on raw columns: winsorise, then power, whose lambdas lie far beyond any fixed grid."""
+    df, _suffix = sc.scale_chain(cleaned(spark, sf_dir), ["entity"], ["power"], remove_outliers=True)
+    return _long_out(df)
+
+
+QUERIES["f7_winsorise_power"] = (q_f7p, None)
+
+
 @register("f1_align_targets",
           f"WITH {_clean_ctes()}, t AS ({_abs_sql()}) "
           "SELECT count(DISTINCT entity) AS n_entities FROM d9 WHERE entity IN (SELECT entity FROM t)")
@@ -837,11 +858,25 @@ def q_g5(spark, sf_dir):
     return out.select("entity", "feature", round6(F.col("value")).alias("value"))
 
 
-@register("g5_shift_corrupted", None)
-def q_g5c(spark, sf_dir):
-    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
-    out = cr.shift_variants_long(d, "entity", "corrupted", 100)
-    return out.select("entity", "feature", round6(F.col("value")).alias("value"))
+def _shift_sql(scenario: str) -> str:
+    made_of = cr.shift_sources(len(fx.DOC_FEATURES), scenario, 100)
+    x = [f"[{', '.join(fx.DOC_FEATURES)}][[{', '.join(str(m[at] + 1) for m in made_of)}][i + 1]]" for at in range(len(made_of[0]))]
+    noise = _sql_normal(name_sql="'U ' || CAST(i AS VARCHAR)")
+    value = f"{x[0]} + 0.5 * {noise}" if len(x) == 1 else f"{x[0]} * {x[1]}"
+    return ("SELECT entity, 'U ' || CAST(i AS VARCHAR) AS feature, " + sql_round6(f"({value})")
+            + " AS value FROM (" + S.doc_features() + ") d, range(100) t(i)")
+
+
+def _shift(scenario: str):
+    def run(spark, sf_dir):
+        d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES)
+        out = cr.shift_variants_long(d, "entity", scenario, 100)
+        return out.select("entity", "feature", round6(F.col("value")).alias("value"))
+    return run
+
+
+for _s in ("corrupted", "second_order"):
+    QUERIES[f"g5_shift_{_s}"] = (_shift(_s), _shift_sql(_s))
 
 
 @register("h3_slices", None)
@@ -1208,8 +1243,8 @@ def q_i7(spark, sf_dir):
 
 @register("i8_recursive_elimination", None)
 def q_i8(spark, sf_dir):
-    kept = ln.recursive_elimination(planted_frame(spark, sf_dir), PLANTED_FEATS, "y", "logreg", step=0.25)
-    return spark.createDataFrame([(f,) for f in kept], "feature string")
+    """I8 on the training rows of every fold."""
+    return sel.selection(ln.recursive_selector(planted_frame(spark, sf_dir), PLANTED_FEATS, ["y"], K_FOLDS, "logreg", step=0.25))
 
 
 @register("i9_double_ml_selector", None)

@@ -1,4 +1,4 @@
-"""Queries of the learning stage: J5, J9 with several classes, J11, L1 and F9 by concordance."""
+"""Queries of the learning stage: J5, J6, J9 with several classes, J11, L1, L3, F9 by concordance, A3, A4."""
 
 from __future__ import annotations
 
@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from featurelab.functions.keyed import sql_keyed_bucket, sql_keyed_uniform
 from featurelab.functions.wide import round6, sql_round6
 from featurelab.operators import collinear as co
+from featurelab.operators import crafting as cr
+from featurelab.operators import experiment as ex
 from featurelab.operators import importance as im
 from featurelab.operators import ledger
 from featurelab.operators import learning as ln
 from featurelab.operators import reporting as rp
+from featurelab.operators import sampling as sp
 from featurelab.operators import selectors as sel
 from featurelab.operators.neighbours import MAX_TRAIN_ROWS, fit_neighbours
 from featurelab.plans import catalog as C
 from featurelab.plans import fixtures as fx
 from featurelab.plans import sql as S
+from featurelab.sources.store import memoised_stage, read_stage, write_stage
 
 WIDE = fx.WIDE_FEATURES
 
@@ -192,6 +196,97 @@ def q_l1p(spark, sf_dir):
     return out.select("feature", round6(F.col("importance")).alias("importance"))
 
 
+# ------------------------------------------------------------------- J6 -----
+
+@C.register("j6_grid_any_model", None)
+def q_j6g(spark, sf_dir):
+    """J6 on the neighbour model: every combination of two lists, scored by inner folds of the
+    training rows of fold 0."""
+    d = C.doc_frame(spark, sf_dir).where(F.col("fold") != 0)
+    best, _score, table = ln.grid_search(d, fx.DOC_FEATURES, "toxic", "knn", {"n_neighbors": [3, 6], "p": [1, 2]}, score="b_acc")
+    return C.r6(table.withColumn("best", F.col("params") == str(best)), keys=("params",))
+
+
+# ------------------------------------------------------------------- L3 -----
+
+def _only_fold(selector):
+    return lambda df, feats, targets: selector(df, "entity", feats, targets, 1)
+
+
+_L3_METHODS = {"f_value": _only_fold(sel.f_value_selector), "base": _only_fold(sel.base_selector)}
+_L3_KEYS = ("frame", "method", "target", "model")
+
+
+@C.register("l3_experiment_runs", None)
+def q_l3r(spark, sf_dir):
+    """L3: selectors x models x targets x repeated 70/30 splits of the documents."""
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES, *C.DOC_TARGETS)
+    out = ex.run_experiment(spark, C._stage_root(spark) + "/experiment", {"raw": (d, fx.DOC_FEATURES)}, _L3_METHODS,
+                            ["logreg", "knn"], C.DOC_TARGETS, repeats=2, seed=C.SEED)
+    return C.r6(out.drop(ledger.CELL), keys=_L3_KEYS)
+
+
+@C.register("l3_shift_runs", None)
+def q_l3s(spark, sf_dir):
+    """L3 with G5: the same grid over the documents with 100 added columns of each kind."""
+    d = fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES, "toxic")
+    frames, added = {}, [f"U {i}" for i in range(100)]
+    for kind in ("random", "corrupted", "second_order"):
+        more = cr.shift_variants(d.select("entity", *fx.DOC_FEATURES), "entity", kind, 100, C.SEED)
+        frames[kind] = (more.join(d.select("entity", "toxic"), "entity"), [*fx.DOC_FEATURES, *added])
+    out = ex.run_experiment(spark, C._stage_root(spark) + "/shift", frames, {"f_value": _L3_METHODS["f_value"]}, ["logreg"], ["toxic"],
+                            repeats=1, seed=C.SEED)
+    share = 100.0 * len(added) / F.col("n_features")
+    return C.r6(out.drop(ledger.CELL).withColumn("added_share", share), keys=_L3_KEYS)
+
+
+# --------------------------------------------------------------- A3, A4 -----
+
+_STORED = ["f_log_chars", "f_digit", "f_dot"]
+
+
+@C.register("a3_memoised_stage", f"SELECT entity, fold, {', '.join(f'{sql_round6(c)} AS {c}' for c in _STORED)} FROM ({C._doc_sql()}) d")
+def q_a3(spark, sf_dir):
+    """A3: a stage that exists is not computed again but read back; ``rewrite`` replaces it."""
+    path, calls = C._stage_root(spark) + "/features", []
+
+    def build(factor: float):
+        def run():
+            calls.append(factor)
+            d = C.sp.assign_folds(fx.doc_features(spark, sf_dir), "entity", C.K_FOLDS, C.SEED)
+            return d.select("entity", "fold", *[round6(F.col(c) * factor).alias(c) for c in _STORED])
+        return run
+    memoised_stage(spark, path, build(2.0))
+    memoised_stage(spark, path, build(1.0), rewrite=True)
+    out = memoised_stage(spark, path, build(3.0))
+    if calls != [2.0, 1.0]:
+        raise AssertionError(f"stages computed: {calls}")
+    return out
+
+
+@C.register("a4_stored_splits_and_slices",
+            "WITH " + C._slices_sql() + f", d AS ({C._doc_sql()}), "
+            f"l AS (SELECT entity, fold, unnest([{', '.join(repr(f) for f in fx.DOC_FEATURES)}]) AS feature, unnest([{', '.join(fx.DOC_FEATURES)}]) AS value FROM d), "
+            "sp AS (SELECT unnest(range(" + str(C.K_FOLDS) + ")) AS split) "
+            "SELECT slice, iter, CAST(split AS INTEGER) AS split, sl.feature, count(*) AS n, " + sql_round6("avg(value)") + " AS mean "
+            "FROM sl JOIN l ON sl.feature = l.feature JOIN sp ON l.fold <> sp.split GROUP BY slice, iter, split, sl.feature")
+def q_a4(spark, sf_dir):
+    """A4: splits and slices are stored as tables, read back, and applied: mean of every column
+    of every slice over the training rows of every split."""
+    root = C._stage_root(spark)
+    d = C.cut_lineage(fx.doc_features(spark, sf_dir).select("entity", *fx.DOC_FEATURES))
+    write_stage(sp.assign_folds(d.select("entity"), "entity", C.K_FOLDS, C.SEED), root + "/splits", partition_by=["fold"])
+    write_stage(sp.slice_features(spark, fx.DOC_FEATURES, C._SLICE_SIZES, n_iter=C._SLICE_ITERS), root + "/slices", partition_by=["slice", "iter"])
+    splits = read_stage(spark, root + "/splits", schema="entity long, fold int")
+    slices = read_stage(spark, root + "/slices", schema="feature string, slice string, iter int")
+    # one row per fold and column: sums of a split's training rows are all sums without its own
+    sums = d.join(splits, "entity").groupBy("fold").agg(*[F.struct(F.count(f).alias("n"), F.sum(f).alias("s")).alias(f) for f in fx.DOC_FEATURES])
+    each = sums.select("fold", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), f"{f}.n", f"{f}.s") for f in fx.DOC_FEATURES])).alias("x"))
+    of = each.select("fold", "x.feature", "x.n", "x.s").withColumn("split", F.explode(F.array(*[F.lit(i) for i in range(C.K_FOLDS)])))
+    means = of.where("fold != split").groupBy("split", "feature").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m"))
+    return slices.join(means, "feature").select("slice", "iter", "split", "feature", "n", round6(F.col("m")).alias("mean"))
+
+
 # ------------------------------------------------------------------- F9 -----
 
 @C.register("f9_kendall_matrix",
