@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from featurelab.session import ship_package
 
 from . import words as W
+from .stage import written
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES = 8.0                    # powers of ten
@@ -125,17 +126,30 @@ def guess_cost(value: str, words: Words = KNOWN) -> float:
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS, min_texts: int = MIN_TEXTS) -> Words:
-    """The ``most`` words in most rows of ``docs`` (ties by word), each in ``min_texts`` rows or more.
+    """The words in most rows of ``docs``, each in ``min_texts`` rows or more: whole levels of
+    frequency from the top, as many as hold ``most`` words together.  A level is a sixteenth of a
+    power of two, at low counts a single count.
 
     Words are runs of ASCII letters of any case, 3 to 20 long, that no letter, digit or
     underscore adjoins, outside values after credential names: a password in many copies of
     a text does not become a word.  Null and empty texts have none.  All rows are counted in
-    Spark, a word once per row; only the ranked list reaches the driver."""
+    Spark, a word once per row, and written; the driver gets the sizes of the levels (about
+    a thousand) and the ranked words, never more than ``most``."""
     inside = F.regexp_replace(F.lower(F.col(text_col)), _CONTEXT_SQL, " ")
     each = F.explode(F.array_distinct(F.regexp_extract_all(
         inside, F.lit(rf"\b[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}\b"), F.lit(0))))
-    counted = docs.select(each.alias("word")).groupBy("word").count().filter(F.col("count") >= min_texts)
-    return Words([r.word for r in counted.orderBy(F.desc("count"), "word").select("word").limit(most).collect()])
+    counted = docs.select(each.alias("word")).groupBy("word").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
+    counted = written(counted.withColumn("level", F.floor(16 * F.log2("texts")).cast("int")), "word-counts")
+    lowest, total = None, 0
+    for level, n in sorted(counted.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        lowest = level
+    if lowest is None:
+        return Words()
+    found = counted.filter(F.col("level") >= lowest).select("texts", "word").collect()
+    return Words([r.word for r in sorted(found, key=lambda r: (-r.texts, r.word))])
 
 
 def find(text: str, words: Words = KNOWN) -> list[tuple[int, str, int]]:
