@@ -225,7 +225,8 @@ def cross_validate(df: DataFrame, feats_by_cell, targets: list[str], k: int, mod
         tables = []
         for t, preds in parts.items():
             many = len(classes[t]) > 2
-            preds = preds.withColumn("p", F.get("probs", F.lit(1)))
+            # predicted once: the scores read them several times
+            preds = cut_lineage(preds.withColumn("p", F.get("probs", F.lit(1))))
             tables.append(rp.score_table(preds, ["fold", "target"], classes[t] if many else None))
         if not tables:
             return df.sparkSession.createDataFrame([], "fold int, target string, b_acc double, f1 double, roc double")

@@ -1,9 +1,13 @@
-"""K-nearest-neighbour classification by tiles of a distance kernel.
-
-The model is a bounded table of training rows, so it travels to the test rows and not the
-other way round: no shuffle, every test row is classified where it is read.  Distances are
-computed tile by tile (test rows x training rows); each tile keeps the k best of what was
-best before and its own, so memory is one tile whatever the table sizes.
+"""K-nearest-neighbour classification by boxes of near training rows, or by tiles of a distance kernel.
+
+The model is a bounded table of training rows, so it travels to the test rows, which are
+dealt evenly over tasks: none holds more than its share of the distances.  The training rows are cut
+into small leaves (halves by the widest column).  A test row first meets the leaves nearest to
+it, then only those whose box is no further than its k-th best so far.  The bound is
+summed as the distances are, and rounding is monotone, so no neighbour is lost.  Where the
+boxes exclude too little (many columns), distances are computed tile by tile (test rows x
+training rows).  Either way memory is one tile or block whatever the table sizes, and
+the neighbours are the same.
 """
 
 from __future__ import annotations
@@ -23,37 +27,133 @@ from featurelab.session import ship_package
 
 #: Most training rows of a model.  It is always applied: the rows of smallest keyed random
 #: number are taken, which are all rows of a smaller table.  With F features a model takes
-#: 8 * F * MAX_TRAIN_ROWS bytes on the driver and on every executor.
+#: 8 * F * MAX_TRAIN_ROWS bytes on the driver and twice that in every worker.
 MAX_TRAIN_ROWS = 20_000
-TILE_TEST, TILE_TRAIN = 256, 1024
+TILE_TEST, TILE_TRAIN = 64, 1024
+#: Test rows that go through the leaves together, most rows of a leaf, numbers gathered at a time.
+BLOCK_TEST, LEAF, GATHERED = 256, 32, 1 << 19
+#: Leaves are given up for tiles when more than this share of them is left after the first bound.
+MOST_LEFT = 0.25
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     """Minkowski distances (p-th power of them) of all rows of ``a`` to all of ``b``, summed in column order."""
-    out = np.zeros((len(a), len(b)))
+    out, d = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
     for j in range(a.shape[1]):
-        d = np.abs(a[:, j, None] - b[None, :, j])
+        np.abs(np.subtract(a[:, j, None], b[None, :, j], out=d), out=d)
         out += d if p == 1 else d ** p
     return out
 
 
+def _smallest(rows: np.ndarray, dist: np.ndarray, index: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index and distance of the ``k`` smallest (distance, index) of each of ``n`` rows, which have ``k`` or more."""
+    order = np.lexsort((index, dist, rows))
+    at = order[np.searchsorted(rows[order], np.arange(n))[:, None] + np.arange(k)]
+    return index[at], dist[at]
+
+
+def _improve(index: np.ndarray, best: np.ndarray, rows: np.ndarray, dist: np.ndarray, new: np.ndarray, k: int) -> None:
+    """Merge the candidates (row, distance, training row) into the ``k`` best of their rows."""
+    touched, at = np.unique(rows, return_inverse=True)
+    old = np.repeat(np.arange(len(touched)), k)
+    index[touched], best[touched] = _smallest(np.concatenate((old, at)), np.concatenate((best[touched].ravel(), dist)),
+                                              np.concatenate((index[touched].ravel(), new)), len(touched), k)
+
+
 def nearest(a: np.ndarray, train: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray]:
     """Index and distance of the ``k`` nearest training rows of each row of ``a``; equal
     distances go to the earlier training row."""
-    k = min(k, len(train))
-    index, best = np.zeros((len(a), 0), np.int64), np.zeros((len(a), 0))
+    k, n = min(k, len(train)), len(a)
+    index, best = np.zeros((n, 0), np.int64), np.zeros((n, 0))
     for lo in range(0, len(train), TILE_TRAIN):
         d = _distances(a, train[lo:lo + TILE_TRAIN], p)
-        # only rows that the tile can improve are merged; ties keep what stands first
-        rows = np.arange(len(a)) if best.shape[1] < k else np.flatnonzero((d < best[:, -1:]).any(axis=1))
-        both = np.concatenate((best[rows], d[rows]), axis=1)
-        at = np.argsort(both, axis=1, kind="stable")[:, :k]
-        new = np.concatenate((index[rows], np.broadcast_to(np.arange(lo, lo + d.shape[1]), d[rows].shape)), axis=1)
-        taken = np.take_along_axis(new, at, 1), np.take_along_axis(both, at, 1)
-        if len(rows) == len(a):
-            index, best = taken
-        else:
-            index[rows], best[rows] = taken
+        have = best.shape[1]
+        if have == k:                    # only what the tile improves is merged; ties keep what stands first
+            r, c = np.nonzero(~(d >= best[:, -1:]))
+            if len(r):
+                _improve(index, best, r, d[r, c], lo + c, k)
+            continue
+        want = min(k, have + d.shape[1])
+        r, c = np.nonzero(~(d > np.partition(d, want - 1, axis=1)[:, want - 1, None]) if want <= d.shape[1] else np.ones(d.shape, bool))
+        old = np.repeat(np.arange(n), have)
+        index, best = _smallest(np.concatenate((old, r)), np.concatenate((best.ravel(), d[r, c])),
+                                np.concatenate((index.ravel(), lo + c)), n, want)
+    return index, best
+
+
+@dataclass
+class Leaves:
+    """Training rows in small boxes: ``x`` (leaf, column, place), ``row`` (leaf, place; one past
+    the last where empty), the bounds ``lo`` and ``hi`` (column, leaf) of each, and the rows of the smallest leaf."""
+
+    x: np.ndarray
+    row: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    smallest: int
+
+
+def make_leaves(train: np.ndarray, k: int) -> Leaves | None:
+    """Leaves of at most ``LEAF`` rows.  Of equal training rows the first ``k`` suffice: they
+    win every tie.  None if a number is not finite or there are no rows."""
+    if not train.size or not np.isfinite(train).all():
+        return None
+    _, group = np.unique(train, axis=0, return_inverse=True)
+    order = np.argsort(group.ravel(), kind="stable")
+    group = group.ravel()[order]
+    kept = np.sort(order[np.arange(len(order)) - np.searchsorted(group, group) < k])
+    parts, todo = [], [kept]
+    while todo:
+        at = todo.pop()
+        if len(at) <= LEAF:
+            parts.append(np.sort(at))
+            continue
+        x = train[at]
+        with np.errstate(over="ignore"):
+            at = at[np.argpartition(x[:, np.argmax(np.ptp(x, axis=0))], len(at) // 2)]
+        todo += [at[:len(at) // 2], at[len(at) // 2:]]
+    width = max(len(at) for at in parts)
+    x, row = np.full((len(parts), train.shape[1], width), np.inf), np.full((len(parts), width), len(train), np.int64)
+    for i, at in enumerate(parts):
+        x[i, :, :len(at)], row[i, :len(at)] = train[at].T, at
+    return Leaves(x, row, np.array([train[at].min(axis=0) for at in parts]).T.copy(),
+                  np.array([train[at].max(axis=0) for at in parts]).T.copy(), min(len(at) for at in parts))
+
+
+def nearest_by_leaves(a: np.ndarray, leaves: Leaves, k: int, p: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """As ``nearest``, for finite rows, p of 1 or 2 and no more neighbours than training rows;
+    None if too many leaves are left after the first bound."""
+    n, (n_leaves, dim, width) = len(a), leaves.x.shape
+
+    def gathered(r: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        x, out = leaves.x[leaf], np.zeros((len(r), width))
+        for j in range(dim):
+            d = np.abs(a[r, j, None] - x[:, j])
+            out += d if p == 1 else d ** p
+        return out
+
+    bound = np.zeros((n, n_leaves))
+    for j in range(dim):
+        gap = np.maximum(leaves.lo[j] - a[:, j, None], a[:, j, None] - leaves.hi[j])
+        np.maximum(gap, 0.0, out=gap)
+        bound += gap if p == 1 else gap ** p
+    m = min(n_leaves, -(-k // leaves.smallest) + 1)
+    near = np.argpartition(bound, m - 1, axis=1)[:, :m] if m < n_leaves else np.broadcast_to(np.arange(n_leaves), (n, n_leaves))
+    r = np.repeat(np.arange(n), m)
+    step = max(1, GATHERED // (dim * width))
+    d = np.concatenate([gathered(r[lo:lo + step], near.ravel()[lo:lo + step]) for lo in range(0, len(r), step)])
+    index, best = _smallest(np.repeat(r, width), d.ravel(), leaves.row[near].ravel(), n, k)
+    left = bound <= best[:, -1:]
+    left[np.arange(n)[:, None], near] = False
+    r, leaf = np.nonzero(left)
+    if len(r) > MOST_LEFT * left.size:
+        return None
+    for lo in range(0, len(r), step):
+        rows, at = r[lo:lo + step], leaf[lo:lo + step]
+        d = gathered(rows, at)
+        i, j = np.nonzero(d <= best[rows, -1, None])
+        if len(i):
+            _improve(index, best, rows[i], d[i, j], leaves.row[at[i], j], k)
     return index, best
 
 
@@ -76,34 +176,47 @@ class NeighbourModel:
         feature has null in all three, as has every row if the model has no rows."""
         spark = test.sparkSession
         ship_package(spark)
-        model = spark.sparkContext.broadcast((self.x, self.label))
-        n_classes, classes, k, p = len(self.classes), np.array(self.classes), self.k, self.p
+        k, p = min(self.k, len(self.x)), self.p
+        model = spark.sparkContext.broadcast((np.asfortranarray(self.x), self.label, make_leaves(self.x, k) if p in (1, 2) else None))
+        n_classes, classes = len(self.classes), np.array(self.classes)
         src = test.select(*[q(c) for c in keep], F.array(*[q(f).cast("double") for f in self.features]).alias("_x"))
         schema = T.StructType([*src.schema.fields[:-1], T.StructField("prediction", T.DoubleType()),
                                T.StructField("probability", T.ArrayType(T.DoubleType())),
                                T.StructField("neighbours", T.ArrayType(T.LongType()))])
         dim = len(self.features)
 
+        def tiles(x: np.ndarray, train: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.zeros((0, k), np.int64), *[nearest(x[lo:lo + TILE_TEST], train, k, p)[0] for lo in range(0, len(x), TILE_TEST)]])
+
+        def lists(values: np.ndarray, good: np.ndarray) -> pa.ListArray:
+            ends = np.concatenate(([0], np.cumsum(good * values.shape[1]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()), mask=pa.array(~good))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            train, label = model.value
+            train, label, leaves = model.value
             for whole in batches:
-                for lo in range(0, whole.num_rows, TILE_TEST):
-                    batch = whole.slice(lo, TILE_TEST)
+                for lo in range(0, whole.num_rows, BLOCK_TEST):
+                    batch = whole.slice(lo, BLOCK_TEST)
                     flat = batch.column(batch.num_columns - 1).flatten()
                     x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
                     good = ~np.isnan(x).any(axis=1) & bool(len(train))
-                    index, _ = nearest(x[good], train, k, p)
+                    x, got = x[good], None
+                    if leaves is not None and len(x) and np.isfinite(x).all():
+                        got = nearest_by_leaves(x, leaves, k, p)
+                        if got is None:      # boxes that exclude little here do so in the other rows too
+                            leaves = None
+                    index = tiles(x, train) if got is None else got[0]
                     votes = np.zeros((len(index), n_classes))
                     np.add.at(votes, (np.arange(len(index))[:, None], label[index]), 1.0)
-                    lists = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-                    win = classes[votes.argmax(axis=1)] if len(index) else []
-                    for at, i, v, w in zip(np.flatnonzero(good).tolist(), index, votes, win):
-                        lists[0][at], lists[1][at], lists[2][at] = float(w), (v / len(i)).tolist(), i.tolist()
+                    win = np.zeros(batch.num_rows)
+                    win[good] = classes[votes.argmax(axis=1)] if len(index) else []
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[:-1], pa.array(lists[0], pa.float64()), pa.array(lists[1], pa.list_(pa.float64())),
-                         pa.array(lists[2], pa.list_(pa.int64()))], [f.name for f in schema.fields])
+                        [*batch.columns[:-1], pa.array(win, mask=~good), lists(votes / max(k, 1), good), lists(index, good)],
+                        [f.name for f in schema.fields])
 
-        return src.mapInArrow(run, schema)
+        # as many tasks as a shuffle has, whatever the files of the test rows
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        return src.repartition(tasks).mapInArrow(run, schema)
 
 
 def fit_neighbours(train: DataFrame, key: str, features: list[str], target: str, k: int = 6, p: int = 1,

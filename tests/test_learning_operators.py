@@ -38,6 +38,54 @@ def test_nearest_against_brute_force(monkeypatch, p):
         assert (index == want).all() and (dist == np.take_along_axis(d, want, 1)).all()
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_leaves_give_the_same_neighbours(monkeypatch, p):
+    rng = np.random.default_rng(4)
+    # grid values tie, copies tie at 0, one column does not vary, one row is far from all
+    b = np.column_stack([rng.integers(0, 6, 900), np.round(rng.normal(size=900), 1), np.full(900, 2.0)]).astype(float)
+    b[:80] = b[500]
+    a = np.concatenate([b[480:600], rng.normal(size=(60, 3)) * 3, [[1e6, -1e6, 0.0]]])
+    monkeypatch.setattr(nb, "MOST_LEFT", 1.0)
+    monkeypatch.setattr(nb, "GATHERED", 1000)
+    for k in (1, 6, 70):
+        got, want = nb.nearest_by_leaves(a, nb.make_leaves(b, k), k, p), nb.nearest(a, b, k, p)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    monkeypatch.setattr(nb, "MOST_LEFT", 0.0)
+    assert nb.nearest_by_leaves(a, nb.make_leaves(b, 6), 6, p) is None
+    assert nb.make_leaves(np.array([[np.inf]]), 1) is None and nb.make_leaves(b[:0], 1) is None
+
+
+def test_few_leaves_are_read(monkeypatch):
+    rng = np.random.default_rng(6)
+    b, a, read = rng.normal(size=(4000, 3)), rng.normal(size=(256, 3)), []
+    real = nb._smallest
+    monkeypatch.setattr(nb, "_smallest", lambda rows, *more: (read.append(len(rows)), real(rows, *more))[1])
+    got = nb.nearest_by_leaves(a, nb.make_leaves(b, 6), 6, 1)
+    assert sum(read) < 256 * 4000 / 10               # merged candidates, not all pairs
+    assert (got[0] == nb.nearest(a, b, 6, 1)[0]).all()
+
+
+def test_predictions_of_infinite_and_null_rows(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 2)) for i in range(100)], "entity long, a double, b double, y double")
+    m = nb.fit_neighbours(df, "entity", ["a", "b"], "y", k=3)
+    test = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 1.0), (3, float("inf"), 1.0)], "entity long, a double, b double").coalesce(1)
+    out = m.predict(test, ["entity"])
+    got = {r.entity: r for r in out.collect()}
+    assert got[2].neighbours is None and len(got[3].neighbours) == 3
+    want = nb.nearest(np.array([[2.0, 3.0]]), m.x, 3, 1)[0][0].tolist()
+    assert got[1].neighbours == want and got[1].probability == [sum(m.label[i] == c for i in want) / 3 for c in (0, 1)]
+    # one file of test rows does not leave all distances to one task
+    assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_are_predicted_once(spark, monkeypatch):
+    plans, real = [], rp.score_table
+    monkeypatch.setattr(rp, "score_table", lambda pred, *more: (plans.append(pred._jdf.queryExecution().executedPlan().toString()), real(pred, *more))[1])
+    df = spark.createDataFrame([(i, i % 3, float(i % 7), float(i % 2)) for i in range(90)], "entity long, fold int, a double, y double")
+    assert ln.cross_validate(df, lambda f, t: ["a"], ["y"], 3, "knn").count() == 3
+    assert len(plans) == 1 and "InArrow" not in plans[0]      # every score reads stored predictions
+
+
 def test_neighbour_model(spark):
     rows = [(i, float(i % 9), float(i % 4), [0.0, 1.0, 5.0][i % 3] if i % 11 else None) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y double")
