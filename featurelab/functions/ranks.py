@@ -1,8 +1,9 @@
 """Distributed ranks without one task per group.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` sends every row of a group
-(e.g. one feature in one fold) to one task that sorts it.  That is the right plan
-while the largest group is small (``ROWS_PER_BUCKET``).  At scale a group has
+(e.g. one feature in one fold) to one task that sorts it, and small groups together to
+one task.  That is the right plan while the largest group (``ROWS_PER_BUCKET``) and all
+together are small.  At scale a group has
 billions of rows; then:
 
 1. where ranks are wanted, ties are collapsed: ``groupBy(group, value).count()``;
@@ -23,21 +24,30 @@ from pyspark.sql import functions as F
 from featurelab.functions.ranges import ranged_sums_before
 
 # Rows per group (or bucket) that one task is expected to sort comfortably.
-ROWS_PER_BUCKET = 4_000_000
+ROWS_PER_BUCKET = 250_000
+# Buckets in all groups together that one task may hold: adaptive execution merges partitions by
+# bytes written, of which sorted narrow rows have few.
+BUCKETS_PER_TASK = 4
 
 
-def _fits(df: DataFrame, groups: list[str], rows_per_bucket: int) -> bool:
-    """Whether every group may be sorted by one task.  One small job counts the rows."""
-    if not groups:
-        return df.count() <= rows_per_bucket
-    return (df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0) <= rows_per_bucket
+def _range_parts(df: DataFrame, groups: list[str], rows_per_bucket: int) -> int:
+    """0 if windows per group may be sorted by one task, else the number of range partitions:
+    those of a shuffle, or more so that none is much larger than a bucket.  One small job counts the rows."""
+    if groups:
+        largest, total = (n or 0 for n in df.groupBy(*groups).count().agg(F.max("count"), F.sum("count")).first())
+    else:
+        largest = total = df.count()
+    if largest <= rows_per_bucket and total <= BUCKETS_PER_TASK * rows_per_bucket:
+        return 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_bucket))
 
 
 def sums_before(df: DataFrame, groups: list[str], order: list[str], weights: list[str], out: list[str],
                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``out[i]`` = sum of ``weights[i]`` over rows strictly before each row in ``order``."""
-    if not _fits(df, groups, rows_per_bucket):
-        return ranged_sums_before(df, groups, order, weights, out)
+    parts = _range_parts(df, groups, rows_per_bucket)
+    if parts:
+        return ranged_sums_before(df, groups, order, weights, out, parts)
     w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.select("*", *[F.coalesce(F.sum(x).over(w), F.lit(0)).alias(o) for x, o in zip(weights, out)])
 

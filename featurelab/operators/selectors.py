@@ -296,12 +296,13 @@ def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targe
     kk = n_neighbors
     base = df.select(key, "fold", *[q(c).cast("double").alias(c) for c in features + targets]) \
              .withColumn("train_fold", F.explode(_train_folds(F.col("fold"), k))).drop("fold")
-    xl = to_long(base, [key, "train_fold", *targets], features)
-    rows = xl.select(key, "train_fold", "feature", "value",
-                     F.explode(F.array(*[F.struct(F.lit(t).alias("target"), q(t).alias("cls")) for t in targets])).alias("_t")) \
-             .select(key, "train_fold", "feature", "value", "_t.target", "_t.cls") \
-             .where(F.col("value").isNotNull() & F.col("cls").isNotNull())
-    g = ["train_fold", "target", "feature"]
+    # a cell (training fold, target, feature) is one number: rows that are sorted and dealt stay narrow
+    cells = [(t, f) for t in targets for f in features]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), q(f).alias("value"), q(t).alias("cls")) for i, (t, f) in enumerate(cells)]))
+    rows = base.select(key, "train_fold", each.alias("_e")) \
+               .select(key, (F.col("train_fold") * len(cells) + F.col("_e.c")).alias("_g"), "_e.value", "_e.cls") \
+               .where(F.col("value").isNotNull() & F.col("cls").isNotNull())
+    g = ["_g"]
     # class sizes by a grouped count (partial aggregate), joined back on the small key set
     sizes = rows.groupBy(*g, "cls").agg(F.count(F.lit(1)).alias("n_c"))
     rows = rows.join(sizes, [*g, "cls"]).where(F.col("n_c") > 1).withColumn("_rid", F.col(key).cast("string"))
@@ -310,7 +311,8 @@ def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targe
     dists = F.array_sort(F.filter(F.array(*[F.col(f"_lag{i}") for i in range(1, kk + 1)],
                                           *[F.col(f"_lead{i}") for i in range(1, kk + 1)]),
                                   lambda d: d.isNotNull()))
-    pts = nb.select(*g, key, "value", "n_c", kcol.alias("k_i"), F.element_at(dists, kcol).alias("r"))
+    # read three times
+    pts = cut_lineage(nb.select(*g, key, "value", "n_c", kcol.alias("k_i"), F.element_at(dists, kcol).alias("r")))
     # events: upper edge (x + r, 0), point (x, 1), lower edge (x - r, 2)
     # the radius is shrunk by a relative 1e-12 (the estimator counts distance < r): the k-th
     # neighbour itself sits at distance r and must stay out whatever the rounding of x + r
@@ -334,7 +336,9 @@ def ksg_mutual_info_selector(df: DataFrame, key: str, features: list[str], targe
         F.avg(digamma(F.col("k_i"))).alias("pk"), F.avg(digamma(F.col("n_c"))).alias("pc"),
         F.avg(digamma(mcol)).alias("pm"))
     mi = F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("pk") - F.col("pc") - F.col("pm"))
-    st = st.select(F.col("train_fold").alias("fold"), "target", "feature", F.col("n").cast("long"), mi.alias("score"))
+    at = F.col("_g") % len(cells) + 1
+    st = st.select(F.floor(F.col("_g") / len(cells)).cast("int").alias("fold"), F.element_at(F.array(*[F.lit(t) for t, _ in cells]), at).alias("target"),
+                   F.element_at(F.array(*[F.lit(f) for _, f in cells]), at).alias("feature"), F.col("n").cast("long"), mi.alias("score"))
     thr = F.percentile(F.col("score"), quantile_value).over(Window.partitionBy("fold", "target"))
     return st.withColumn("kept", F.coalesce(F.col("score") >= thr, F.lit(False)))
 

@@ -110,3 +110,31 @@ def test_fold_average_ranks_match_training_set_ranks(spark):
         exp = tr.set_index(["g", "key"])["r"]
         sub = got[got.fold != t].set_index(["g", "key"])[f"_r{t}"]
         assert np.allclose(sub.sort_index().to_numpy(), exp.sort_index().to_numpy())
+
+
+def test_small_groups_of_a_large_table_do_not_meet_in_one_task(spark):
+    from featurelab.functions import ranks
+    assert ranks.BUCKETS_PER_TASK * ranks.ROWS_PER_BUCKET <= 1_000_000
+    rnd = random.Random(5)
+    rows = [(i % 40, i, float(rnd.randint(0, 30))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, id long, v double")
+    # groups of 50 rows fit a bucket of 60; all 2,000 rows do not fit a task
+    out = ranks.row_position(df, ["g"], "v", ["id"], "p", rows_per_bucket=60)
+    assert "_range_part" in out._jdf.queryExecution().executedPlan().toString()
+    assert ranks._range_parts(df, ["g"], 60) >= 2000 // 60
+    assert ranks._range_parts(df, ["g"], 500) == 0 and ranks._range_parts(df.limit(0), ["g"], 500) == 0
+    got = {r.id: r.p for r in out.collect()}
+    for g in range(40):
+        order = sorted((v, i) for x, i, v in rows if x == g)
+        assert [got[i] for _, i in order] == list(range(1, 51))
+
+
+def test_ksg_cells_keep_their_names(spark):
+    from featurelab.operators import selectors as sel
+    rnd = random.Random(8)
+    rows = [(i, i % 2, rnd.random() + (i % 3 == 0), rnd.random() + 2.0 * (i % 5 == 0), float(i % 3 == 0), float(i % 5 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "entity long, fold int, a double, b double, y double, z double")
+    got = {(r.fold, r.target, r.feature): r for r in sel.ksg_mutual_info_selector(df, "entity", ["a", "b"], ["y", "z"], 2).collect()}
+    assert len(got) == 8 and all(r.n == 60 for r in got.values())
+    for fold in (0, 1):
+        assert got[fold, "y", "a"].score > got[fold, "y", "b"].score and got[fold, "z", "b"].score > got[fold, "z", "a"].score
