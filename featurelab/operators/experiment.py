@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurelab.functions.wide import q
 from featurelab.operators import importance as im
 from featurelab.operators import ledger
 from featurelab.operators import learning as ln
@@ -40,6 +41,16 @@ def hold_out(df: DataFrame, key: str, repeat: int, test_size: float = 0.3, seed:
     return split.withColumn("fold", F.when(F.col("_test"), TEST).otherwise(TRAIN)).drop("_test")
 
 
+def _stored_splits(df: DataFrame, key: str, repeats: int, test_size: float, seed: int) -> list[DataFrame]:
+    """``hold_out`` of every repeat.  The table is written once, with a column per repeat: no
+    random number is drawn again by the many passes of the cells."""
+    drawn = df
+    for i in range(repeats):
+        drawn = hold_out(drawn, key, i, test_size, seed).withColumnRenamed("fold", f"_fold{i}")
+    stored = cut_lineage(drawn)
+    return [stored.select(*[q(c) for c in df.columns if c != "fold"], F.col(f"_fold{i}").alias("fold")) for i in range(repeats)]
+
+
 def _importance(fitted, model: str, test: DataFrame, feats: list[str], target: str, seed: int) -> DataFrame:
     """(feature, importance) on the rows held out: exact attributions of a two-class linear
     model, loss of accuracy by permutation of any other."""
@@ -50,8 +61,10 @@ def _importance(fitted, model: str, test: DataFrame, feats: list[str], target: s
     def predict(frame: DataFrame) -> DataFrame:
         if model != "knn":
             return fitted.transform(frame)
-        x = frame.select("_y", vector_to_array("features").alias("_a"))
-        return fitted.predict(x.select("_y", *[F.get("_a", F.lit(i)).alias(f) for i, f in enumerate(feats)]), ["_y"])
+        keep = [c for c in frame.columns if c != "features"]
+        x = frame.select(*keep, vector_to_array("features").alias("_a"))
+        # the pairs are dealt evenly already
+        return fitted.predict(x.select(*keep, *[F.get("_a", F.lit(i)).alias(f) for i, f in enumerate(feats)]), keep, deal=False)
 
     def right(out: DataFrame):
         return F.avg(F.coalesce((F.col("prediction") == F.col("_y")).cast("double"), F.lit(0.0)))
@@ -70,24 +83,24 @@ def run_experiment(spark: SparkSession, path: str, frames: dict[str, tuple[DataF
     Cells whose selector kept nothing, or whose training rows hold one class only, are
     finished without a row.  importance_fraction is null if no column matters.  Only names of
     columns reach the driver."""
-    frames = {name: (cut_lineage(df), feats) for name, (df, feats) in frames.items()}
-    classes = {t: ln.target_classes(next(iter(frames.values()))[0], t) for t in targets}
+    frames = {name: (_stored_splits(df, "entity", repeats, test_size, seed), feats) for name, (df, feats) in frames.items()}
+    classes = {t: ln.target_classes(next(iter(frames.values()))[0][0], t) for t in targets}
     axes = {"frame": list(frames), "method": list(selectors), "repeat": list(range(repeats))}
 
     def select(cell: dict) -> DataFrame:
-        df, feats = frames[cell["frame"]]
-        found = selectors[cell["method"]](hold_out(df, "entity", cell["repeat"], test_size, seed), feats, targets)
+        splits, feats = frames[cell["frame"]]
+        found = selectors[cell["method"]](splits[cell["repeat"]], feats, targets)
         return found.where(F.col("fold") == TEST).select("target", "feature", "score", "kept")
     picks = ledger.run_grid(spark, f"{path}/selections", ledger.grid(spark, axes), select)
     kept = {(r[0], r[1], r[2], r[3]): set(r[4]) for r in picks.where("kept").groupBy(*axes, "target")
             .agg(F.collect_set("feature")).collect()}
 
     def run(cell: dict) -> DataFrame:
-        df, feats = frames[cell["frame"]]
+        splits, feats = frames[cell["frame"]]
         t, model = cell["target"], cell["model"]
         names = kept.get((cell["frame"], cell["method"], cell["repeat"], t), ())
         names = [f for f in feats if f in names]
-        split, cached = hold_out(df, "entity", cell["repeat"], test_size, seed), []
+        split, cached = splits[cell["repeat"]], []
         try:
             fitted = ln.fit_cell(split, TEST, t, names, model, classes[t], seed, None, cached) if names else None
             if fitted is None:

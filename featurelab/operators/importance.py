@@ -3,7 +3,7 @@
 A column is permuted by joining two position frames: the row at position i of one keyed
 random order gets the values of the row at position i of another.  The join happens once
 per repeat, on whole feature vectors; every column is then scored from the same pairs by
-replacing one entry, so the table is never copied per column.
+replacing one entry, all in one pass, so no copy of the table is stored or shuffled per column.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from featurelab.functions.keyed import keyed_uniform
 from featurelab.functions.ranks import row_position
 from featurelab.functions.wide import q
-from featurelab.operators.learning import _in_pool
-from featurelab.session import cut_lineage
+from featurelab.session import cut_lineage, dealt
 
 
 def paired(df: DataFrame, key: str, features: list[str], target: str, repeat: int, seed: int = 42) -> DataFrame:
@@ -35,11 +34,6 @@ def paired(df: DataFrame, key: str, features: list[str], target: str, repeat: in
     return order("a", rows).join(giver, "_pos").drop("_pos")
 
 
-def _replaced(j: int, n: int) -> Column:
-    return F.concat(F.slice("_x", 1, j), F.slice("_z", j + 1, 1), F.slice("_x", j + 2, n)) if j else \
-        F.concat(F.slice("_z", 1, 1), F.slice("_x", 2, n))
-
-
 def linear_permutation_importance(df: DataFrame, key: str, weights: dict[str, float], intercept: float, target: str,
                                   repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, repeat, score, permuted, importance) of the rule ``w . x + intercept > 0`` on a 0/1 target, by accuracy.
@@ -68,22 +62,21 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], target:
                            repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, repeat, score, permuted, importance) of any model.
 
-    ``predict`` maps a frame with the vector column ``features`` to one with predictions
-    (``model.transform`` of a Spark ML model); ``score`` gives the aggregate of such a frame
-    (label ``_y``) in which larger is better.  The pairs of a repeat are written once; each
-    column is then one narrow pass over them, a few at a time."""
+    ``predict`` maps a frame with the vector column ``features`` to one with predictions and the
+    frame's other columns (``model.transform`` of a Spark ML model); ``score`` gives the aggregate of
+    such a frame (label ``_y``) in which larger is better.  The pairs of a repeat are written once and
+    dealt evenly; one pass over them predicts every pair as it is and with each column replaced.
+    The copies of a row are made where they are predicted and are not shuffled."""
     spark, n = df.sparkSession, len(features)
     rows = []
     for r in range(repeats):
-        pairs = cut_lineage(paired(df, key, features, target, r, seed))
-
-        def scored(j: int | None, pairs=pairs) -> float:
-            x = F.col("_x") if j is None else _replaced(j, n)
-            given = pairs.select("_key", "_y", array_to_vector(x).alias("features"))
-            out = predict(given)
-            return out.agg(score(out).cast("double")).first()[0]
-        base = scored(None)
-        rows += [(features[j], r, base, v, base - v) for j, v in enumerate(_in_pool(scored, range(n)))]
+        pairs = dealt(cut_lineage(paired(df, key, features, target, r, seed)))
+        each = pairs.select("*", F.explode(F.array(*[F.lit(j) for j in range(-1, n)])).alias("_column"))
+        x = F.transform("_x", lambda v, i: F.when(i == F.col("_column"), F.get("_z", i)).otherwise(v))
+        out = predict(each.select("_key", "_y", "_column", array_to_vector(x).alias("features")))
+        scores = dict(out.groupBy("_column").agg(score(out).cast("double")).collect())
+        base = scores[-1]
+        rows += [(features[j], r, base, scores[j], base - scores[j]) for j in range(n)]
     return spark.createDataFrame(rows, "feature string, repeat int, score double, permuted double, importance double")
 
 

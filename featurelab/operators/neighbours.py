@@ -23,15 +23,15 @@ from pyspark.sql import types as T
 
 from featurelab.functions.keyed import keyed_uniform
 from featurelab.functions.wide import q
-from featurelab.session import ship_package
+from featurelab.session import dealt, ship_package
 
 #: Most training rows of a model.  It is always applied: the rows of smallest keyed random
 #: number are taken, which are all rows of a smaller table.  With F features a model takes
 #: 8 * F * MAX_TRAIN_ROWS bytes on the driver and twice that in every worker.
 MAX_TRAIN_ROWS = 20_000
 TILE_TEST, TILE_TRAIN = 64, 1024
-#: Test rows that go through the leaves together, most rows of a leaf, numbers gathered at a time.
-BLOCK_TEST, LEAF, GATHERED = 256, 32, 1 << 19
+#: Test rows that go through the leaves together and of which bounds are summed together, most rows of a leaf, numbers gathered at a time.
+BLOCK_TEST, BOUNDED, LEAF, GATHERED = 256, 32, 32, 1 << 19
 #: Leaves are given up for tiles when more than this share of them is left after the first bound.
 MOST_LEFT = 0.25
 
@@ -132,11 +132,15 @@ def nearest_by_leaves(a: np.ndarray, leaves: Leaves, k: int, p: int) -> tuple[np
             out += d if p == 1 else d ** p
         return out
 
-    bound = np.zeros((n, n_leaves))
-    for j in range(dim):
-        gap = np.maximum(leaves.lo[j] - a[:, j, None], a[:, j, None] - leaves.hi[j])
-        np.maximum(gap, 0.0, out=gap)
-        bound += gap if p == 1 else gap ** p
+    bound, spare = np.zeros((n, n_leaves)), np.empty((BOUNDED, n_leaves))
+    for at in range(0, n, BOUNDED):      # a few rows at a time stay in the processor's cache
+        total, x = bound[at:at + BOUNDED], a[at:at + BOUNDED]
+        gap = spare[:len(x)]
+        for j in range(dim):             # the distance to a box is that to its nearest point
+            v = x[:, j, None]
+            np.minimum(np.maximum(v, leaves.lo[j], out=gap), leaves.hi[j], out=gap)
+            np.abs(np.subtract(gap, v, out=gap), out=gap)
+            total += gap if p == 1 else gap ** p
     m = min(n_leaves, -(-k // leaves.smallest) + 1)
     near = np.argpartition(bound, m - 1, axis=1)[:, :m] if m < n_leaves else np.broadcast_to(np.arange(n_leaves), (n, n_leaves))
     r = np.repeat(np.arange(n), m)
@@ -169,11 +173,12 @@ class NeighbourModel:
     k: int
     p: int
 
-    def predict(self, test: DataFrame, keep: list[str]) -> DataFrame:
+    def predict(self, test: DataFrame, keep: list[str], deal: bool = True) -> DataFrame:
         """``keep`` columns of every test row, with ``prediction`` (the class of most
         neighbours, the smallest of equals), ``probability`` (share of the neighbours of each
         class, ascending) and ``neighbours`` (positions in ``keys``).  A row with a null
-        feature has null in all three, as has every row if the model has no rows."""
+        feature has null in all three, as has every row if the model has no rows.  Without
+        ``deal`` the rows stay in the tasks that hold them, where they should be spread evenly."""
         spark = test.sparkSession
         ship_package(spark)
         k, p = min(self.k, len(self.x)), self.p
@@ -214,9 +219,7 @@ class NeighbourModel:
                         [*batch.columns[:-1], pa.array(win, mask=~good), lists(votes / max(k, 1), good), lists(index, good)],
                         [f.name for f in schema.fields])
 
-        # as many tasks as a shuffle has, whatever the files of the test rows
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-        return src.repartition(tasks).mapInArrow(run, schema)
+        return (dealt(src) if deal else src).mapInArrow(run, schema)
 
 
 def fit_neighbours(train: DataFrame, key: str, features: list[str], target: str, k: int = 6, p: int = 1,

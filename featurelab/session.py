@@ -71,6 +71,15 @@ def cut_lineage(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks per core that rows are dealt to: enough to even out slow ones, few enough that starting them costs little.
+TASKS_PER_CORE = 4
+
+
+def dealt(df):
+    """``df`` with its rows dealt evenly over a few tasks per core, whatever the files it comes from."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 _SHIPPED: dict[str, str] = {}
 
 

@@ -7,11 +7,13 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from featurelab.functions import concordance, keyed, moments, order_stats, ranks
 from featurelab.operators import collinear as co
 from featurelab.operators import crafting as cr
+from featurelab.operators import experiment as ex
 from featurelab.operators import importance as im
 from featurelab.operators import ledger
 from featurelab.operators import learning as ln
@@ -380,3 +382,41 @@ def test_lambda_against_a_fine_search(spark):
             a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
             lo, hi = (a, hi) if loss(x, a) < loss(x, b) else (lo, b)
         assert abs(got[c] - (lo + hi) / 2) < 1e-4
+
+
+# ---- L1 of any model in one pass
+
+def test_permuted_columns_are_predicted_in_one_pass(spark):
+    """Each score equals that of a pass of its own; the model is asked once a repeat, and the
+    rows are spread over tasks whatever the number of files."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(i % 2), *map(float, r)) for i, r in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame(rows, "entity long, y double, a double, b double, c double").coalesce(1)
+    asked = []
+
+    def predict(frame):
+        asked.append(frame.rdd.getNumPartitions())
+        v = vector_to_array("features")
+        return frame.withColumn("prediction", (v[0] + 0.5 * v[1] > 0).cast("double"))
+    right = lambda out: F.avg((F.col("prediction") == F.col("_y")).cast("double"))
+    got = im.permutation_importance(df, "entity", ["a", "b", "c"], "y", predict, right, repeats=2, seed=5).collect()
+    assert len(asked) == 2 and len(got) == 6 and min(asked) >= 2 * spark.sparkContext.defaultParallelism
+    for r in range(2):
+        pairs = im.paired(df, "entity", ["a", "b", "c"], "y", r, 5).collect()
+        x, z, y = (np.array([p[c] for p in pairs]) for c in ("_x", "_z", "_y"))
+        score = lambda v: np.mean((v[:, 0] + 0.5 * v[:, 1] > 0) == y)  # noqa: B023, E731
+        for j, name in enumerate("abc"):
+            w = x.copy()
+            w[:, j] = z[:, j]
+            one = next(g for g in got if (g.feature, g["repeat"]) == (name, r))
+            assert abs(one.score - score(x)) < 1e-12 and abs(one.permuted - score(w)) < 1e-12
+            assert abs(one.importance - (score(x) - score(w))) < 1e-12
+
+
+def test_splits_are_stored_once(spark):
+    df = spark.range(300).select(F.col("id").alias("entity"), (F.col("id") % 7).cast("double").alias("a.b"))
+    df = df.withColumn("fold", F.lit(9))         # another fold gives way, as in hold_out
+    for i, split in enumerate(ex._stored_splits(df, "entity", 3, 0.3, 42)):
+        assert split.dtypes == ex.hold_out(df, "entity", i).dtypes
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, ex.hold_out(df, "entity", i).collect()))
+        assert "md5" not in split._jdf.queryExecution().toString()
