@@ -15,7 +15,9 @@
   member is first compared with one leader, what that does not connect to the main component
   with the leaders of its other buckets, and what is still loose with all members, block by
   block.  Pairs that are connected already
-  are not compared, and tasks return spanning edges only, never all pairs.
+  are not compared, and tasks return spanning edges (small clusters: roots) only, never all
+  pairs.  In large clusters each step passes on links between parts, not between classes, so
+  that the next search for components starts from what is known.
 
 Shingles, sets and classes are compared by 64-bit hashes.
 """
@@ -128,9 +130,9 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> It
         yield i, np.flatnonzero((100 * common >= percent * (len(x) + sizes - common)) & (common > 0))
 
 
-def _spanning(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Edges that connect what is linked between the two blocks; frames hold class, part
-    (what is known to be connected already) and shingles."""
+def _spanning(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, dict[int, int]]:
+    """Edges that connect the parts linked between the two blocks, and the root of each part in
+    an edge; frames hold part (what is known to be connected already) and shingles."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -139,16 +141,15 @@ def _spanning(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataF
         return x
 
     a, b = [], []
-    lc, lp = left["class"].tolist(), left["part"].tolist()
-    rc, rp = right["class"].tolist(), right["part"].tolist()
+    lp, rp = left["part"].tolist(), right["part"].tolist()
     for i, hits in _linked(list(left["shingles"]), list(right["shingles"]), percent):
         for j in hits.tolist():
             x, y = find(lp[i]), find(rp[j])
             if x != y:
                 parent[x] = y
-                a.append(lc[i])
-                b.append(rc[j])
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                a.append(lp[i])
+                b.append(rp[j])
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}), {x: find(x) for x in list(parent)}
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64("class").alias("p"), F.col("class").alias("id"))).alias("lead"))
         .filter("members > 1").select("band", F.col("lead.id").alias("leader")))
     proposed = written(spread.join(leader, "band").filter("class != leader")
-                       .groupBy("class", "leader").count(), "proposed")
+                       .groupBy("class", "leader").count(), "proposed", narrow=True)
     cluster = components(proposed.select(F.col("class").alias("a"), F.col("leader").alias("b")))
     cluster = cluster.withColumnsRenamed({"node": "class", "root": "cluster"})
 
@@ -196,19 +197,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     size = members.groupBy("cluster").agg(F.count("*").alias("in_cluster"), F.sum("n").alias("weight"))
     small = (F.col("in_cluster") <= TILE_MEMBERS) & (F.col("weight") <= TILE_SHINGLES)
-    wide = written(size.filter(~small), "wide")
+    wide = written(size.filter(~small), "wide", narrow=True)
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(part=frame["class"])
-        return _spanning(frame, frame, percent)
+        _, roots = _spanning(frame, frame, percent)
+        return pd.DataFrame({"class": frame["class"], "root": [roots.get(c, c) for c in frame["class"].tolist()]})
 
     tight = members.join(_hint(wide.select("cluster")), "cluster", "left_anti")
-    edges = tight.groupBy("cluster").applyInPandas(decide, "a long, b long")
+    linked = tight.groupBy("cluster").applyInPandas(decide, "class long, root long")
     if not wide.isEmpty():
-        edges = edges.unionByName(_wide_edges(members, wide, proposed, percent))
-    linked = components(edges)
+        linked = linked.unionByName(_wide_roots(members, wide, proposed, percent))
+    linked = written(linked, "linked")
 
-    lows = (classes.select("class", "low").join(linked.withColumnsRenamed({"node": "class"}), "class", "left")
+    lows = (classes.select("class", "low").join(linked, "class", "left")
             .withColumn("root", F.coalesce("root", "class")))
     least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
     final = lows.join(least, "root").select("class", "component_id")
@@ -232,9 +234,9 @@ def _hint(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _small(df) else df
 
 
-def _wide_edges(members: DataFrame, wide: DataFrame, proposed: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges of clusters too large for one task."""
-    inside = written(members.join(_hint(wide.select("cluster", "in_cluster", "weight")), "cluster"), "inside")
+def _wide_roots(members: DataFrame, wide: DataFrame, proposed: DataFrame, percent: int) -> DataFrame:
+    """(class, root) of the classes in clusters too large for one task."""
+    inside = written(members.join(_hint(wide), "cluster").withColumnRenamed("weight", "cluster_weight"), "inside")
     sets = inside.select("class", "n", "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -244,50 +246,56 @@ def _wide_edges(members: DataFrame, wide: DataFrame, proposed: DataFrame, percen
         return (pair.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common")))
                 .select(F.col("class").alias("a"), F.col("leader").alias("b")))
 
-    def parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(cluster, class, part) by the edges, and (cluster, main): its largest part."""
-        part = components(edges).withColumnsRenamed({"node": "class", "root": "part"})
-        of = written(inside.select("cluster", "class").join(part, "class", "left")
-                     .withColumn("part", F.coalesce("part", "class")), "parts")
-        largest = (of.groupBy("cluster", "part").count().groupBy("cluster")
+    def merged(part: DataFrame, edges: DataFrame) -> DataFrame:
+        """(cluster, class, n, part) by further edges between parts."""
+        root = components(edges).withColumnRenamed("node", "part")
+        return written(part.join(root, "part", "left").select("cluster", "class", "n", F.coalesce("root", "part").alias("part")),
+                       "parts", narrow=True)
+
+    def marked(part: DataFrame) -> DataFrame:
+        """The rows of ``part`` with loose: theirs is not the largest part of their cluster."""
+        largest = (part.groupBy("cluster", "part").count().groupBy("cluster")
                    .agg(F.max(F.struct("count", "part")).alias("m"))
                    .select("cluster", F.col("m.part").alias("main")))
-        return of, written(largest, "main")
+        main = written(largest, "main", narrow=True)
+        return part.join(_hint(main), "cluster").withColumn("loose", F.col("part") != F.col("main")).drop("main")
 
     best = (proposed.groupBy("class").agg(F.max(F.struct("count", "leader")).alias("m"))
             .select("class", F.col("m.leader").alias("leader")))
-    first = written(verified(best), "first")
-    part, main = parts(first)
-    loose = part.join(_hint(main), "cluster").filter("part != main").select("class")
-    more = written(verified(proposed.select("class", "leader").join(loose, "class")
-                            .join(best, ["class", "leader"], "left_anti")), "more")
-    first = first.unionByName(more)
-    part, main = parts(first)
-    inside = written(inside.join(part.select("class", "part"), "class").join(_hint(main), "cluster"), "inside-parts")
-    rest = written(inside.filter("part != main").groupBy("cluster")
-                   .agg(F.count("*").alias("loose"), F.sum("n").alias("loose_weight")), "rest")
+    part = merged(inside.select("cluster", "class", "n", F.col("class").alias("part")), verified(best))
+    loose = marked(part).filter("loose").select("class")
+    more = verified(proposed.select("class", "leader").join(loose, "class")
+                    .join(best, ["class", "leader"], "left_anti"))
+    name = part.select("class", "part")
+    part = merged(part, more.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b")
+                  .select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a != b"))
+    marks = marked(part)
+    rest = written(marks.filter("loose").groupBy("cluster")
+                   .agg(F.count("*").alias("in_loose"), F.sum("n").alias("loose_weight")), "rest", narrow=True)
+    if rest.isEmpty():
+        return part.select("class", F.col("part").alias("root"))
 
     def blocks(count: str, weight: str):
         return F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK_MEMBERS),
                           F.ceil(F.col(weight) / TILE_SHINGLES)).cast("int")
 
-    plan = (inside.join(_hint(rest), "cluster")
-            .withColumn("all_blocks", blocks("in_cluster", "weight"))
-            .withColumn("loose_blocks", blocks("loose", "loose_weight"))
-            .withColumn("h", F.xxhash64("class", F.lit(7))))
-    cols = ["cluster", "class", "part", "shingles"]
+    plan = written(inside.join(_hint(rest), "cluster").join(marks.select("class", "part", "loose"), "class")
+                   .withColumn("all_blocks", blocks("in_cluster", "cluster_weight"))
+                   .withColumn("loose_blocks", blocks("in_loose", "loose_weight"))
+                   .withColumn("h", F.xxhash64("class", F.lit(7))), "plan")
+    cols = ["cluster", "part", "shingles"]
     every = plan.select(*cols, F.expr("pmod(h, all_blocks)").cast("int").alias("x"),
                         F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("y"))
-    loose = plan.filter("part != main").select(
+    loose = plan.filter("loose").select(
         *cols, F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("x"),
         F.expr("pmod(h, loose_blocks)").cast("int").alias("y"))
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
-        return _spanning(both[both["loose"]], both[~both["loose"]], percent)
+        return _spanning(both[both["loose"]], both[~both["loose"]], percent)[0]
 
     both = loose.withColumn("loose", F.lit(True)).unionByName(every.withColumn("loose", F.lit(False)))
-    second = both.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
-    return first.unionByName(second)
+    part = merged(part, both.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long"))
+    return part.select("class", F.col("part").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featurelab.session import ensure_checkpoint_dir
+from featurelab.session import TASKS_PER_CORE, ensure_checkpoint_dir
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -14,10 +14,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later jobs restart from
-    the files, so a lost executor costs no recomputation and unused columns are not read."""
+    the files, so a lost executor costs no recomputation and unused columns are not read.
+    ``narrow``: the rows are short and cheap to make after their last shuffle, so a few tasks
+    per core take its partitions one after another, and there are only so many files."""
     path = shared_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -175,6 +175,63 @@ def test_large_clusters_are_split(spark, monkeypatch):
     assert got == _roots(range(80), linked)
 
 
+def test_loose_parts_of_large_clusters_meet(spark, monkeypatch):
+    # drifting texts: clusters fall into many parts, which only the later steps connect
+    monkeypatch.setattr(near_dedup, "TILE_MEMBERS", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 9)
+    rng = random.Random(11)
+    texts = []
+    for g in range(4):
+        t = [f"g{g % 2}w{i}" for i in range(50)]
+        for _ in range(30):
+            texts.append(" ".join(t))
+            for _ in range(rng.randint(1, 4)):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(1000)}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: _shingles(t, 2) for i, t in enumerate(texts)}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(df, k=2).collect()}
+    assert got == _roots(range(len(texts)), linked)
+
+
+def test_rounds_of_components_write_little(spark, monkeypatch):
+    # one table of steps and one of edges per round, in few files however many shuffle partitions
+    from featurelab.llm import components as C
+    tables = []
+    real = C.written
+
+    def recorded(df, name, **how):
+        out = real(df, name, **how)
+        tables.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(C, "written", recorded)
+    conf = {"spark.sql.shuffle.partitions": "300", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = [(i, i + 1) for i in range(2000)] + [(5000, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in components(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(got) == {*range(2001), 5000} and len({got[i] for i in range(2001)}) == 1 and got[5000] == 5000
+    names = Counter(name for name, _ in tables)
+    assert names["labels"] == 1 and names["step"] == names["edges"] and len(tables) == 2 * names["step"] + 2
+    assert max(n for _, n in tables) <= 4 * spark.sparkContext.defaultParallelism < 300
+
+
+def test_small_clusters_need_one_search_for_components(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(near_dedup, "components", lambda edges: calls.append(1) or components(edges))
+    t = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, t), (2, t + " x"), (3, t + " y"), (4, "other words here")], "doc_id long, text string")
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(df, k=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4} and len(calls) == 1
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(0)
     errors = []
