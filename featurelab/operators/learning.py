@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.wide import q
 from featurelab.operators import reporting as rp
-from featurelab.operators.neighbours import MAX_TRAIN_ROWS, fit_neighbours
+from featurelab.operators.neighbours import fit_neighbours
 from featurelab.session import cut_lineage
 
 FIT_THREADS = 4
@@ -175,7 +175,7 @@ def fit_cell(df: DataFrame, fold: int, target: str, feats: list[str], model: str
     if model == "knn":
         p = dict(params or {})
         m = fit_neighbours(labelled.where(F.col("fold") != fold), "entity", feats, target, p.pop("n_neighbors", 6), p.pop("p", 1),
-                           p.pop("max_train_rows", MAX_TRAIN_ROWS), seed)
+                           p.pop("max_train_rows", None), seed)
         if len(m.classes) < 2:
             return None
         out = m.predict(labelled.where(F.col("fold") == fold).withColumn("label", q(target).cast("double")), ["entity", "label"])
